@@ -123,6 +123,4 @@ def tier(
 
 def is_work_mail(body: Column, subject: Column) -> Column:
     """More work words (body or subject) than booking words (body)."""
-    low_body, low_subject = F.lower(body), F.lower(subject)
-    work = count_words(V.WORK_WORDS, low_body, low_subject)
-    return work > count_words(V.BOOKING_WORDS, low_body)
+    return count_words(V.WORK_WORDS, body, subject) > count_words(V.BOOKING_WORDS, body)

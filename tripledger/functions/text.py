@@ -3,8 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
-from functools import reduce
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,13 +37,23 @@ def words_found(lowered: Column, words: Iterable[str]) -> Column:
     )
 
 
-def count_words(words: Iterable[str], *lowered: Column) -> Column:
-    """How many words occur in at least one of the lower-cased texts."""
-    hits = [
-        F.when(reduce(Column.__or__, [t.contains(w) for t in lowered]), 1).otherwise(0)
-        for w in words
-    ]
-    return reduce(Column.__add__, hits)
+def count_words(words: Iterable[str], *texts: Column) -> Column:
+    """How many words occur in at least one of the texts, each text lower-cased once.
+
+    The lambda over the array of texts binds the lowered values, so that neither the text is
+    lowered per word nor the generated code grows with the word list.
+    """
+    wanted = F.array(*[F.lit(w) for w in words])
+    bound = F.array(F.array(*[F.lower(t) for t in texts]))
+    counted = F.transform(
+        bound, lambda lowered: F.size(F.filter(wanted, lambda w: F.exists(lowered, lambda t: t.contains(w))))
+    )
+    return F.get(counted, F.lit(0))
+
+
+def tagged(names: Sequence[str], *rows: Sequence[Column]) -> Column:
+    """An array of structs with the given field names, one per row of columns."""
+    return F.array(*[F.struct(*[c.alias(n) for n, c in zip(names, row, strict=True)]) for row in rows])
 
 
 def lookup(key: Column, table: dict[str, str]) -> Column:

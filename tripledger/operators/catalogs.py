@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tripledger import vocabulary as V
 from tripledger.functions.mail import mail_date, relevant, sender_domain
-from tripledger.functions.text import contains_any, words_found
+from tripledger.functions.text import contains_any, tagged, words_found
 
 
 def relevant_mails(
@@ -108,7 +108,5 @@ def keyword_frequency(rows: DataFrame, words: Iterable[str] = V.CHAT_WORDS) -> D
         F.count_if(contains_any(F.col("_text"), words)).alias("matched_rows"),
         *[F.count_if(F.col("_text").contains(w)).alias(f"_k{i}") for i, w in enumerate(words)],
     )
-    pairs = F.array(
-        *[F.struct(F.lit(w).alias("keyword"), F.col(f"_k{i}").alias("n")) for i, w in enumerate(words)]
-    )
+    pairs = tagged(("keyword", "n"), *[(F.lit(w), F.col(f"_k{i}")) for i, w in enumerate(words)])
     return counts.select("total_rows", "matched_rows", F.inline(pairs))

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tripledger.functions import normalize as N
-from tripledger.functions.text import present, safe_text, say
+from tripledger.functions.text import present, safe_text, say, tagged
 from tripledger.operators.keep import keep_last
 
 CODE, SAME_BOOKING, SAME_ROUTE_NEAR_DAY, SAME_AIRLINE_DAY, SAME_AIRLINE_NEAR_DAY = ALL_RULES = (1, 2, 3, 4, 5)
@@ -260,13 +260,13 @@ def matches(
 
 def key_coverage(register: DataFrame) -> DataFrame:
     """Distinct keys per kind of lookup."""
-    tags = F.array(
-        F.struct(F.lit("exact_key").alias("kind"), F.concat_ws("\x01", "_date", "_origin", "_dest", "_airline").alias("key"),
-                 _filled("_date", "_origin", "_dest", "_airline").alias("ok")),
-        F.struct(F.lit("confirmation"), F.col("_code"), _filled("_code")),
-        F.struct(F.lit("route"), F.concat_ws("\x01", "_origin", "_dest"), _filled("_origin", "_dest")),
-        F.struct(F.lit("date"), F.col("_date"), _filled("_date")),
-        F.struct(F.lit("airline"), F.col("_airline"), _filled("_airline")),
+    kinds = {
+        "exact_key": ("_date", "_origin", "_dest", "_airline"), "confirmation": ("_code",),
+        "route": ("_origin", "_dest"), "date": ("_date",), "airline": ("_airline",),
+    }
+    tags = tagged(
+        ("kind", "key", "ok"),
+        *[(F.lit(kind), F.concat_ws("\x01", *parts), _filled(*parts)) for kind, parts in kinds.items()],
     )
     keyed = with_keys(register).select(F.inline(tags)).where("ok")
     return keyed.groupBy("kind").agg(F.countDistinct("key").alias("distinct_keys"))
@@ -279,9 +279,7 @@ def status_counts(classified: DataFrame) -> DataFrame:
         *[F.count_if(F.col("dedup_status") == s).alias(s) for s in STATUSES],
     )
     share = lambda s: F.when(F.col("_all") == 0, F.lit(0.0)).otherwise(F.col(s) * 100.0 / F.col("_all"))
-    pairs = F.array(
-        *[F.struct(F.lit(s).alias("dedup_status"), F.col(s).alias("n"), share(s).alias("percent")) for s in STATUSES]
-    )
+    pairs = tagged(("dedup_status", "n", "percent"), *[(F.lit(s), F.col(s), share(s)) for s in STATUSES])
     return counted.select(F.inline(pairs))
 
 
@@ -290,13 +288,15 @@ def net_new_breakdown(classified: DataFrame) -> DataFrame:
     new = classified.where("dedup_status = 'net_new'")
     named = lambda c: F.coalesce(present(c), F.lit("unknown"))
     year = F.when(F.trim("date_iso") != "", F.col("date_iso").substr(1, 4))
-    tags = F.array(
-        F.struct(F.lit("year").alias("kind"), named(year).alias("value"), F.lit(1).alias("one")),
-        F.struct(F.lit("airline"), named(F.trim("airline")), F.lit(1)),
-        F.struct(F.lit("confidence"), F.col("confidence"), F.lit(1)),
+    names = ("kind", "value", "one")
+    tags = tagged(
+        names,
+        (F.lit("year"), named(year), F.lit(1)),
+        (F.lit("airline"), named(F.trim("airline")), F.lit(1)),
+        (F.lit("confidence"), F.col("confidence"), F.lit(1)),
     )
     # A row of zeros per level keeps levels without candidates in the result.
-    levels = F.array(*[F.struct(F.lit("confidence").alias("kind"), F.lit(v).alias("value"), F.lit(0).alias("one")) for v in LEVELS])
+    levels = tagged(names, *[(F.lit("confidence"), F.lit(v), F.lit(0)) for v in LEVELS])
     zeros = classified.sparkSession.range(1).select(F.inline(levels))
     return (
         new.select(F.inline(tags)).unionByName(zeros)

@@ -314,7 +314,7 @@ _S, _T = _pick(D.PLACES, "user_id % 12"), _pick(D.PLACES, "(user_id + 1) % 12")
 CHANGES = f"""
 ev AS (
   SELECT event_id AS ord, user_id, event_type, value, strftime(ts, '%Y-%m-%d') AS dy, {_S} AS s, {_T} AS t,
-    strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS at
+    strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS stamp
   FROM events
 ),
 log AS (
@@ -344,7 +344,7 @@ base AS (
   SELECT * EXCLUDE (ord), CAST(-1 AS BIGINT) AS since FROM register
   UNION ALL BY NAME
   SELECT made AS flight_id, dy || 'T00:00:00Z' AS date_iso, left(dy, 7) AS date_yyyy_mm, s AS origin, t AS dest,
-    'active' AS status, at AS created_at, at AS updated_at, CAST(CAST(value AS DECIMAL(12,2)) AS DOUBLE) AS total_paid,
+    'active' AS status, stamp AS created_at, stamp AS updated_at, CAST(CAST(value AS DECIMAL(12,2)) AS DOUBLE) AS total_paid,
     ord AS since FROM firsts
 ),
 placed AS (
@@ -354,8 +354,8 @@ placed AS (
 edits AS (
   SELECT key, arg_max(CAST(CAST(value AS DECIMAL(12,2)) AS DOUBLE), ord) FILTER (kind = 'fare') AS fare,
     arg_max('site' || (ord % 5), ord) FILTER (kind = 'site') AS site, arg_max(t, ord) FILTER (kind = 'site') AS city,
-    max(ord) FILTER (op = 'update') AS u_ord, arg_max(at, ord) FILTER (op = 'update') AS u_at,
-    min(ord) FILTER (op = 'cancel') AS c_ord, arg_min(at, ord) FILTER (op = 'cancel') AS c_at
+    max(ord) FILTER (op = 'update') AS u_ord, arg_max(stamp, ord) FILTER (op = 'update') AS u_at,
+    min(ord) FILTER (op = 'cancel') AS c_ord, arg_min(stamp, ord) FILTER (op = 'cancel') AS c_at
   FROM placed WHERE found GROUP BY key
 ),
 merged AS (
@@ -636,8 +636,8 @@ def all_oracles() -> dict[str, str]:
         "upsert_latest": _with(
             BOOKED, REGISTER, CHANGES,
             select="SELECT coalesce(w.key, r.flight_id) AS flight_id, coalesce(w.status, r.status) AS status, "
-            "coalesce(w.at, r.updated_at) AS updated_at, CASE WHEN w.key IS NULL THEN r.origin END AS origin FROM register r "
-            "FULL JOIN (SELECT key, 'written' AS status, arg_max(at, ord) AS at FROM log WHERE op = 'update' GROUP BY key) w "
+            "coalesce(w.stamp, r.updated_at) AS updated_at, CASE WHEN w.key IS NULL THEN r.origin END AS origin FROM register r "
+            "FULL JOIN (SELECT key, 'written' AS status, arg_max(stamp, ord) AS stamp FROM log WHERE op = 'update' GROUP BY key) w "
             "ON w.key = r.flight_id"),
         "mailbox_scan": _mail("SELECT msg_id, from_hdr, subject, date_hdr FROM messages"),
         "mail_bodies": _mail(

@@ -386,8 +386,8 @@ def change_rejects(spark, sf_dir):
 def stream_changes(spark, sf_dir):
     store = scratch_dir(spark, "register")
     start_store(D.register(spark, sf_dir), store)
-    path = f"{sf_dir}/events.parquet"
-    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(path)
+    schema = D.table(spark, sf_dir, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     apply_change_stream(D.change_rows(events), store, f"{store}/checkpoint").awaitTermination()
     return decimals_to_double(current_register(spark, store))
 

@@ -16,6 +16,7 @@ def local_session(cores: str = "*", shuffle: str = "8") -> SparkSession:
         .config("spark.sql.shuffle.partitions", shuffle)
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .getOrCreate()
     )

@@ -6,14 +6,13 @@ Patterns run with Unicode classes, since bodies may hold no-break spaces.
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tripledger import vocabulary as V
 from tripledger.functions.mail import month_number
-from tripledger.functions.text import lookup, or_blank, present
+from tripledger.functions.text import bind, lookup, or_blank, present
 
 _EXACT = "(?dU)"
 _CASE_BLIND = "(?diuU)"
@@ -34,26 +33,25 @@ def airports(body: Column, codes: Iterable[str] = V.AIRPORTS) -> Column:
     """Struct (origin, dest): a route, else two codes in context, else codes standing alone."""
     codes = tuple(codes)
     known = lambda c: c.isin(*codes)
-    routes = F.filter(
-        _all(body, _EXACT + V.ROUTE), lambda m: known(F.left(m, F.lit(3))) & known(F.right(m, F.lit(3)))
+    ends = F.transform(
+        _all(body, _EXACT + V.ROUTE), lambda m: F.array(F.left(m, F.lit(3)), F.right(m, F.lit(3)))
     )
-    route = F.get(routes, F.lit(0))
+    route = F.get(F.filter(ends, lambda pair: F.forall(pair, known)), F.lit(0))
     context = F.filter(
         F.transform(_all(body, _CASE_BLIND + V.AIRPORT_IN_CONTEXT, 1), lambda m: F.upper(m)), known
     )
     alone = F.array_distinct(F.filter(_all(body, _EXACT + V.AIRPORT_ALONE, 1), known))
-    pair = F.coalesce(
-        F.when(route.isNotNull(), F.array(F.left(route, F.lit(3)), F.right(route, F.lit(3)))),
-        F.when(F.size(context) >= 2, context),
-        alone,
+    two = bind(context, lambda codes: F.when(F.size(codes) >= 2, codes))
+    return bind(
+        F.coalesce(route, two, alone),
+        lambda pair: F.struct(F.get(pair, F.lit(0)).alias("origin"), F.get(pair, F.lit(1)).alias("dest")),
     )
-    return F.struct(F.get(pair, F.lit(0)).alias("origin"), F.get(pair, F.lit(1)).alias("dest"))
 
 
 def flight_number(body: Column) -> Column:
     """Airline prefix and digits of the first flight number, without the separator."""
     hit = present(F.regexp_extract(body, _EXACT + V.FLIGHT_NUMBER, 0))
-    return F.concat(F.left(hit, F.lit(2)), F.regexp_replace(hit.substr(F.lit(3), F.length(hit)), r"^\D", ""))
+    return F.regexp_replace(hit, r"^(..)\D", "$1")
 
 
 def flight_airline(number: Column, prefixes: dict[str, str] = V.AIRLINE_BY_PREFIX) -> Column:
@@ -119,12 +117,13 @@ def airline(
     phrases: dict[str, tuple[str, ...]] = V.AIRLINE_BY_PHRASE,
 ) -> Column:
     """Airline by sender domain, else by flight number, else by the first phrase set found."""
-    low = F.lower(body)
-    named = [
-        F.when(reduce(Column.__or__, [low.contains(p) for p in options]), F.lit(name))
-        for name, options in phrases.items()
-    ]
-    return F.coalesce(lookup(domain, domains), by_number, *named)
+    pairs = ", ".join(
+        f"struct('{phrase}' AS phrase, '{name}' AS name)" for name, options in phrases.items() for phrase in options
+    )
+    first = bind(
+        F.lower(body), lambda low: F.get(F.filter(F.expr(f"array({pairs})"), lambda p: low.contains(p["phrase"])), F.lit(0))
+    )
+    return F.coalesce(lookup(domain, domains), by_number, first["name"])
 
 
 def confidence(
@@ -171,8 +170,8 @@ def is_international(
 ) -> Column:
     """Any known airport outside the home country."""
     domestic = tuple(domestic)
-    abroad = lambda c: F.coalesce(~present(c).isin(*domestic), F.lit(False))
-    return abroad(origin) | abroad(dest)
+    known = F.array_compact(F.array(present(origin), present(dest)))
+    return F.exists(known, lambda c: ~c.isin(*domestic))
 
 
 def day_text(day: Column) -> Column:

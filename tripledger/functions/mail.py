@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tripledger import vocabulary as V
-from tripledger.functions.text import BLANKS, contains_any, count_words, or_blank, present, strip
+from tripledger.functions.text import BLANKS, bind, contains_any, count_words, or_blank, present, strip, word_array
 
 # Named zones of RFC 2822 and their minutes east of UTC.
 ZONE_MINUTES = {
@@ -41,36 +41,54 @@ def mail_clock(date: Column) -> Column:
     ``-0000``) has no offset in ``iso`` and counts as UTC in comparisons.
     """
     bare = F.regexp_replace(date, r"\([^)]*\)", " ")
-    part = F.split(F.regexp_replace(bare, _DATE, "$1\t$2\t$3\t$4\t$5\t$6\t$7"), "\t")
-    # A text the pattern does not match has other than seven parts, or an unknown month.
-    at = lambda i: F.when(F.size(part) == 7, F.get(part, F.lit(i)))
-    month = month_number(at(1))
-    year = at(2).try_cast("int")
-    year = F.when(year > 99, year).when(year > 68, year + 1900).otherwise(year + 2000)
-    clock = F.concat_ws(":", at(3), at(4), F.coalesce(present(at(5)), F.lit("00")))
-    wall = F.concat(
-        F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), month.cast("string"), at(0)), F.lit(" "), clock
-    ).try_cast("timestamp_ntz")
-    zone = F.upper(at(6))
-    digits = zone.substr(2, 4).try_cast("int")
-    numeric = F.floor(digits / 100) * 60 + digits % 100
-    sign = F.when(zone.startswith("-"), -1).otherwise(1)
-    names = F.create_map(*[F.lit(x) for kv in ZONE_MINUTES.items() for x in kv])
-    offset = (
-        F.when(zone == "-0000", F.lit(None))
-        .when(zone.rlike("^[+-]"), sign * numeric)
-        .otherwise(F.try_element_at(names, zone))
-        .cast("int")
+    parts = F.split(F.regexp_replace(bare, _DATE, "$1\t$2\t$3\t$4\t$5\t$6\t$7"), "\t")
+    # A text the pattern does not match comes back unchanged, so it has other than seven parts.
+    timed = bind(F.when(F.size(parts) == 7, parts), lambda p: F.struct(_wall(p).alias("wall"), _offset(p).alias("offset")))
+    return bind(
+        timed,
+        lambda t: F.struct(
+            t["wall"].alias("wall"), F.coalesce(t["offset"], F.lit(0)).alias("offset"),
+            F.concat(F.replace(t["wall"].cast("string"), F.lit(" "), F.lit("T")), or_blank(_zone_text(t["offset"]))).alias("iso"),
+        ),
     )
-    size = F.abs(offset)
-    suffix = F.concat(
-        F.when(offset < 0, "-").otherwise("+"),
-        F.lpad(F.floor(size / 60).cast("string"), 2, "0"),
-        F.lit(":"),
-        F.lpad((size % 60).cast("string"), 2, "0"),
+
+
+def _wall(part: Column) -> Column:
+    year = bind(
+        F.get(part, F.lit(2)).try_cast("int"),
+        lambda y: F.when(y > 99, y).when(y > 68, y + 1900).otherwise(y + 2000),
+    )
+    day = F.concat_ws(
+        "-", F.lpad(year.cast("string"), 4, "0"), month_number(F.get(part, F.lit(1))).cast("string"), F.get(part, F.lit(0))
     )
-    iso = F.concat(F.replace(wall.cast("string"), F.lit(" "), F.lit("T")), or_blank(suffix))
-    return F.struct(wall.alias("wall"), F.coalesce(offset, F.lit(0)).alias("offset"), iso.alias("iso"))
+    clock = F.concat_ws(
+        ":", F.get(part, F.lit(3)), F.get(part, F.lit(4)), F.coalesce(present(F.get(part, F.lit(5))), F.lit("00"))
+    )
+    return F.concat(day, F.lit(" "), clock).try_cast("timestamp_ntz")
+
+
+def _offset(part: Column) -> Column:
+    """Minutes east of UTC, NULL without a known zone."""
+    names = F.map_from_arrays(word_array(ZONE_MINUTES), F.expr("array(" + ", ".join(map(str, ZONE_MINUTES.values())) + ")"))
+
+    def minutes(zone: Column) -> Column:
+        digits = zone.substr(2, 4).try_cast("int")
+        size = F.floor(digits / 100) * 60 + digits % 100
+        return (
+            F.when(zone == "-0000", F.lit(None))
+            .when(zone.startswith("-"), -size)
+            .when(zone.startswith("+"), size)
+            .otherwise(F.try_element_at(names, zone))
+            .cast("int")
+        )
+
+    return bind(F.upper(F.get(part, F.lit(6))), minutes)
+
+
+def _zone_text(offset: Column) -> Column:
+    hours = F.lpad(F.floor(F.abs(offset) / 60).cast("string"), 2, "0")
+    minutes = F.lpad((F.abs(offset) % 60).cast("string"), 2, "0")
+    return F.concat(F.when(offset < 0, "-").otherwise("+"), hours, F.lit(":"), minutes)
 
 
 def mail_date(date: Column) -> Column:
@@ -80,9 +98,8 @@ def mail_date(date: Column) -> Column:
 
 def month_number(name: Column) -> Column:
     """1..12 from an English month name or its three-letter form, else NULL."""
-    stem = F.lower(name.substr(1, 3))
-    place = F.position(stem, F.lit(V.MONTH_STEMS))
-    return F.when((F.length(stem) == 3) & (place % 3 == 1), ((place + 2) / 3).cast("int"))
+    place = F.position(F.lower(name.substr(1, 3)), F.lit(V.MONTH_STEMS))
+    return bind(place, lambda at: F.when((F.length(name) >= 3) & (at % 3 == 1), ((at + 2) / 3).cast("int")))
 
 
 def relevant(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tripledger.functions.text import or_blank, strip
+from tripledger.functions.text import bind, or_blank, strip
 
 # Date texts read besides yyyy-MM-dd... (a documented list in place of a guessing parser).
 DATE_FORMATS = ("yyyyMMdd", "yyyy/M/d", "M/d/yyyy", "d MMM yyyy", "d MMMM yyyy", "MMM d, yyyy", "MMMM d, yyyy")
@@ -13,10 +13,13 @@ DATE_FORMATS = ("yyyyMMdd", "yyyy/M/d", "M/d/yyyy", "d MMM yyyy", "d MMMM yyyy",
 
 def date_key(text: Column) -> Column:
     """First ten characters of an ISO text (not validated), else a parsed date, else blank."""
-    bare = strip(text)
-    tries = [F.try_to_date(bare, f).cast("string") for f in DATE_FORMATS]
-    iso = (F.length(bare) >= 10) & (bare.substr(5, 1) == "-") & (bare.substr(8, 1) == "-")
-    return or_blank(F.when(iso, bare.substr(1, 10)).otherwise(F.coalesce(*tries)))
+
+    def key(bare: Column) -> Column:
+        tries = [F.try_to_date(bare, f).cast("string") for f in DATE_FORMATS]
+        iso = (F.length(bare) >= 10) & (bare.substr(5, 1) == "-") & (bare.substr(8, 1) == "-")
+        return or_blank(F.when(iso, bare.substr(1, 10)).otherwise(F.coalesce(*tries)))
+
+    return bind(strip(text), key)
 
 
 def day_of(key: Column) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,6 +12,21 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0\u2007\u202f\u3000"
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once and written once into the plan.
+
+    A lambda over a one-element array stands in for a local variable, which keeps plans of
+    nested expressions small.
+    """
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def word_array(words: Iterable[str]) -> Column:
+    """A constant array of texts, built as one expression."""
+    quoted = ", ".join("'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in words)
+    return F.expr(f"array({quoted})")
+
+
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANKS))
 
@@ -32,23 +47,17 @@ def contains_any(text: Column, words: Iterable[str]) -> Column:
 
 def words_found(lowered: Column, words: Iterable[str]) -> Column:
     """The given words that occur in an already lower-cased text."""
-    return F.array_compact(
-        F.array(*[F.when(lowered.contains(w), F.lit(w)) for w in words])
-    )
+    wanted = word_array(words)
+    return bind(lowered, lambda text: F.filter(wanted, lambda w: text.contains(w)))
 
 
 def count_words(words: Iterable[str], *texts: Column) -> Column:
-    """How many words occur in at least one of the texts, each text lower-cased once.
-
-    The lambda over the array of texts binds the lowered values, so that neither the text is
-    lowered per word nor the generated code grows with the word list.
-    """
-    wanted = F.array(*[F.lit(w) for w in words])
-    bound = F.array(F.array(*[F.lower(t) for t in texts]))
-    counted = F.transform(
-        bound, lambda lowered: F.size(F.filter(wanted, lambda w: F.exists(lowered, lambda t: t.contains(w))))
+    """How many words occur in at least one of the texts, each text lower-cased once."""
+    wanted = word_array(words)
+    return bind(
+        F.array(*[F.lower(t) for t in texts]),
+        lambda lowered: F.size(F.filter(wanted, lambda w: F.exists(lowered, lambda t: t.contains(w)))),
     )
-    return F.get(counted, F.lit(0))
 
 
 def tagged(names: Sequence[str], *rows: Sequence[Column]) -> Column:
@@ -58,8 +67,8 @@ def tagged(names: Sequence[str], *rows: Sequence[Column]) -> Column:
 
 def lookup(key: Column, table: dict[str, str]) -> Column:
     """A small fixed dictionary as a map literal; NULL when the key is absent."""
-    pairs = [F.lit(part) for item in table.items() for part in item]
-    return F.try_element_at(F.create_map(*pairs), key)
+    keys, values = word_array(table), word_array(table.values())
+    return F.try_element_at(F.map_from_arrays(keys, values), key)
 
 
 def infer_format(path: Column) -> Column:

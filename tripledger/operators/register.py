@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from tripledger import vocabulary as V
 from tripledger.functions import fields as X
-from tripledger.functions.text import or_blank, present, say
+from tripledger.functions.text import bind, or_blank, present, say, word_array
 from tripledger.operators.keep import keep_last, row_index
 
 MONEY = T.DecimalType(12, 2)
@@ -209,39 +209,86 @@ def _listed(fields: Column) -> Column:
     return F.array_join(F.array_sort(fields), ", ")
 
 
-def checked_creates(log: DataFrame) -> DataFrame:
-    """Create rows as register rows with ``code`` and ``message`` (NULL when valid)."""
-    made = log.where("op = 'create'")
+def _create_checks() -> Column:
+    """Key, time and refusal of a create row."""
     parts = F.split(F.regexp_replace(_field("date"), _DATE, "$1\t$2\t$3\t$4\t$5\t$6"), "\t")
-    at = lambda i: F.coalesce(present(F.get(parts, F.lit(i))), F.lit("00"))
-    wall = F.when(
-        F.size(parts) == 6,
-        F.concat(F.concat_ws("-", at(0), at(1), at(2)), F.lit(" "), F.concat_ws(":", at(3), at(4), at(5))),
-    ).try_cast("timestamp_ntz")
+
+    def clock(part: Column) -> Column:
+        at = lambda i: F.coalesce(present(F.get(part, F.lit(i))), F.lit("00"))
+        return F.concat(F.concat_ws("-", at(0), at(1), at(2)), F.lit(" "), F.concat_ws(":", at(3), at(4), at(5)))
+
+    wall = bind(parts, lambda p: F.when(F.size(p) == 6, clock(p)).try_cast("timestamp_ntz"))
     missing = F.concat_ws(", ", *[F.when(or_blank(_field(n)) == "", F.lit(n)) for n in ("date", "origin", "dest")])
-    iso = X.clock_text(F.col("_wall"))
-    numbers = _bad_numbers(_NUMBERS)
-    staged = made.withColumns({"_wall": wall, "_missing": missing, "_bad": numbers})
-    code = (
-        F.when(F.col("_missing") != "", "missing_param")
-        .when(F.col("_wall").isNull(), "invalid_date")
-        .when(F.col("_bad") != "", "invalid_number")
-    )
-    message = (
-        F.when(F.col("_missing") != "", say("Required field(s) missing: {}", F.col("_missing")))
-        .when(
-            F.col("_wall").isNull(),
-            say("Invalid date format: {}. Use ISO 8601 (e.g. 2025-06-15).", _field("date")),
+
+    def verdict(seen: Column) -> Column:
+        iso = X.clock_text(seen["wall"])
+        refusal = _first_of(
+            (seen["missing"] != "", "missing_param", say("Required field(s) missing: {}", seen["missing"])),
+            (iso.isNull(), "invalid_date",
+             say("Invalid date format: {}. Use ISO 8601 (e.g. 2025-06-15).", _field("date"))),
+            (seen["bad"] != "", "invalid_number", say("Invalid number in field(s): {}", seen["bad"])),
+        )
+        key = X.register_id(
+            iso, _field("origin"), _field("dest"), F.coalesce(_field("sequence"), F.lit("0")), F.lit(0)
+        )
+        return F.struct(key.alias("key"), iso.alias("iso"), refusal.alias("refusal"))
+
+    seen = F.struct(wall.alias("wall"), missing.alias("missing"), _bad_numbers(_NUMBERS).alias("bad"))
+    return bind(seen, verdict)
+
+
+def _edit_checks() -> Column:
+    """Key and refusal of an update or cancel row, as far as the register is not needed."""
+    names = F.map_keys("fields")
+    update = F.col("op") == "update"
+
+    def verdict(seen: Column) -> Column:
+        refusal = _first_of(
+            (_blank("flight_id"), "missing_param", F.lit("flight_id is required")),
+            (update & (F.coalesce(F.size("fields"), F.lit(0)) < 1), "no_updates", F.lit("No fields provided to update")),
+            (update & (seen["fixed"] != ""), "immutable_field",
+             say("Cannot modify immutable field(s): {}", seen["fixed"])),
+            (update & (seen["unknown"] != ""), "unknown_field",
+             say("Unknown field(s): {}. Mutable fields: " + ", ".join(sorted(V.MUTABLE_FIELDS)), seen["unknown"])),
+            (update & (seen["bad"] != ""), "invalid_number", say("Invalid number in field(s): {}", seen["bad"])),
         )
-        .when(F.col("_bad") != "", say("Invalid number in field(s): {}", F.col("_bad")))
+        return F.struct(F.col("flight_id").alias("key"), F.lit(None).cast("string").alias("iso"), refusal.alias("refusal"))
+
+    seen = F.struct(
+        _listed(F.array_intersect(names, word_array(V.IMMUTABLE_FIELDS))).alias("fixed"),
+        _listed(F.array_except(names, word_array(V.MUTABLE_FIELDS))).alias("unknown"),
+        _bad_numbers(("base_fare", "extra_fees", "total_paid")).alias("bad"),
     )
-    key = X.register_id(
-        iso, _field("origin"), _field("dest"), F.coalesce(_field("sequence"), F.lit("0")), F.lit(0)
+    return bind(seen, verdict)
+
+
+def _first_of(*tests: tuple[Column, str, Column]) -> Column:
+    """Struct (code, message) of the first test that holds, or NULL."""
+    chain = F
+    for test, code, message in tests:
+        chain = chain.when(test, F.struct(F.lit(code).alias("code"), message.alias("message")))
+    return chain
+
+
+def checked(log: DataFrame) -> DataFrame:
+    """The change rows with ``key`` (the id they are about), ``iso``, ``code`` and ``message``.
+
+    ``code`` is NULL for rows that can be applied if the register agrees. The checks pass
+    through a generator, so that they run once per row and later filters do not repeat them.
+    """
+    verdict = F.when(F.col("op") == "create", _create_checks()).otherwise(_edit_checks())
+    judged = log.select("ord", "op", "fields", "at", F.inline(F.array(verdict)))
+    return judged.select(
+        "ord", "op", "fields", "at", "key", "iso", F.col("refusal.code").alias("code"), F.col("refusal.message").alias("message")
     )
+
+
+def _created_row() -> Column:
+    """The register row a create row asks for."""
     values = {
-        "flight_id": key,
-        "date_iso": iso,
-        "date_yyyy_mm": iso.substr(1, 7),
+        "flight_id": F.col("key"),
+        "date_iso": F.col("iso"),
+        "date_yyyy_mm": F.col("iso").substr(1, 7),
         "origin": F.upper(_field("origin")),
         "dest": F.upper(_field("dest")),
         "status": F.lit("active"),
@@ -249,34 +296,7 @@ def checked_creates(log: DataFrame) -> DataFrame:
         "updated_at": F.col("at"),
         **{n: _typed(n, _field(n)) for n in OPTIONAL_FIELDS},
     }
-    laid_out = [values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in REGISTER_SCHEMA.fields]
-    return staged.select("ord", code.alias("code"), message.alias("message"), *laid_out)
-
-
-def checked_edits(log: DataFrame) -> DataFrame:
-    """Update and cancel rows with ``code`` and ``message`` of what can be told without the register."""
-    names = F.map_keys("fields")
-    immutable = F.array_intersect(names, F.array(*[F.lit(f) for f in V.IMMUTABLE_FIELDS]))
-    mutable = F.array(*[F.lit(f) for f in V.MUTABLE_FIELDS])
-    unknown = F.array_except(names, mutable)
-    update = F.col("op") == "update"
-    staged = log.where("op <> 'create'").withColumns(
-        {"_fixed": _listed(immutable), "_unknown": _listed(unknown), "_bad": _bad_numbers(("base_fare", "extra_fees", "total_paid"))}
-    )
-    tests = [
-        (_blank("flight_id"), "missing_param", F.lit("flight_id is required")),
-        (update & (F.coalesce(F.size("fields"), F.lit(0)) < 1), "no_updates", F.lit("No fields provided to update")),
-        (update & (F.col("_fixed") != ""), "immutable_field", say("Cannot modify immutable field(s): {}", F.col("_fixed"))),
-        (
-            update & (F.col("_unknown") != ""), "unknown_field",
-            say("Unknown field(s): {}. Mutable fields: " + ", ".join(sorted(V.MUTABLE_FIELDS)), F.col("_unknown")),
-        ),
-        (update & (F.col("_bad") != ""), "invalid_number", say("Invalid number in field(s): {}", F.col("_bad"))),
-    ]
-    code = message = F
-    for test, name, text in tests:
-        code, message = code.when(test, name), message.when(test, text)
-    return staged.withColumns({"code": code, "message": message}).drop("_fixed", "_unknown", "_bad")
+    return F.struct(*[values.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in REGISTER_SCHEMA.fields])
 
 
 class Outcome:
@@ -288,28 +308,37 @@ class Outcome:
 
 
 def apply_changes(register: DataFrame, log: DataFrame) -> Outcome:
-    """New images of all created or edited rows, and the rejected changes with their reason."""
-    creates = checked_creates(log)
-    edits = checked_edits(log)
-    valid = creates.where("code IS NULL")
-    usable = edits.where("code IS NULL")
+    """New images of all created or edited rows, and the rejected changes with their reason.
+
+    One aggregate finds where each named key begins (in the register, or at its first valid
+    create), one join tells every change whether it comes after that, and one aggregate per
+    key folds what remains. All three combine the changes of a hot key before shuffling.
+    """
     columns = REGISTER_SCHEMA.names
+    rows = checked(log)
+    valid, create_op = F.col("code").isNull(), F.col("op") == "create"
+
+    named = rows.where(valid).groupBy("key").agg(F.min(F.when(create_op, F.col("ord"))).alias("first_create"))
+    stored = register.select(F.col("flight_id").alias("key"))
+    held = stored.join(named.select("key"), "key", "left_semi").withColumn("held", F.lit(True))
+    starts = named.join(held, "key", "left").select(
+        F.xxhash64("key").alias("_h"), "key", F.coalesce("held", F.lit(False)).alias("held"), "first_create"
+    )
 
-    # First valid create per id; one row per id after a map-side aggregate.
-    wanted = valid.groupBy("flight_id").agg(F.min("ord").alias("since"))
-    touched = usable.select("flight_id").unionByName(wanted.select("flight_id")).distinct()
-    held = register.select(*columns).join(touched, "flight_id", "left_semi")
-    new = wanted.join(held.select("flight_id"), "flight_id", "left_anti")
-    accepted = valid.join(new.withColumnRenamed("since", "ord"), ["flight_id", "ord"], "left_semi")
-    start = F.lit(-(1 << 63)).cast("long")
-    base = held.withColumn("since", start).unionByName(accepted.select(*columns, F.col("ord").alias("since")))
-
-    # Edits find their row from its creation on. The join has its own key, so that the
-    # aggregate below shuffles again, after combining the edits of a hot id per task.
-    known = base.select(F.xxhash64("flight_id").alias("_h"), "flight_id", "since")
-    placed = usable.withColumn("_h", F.xxhash64("flight_id")).join(known, ["_h", "flight_id"], "left")
-    found = F.coalesce(F.col("since") < F.col("ord"), F.lit(False))
-    effective = placed.where(found)
+    # Refused rows carry no key here and are spread by their order. The join has one column
+    # more than the aggregate below, so a hot key may be split and is combined again.
+    keyed = rows.withColumns(
+        {
+            "_h": F.when(valid, F.xxhash64("key")).otherwise(F.xxhash64("ord")),
+            "_shown": F.when(valid | ~create_op, F.col("key")),
+            "key": F.when(valid, F.col("key")),
+        }
+    )
+    placed = keyed.join(starts, ["_h", "key"], "left")
+    accepted = F.when(create_op, ~F.col("held") & (F.col("ord") == F.col("first_create"))).otherwise(
+        F.col("held") | F.coalesce(F.col("ord") > F.col("first_create"), F.lit(False))
+    )
+    decided = placed.withColumn("_ok", valid & accepted)
 
     update, cancel = F.col("op") == "update", F.col("op") == "cancel"
     given = [
@@ -319,45 +348,42 @@ def apply_changes(register: DataFrame, log: DataFrame) -> Outcome:
         ).alias(f"_{n}")
         for n in V.MUTABLE_FIELDS
     ]
-    summed = effective.groupBy("flight_id").agg(
+    folded = decided.where("_ok").groupBy(F.col("key").alias("flight_id")).agg(
         *given,
+        F.max_by(_created_row(), F.when(create_op, F.col("ord"))).alias("_new"),
         F.max(F.when(update, F.struct("ord", "at"))).alias("_updated"),
         F.min(F.when(cancel, F.struct("ord", "at"))).alias("_cancelled"),
     )
-    joined = base.join(summed, "flight_id", "left")
-    cancels = F.col("_cancelled").isNotNull() & (or_blank(F.col("status")) != "cancelled")
-    stop = F.when(cancels, F.col("_cancelled"))
+    old = register.select("flight_id", F.struct(*columns).alias("_old")).join(
+        folded.select("flight_id"), "flight_id", "left_semi"
+    )
+    based = folded.join(old, "flight_id", "left").withColumn("_row", F.coalesce("_old", "_new"))
+    was = lambda c: F.col(f"_row.{c}")
+    stop = F.when(or_blank(was("status")) != "cancelled", F.col("_cancelled"))
     last = F.greatest(F.col("_updated"), stop)
-    edited = {
-        n: F.when(F.col(f"_{n}").isNotNull(), F.col(f"_{n}.v")).otherwise(F.col(n)).alias(n) for n in V.MUTABLE_FIELDS
-    }
-    edited["status"] = F.when(cancels, "cancelled").otherwise(F.col("status")).alias("status")
-    edited["cancelled_at"] = F.coalesce(stop["at"], F.col("cancelled_at")).alias("cancelled_at")
-    edited["updated_at"] = F.coalesce(last["at"], F.col("updated_at")).alias("updated_at")
-    # Rows that only refused creates or repeated cancels touched are left out.
-    moved = (F.col("since") != start) | last.isNotNull()
-    changed = joined.where(moved).select(*[edited.get(c, F.col(c)) for c in columns])
-
-    stale = valid.join(new.withColumnRenamed("since", "ord"), ["flight_id", "ord"], "left_anti")
-    rejects = [
-        creates.where("code IS NOT NULL").select("ord", F.lit("create").alias("op"), F.lit("").alias("flight_id"), "code", "message"),
-        stale.select(
-            "ord", F.lit("create").alias("op"), "flight_id", F.lit("duplicate").alias("code"),
-            say(
-                "Flight {} already exists (same date/origin/dest/sequence). Use update_flight to modify it.",
-                F.col("flight_id"),
-            ).alias("message"),
-        ),
-        edits.where("code IS NOT NULL").select("ord", "op", or_blank(F.col("flight_id")).alias("flight_id"), "code", "message"),
-        placed.where(~found).select(
-            "ord", "op", "flight_id", F.lit("not_found").alias("code"),
-            say("Flight {} not found", F.col("flight_id")).alias("message"),
-        ),
-    ]
-    refused = rejects[0]
-    for more in rejects[1:]:
-        refused = refused.unionByName(more)
-    return Outcome(changed, refused)
+    edited = {n: F.when(F.col(f"_{n}").isNotNull(), F.col(f"_{n}.v")).otherwise(was(n)) for n in V.MUTABLE_FIELDS}
+    edited["status"] = F.when(stop.isNotNull(), "cancelled").otherwise(was("status"))
+    edited["cancelled_at"] = F.coalesce(stop["at"], was("cancelled_at"))
+    edited["updated_at"] = F.coalesce(last["at"], was("updated_at"))
+    # Rows that only repeated cancels touched are left out.
+    moved = F.col("_new").isNotNull() | last.isNotNull()
+    changed = based.where(moved).select(*[edited.get(c, was(c)).alias(c) for c in columns])
+
+    code = (
+        F.when(~valid, F.struct("code", "message"))
+        .when(
+            create_op,
+            F.struct(
+                F.lit("duplicate").alias("code"),
+                say("Flight {} already exists (same date/origin/dest/sequence). Use update_flight to modify it.",
+                    F.col("key")).alias("message"),
+            ),
+        )
+        .otherwise(F.struct(F.lit("not_found").alias("code"), say("Flight {} not found", F.col("key")).alias("message")))
+    )
+    refused = decided.where(~F.col("_ok")).withColumn("_why", code)
+    rejects = refused.select("ord", "op", or_blank(F.col("_shown")).alias("flight_id"), "_why.code", "_why.message")
+    return Outcome(changed, rejects)
 
 
 def merge(register: DataFrame, changed: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tripledger.functions.fields import clock_text, day_text
+from tripledger.functions.text import word_array
 
 AS_OF = "2024-06-01T00:00:00Z"
 PLACES = ("SEA", "SFO", "JFK", "LHR", "ANC", "DEN", "NRT", "BOS", "YVR", "MIA", "CDG", "ORD")
@@ -36,7 +37,7 @@ def _div(key: Column, by: int) -> Column:
 
 
 def _pick(values: tuple[str, ...], index: Column) -> Column:
-    return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
+    return F.get(word_array(values), index.cast("int"))
 
 
 def _places(user: Column, key: Column) -> tuple[Column, Column]:

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tripledger.operators.keep import keep_last
-from tripledger.operators.register import REGISTER_SCHEMA, apply_changes, checked_creates
+from tripledger.operators.register import REGISTER_SCHEMA, apply_changes, checked
 
 _IMAGES = T.StructType([*REGISTER_SCHEMA.fields, T.StructField("batch", T.LongType())])
 
@@ -44,7 +44,7 @@ def apply_batch(batch: DataFrame, number: int, store: str) -> None:
     """Applies one batch of change rows to the store."""
     spark = batch.sparkSession
     log = batch.persist()
-    keys = log.where("op <> 'create'").select("flight_id").unionByName(checked_creates(log).select("flight_id"))
+    keys = checked(log).where("code IS NULL").select(F.col("key").alias("flight_id"))
     # Only rows the batch names are read past the scan; changes touch nothing else.
     named = _images(spark, store).where(F.col("batch") < number).join(keys.distinct(), "flight_id", "left_semi")
     held = keep_last(named, ["flight_id"], ["batch"]).drop("batch").persist()

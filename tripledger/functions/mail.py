@@ -43,7 +43,9 @@ def mail_clock(date: Column) -> Column:
     bare = F.regexp_replace(date, r"\([^)]*\)", " ")
     parts = F.split(F.regexp_replace(bare, _DATE, "$1\t$2\t$3\t$4\t$5\t$6\t$7"), "\t")
     # A text the pattern does not match comes back unchanged, so it has other than seven parts.
-    timed = bind(F.when(F.size(parts) == 7, parts), lambda p: F.struct(_wall(p).alias("wall"), _offset(p).alias("offset")))
+    timed = bind(
+        parts, lambda p: F.when(F.size(p) == 7, F.struct(_wall(p).alias("wall"), _offset(p).alias("offset")))
+    )
     return bind(
         timed,
         lambda t: F.struct(

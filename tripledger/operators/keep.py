@@ -1,4 +1,4 @@
-"""Keep one row per key, and number the rows of a key."""
+"""Keep one row per key, number the rows of a key, and compute costly columns once."""
 
 from __future__ import annotations
 
@@ -8,6 +8,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """Adds columns that are computed exactly once per row.
+
+    They pass through a generator of one row. The optimiser moves filters on plain columns
+    below their projection and so computes costly expressions twice; not through a generator.
+    """
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of every key in the given order.
 

@@ -127,7 +127,7 @@ def lookup_groups(register: DataFrame, rules: Sequence[int] = ALL_RULES, inline_
     large = large_groups(rows, inline_limit)
     # Large groups leave before anything is collected, so an array holds inline_limit rows.
     bounded = _salted(rows, large, "left_anti")
-    members = F.array_sort(F.collect_list(F.struct("ord", "flight_id", "date")))
+    members = F.sort_array(F.collect_list(F.struct("ord", "flight_id", "date")))
     grouped = bounded.groupBy(*KEY).agg(members.alias("_m"))
     rule = F.col("rule")
     texts = F.array_join(F.transform("_m", lambda m: _reason(rule, m["date"])), "; ")

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from tripledger import vocabulary as V
 from tripledger.functions import fields as X
 from tripledger.functions.text import bind, or_blank, present, say, word_array
-from tripledger.operators.keep import keep_last, row_index
+from tripledger.operators.keep import computed, keep_last, row_index
 
 MONEY = T.DecimalType(12, 2)
 _TEXT = (
@@ -277,9 +277,9 @@ def checked(log: DataFrame) -> DataFrame:
     through a generator, so that they run once per row and later filters do not repeat them.
     """
     verdict = F.when(F.col("op") == "create", _create_checks()).otherwise(_edit_checks())
-    judged = log.select("ord", "op", "fields", "at", F.inline(F.array(verdict)))
+    judged = computed(log.select("ord", "op", "flight_id", "fields", "at"), _v=verdict)
     return judged.select(
-        "ord", "op", "fields", "at", "key", "iso", F.col("refusal.code").alias("code"), F.col("refusal.message").alias("message")
+        "ord", "op", "fields", "at", "_v.key", "_v.iso", F.col("_v.refusal.code").alias("code"), F.col("_v.refusal.message").alias("message")
     )
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tripledger.functions.fields import clock_text, day_text
 from tripledger.functions.text import word_array
+from tripledger.sources.tables import spread
 
 AS_OF = "2024-06-01T00:00:00Z"
 PLACES = ("SEA", "SFO", "JFK", "LHR", "ANC", "DEN", "NRT", "BOS", "YVR", "MIA", "CDG", "ORD")
@@ -55,7 +56,7 @@ def _plus(day: Column, days: Column) -> Column:
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One mail per order."""
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"))
     k, u, d = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderdate").cast("date")
     third, half = _div(k, 3), _div(k, 2)
     later = (half % 2) * 1826

@@ -1,4 +1,4 @@
-"""Keep one row per key, number the rows of a key, and compute costly columns once."""
+"""Keep one row per key, number the rows of a key, join hot keys, compute columns once."""
 
 from __future__ import annotations
 
@@ -18,6 +18,19 @@ def computed(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select("*", F.inline(F.array(row)))
 
 
+def join_once(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Join with a right side that has one row per key, while a left key may be hot.
+
+    Adaptive execution splits a hot partition only when both sides come straight from a
+    shuffle made for this join. A side that was just aggregated by the same keys does not, so
+    the join is keyed by a hash column as well: both sides shuffle, and an aggregate by the
+    plain keys afterwards combines the hot key per task and shuffles again.
+    """
+    hashed = F.xxhash64(*[F.col(k) for k in keys])
+    joined = left.withColumn("_h", hashed).join(right.withColumn("_h", hashed), ["_h", *keys], how)
+    return joined.drop("_h")
+
+
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of every key in the given order.
 

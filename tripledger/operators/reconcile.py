@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from tripledger.functions import normalize as N
 from tripledger.functions.text import present, safe_text, say, tagged
-from tripledger.operators.keep import keep_last
+from tripledger.operators.keep import join_once, keep_last
 
 CODE, SAME_BOOKING, SAME_ROUTE_NEAR_DAY, SAME_AIRLINE_DAY, SAME_AIRLINE_NEAR_DAY = ALL_RULES = (1, 2, 3, 4, 5)
 TUPLE = ("_code", "_date", "_origin", "_dest", "_airline")
@@ -173,7 +173,7 @@ def _code_hits(tuples: DataFrame, register: DataFrame) -> DataFrame:
         "_code", F.col("flight_id").cast("string").alias("ids"),
         F.col("_date").alias("r_date"), F.col("_origin").alias("r_origin"), F.col("_dest").alias("r_dest"),
     )
-    joined = tuples.where(_filled("_code")).join(kept, "_code")
+    joined = join_once(tuples.where(_filled("_code")), kept, ["_code"])
 
     def differs(label: str, mine: str, other: str) -> Column:
         a, b = F.col(mine), F.col(other)
@@ -203,7 +203,7 @@ def match_hits(
     hits = None
     if set(rules) - {CODE}:
         groups = lookup_groups(register, rules, inline_limit)
-        hits = _probes(tuples, rules).join(groups, list(KEY)).select(
+        hits = join_once(_probes(tuples, rules), groups, KEY).select(
             *TUPLE, "rule", "ids", "reason", F.lit(False).alias("conflict")
         )
     if CODE in rules:
@@ -225,7 +225,7 @@ def classify(
     ``ord``, its row order. The candidate row count never changes.
     """
     keyed = with_keys(candidates)
-    joined = keyed.join(match_hits(candidates, register, rules, inline_limit), list(TUPLE), "left")
+    joined = join_once(keyed, match_hits(candidates, register, rules, inline_limit), TUPLE, "left")
     rule = F.col("_hit.rule")
     status = (
         F.when(rule.isNull(), "net_new")

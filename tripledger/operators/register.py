@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from tripledger import vocabulary as V
 from tripledger.functions import fields as X
 from tripledger.functions.text import bind, or_blank, present, say, word_array
-from tripledger.operators.keep import computed, keep_last, row_index
+from tripledger.operators.keep import computed, join_once, keep_last, row_index
 
 MONEY = T.DecimalType(12, 2)
 _TEXT = (
@@ -322,19 +322,13 @@ def apply_changes(register: DataFrame, log: DataFrame) -> Outcome:
     stored = register.select(F.col("flight_id").alias("key"))
     held = stored.join(named.select("key"), "key", "left_semi").withColumn("held", F.lit(True))
     starts = named.join(held, "key", "left").select(
-        F.xxhash64("key").alias("_h"), "key", F.coalesce("held", F.lit(False)).alias("held"), "first_create"
+        "key", F.coalesce("held", F.lit(False)).alias("held"), "first_create"
     )
 
-    # Refused rows carry no key here and are spread by their order. The join has one column
-    # more than the aggregate below, so a hot key may be split and is combined again.
-    keyed = rows.withColumns(
-        {
-            "_h": F.when(valid, F.xxhash64("key")).otherwise(F.xxhash64("ord")),
-            "_shown": F.when(valid | ~create_op, F.col("key")),
-            "key": F.when(valid, F.col("key")),
-        }
-    )
-    placed = keyed.join(starts, ["_h", "key"], "left")
+    # Refused rows find no start: they are told apart by their order, which also spreads them.
+    starts = starts.withColumn("_refused", F.lit(-1).cast("long"))
+    keyed = rows.withColumn("_refused", F.when(valid, F.lit(-1).cast("long")).otherwise(F.col("ord")))
+    placed = join_once(keyed, starts, ["key", "_refused"], "left")
     accepted = F.when(create_op, ~F.col("held") & (F.col("ord") == F.col("first_create"))).otherwise(
         F.col("held") | F.coalesce(F.col("ord") > F.col("first_create"), F.lit(False))
     )
@@ -382,7 +376,7 @@ def apply_changes(register: DataFrame, log: DataFrame) -> Outcome:
         .otherwise(F.struct(F.lit("not_found").alias("code"), say("Flight {} not found", F.col("key")).alias("message")))
     )
     refused = decided.where(~F.col("_ok")).withColumn("_why", code)
-    rejects = refused.select("ord", "op", or_blank(F.col("_shown")).alias("flight_id"), "_why.code", "_why.message")
+    rejects = refused.select("ord", "op", or_blank(F.when(valid | ~create_op, F.col("key"))).alias("flight_id"), "_why.code", "_why.message")
     return Outcome(changed, rejects)
 
 

@@ -26,27 +26,30 @@ from pyspark.sql import functions as F
 
 from tripledger.functions import normalize as N
 from tripledger.functions.text import present, safe_text, say, tagged
-from tripledger.operators.keep import join_once, keep_last
+from tripledger.operators.keep import computed, join_once, keep_last
 
 CODE, SAME_BOOKING, SAME_ROUTE_NEAR_DAY, SAME_AIRLINE_DAY, SAME_AIRLINE_NEAR_DAY = ALL_RULES = (1, 2, 3, 4, 5)
-TUPLE = ("_code", "_date", "_origin", "_dest", "_airline")
-KEY = ("rule", "k1", "k2", "k3", "k4")
+PARTS = ("_code", "_date", "_origin", "_dest", "_airline")
+# A hash leads both keys: sorts then compare one number and rarely the texts behind it.
+TUPLE = ("_hash", *PARTS)
+KEY = ("hash", "rule", "k1", "k2", "k3", "k4")
 STATUSES = ("net_new", "exact_duplicate", "near_match", "conflict")
 LEVELS = ("high", "medium", "low")
 INLINE_LIMIT = 1000
+BOOKING_REASON = "date+origin+dest+airline match"
 
 
 def with_keys(df: DataFrame) -> DataFrame:
-    """Adds the five normalised keys, blank when missing."""
-    return df.withColumns(
-        {
-            "_code": N.code_key(F.col("confirmation_code")),
-            "_date": N.date_key(F.col("date_iso").cast("string")),
-            "_origin": N.code_key(F.col("origin")),
-            "_dest": N.code_key(F.col("dest")),
-            "_airline": N.airline_key(F.col("airline")),
-        }
+    """Adds the five normalised keys, blank when missing, and their hash."""
+    named = computed(
+        df,
+        _code=N.code_key(F.col("confirmation_code")),
+        _date=N.date_key(F.col("date_iso").cast("string")),
+        _origin=N.code_key(F.col("origin")),
+        _dest=N.code_key(F.col("dest")),
+        _airline=N.airline_key(F.col("airline")),
     )
+    return named.withColumn("_hash", F.xxhash64(*PARTS))
 
 
 def _filled(*names: str) -> Column:
@@ -59,7 +62,9 @@ def _filled(*names: str) -> Column:
 def _slot(rule: int, parts: Sequence[Column], test: Column, **extra: Column) -> Column:
     """A lookup or probe row for a rule, or NULL when the test fails."""
     padded = [*parts, *[F.lit("")] * (4 - len(parts))]
-    named = [F.lit(rule).alias("rule"), *[p.alias(f"k{i + 1}") for i, p in enumerate(padded)]]
+    number = F.lit(rule)
+    named = [F.xxhash64(number, *padded).alias("hash"), number.alias("rule")]
+    named += [p.alias(f"k{i + 1}") for i, p in enumerate(padded)]
     return F.when(test, F.struct(*named, *[c.alias(n) for n, c in extra.items()]))
 
 
@@ -87,22 +92,24 @@ def codes_kept_last(register: DataFrame) -> DataFrame:
     return keep_last(keyed, ["_code"], ["ord", "flight_id"])
 
 
-def _reason(rule: Column, found_date: Column) -> Column:
-    """Reason text of one matched register row. The key holds what the candidate has."""
-    k1, k2, k3 = F.col("k1"), F.col("k2"), F.col("k3")
+def _reason(rule: Column, members: Column) -> Column:
+    """Reason text for the matched register rows, from the keys of the candidate."""
+    date, origin, dest, line = (F.col(c) for c in ("_date", "_origin", "_dest", "_airline"))
     missing = " [candidate missing origin/dest"
+    each = lambda text: F.array_join(F.transform(members["date"], text), "; ")
+    route = each(lambda d: say("same route {}-{} +/-1 day (candidate: {}, existing: {})", origin, dest, date, d))
+    same_day = say("date+airline match ({}, {})" + missing + "]", date, line)
+    near_day = each(lambda d: say("date+airline near match ({} vs {}, {})" + missing + ", +/-1 day]", date, d, line))
     return (
-        F.when(
-            rule == SAME_ROUTE_NEAR_DAY,
-            say("same route {}-{} +/-1 day (candidate: {}, existing: {})", k1, k2, k3, found_date),
-        )
-        .when(rule == SAME_AIRLINE_DAY, say("date+airline match ({}, {})" + missing + "]", k2, k1))
-        .otherwise(say("date+airline near match ({} vs {}, {})" + missing + ", +/-1 day]", k2, found_date, k1))
+        F.when(rule == SAME_BOOKING, BOOKING_REASON)
+        .when(rule == SAME_ROUTE_NEAR_DAY, route)
+        .when(rule == SAME_AIRLINE_DAY, F.array_join(F.array_repeat(same_day, F.size(members)), "; "))
+        .when(rule == SAME_AIRLINE_NEAR_DAY, near_day)
     )
 
 
 def _group_ref() -> Column:
-    return F.concat(F.lit("group:"), F.to_json(F.array(F.col("rule").cast("string"), *[F.col(k) for k in KEY[1:]])))
+    return F.concat(F.lit("group:"), F.to_json(F.array(F.col("rule").cast("string"), *[F.col(k) for k in KEY[2:]])))
 
 
 def large_groups(rows: DataFrame, inline_limit: int = INLINE_LIMIT) -> DataFrame:
@@ -122,37 +129,32 @@ def _salted(rows: DataFrame, large: DataFrame, how: str, salts: int = 32) -> Dat
 
 
 def lookup_groups(register: DataFrame, rules: Sequence[int] = ALL_RULES, inline_limit: int = INLINE_LIMIT) -> DataFrame:
-    """One row per (rule, key): matched ids and reasons as text in register order."""
+    """One row per (rule, key): the matched register rows in register order.
+
+    ``members`` holds them for groups up to the limit; larger ones have a reference and a
+    reason in its place.
+    """
     rows = lookup_rows(register, rules)
     large = large_groups(rows, inline_limit)
     # Large groups leave before anything is collected, so an array holds inline_limit rows.
     bounded = _salted(rows, large, "left_anti")
     members = F.sort_array(F.collect_list(F.struct("ord", "flight_id", "date")))
-    grouped = bounded.groupBy(*KEY).agg(members.alias("_m"))
-    rule = F.col("rule")
-    texts = F.array_join(F.transform("_m", lambda m: _reason(rule, m["date"])), "; ")
-    small = grouped.select(
-        *KEY,
-        F.array_join(F.transform("_m", lambda m: m["flight_id"]), ",").alias("ids"),
-        F.when(rule == SAME_BOOKING, "date+origin+dest+airline match").otherwise(texts).alias("reason"),
-    )
+    small = bounded.groupBy(*KEY).agg(members.alias("members"))
     referred = large.select(
         *KEY,
-        _group_ref().alias("ids"),
-        F.when(rule == SAME_BOOKING, "date+origin+dest+airline match")
+        _group_ref().alias("ref"),
+        F.when(F.col("rule") == SAME_BOOKING, BOOKING_REASON)
         .otherwise(say("{} register rows match, see the group", F.col("n")))
         .alias("reason"),
     )
-    return small.unionByName(referred)
+    return small.unionByName(referred, allowMissingColumns=True)
 
 
 def group_members(register: DataFrame, rules: Sequence[int] = ALL_RULES, inline_limit: int = INLINE_LIMIT) -> DataFrame:
     """Rows (group_ref, ord, flight_id, date) of every group too large to be inlined."""
     rows = lookup_rows(register, rules)
     large = large_groups(rows, inline_limit)
-    return _salted(rows, large, "left_semi").select(
-        _group_ref().alias("group_ref"), "ord", "flight_id", "date"
-    )
+    return _salted(rows, large, "left_semi").select(_group_ref().alias("group_ref"), "ord", "flight_id", "date")
 
 
 def _probes(tuples: DataFrame, rules: Sequence[int]) -> DataFrame:
@@ -170,7 +172,7 @@ def _probes(tuples: DataFrame, rules: Sequence[int]) -> DataFrame:
 
 def _code_hits(tuples: DataFrame, register: DataFrame) -> DataFrame:
     kept = codes_kept_last(register).select(
-        "_code", F.col("flight_id").cast("string").alias("ids"),
+        "_code", F.col("flight_id").cast("string").alias("ref"),
         F.col("_date").alias("r_date"), F.col("_origin").alias("r_origin"), F.col("_dest").alias("r_dest"),
     )
     joined = join_once(tuples.where(_filled("_code")), kept, ["_code"])
@@ -187,7 +189,7 @@ def _code_hits(tuples: DataFrame, register: DataFrame) -> DataFrame:
     return joined.select(
         *TUPLE,
         F.lit(CODE).alias("rule"),
-        "ids",
+        "ref",
         F.when(same, say("confirmation_code exact match ({})", F.col("_code")))
         .otherwise(say("confirmation_code match ({}) but fields differ: {}", F.col("_code"), differences))
         .alias("reason"),
@@ -198,19 +200,20 @@ def _code_hits(tuples: DataFrame, register: DataFrame) -> DataFrame:
 def match_hits(
     candidates: DataFrame, register: DataFrame, rules: Sequence[int] = ALL_RULES, inline_limit: int = INLINE_LIMIT
 ) -> DataFrame:
-    """The first rule that hits, per distinct key tuple: rule, ids, reason, conflict."""
+    """The first rule that hits, per distinct key tuple: rule, members or ref, reason, conflict."""
     tuples = with_keys(candidates).select(*TUPLE).distinct()
     hits = None
     if set(rules) - {CODE}:
         groups = lookup_groups(register, rules, inline_limit)
         hits = join_once(_probes(tuples, rules), groups, KEY).select(
-            *TUPLE, "rule", "ids", "reason", F.lit(False).alias("conflict")
+            *TUPLE, "rule", "members", "ref", "reason", F.lit(False).alias("conflict")
         )
     if CODE in rules:
         by_code = _code_hits(tuples, register)
-        hits = by_code if hits is None else hits.unionByName(by_code)
-    best = F.min_by(F.struct("rule", "ids", "reason", "conflict"), F.col("rule"))
-    return hits.groupBy(*TUPLE).agg(best.alias("_hit"))
+        hits = by_code if hits is None else hits.unionByName(by_code, allowMissingColumns=True)
+    # One aggregate per column, so that those a caller does not read are pruned.
+    carried = [c for c in ("members", "ref", "reason", "conflict") if c in hits.columns]
+    return hits.groupBy(*TUPLE).agg(F.min("rule").alias("rule"), *[F.min_by(c, "rule").alias(c) for c in carried])
 
 
 def classify(
@@ -225,11 +228,17 @@ def classify(
     ``ord``, its row order. The candidate row count never changes.
     """
     keyed = with_keys(candidates)
-    joined = join_once(keyed, match_hits(candidates, register, rules, inline_limit), TUPLE, "left")
-    rule = F.col("_hit.rule")
+    hits = match_hits(candidates, register, rules, inline_limit)
+    hit = {c: f"_hit_{c}" for c in hits.columns if c not in TUPLE}
+    joined = join_once(keyed, hits.withColumnsRenamed(hit), TUPLE, "left")
+    rule, ids, reason = F.col("_hit_rule"), F.col("_hit_ref"), F.col("_hit_reason")
+    if "members" in hit:
+        members = F.col("_hit_members")
+        ids = F.coalesce(ids, F.array_join(members["flight_id"], ","))
+        reason = F.coalesce(reason, _reason(rule, members))
     status = (
         F.when(rule.isNull(), "net_new")
-        .when(F.col("_hit.conflict"), "conflict")
+        .when(F.col("_hit_conflict"), "conflict")
         .when(rule <= SAME_BOOKING, "exact_duplicate")
         .otherwise("near_match")
     )
@@ -245,8 +254,8 @@ def classify(
     return joined.select(
         *[F.col(c) for c in candidates.columns],
         status.alias("dedup_status"),
-        F.coalesce("_hit.ids", F.lit("")).alias("matched_existing_ids"),
-        F.coalesce("_hit.reason", F.lit("")).alias("match_reason"),
+        F.coalesce(ids, F.lit("")).alias("matched_existing_ids"),
+        F.coalesce(reason, F.lit("")).alias("match_reason"),
         level.alias("confidence"),
     )
 

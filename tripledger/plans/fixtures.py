@@ -117,7 +117,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _booked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with the segment of their customer; the join is left to the optimiser."""
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders"))
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     return orders.join(customers, orders.o_custkey == customers.c_custkey, "left")
 

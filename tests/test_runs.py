@@ -78,6 +78,7 @@ def test_extraction_run(spark, tmp_path):
     (ids,) = _lines(f"{report}/ids")
     assert ids["duplicate_ids"] == ids["records"] - ids["unique_ids"] >= 2
     assert not runs.extraction(spark, root, str(tmp_path / "o2"), str(tmp_path / "r2"), "now", names=["none.mbox"])
+    assert not (tmp_path / "o2").exists() and _lines(f"{tmp_path}/r2/ids")[0]["records"] == 0
 
 
 def test_nothing_written_without_rows(spark, tmp_path):

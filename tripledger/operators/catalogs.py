@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tripledger import vocabulary as V
 from tripledger.functions.mail import mail_date, relevant, sender_domain
 from tripledger.functions.text import contains_any, tagged, words_found
+from tripledger.operators.keep import join_once
 
 
 def relevant_mails(
@@ -78,7 +79,7 @@ def file_stats(
 def file_inventory(listing: DataFrame, stats: DataFrame) -> DataFrame:
     """Listed files with the counts of those that were scanned, joined on the file name."""
     named = listing.withColumn("source_file", F.substring_index("path", "/", -1))
-    return named.join(stats, "source_file", "left").drop("source_file")
+    return join_once(named, stats, ["source_file"], "left").drop("source_file")
 
 
 def corpus_totals(listing: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from tripledger.operators import extraction as E
 from tripledger.operators import reconcile as R
 from tripledger.operators import register as G
 from tripledger.sources.files import existing, list_files
-from tripledger.sources.mailbox import scan_headers, scan_messages, with_bodies
+from tripledger.sources.mailbox import ANY_MAILBOX, named, scan_headers, scan_messages, with_bodies
 from tripledger.sources.tables import csv_profile, read_csv_text
 from tripledger.sources.writers import write_candidates, write_report, write_rows
 
@@ -32,7 +32,7 @@ def inventory(
 ) -> dict[str, DataFrame]:
     """Lists a corpus folder, scans its mailboxes and CSV files and writes the report."""
     listing = list_files(spark, root)
-    boxes = scan_headers(spark, mailboxes(spark, root))
+    boxes = scan_headers(spark, root, ANY_MAILBOX)
     relevant = C.relevant_mails(boxes)
     stats = C.file_stats(boxes)
     sections = {
@@ -61,20 +61,11 @@ def _counted(name: str, rows: DataFrame) -> DataFrame:
     )
 
 
-def mailboxes(spark: SparkSession, root: str) -> list[str]:
-    """Paths of the mailbox files below a folder (names only reach the driver)."""
-    boxes = list_files(spark, root).where("format = 'mbox'").select("path")
-    return sorted(row.path for row in boxes.collect())
-
-
 def extraction(
     spark: SparkSession, root: str, out: str, report: str, as_of: str, names: Iterable[str] = V.MAILBOXES
 ) -> bool:
-    """Reads the wanted mailboxes that exist, writes candidates and the run summary."""
-    paths = existing(spark, root, names)
-    if not paths:
-        return False
-    scanned = scan_messages(spark, paths)
+    """Reads the wanted mailboxes that exist, writes candidates (if any) and the run summary."""
+    scanned = scan_messages(spark, root, named(names))
     mails = with_bodies(E.booking_mails(scanned))
     found = E.extract(mails, as_of)
     written = write_candidates(E.unique_candidates(found, TIES), out, probe=found)

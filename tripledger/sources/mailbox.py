@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,30 +16,44 @@ _HEADERS = r"(?s)\A[^\n]*(?:\n(.*?))??(?:\r?\n\r?\n|\z)"
 _BODY = r"(?s)\A[^\n]*(?:\n.*?)??\r?\n\r?\n(.*)\z"
 
 
-def _records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+ANY_MAILBOX = "*.[mM][bB][oO][xX]"
+
+
+def named(names: Iterable[str]) -> str:
+    """A file pattern for exactly these names; names without a file are skipped by the scan."""
+    return "{" + ",".join(names) + "}"
+
+
+def _records(spark: SparkSession, paths: str | list[str], pattern: str | None) -> DataFrame:
     """Raw records. Every line that starts with ``From `` begins a message, as the format says."""
-    lines = spark.read.option("lineSep", "\nFrom ").text(paths)
+    reader = spark.read.option("lineSep", "\nFrom ")
+    if pattern:
+        reader = reader.option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
+    lines = reader.text(paths)
     source = F.col("source_file") if "source_file" in lines.columns else base_name(F.col("_metadata.file_path"))
     first = F.col("value").startswith("From ")
     record = F.when(first, F.expr("substr(value, 6)")).otherwise(F.col("value"))
     return lines.select(source.alias("source_file"), record.alias("record")).where("record <> ''")
 
 
-def scan_headers(spark: SparkSession, paths: str | list[str]) -> DataFrame:
-    """source_file, headers, from_hdr, subject, date_hdr of every message; no body."""
-    found = _records(spark, paths).select(
+def scan_headers(spark: SparkSession, paths: str | list[str], pattern: str | None = None) -> DataFrame:
+    """source_file, headers, from_hdr, subject, date_hdr of every message; no body.
+
+    ``pattern`` picks files by name anywhere below the paths, without listing them first.
+    """
+    found = _records(spark, paths, pattern).select(
         "source_file", F.regexp_extract("record", _HEADERS, 1).alias("headers")
     )
     return _with_names(found)
 
 
-def scan_messages(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def scan_messages(spark: SparkSession, paths: str | list[str], pattern: str | None = None) -> DataFrame:
     """As ``scan_headers`` plus ``body_raw`` (text) and ``message`` (bytes from the headers on)."""
     block = F.regexp_extract("record", _HEADERS, 1)
     body = F.regexp_extract("record", _BODY, 1)
     start = F.locate("\n", F.col("record"))
     raw = F.expr("substr(record, locate('\\n', record) + 1)").cast("binary")
-    found = _records(spark, paths).select(
+    found = _records(spark, paths, pattern).select(
         "source_file",
         block.alias("headers"),
         body.alias("body_raw"),

@@ -502,4 +502,7 @@ def candidate_table(spark, sf_dir):
     path = _written(spark, sf_dir)
     name = "candidates_" + path.rsplit("-", 1)[1]
     register_table(spark, name, path)
-    return spark.table(name).groupBy("airline").agg(F.count(F.lit(1)).alias("n"))
+    counted = spark.table(name).groupBy("airline").agg(F.count(F.lit(1)).alias("n"))
+    # The frame is resolved by now; the catalog entry goes, the external rows stay.
+    spark.sql(f"DROP TABLE {name}")
+    return counted

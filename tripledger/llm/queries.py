@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripledger.llm import exact_dedup, language_id
+from tripledger.llm import exact_dedup, language_id, minhash_join
 from tripledger.llm.common import documents, held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op6_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_join.near_groups(documents(spark, sf_dir))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
@@ -39,6 +43,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS te
 
 def llm_queries() -> dict[str, Query]:
     return {
+        "op6_minhash_join": op6_minhash_join,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_language_id": op9_language_id,
     }

@@ -7,12 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripledger.llm import exact_dedup, language_id, minhash_join
+from tripledger.llm import exact_dedup, language_id, minhash_join, mixing
 from tripledger.llm.common import documents, held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "position")
+
+
 def op6_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_join.near_groups(documents(spark, sf_dir))
 
@@ -28,6 +32,41 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+OP3_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         md5(coalesce(doc_id::VARCHAR, '')) AS mark
+  FROM documents),
+walked AS (
+  SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY mark, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first
+  FROM sized),
+ranked AS (
+  SELECT source, source_size, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS place
+  FROM (SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source)),
+sources AS (
+  SELECT source, source_size, [3.0, 1.0, 2.0][place + 1]::DOUBLE AS weight, [-0.5, 0.5, 0.0][place + 1]::DOUBLE AS tilt FROM ranked),
+levels AS (
+  SELECT 2 * source_size AS most, weight, 2 * source_size / weight AS ratio,
+         (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(2 * source_size) OVER up, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER up, 0)) AS level
+  FROM sources
+  WINDOW up AS (ORDER BY 2 * source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+chosen AS (SELECT arg_min(level, ratio) AS level FROM levels WHERE most > weight * level),
+plan AS (
+  SELECT source, source_size, tilt, least((2 * source_size)::DOUBLE, weight * level) AS target FROM sources, chosen),
+laps AS (
+  SELECT doc_id, size, first, tilt, p.source_size, target, floor(target)::BIGINT AS words,
+         CASE WHEN p.source_size > 0 THEN floor(target)::BIGINT // p.source_size ELSE 0 END AS whole
+  FROM walked w JOIN plan p ON w.source IS NOT DISTINCT FROM p.source),
+counted AS (
+  SELECT *, least(whole * size + least(greatest(words - whole * source_size - first, 0), size), 2 * size)::BIGINT AS taken,
+         least(first / target, 1.0::DOUBLE) AS x
+  FROM laps)
+SELECT doc_id, size, source_size, target, taken,
+       CASE WHEN taken = 0 THEN NULL WHEN tilt = 0 THEN x
+            ELSE 2 * x / ((1 - tilt) + sqrt((1 - tilt) * (1 - tilt) + 4 * tilt * x)) END AS position
+FROM counted
+"""
+
 OP8_SQL = r"""
 WITH facts AS (
   SELECT doc_id, length(coalesce(text, '')) AS points,
@@ -43,6 +82,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS te
 
 def llm_queries() -> dict[str, Query]:
     return {
+        "op3_source_mixing": op3_source_mixing,
         "op6_minhash_join": op6_minhash_join,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_language_id": op9_language_id,
@@ -50,4 +90,4 @@ def llm_queries() -> dict[str, Query]:
 
 
 def llm_oracles() -> dict[str, str]:
-    return {"op8_exact_dedup": OP8_SQL}
+    return {"op3_source_mixing": OP3_SQL, "op8_exact_dedup": OP8_SQL}

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripledger.llm import exact_dedup, language_id, minhash_join, mixing
+from tripledger.llm import byte_bpe, exact_dedup, language_id, minhash_join, mixing
 from tripledger.llm.common import documents, held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +18,11 @@ def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "position")
 
 
+def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    return byte_bpe.encoded(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
+
+
 def op6_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_join.near_groups(documents(spark, sf_dir))
 
@@ -83,6 +89,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS te
 def llm_queries() -> dict[str, Query]:
     return {
         "op3_source_mixing": op3_source_mixing,
+        "op4_byte_bpe": op4_byte_bpe,
         "op6_minhash_join": op6_minhash_join,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_language_id": op9_language_id,

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import uuid
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tripledger.llm import exact_dedup, language_id
+from tripledger.llm import byte_bpe, exact_dedup, language_id, minhash_join, mixing
 from tripledger.llm.common import documents, shared_folder
 
 
@@ -20,9 +21,29 @@ def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return exact_dedup.drop_copies(docs)
 
 
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return minhash_join.keep_one(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes from them, in training order."""
+    return mixing.training_order(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids, and the digests of the ids and of the bytes they decode to; a row per repetition."""
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    coded = byte_bpe.encoded(docs, ranks, public_tokenizers.PATTERN, with_ids=True)
+    return coded.select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
+
+
 STAGES = [
     ("language_id", language),
     ("exact_dedup", exact),
+    ("minhash_join", near),
+    ("source_mixing", mixed),
+    ("byte_bpe", tokens),
 ]
 
 #: The first stage learns its model and the third hashes, so SQL cannot state the rows; tests compare with plain versions.

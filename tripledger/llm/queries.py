@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripledger.llm import byte_bpe, exact_dedup, language_id, minhash_join, mixing
+from tripledger.llm import byte_bpe, exact_dedup, language_id, minhash_join, mixing, superkmer_dedup
 from tripledger.llm.common import documents, held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,10 @@ def op6_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_join.near_groups(documents(spark, sf_dir))
 
 
+def op7_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return superkmer_dedup.without_repeats(documents(spark, sf_dir))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir))
 
@@ -91,6 +95,7 @@ def llm_queries() -> dict[str, Query]:
         "op3_source_mixing": op3_source_mixing,
         "op4_byte_bpe": op4_byte_bpe,
         "op6_minhash_join": op6_minhash_join,
+        "op7_superkmer_dedup": op7_superkmer_dedup,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_language_id": op9_language_id,
     }

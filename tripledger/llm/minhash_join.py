@@ -127,7 +127,9 @@ def confirmed(packed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of positions that span the components of each block pair, checked on the full sets."""
     at = F.expr(f"array_distinct(concat(transform(codes, c -> block * {BLOCK} + c div {BLOCK}), "
                 f"transform(codes, c -> other * {BLOCK} + c % {BLOCK})))")
-    needed = packed.select("block", "other", F.explode(at).alias("pos")).distinct()
+    # one row per block pair, at most BLOCK * BLOCK codes, before its members are listed
+    packed = packed.groupBy("block", "other").agg(F.array_distinct(F.flatten(F.collect_list("codes"))).alias("codes"))
+    needed = packed.select("block", "other", F.explode(at).alias("pos"))
     rows = packed.select("block", "other", F.lit(None).cast("long").alias("pos"), "codes", F.lit(None).cast("binary").alias("own")).unionByName(
         needed.join(sets, "pos").select("block", "other", "pos", F.lit(None).cast("array<int>").alias("codes"), "own"))
 

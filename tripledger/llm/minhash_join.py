@@ -99,6 +99,11 @@ def groups_of(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.D
         yield pd.concat(rest) if len(rest) > 1 else rest[0]
 
 
+def _parts(df: DataFrame) -> int:
+    """All shuffle partitions, since the work of these small rows is large."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def postings(reps: DataFrame) -> DataFrame:
     """Classes that may have a partner: rep, tokens (those of several classes, rarest first), prefix, weight."""
     tokens = reps.select("rep", F.explode("tokens").alias("token"))
@@ -123,6 +128,34 @@ def _packed(pairs: DataFrame) -> DataFrame:
         F.array(((low % BLOCK) * BLOCK + high % BLOCK).cast("int")).alias("codes"))
 
 
+def _common(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of sets i and j, for each pair, exactly.
+
+    Few pairs are searched one by one. Many are counted from a table of the values that several sets hold, by columns.
+    """
+    if len(i) < 4 * len(sets):
+        out = np.empty(len(i), np.int64)
+        for k, (a, b) in enumerate(zip(i, j, strict=True)):
+            small, large = sorted((sets[a], sets[b]), key=len)
+            at = np.searchsorted(large, small)
+            at[at == len(large)] = 0
+            out[k] = int((large[at] == small).sum())
+        return out
+    values, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, column, times = np.unique(values, return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    row, column = row[shared], (np.cumsum(times > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    table = np.zeros((len(sets), len(sets)), np.int64)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, [lo, lo + 4096])
+        ones = np.zeros((len(sets), 4096), np.float32)
+        ones[row[a:b], column[a:b] - lo] = 1
+        table += (ones @ ones.T).astype(np.int64)
+    return table[i, j]
+
+
 def confirmed(packed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) of positions that span the components of each block pair, checked on the full sets."""
     at = F.expr(f"array_distinct(concat(transform(codes, c -> block * {BLOCK} + c div {BLOCK}), "
@@ -147,27 +180,21 @@ def confirmed(packed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 return x
 
             left, right = block * BLOCK + codes // BLOCK, other * BLOCK + codes % BLOCK
+            spot = {p: i for i, p in enumerate(own)}
+            i, j = (np.array([spot[p] for p in side.tolist()]) for side in (left, right))
+            size = np.array([len(s) for s in own.values()])
+            both = _common(list(own.values()), i, j)
+            good = 100 * both >= percent * (size[i] + size[j] - both)
             links = []
-            for a in np.unique(left):
-                mine = own[int(a)]
-                for b in right[left == a].tolist():
-                    ra, rb = find(int(a)), find(b)
-                    if ra == rb:
-                        continue
-                    theirs = own[b]
-                    small, large = (mine, theirs) if len(mine) <= len(theirs) else (theirs, mine)
-                    if 100 * len(small) < percent * len(large):
-                        continue
-                    spot = np.searchsorted(large, small)
-                    spot[spot == len(large)] = 0
-                    both = int((large[spot] == small).sum())
-                    if 100 * both >= percent * (len(small) + len(large) - both):
-                        root[max(ra, rb)] = min(ra, rb)
-                        links.append((int(a), b))
+            for a, b in zip(left[good].tolist(), right[good].tolist(), strict=True):
+                ra, rb = find(a), find(b)
+                if ra != rb:
+                    root[max(ra, rb)] = min(ra, rb)
+                    links.append((a, b))
             if links:
                 yield pd.DataFrame(links, columns=["a", "b"])
 
-    return rows.repartition("block", "other").sortWithinPartitions("block", "other").mapInPandas(check, "a long, b long")
+    return rows.repartition(_parts(packed), "block", "other").sortWithinPartitions("block", "other").mapInPandas(check, "a long, b long")
 
 
 def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
@@ -251,7 +278,7 @@ def _second_round(posted: DataFrame, labels: DataFrame) -> DataFrame:
             out = pd.DataFrame({"block": a // BLOCK, "other": b // BLOCK, "codes": (a % BLOCK) * BLOCK + b % BLOCK})
             yield out.groupby(["block", "other"])["codes"].agg(list).reset_index()
 
-    return cut.repartition("token", "p", "q").sortWithinPartitions("token", "p", "q").mapInPandas(
+    return cut.repartition(_parts(posted), "token", "p", "q").sortWithinPartitions("token", "p", "q").mapInPandas(
         count, "block long, other long, codes array<int>")
 
 

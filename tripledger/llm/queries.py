@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripledger.llm import byte_bpe, exact_dedup, language_id, minhash_join, mixing, superkmer_dedup
+from tripledger.llm import byte_bpe, exact_dedup, language_id, minhash_join, mixing, projection_search, superkmer_dedup
 from tripledger.llm.common import documents, held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -42,6 +42,11 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op10_projection_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
+    return projection_search.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
 OP3_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
@@ -98,6 +103,7 @@ def llm_queries() -> dict[str, Query]:
         "op7_superkmer_dedup": op7_superkmer_dedup,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_language_id": op9_language_id,
+        "op10_projection_search": op10_projection_search,
     }
 
 

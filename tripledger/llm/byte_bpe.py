@@ -16,6 +16,7 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from operator import itemgetter
 
 import numpy as np
@@ -42,10 +43,25 @@ class Ranks:
     tokens: list[bytes]
     pairs: dict[int, tuple[int, int]]
 
-    @property
+    @cached_property
     def by_bytes(self) -> dict[bytes, int]:
         return {t: r for r, t in enumerate(self.tokens) if t}
 
+    @cached_property
+    def by_word(self) -> dict[str, int]:
+        """Tokens that are whole characters; kept with the broadcast value, so once per worker."""
+        found = {}
+        for token, rank in self.by_bytes.items():
+            try:
+                found[token.decode("utf-8")] = rank
+            except UnicodeDecodeError:
+                pass
+        return found
+
+    @cached_property
+    def inside(self) -> Inside:
+        return Inside(self)
+
 
 def read_ranks(path: str) -> Ranks:
     """Reads a rank file (base64 bytes and rank a line). Ranks must be below 54,016."""
@@ -69,63 +85,113 @@ def read_ranks(path: str) -> Ranks:
     return Ranks(tokens, pairs)
 
 
+class _Codes(dict):
+    """Numbers of words: the rank of a word that is a token, else OWN and more in the order of first use."""
+
+    def __init__(self, known: dict[str, int]) -> None:
+        super().__init__(known)
+        self.words: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        code = self[word] = OWN + len(self.words)
+        self.words.append(word)
+        return code
+
+
+class Inside:
+    """Which merged tokens the bytes of words hold.
+
+    Tokens and their beginnings are slots of two hash tables without keys. A slot taken by chance only adds a rank whose
+    pair the fold then does not meet, so no check is needed; no token is ever missed.
+    """
+
+    SLOTS = 1 << 22
+    STEPS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
+
+    def __init__(self, ranks: Ranks) -> None:
+        merged = {ranks.tokens[r]: r for r in ranks.pairs}
+        heads = {t[:n] for t in merged for n in range(2, len(t))}
+        self.longest = max(map(len, merged), default=0)
+        self.tables = [np.zeros(self.SLOTS, np.int32) for _ in self.STEPS]  # 0: nothing, 1: a beginning, rank + 2: a token
+        left = sorted(merged) + sorted(heads - set(merged))
+        for table, step in zip(self.tables, self.STEPS, strict=True):
+            slots = self._slots([self._hash(t, step) for t in left])
+            value = [merged.get(t, -1) + 2 for t in left]
+            rest = []
+            for t, slot, v in zip(left, slots.tolist(), value, strict=True):
+                if table[slot] == 0:
+                    table[slot] = v
+                elif v > 1 or table[slot] < 1:
+                    rest.append(t)
+            left = rest
+        if any(t in merged for t in left):
+            raise ValueError("the rank file has too many tokens for the tables")
+
+    @staticmethod
+    def _hash(token: bytes, step: np.uint64) -> int:
+        value = 0
+        for b in token:
+            value = (value * int(step) + b + 1) & (2**64 - 1)
+        return value
+
+    def _slots(self, hashes) -> np.ndarray:
+        x = np.asarray(hashes, np.uint64)
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+        return (x >> np.uint64(42)).astype(np.int64)
+
+    def find(self, flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Word numbers and ranks, ascending and distinct, of words laid end to end."""
+        word = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+        at, room = np.arange(len(flat)), ends[word] - np.arange(len(flat))
+        body, found = flat.astype(np.uint64) + np.uint64(1), []
+        values = [body.copy() for _ in self.STEPS]
+        for length in range(2, self.longest + 1):
+            open_ = np.flatnonzero(room >= length)
+            if not len(open_):
+                break
+            at, room = at[open_], room[open_]
+            values = [v[open_] * step + body[at + length - 1] for v, step in zip(values, self.STEPS, strict=True)]
+            hits = [table[self._slots(v)] for v, table in zip(values, self.tables, strict=True)]
+            for hit in hits:
+                token = np.flatnonzero(hit > 1)
+                found.append((word[at[token]] << 16) | (hit[token] - 2))
+            alive = np.flatnonzero((hits[0] > 0) | (hits[1] > 0))
+            at, room, values = at[alive], room[alive], [v[alive] for v in values]
+        keys = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        return keys >> 16, keys & 0xFFFF
+
+
 def _characters(ids: list[int]) -> str:
     return "".join([chr(FIRST_CHAR + k) for k in ids])
 
 
 def words_and_documents(rows: DataFrame, ranks: Ranks, pattern: str) -> DataFrame:
     """Rows (doc_id, text) as rows of words (chars, merges) followed by rows of documents (doc_id, stream)."""
-    shared = rows.sparkSession.sparkContext.broadcast((ranks, pattern))  # the tokenizer, whatever the input
+    shared = rows.sparkSession.sparkContext.broadcast((Ranks(ranks.tokens, ranks.pairs), pattern))  # the tokenizer, whatever the input
     kind = dict(rows.dtypes)["doc_id"]
     schema = pa.schema([("doc_id", to_arrow_type(rows.schema["doc_id"].dataType)), ("stream", pa.binary()), ("chars", pa.string()), ("merges", pa.list_(pa.int32()))])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, pieces = shared.value[0], regex.compile(shared.value[1])
         by = table.by_bytes
-        byte = [chr(FIRST_CHAR + by[bytes([i])]) for i in range(256)]
-        merges_of = {table.tokens[r]: r for r in table.pairs}
-        heads = {t[:n] for t in merges_of for n in range(2, len(t))}
-        known = {}
-        for token, rank in by.items():
-            try:
-                known[token.decode("utf-8")] = rank
-            except UnicodeDecodeError:
-                pass
+        byte = {i: FIRST_CHAR + by[bytes([i])] for i in range(256)}
+        inside, known = table.inside, table.by_word
 
         def block(ids: list, texts: list[str | None]) -> Iterator[pa.RecordBatch]:
-            codes, words, streams = dict(known), [], []
-            get = codes.get
-            for text in texts:
-                found = pieces.findall(text or "")
-                stream = [get(w, -1) for w in found]
-                if -1 in stream:
-                    for i, w in enumerate(found):
-                        if stream[i] < 0:
-                            code = get(w)
-                            if code is None:
-                                code = codes[w] = OWN + len(words)
-                                words.append(w)
-                            stream[i] = code
-                streams.append(np.array(stream, np.int32).tobytes())
-            rank_of = merges_of.get
+            codes = _Codes(known)
+            number = codes.__getitem__
+            streams = [np.array(list(map(number, pieces.findall(text or ""))), np.int32).tobytes() for text in texts]
+            words = codes.words
             for lo in range(0, len(words), BATCH):
-                chars, flat, sizes = [], [], []
-                for word in words[lo:lo + BATCH]:
-                    body = word.encode("utf-8")
-                    chars.append("".join([byte[b] for b in body]))
-                    inside = set()
-                    for i in range(len(body) - 1):
-                        for j in range(i + 2, len(body) + 1):
-                            part = body[i:j]
-                            rank = rank_of(part)
-                            if rank is not None:
-                                inside.add(rank)
-                            if part not in heads:
-                                break
-                    flat += sorted(inside)
-                    sizes.append(len(inside))
+                bodies = [w.encode("utf-8") for w in words[lo:lo + BATCH]]
+                ends = np.cumsum([len(b) for b in bodies])
+                flat = b"".join(bodies)
+                row, rank = inside.find(np.frombuffer(flat, np.uint8), ends)
+                line = flat.decode("latin-1").translate(byte)
+                chars = [line[i:j] for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
                 n = len(chars)
-                merges = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat, pa.int32()))
+                cuts = np.searchsorted(row, np.arange(n + 1))
+                merges = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(rank, pa.int32()))
                 yield pa.record_batch([pa.nulls(n, schema.field(0).type), pa.nulls(n, pa.binary()), pa.array(chars), merges], schema=schema)
             for lo in range(0, len(ids), BATCH):
                 n = len(ids[lo:lo + BATCH])
@@ -166,11 +232,11 @@ def encoded(docs: DataFrame, ranks: Ranks, pattern: str, doc_id: str = "doc_id",
     rows = words_and_documents(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), ranks, pattern)
     merged = rows.select("doc_id", "stream", folded(F.col("chars"), F.col("merges"), ranks).alias("word"))
     kind = dict(rows.dtypes)["doc_id"]
-    shared = docs.sparkSession.sparkContext.broadcast(ranks)
+    shared = docs.sparkSession.sparkContext.broadcast(ranks.tokens)
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_ids else [])]
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = shared.value.tokens
+        tokens = shared.value
         spare = [""] * (OWN - len(tokens))
         plain = [str(i) for i in range(len(tokens))] + spare
         bodies = tokens + [b""] * len(spare)

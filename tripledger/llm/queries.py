@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripledger.llm import byte_bpe, exact_dedup, language_id, minhash_join, mixing, projection_search, superkmer_dedup
+from tripledger.llm import byte_bpe, exact_dedup, language_id, minhash_join, mixing, projection_search, quality, superkmer_dedup
 from tripledger.llm.common import documents, held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +23,11 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encoded(documents(spark, sf_dir), ranks, public_tokenizers.PATTERN)
 
 
+def op5_quality_discriminant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = quality.scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def op6_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_join.near_groups(documents(spark, sf_dir))
 
@@ -99,6 +104,7 @@ def llm_queries() -> dict[str, Query]:
     return {
         "op3_source_mixing": op3_source_mixing,
         "op4_byte_bpe": op4_byte_bpe,
+        "op5_quality_discriminant": op5_quality_discriminant,
         "op6_minhash_join": op6_minhash_join,
         "op7_superkmer_dedup": op7_superkmer_dedup,
         "op8_exact_dedup": op8_exact_dedup,

@@ -116,7 +116,7 @@ def fit(rows: DataFrame) -> Discriminant | None:
             for label, part in batch.groupby("label"):
                 x = np.column_stack([np.ones(len(part)), np.stack(part["x"].to_numpy())])
                 found[int(label)] = found.get(int(label), 0) + x.T @ x
-        yield pd.DataFrame({"label": list(found), "moments": [m.ravel() for m in found.values()]})
+        yield pd.DataFrame({"label": list(found), "moments": [m.ravel().tolist() for m in found.values()]})
 
     total: dict[int, np.ndarray] = {}
     for r in rows.where("label in (0, 1)").mapInPandas(sums, "label int, moments array<double>").collect():  # two rows per task

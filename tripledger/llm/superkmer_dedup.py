@@ -28,7 +28,7 @@ from tripledger.llm.words import Words, pieces, runs_of, words_of
 WINDOW = 13
 MINIMISER = 3
 #: Bytes of text that are combined and packed together, and bytes of text per bucket.
-PIECE_BYTES = 8_000_000
+PIECE_BYTES = 4_000_000
 BUCKET_BYTES = 1_000_000
 _OTHER = np.uint64(0xA0761D6478BD642F)
 
@@ -83,7 +83,7 @@ def packed_runs(docs: DataFrame, buckets: int) -> DataFrame:
     """Super-k-mers packed per piece and bucket, and runs of windows that are already known to be lost."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=1)
+        squeeze = zstandard.ZstdCompressor(level=3)
 
         def piece(ids: np.ndarray, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
             words = words_of(texts)

@@ -8,12 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripledger.llm import byte_bpe, exact_dedup, language_id, minhash_join, mixing, projection_search, quality, superkmer_dedup
+from tripledger.llm import byte_bpe, exact_dedup, language_id, minhash_join, mixing, projection_search, quality, superkmer_dedup, toxicity
 from tripledger.llm.common import documents, held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    grades = toxicity.graded(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return grades.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "severity", "predicted")
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "position")
 
@@ -102,6 +107,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS te
 
 def llm_queries() -> dict[str, Query]:
     return {
+        "op1_toxicity": op1_toxicity,
         "op3_source_mixing": op3_source_mixing,
         "op4_byte_bpe": op4_byte_bpe,
         "op5_quality_discriminant": op5_quality_discriminant,

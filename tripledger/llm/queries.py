@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripledger.llm import byte_bpe, exact_dedup, language_id, minhash_join, mixing, projection_search, quality, superkmer_dedup, toxicity
+from tripledger.llm import byte_bpe, exact_dedup, language_id, minhash_join, mixing, projection_search, quality, suffix_dedup, superkmer_dedup, toxicity
 from tripledger.llm.common import documents, held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -19,6 +19,10 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grades.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "severity", "predicted")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.without_repeats(documents(spark, sf_dir))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixture(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "position")
 
@@ -108,6 +112,7 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS te
 def llm_queries() -> dict[str, Query]:
     return {
         "op1_toxicity": op1_toxicity,
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op3_source_mixing": op3_source_mixing,
         "op4_byte_bpe": op4_byte_bpe,
         "op5_quality_discriminant": op5_quality_discriminant,

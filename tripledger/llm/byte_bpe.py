@@ -27,9 +27,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 #: Characters of a block of documents that share one list of distinct words.
-BLOCK_CHARS = 32_000_000
-#: Words and documents per Arrow batch.
+BLOCK_CHARS = 16_000_000
+#: Words and documents per Arrow batch, and tokens of a batch that carries them.
 BATCH = 8192
+DOCUMENT_BATCH = 512
+MOST_TOKENS = 500_000
 #: The character of token k is FIRST_CHAR + k: every rank below 54,016 stays under the surrogates.
 FIRST_CHAR = 0x100
 MOST_RANKS = 0xD800 - FIRST_CHAR
@@ -193,9 +195,10 @@ def words_and_documents(rows: DataFrame, ranks: Ranks, pattern: str) -> DataFram
                 cuts = np.searchsorted(row, np.arange(n + 1))
                 merges = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(rank, pa.int32()))
                 yield pa.record_batch([pa.nulls(n, schema.field(0).type), pa.nulls(n, pa.binary()), pa.array(chars), merges], schema=schema)
-            for lo in range(0, len(ids), BATCH):
-                n = len(ids[lo:lo + BATCH])
-                yield pa.record_batch([pa.array(ids[lo:lo + BATCH], schema.field(0).type), pa.array(streams[lo:lo + BATCH], pa.binary()),
+            for lo in range(0, len(ids), DOCUMENT_BATCH):
+                hi = min(lo + DOCUMENT_BATCH, len(ids))
+                n = hi - lo
+                yield pa.record_batch([pa.array(ids[lo:hi], schema.field(0).type), pa.array(streams[lo:hi], pa.binary()),
                                        pa.nulls(n, pa.string()), pa.nulls(n, schema.field(3).type)], schema=schema)
 
         ids, texts, filled = [], [], 0
@@ -244,8 +247,7 @@ def encoded(docs: DataFrame, ranks: Ranks, pattern: str, doc_id: str = "doc_id",
         size, after_documents = np.array(counts), False
         for batch in batches:
             streams, words = batch.column(1), batch.column(2)
-            out = {n: [] for n in names[1:]}
-            kept = []
+            out, kept, held_tokens = {n: [] for n in names[1:]}, [], 0
             for i, (stream, word) in enumerate(zip(streams, words, strict=True)):
                 if not stream.is_valid:
                     if after_documents:  # the first word of the next block
@@ -262,15 +264,22 @@ def encoded(docs: DataFrame, ranks: Ranks, pattern: str, doc_id: str = "doc_id",
                 pick = itemgetter(*many) if len(many) > 1 else (lambda x, m=many: [x[k] for k in m])
                 csv, body = ",".join(pick(numbers)), b"".join(pick(parts))
                 kept.append(i)
+                held_tokens += int(size[codes].sum())
                 out["n_tokens"].append(int(size[codes].sum()))
                 out["ids_sha256"].append(hashlib.sha256(csv.encode()).hexdigest())
                 out["decoded_sha256"].append(hashlib.sha256(body).hexdigest())
                 if with_ids:
-                    out["ids"].append([int(k) for k in csv.split(",")] if csv else [])
+                    out["ids"].append(np.array(csv.split(","), np.int32) if csv else np.zeros(0, np.int32))
                     out["decoded"].append(body)
+                    if held_tokens > MOST_TOKENS:
+                        yield rows_of(batch, kept, out)
+                        out, kept, held_tokens = {n: [] for n in names[1:]}, [], 0
             if kept:
-                kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.binary()]
-                yield pa.record_batch([batch.column(0).take(pa.array(kept)), *(pa.array(out[n], k) for n, k in zip(names[1:], kinds, strict=False))], names=names)
+                yield rows_of(batch, kept, out)
+
+    def rows_of(batch: pa.RecordBatch, kept: list[int], out: dict[str, list]) -> pa.RecordBatch:
+        kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.binary()]
+        return pa.record_batch([batch.column(0).take(pa.array(kept)), *(pa.array(out[n], k) for n, k in zip(names[1:], kinds, strict=False))], names=names)
 
     fields = f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
     return merged.mapInArrow(join, fields + (", ids array<int>, decoded binary" if with_ids else ""))

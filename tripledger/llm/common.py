@@ -5,8 +5,11 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
+from collections.abc import Callable
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -81,3 +84,40 @@ def mixed(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared folder as Parquet and read again: for results with many rows."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+#: Bits of a filter of ids: at least, per id, and at most (2**27 bits are 16 MB). Beyond that it lets more rows pass.
+FILTER_BITS = (1 << 16, 8, 1 << 27)
+
+
+def id_filter(ids: DataFrame) -> Callable[[Column], Column]:
+    """A condition that holds for every id of the one column of ``ids``, and for few others.
+
+    It is broadcast as bits, whose number is bounded: it only spares rows that a join would drop a shuffle.
+    """
+    spark, column = ids.sparkSession, ids.columns[0]
+    least, per_row, most = FILTER_BITS
+    bits = least
+    while bits < min(most, per_row * ids.count()):
+        bits *= 2
+    spots = ids.select(F.pmod(F.xxhash64(F.col(column)), F.lit(bits)).alias("spot"))
+    words = spots.groupBy(F.expr("spot div 64").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(spot % 64 as int)))").alias("bits"))
+    table = np.zeros(bits // 64, np.int64)
+    for batch in words.toArrow().to_batches():  # at most FILTER_BITS bits
+        table[batch.column(0).to_numpy()] = batch.column(1).to_numpy()
+    shared = spark.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def listed(at: pd.Series) -> pd.Series:
+        at = at.to_numpy(np.int64)
+        return pd.Series((shared.value[at >> 6] >> (at & 63) & 1).astype(bool))
+
+    return lambda c: listed(F.pmod(F.xxhash64(c), F.lit(bits)))

@@ -1,22 +1,24 @@
 """Repeated byte strings by suffix arrays of the difference-cover kind, one per bucket of the cluster.
 
 1. The starts of STRING bytes in a document are cut in pieces: neighbouring starts whose strings share their smallest
-   hash of GRAM bytes. Equal strings share that hash, so pieces go to the bucket of their hash, as packed bytes.
-2. In a bucket a hash that only one document has is let go: no string there can repeat elsewhere. Of equal pieces the
-   smallest document's stays; the starts of the others are lost as a whole.
-3. The different pieces that share a hash are laid end to end, each ended by a sign of its own, and their suffixes are
-   sorted: triples at the positions 1 and 2 modulo 3 are sorted and named, the names are sorted by recursion until they
-   differ, the remaining suffixes follow from them, and both are merged.
+   hash of GRAM bytes, the mark. Equal strings share their mark. Documents, places and hashes of the pieces go to the
+   bucket of the mark, no text.
+2. A mark that only one document has is let go: no string there can repeat elsewhere. Of equal pieces the smallest
+   document keeps its own, the others lose all starts. Pieces of a mark with several contents stay open.
+3. The bytes of open pieces are cut from their documents and sent to buckets by mark. There they are laid end to end,
+   each ended by a sign of its own, and their suffixes are sorted: triples at the positions 1 and 2 modulo 3 are sorted
+   and named, the names are sorted by recursion until they differ, the remaining suffixes follow from them, and both
+   are merged.
 4. Neighbours in that order are compared over STRING bytes; the smallest document of equal neighbours keeps them.
 
-Sorting all suffixes of a corpus in one order would shuffle each byte many times over; the buckets hold every pair of
-equal strings and no text that cannot repeat, so the same answer comes from one shuffle.
+Sorting all suffixes of a corpus in one order would shuffle each byte many times over. Here the text that cannot repeat
+is never sent, and the buckets hold every pair of equal strings.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripledger.llm.common import mixed
+from tripledger.llm.common import id_filter, mixed, stored
 from tripledger.llm.superkmer_dedup import _window_min, gathered
 from tripledger.llm.words import _BACK, _BASE, _powers
 
@@ -34,6 +36,9 @@ GRAM = 16
 #: Bytes of text that are cut and packed together, and bytes of text per bucket.
 PIECE_BYTES = 3_000_000
 BUCKET_BYTES = 1_000_000
+#: Different marks of a bucket, and open pieces of a bucket of suffixes.
+MARKS = 1 << 24
+BUCKET_PIECES = 4000
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
@@ -137,11 +142,22 @@ def repeated_starts(strings: list[bytes], docs: np.ndarray) -> tuple[np.ndarray,
     return owner[lost], lost - (ends[owner[lost]] - sizes[owner[lost]])
 
 
-_SENT = pa.schema([("bucket", pa.int64()), ("packed", pa.binary()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
+_ROW = pa.schema([("bucket", pa.int64()), ("packed", pa.binary()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
+_ROW_DDL = "bucket long, packed binary, doc_id long, start long, n long"
+
+
+def _merged(doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of starts with those that continue each other joined."""
+    order = np.lexsort((start, doc))
+    doc, start, n = doc[order], start[order], n[order]
+    new = np.ones(len(doc), bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + n[:-1])
+    cut = np.flatnonzero(new)
+    return doc[cut], start[cut], np.add.reduceat(n, cut) if len(cut) else n
 
 
 def _pieces(ids: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, ...] | None:
-    """Text number, first start, number of starts, gram hash and content hash of each piece; and the joined bytes."""
+    """Text number, first start, number of starts, gram hash and content hash of each piece, and where each text begins."""
     size = np.array([len(t) for t in texts], np.int64)
     body = np.frombuffer(b"\0".join(texts) + b"\0" * (STRING + 14), np.uint8)
     begin = np.cumsum(size + 1) - size - 1
@@ -161,134 +177,158 @@ def _pieces(ids: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, ...] | Non
     n = np.diff(np.append(cut, len(start)))
     first, owner, gram = start[cut], owner[cut], gram[cut]
     content = mixed((sums[first + n + STRING - 1] - sums[first]) * back[first] + n.astype(np.uint64))
-    return owner, first, n, gram, content, begin, body
+    return owner, first, n, gram, content, begin
 
 
-def packed_pieces(docs: DataFrame, buckets: int) -> DataFrame:
-    """Pieces packed by bucket, and starts that equal bytes of a smaller document of the same input piece already lose."""
+def hashed_pieces(docs: DataFrame, buckets: int) -> DataFrame:
+    """Hashes of pieces packed by bucket, and starts that equal bytes of a smaller document in the same part of the input lose."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3)
+        squeeze = zstandard.ZstdCompressor(level=1)
         for id_list, texts in gathered(batches, PIECE_BYTES):
             ids = np.array(id_list, np.int64)
             found = _pieces(ids, texts)
             if found is None:
                 continue
-            owner, first, n, gram, content, begin, body = found
+            owner, first, n, gram, content, begin = found
             doc = ids[owner]
-            raw = body.tobytes()
-            # equal pieces of this part of the input: equal hashes that are equal bytes too
-            order = np.lexsort((first, doc, content))
-            same = np.flatnonzero(content[order][1:] == content[order][:-1]) + 1
-            head = np.arange(len(order))
-            stop = first + n + STRING - 1
-            for k in same.tolist():
-                a, b = order[head[k - 1]], order[k]
-                if raw[first[a]:stop[a]] == raw[first[b]:stop[b]]:
-                    head[k] = head[k - 1]
+            order = np.lexsort((doc, content, gram))
+            new = np.ones(len(order), bool)
+            new[1:] = (content[order][1:] != content[order][:-1]) | (gram[order][1:] != gram[order][:-1])
+            cut = np.flatnonzero(new)
             lost = np.zeros(len(order), bool)
-            lost[order] = doc[order] != doc[order[head]]
+            lost[order] = doc[order] != np.repeat(doc[order[cut]], np.diff(np.append(cut, len(order))))
             if lost.any():
-                d, s, k = doc[lost], first[lost] - begin[owner[lost]], n[lost]
+                d, s, k = _merged(doc[lost], first[lost] - begin[owner[lost]], n[lost])
                 home = (mixed(d.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-                yield pa.record_batch([pa.array(home), pa.nulls(len(d), pa.binary()), pa.array(d), pa.array(s), pa.array(k)], schema=_SENT)
+                yield pa.record_batch([pa.array(home), pa.nulls(len(d), pa.binary()), pa.array(d), pa.array(s), pa.array(k)], schema=_ROW)
             sent = np.flatnonzero(~lost)
             bucket = (gram[sent] % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             sent, bucket = sent[by], bucket[by]
             turns = np.flatnonzero(np.diff(bucket, prepend=-1))
-            mark = ((gram[sent] // np.uint64(buckets)) & np.uint64(0xFFFFFF)).astype(np.uint32)
-            at, lo, hi, of, k = (first[sent] - begin[owner[sent]]), first[sent].tolist(), stop[sent].tolist(), doc[sent], n[sent].astype(np.int32)
+            mark = ((gram[sent] // np.uint64(buckets)) & np.uint64(MARKS - 1)).astype(np.uint32)
+            columns = doc[sent], first[sent] - begin[owner[sent]], n[sent].astype(np.int32), mark, content[sent]
             blobs = []
             for a, b in zip(turns.tolist(), [*turns[1:].tolist(), len(sent)], strict=True):
-                head_ = np.array([b - a], np.int64).tobytes() + np.diff(of[a:b], prepend=0).tobytes() + at[a:b].tobytes() + k[a:b].tobytes() + mark[a:b].tobytes()
-                blobs.append(squeeze.compress(head_ + b"".join([raw[x:y] for x, y in zip(lo[a:b], hi[a:b], strict=True)])))
+                of, at, k, m, c = (x[a:b] for x in columns)
+                blobs.append(squeeze.compress(np.array([b - a], np.int64).tobytes() + np.diff(of, prepend=0).tobytes() + at.tobytes() + c.tobytes() + k.tobytes() + m.tobytes()))
             m = len(blobs)
-            yield pa.record_batch([pa.array(bucket[turns]), pa.array(blobs, pa.binary()), *(pa.nulls(m, pa.int64()) for _ in range(3))], schema=_SENT)
-
-    return docs.mapInArrow(pack, "bucket long, packed binary, doc_id long, start long, n long")
-
-
-def _bucket_runs(blobs: list[bytes]) -> pa.RecordBatch | None:
-    grow, parts, raws, base = zstandard.ZstdDecompressor(), [], [], 0
-    for blob in blobs:
-        raw = grow.decompress(blob)
-        m = int(np.frombuffer(raw, np.int64, 1)[0])
-        doc, at = np.cumsum(np.frombuffer(raw, np.int64, m, 8)), np.frombuffer(raw, np.int64, m, 8 + 8 * m)
-        n, mark = np.frombuffer(raw, np.int32, m, 8 + 16 * m).astype(np.int64), np.frombuffer(raw, np.uint32, m, 8 + 20 * m)
-        size = n + STRING - 1
-        parts.append((doc, at, n, mark, base + 8 + 24 * m + np.cumsum(size) - size))
-        raws.append(raw)
-        base += len(raw)
-    doc, at, n, mark, lo = (np.concatenate(x) for x in zip(*parts, strict=True))
-    text = b"".join(raws)
-    order = np.argsort(mark, kind="stable")
-    cut = np.flatnonzero(np.diff(mark[order].astype(np.int64), prepend=-1))
-    sizes = np.diff(np.append(cut, len(order)))
-    several = np.minimum.reduceat(doc[order], cut) != np.maximum.reduceat(doc[order], cut)
-    rows = order[np.repeat(several, sizes)]
-    if not len(rows):
-        return None
-    # equal pieces: the bytes themselves are the key
-    content: dict[bytes, int] = {}
-    kind = np.array([content.setdefault(text[a:b], len(content)) for a, b in zip(lo[rows].tolist(), (lo[rows] + n[rows] + STRING - 1).tolist(), strict=True)])
-    first = np.full(len(content), np.iinfo(np.int64).max)
-    np.minimum.at(first, kind, doc[rows])
-    gone = doc[rows] != first[kind]
-    out = [(doc[rows[gone]], at[rows[gone]], n[rows[gone]])]
-    # marks with several contents: their pieces are sorted by suffixes, each content once for its smallest document
-    order = np.lexsort((kind, mark[rows]))
-    m, k = mark[rows][order], kind[order]
-    new = np.concatenate([[True], m[1:] != m[:-1]])
-    kinds = np.add.reduceat(np.concatenate([[1], (m[1:] == m[:-1]) & (k[1:] != k[:-1])]) * 1, np.flatnonzero(new)) + (np.flatnonzero(new) > 0)
-    open_ = np.zeros(len(content), bool)
-    open_[k[np.repeat(kinds > 1, np.diff(np.append(np.flatnonzero(new), len(m))))]] = True
-    chosen = np.flatnonzero(open_)
-    if len(chosen) > 1:
-        strings = list(content)
-        which, start = repeated_starts([strings[i] for i in chosen.tolist()], first[chosen])
-        # back to every place at which the smallest document has the content
-        which = chosen[which]
-        turn = np.lexsort((start, which))
-        which, start = which[turn], start[turn]
-        edge = np.ones(len(which), bool)
-        edge[1:] = (which[1:] != which[:-1]) | (start[1:] != start[:-1] + 1)
-        head = np.flatnonzero(edge)
-        length = np.diff(np.append(head, len(which)))
-        which, start = which[head], start[head]
-        own = np.flatnonzero(~gone)
-        own = own[np.argsort(kind[own], kind="stable")]
-        lo_, hi_ = np.searchsorted(kind[own], which), np.searchsorted(kind[own], which, side="right")
-        times = hi_ - lo_
-        spot = own[np.repeat(lo_, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)]
-        out.append((doc[rows[spot]], at[rows[spot]] + np.repeat(start, times), np.repeat(length, times)))
-    d, s, c = (np.concatenate(x) for x in zip(*out, strict=True))
-    if not len(d):
-        return None
-    return pa.record_batch([pa.array(d), pa.array(s), pa.array(c)], names=["doc_id", "start", "n"])
+            yield pa.record_batch([pa.array(bucket[turns]), pa.array(blobs, pa.binary()), *(pa.nulls(m, pa.int64()) for _ in range(3))], schema=_ROW)
 
+    return docs.mapInArrow(pack, _ROW_DDL)
 
-def lost_starts(packed: DataFrame) -> DataFrame:
-    """Runs of starts (doc_id, start, n) whose strings also start in a document with a smaller id."""
+
+def _by_bucket(packed: DataFrame, solve: Callable[[int, list[bytes]], pa.RecordBatch | None], ddl: str) -> DataFrame:
+    """``solve`` over the packed rows of each bucket; rows that are not packed pass."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, blobs = None, []
         for batch in batches:
             known = batch.filter(pc.is_valid(batch.column(2)))
             if known.num_rows:
-                yield known.select(["doc_id", "start", "n"])
+                rest = [pa.nulls(known.num_rows, pa.int64())] * (ddl.count(",") - 2)
+                yield pa.record_batch([*known.select([2, 3, 4]).columns, *rest], names=[x.split()[0] for x in ddl.split(", ")])
             for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if not blob.is_valid:
                     continue
                 if bucket != current:
-                    if blobs and (out := _bucket_runs(blobs)) is not None:
+                    if blobs and (out := solve(current, blobs)) is not None:
                         yield out
                     current, blobs = bucket, []
                 blobs.append(blob.as_py())
-        if blobs and (out := _bucket_runs(blobs)) is not None:
+        if blobs and (out := solve(current, blobs)) is not None:
             yield out
 
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(unpack, "doc_id long, start long, n long")
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(unpack, ddl)
+
+
+def sifted(packed: DataFrame) -> DataFrame:
+    """Runs of starts: with a null mark they are lost, with a mark their suffixes have to be sorted; others are gone.
+
+    A mark that only one document has cannot repeat elsewhere. Of equal pieces (mark and 64-bit content hash) the smallest
+    document keeps its own, and the others lose all starts. Kept pieces of a mark with several contents are open.
+    """
+
+    def solve(bucket: int, blobs: list[bytes]) -> pa.RecordBatch | None:
+        grow, parts = zstandard.ZstdDecompressor(), []
+        for blob in blobs:
+            raw = grow.decompress(blob)
+            m = int(np.frombuffer(raw, np.int64, 1)[0])
+            parts.append((np.cumsum(np.frombuffer(raw, np.int64, m, 8)), np.frombuffer(raw, np.int64, m, 8 + 8 * m), np.frombuffer(raw, np.uint64, m, 8 + 16 * m),
+                          np.frombuffer(raw, np.int32, m, 8 + 24 * m).astype(np.int64), np.frombuffer(raw, np.uint32, m, 8 + 28 * m).astype(np.int64)))
+        doc, at, content, n, mark = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(mark, kind="stable")
+        cut = np.flatnonzero(np.diff(mark[order], prepend=-1))
+        several = np.minimum.reduceat(doc[order], cut) != np.maximum.reduceat(doc[order], cut)
+        rows = order[np.repeat(several, np.diff(np.append(cut, len(order))))]
+        if not len(rows):
+            return None
+        rows = rows[np.lexsort((doc[rows], content[rows], mark[rows]))]
+        d, m, c = doc[rows], mark[rows], content[rows]
+        new_mark = np.concatenate([[True], m[1:] != m[:-1]])
+        new = new_mark.copy()
+        new[1:] |= c[1:] != c[:-1]
+        cut = np.flatnonzero(new)
+        lost = d != np.repeat(d[cut], np.diff(np.append(cut, len(d))))
+        heads = np.flatnonzero(new_mark)
+        contents = np.add.reduceat(new.astype(np.int64), heads)
+        open_ = ~lost & np.repeat(contents > 1, np.diff(np.append(heads, len(d))))
+        a, b = rows[lost], rows[open_]
+        gone, sort = _merged(doc[a], at[a], n[a]), (doc[b], at[b], n[b])
+        if not len(gone[0]) + len(b):
+            return None
+        marks = pa.concat_arrays([pa.nulls(len(gone[0]), pa.int64()), pa.array(bucket * MARKS + mark[b])])
+        return pa.record_batch([*(pa.array(np.concatenate(x)) for x in zip(gone, sort, strict=True)), marks], names=["doc_id", "start", "n", "mark"])
+
+    return _by_bucket(packed, solve, "doc_id long, start long, n long, mark long")
+
+
+def cut_pieces(docs: DataFrame, buckets: int) -> DataFrame:
+    """Bytes of the open pieces, packed by bucket, from rows (doc_id, text, open: start, n and mark of each)."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            lists, pairs = batch.column(2), batch.column(2).flatten()
+            start, n, mark = (pairs.field(c).to_numpy(zero_copy_only=False) for c in ("start", "n", "mark"))
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+            texts = [(x.as_py() or "").encode("utf-8") for x in batch.column(1)]
+            doc = batch.column(0).to_numpy()[row]
+            bucket = (mixed(mark.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+            by = np.argsort(bucket, kind="stable")
+            cut = [texts[r][s:s + k + STRING - 1] for r, s, k in zip(row[by].tolist(), start[by].tolist(), n[by].tolist(), strict=True)]
+            turns = np.flatnonzero(np.diff(bucket[by], prepend=-1))
+            blobs = []
+            for a, b in zip(turns.tolist(), [*turns[1:].tolist(), len(by)], strict=True):
+                at = by[a:b]
+                blobs.append(squeeze.compress(np.array([b - a], np.int64).tobytes() + doc[at].tobytes() + start[at].tobytes() + n[at].tobytes() + b"".join(cut[a:b])))
+            m = len(blobs)
+            yield pa.record_batch([pa.array(bucket[by][turns]), pa.array(blobs, pa.binary()), *(pa.nulls(m, pa.int64()) for _ in range(3))], schema=_ROW)
+
+    return docs.mapInArrow(pack, _ROW_DDL)
+
+
+def sorted_pieces(packed: DataFrame) -> DataFrame:
+    """Runs of starts (doc_id, start, n) that neighbours in the suffix order of their bucket lose to smaller documents."""
+
+    def solve(bucket: int, blobs: list[bytes]) -> pa.RecordBatch | None:
+        grow, strings, docs, starts = zstandard.ZstdDecompressor(), [], [], []
+        for blob in blobs:
+            raw = grow.decompress(blob)
+            m = int(np.frombuffer(raw, np.int64, 1)[0])
+            docs.append(np.frombuffer(raw, np.int64, m, 8))
+            starts.append(np.frombuffer(raw, np.int64, m, 8 + 8 * m))
+            ends = 8 + 24 * m + np.cumsum(np.frombuffer(raw, np.int64, m, 8 + 16 * m) + STRING - 1)
+            strings += [raw[a:b] for a, b in zip([8 + 24 * m, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+        doc, start = np.concatenate(docs), np.concatenate(starts)
+        which, at = repeated_starts(strings, doc)
+        if not len(which):
+            return None
+        d, s, n = _merged(doc[which], start[which] + at, np.ones(len(which), np.int64))
+        return pa.record_batch([pa.array(d), pa.array(s), pa.array(n)], names=["doc_id", "start", "n"])
+
+    return _by_bucket(packed, solve, "doc_id long, start long, n long")
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_spans: bool = False) -> DataFrame:
@@ -302,7 +342,14 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = lost_starts(packed_pieces(rows, max(4 * parts, total // BUCKET_BYTES)))
+    sifts = stored(sifted(hashed_pieces(rows, max(4 * parts, total // BUCKET_BYTES))), "sifted")
+    open_ = sifts.where("mark is not null")
+    asked = open_.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "mark")).alias("open"))
+    listed = id_filter(open_.select("doc_id").distinct())
+    strings = cut_pieces(rows.where(listed(F.col("doc_id"))).join(asked, "doc_id"), max(4 * parts, open_.count() // BUCKET_PIECES))
+    late = stored(sorted_pieces(strings), "sorted")
+    runs = sifts.where("mark is null").select("doc_id", "start", "n").union(late)
+    listed = id_filter(runs.select("doc_id").distinct())
     lost = runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("lost"))
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["spans", "kept"] if with_spans else [])]
 
@@ -334,4 +381,8 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             yield pa.record_batch([batch.column(0), *(pa.array(out[c], k) for c, k in zip(names[1:], kinds, strict=False))], names=names)
 
     fields = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return rows.join(lost, "doc_id", "left").mapInArrow(apply, fields + (", spans array<struct<from: long, to: long>>, kept binary" if with_spans else ""))
+    # only documents that may lose something are shuffled
+    hit = rows.withColumn("hit", F.coalesce(listed(F.col("doc_id")), F.lit(False)))
+    none = F.lit(None).cast(lost.schema["lost"].dataType).alias("lost")
+    whole = hit.where("not hit").select("doc_id", "text", none)
+    return whole.unionByName(hit.where("hit").drop("hit").join(lost, "doc_id", "left")).mapInArrow(apply, fields + (", spans array<struct<from: long, to: long>>, kept binary" if with_spans else ""))

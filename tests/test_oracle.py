@@ -5,9 +5,11 @@ import decimal
 import pytest
 
 import __spark_entry__ as contract
+from tripledger.plans.oracle import all_oracles
+from tripledger.plans.queries import all_queries
 
-ORACLES = contract.oracle_sql()
-QUERIES = contract.queries()
+ORACLES = all_oracles()
+QUERIES = all_queries()
 ROWS_ONLY = {"corpus_files"}
 
 

@@ -4,17 +4,18 @@ The result for a candidate depends only on its five normalised keys. So the work
 once per distinct key tuple, on narrow rows:
 
     candidates -> distinct key tuples -> probes (one per rule that can apply)
-    register   -> lookup rows per rule -> one group per (rule, key)
-    probes x groups -> first hit per tuple -> joined back to the candidates
+    register   -> lookup rows per rule -> counted per (rule, key)
+    probes x counts -> first rule per tuple -> joined back to the candidates
 
 Rules are numbered 1 to 5; ``match_rules`` selects a subset. A day band is two lookup rows
 per register row (the day before and the day after), which makes it an equi join.
 
+A candidate names the group of register rows that it matches and their number, whatever the
+number is; ``match_members`` gives all rows of all groups in use. Nothing collects a group.
+
 Skew: tuples and counts are aggregated before their shuffles, blank keys send no probe at
-all, large groups are salted out before anything is collected, and the remaining joins have
-one row per key on the right, so adaptive execution can split a hot left side. The ids of a group are joined into text only up
-to ``inline_limit`` rows. Beyond it the candidate gets a group reference in place of the
-list, and ``group_members`` gives the complete list of that group as rows.
+all, and the remaining joins have one row per key on one side, so adaptive execution can
+split a hot other side.
 """
 
 from __future__ import annotations
@@ -35,7 +36,6 @@ TUPLE = ("_hash", *PARTS)
 KEY = ("hash", "rule", "k1", "k2", "k3", "k4")
 STATUSES = ("net_new", "exact_duplicate", "near_match", "conflict")
 LEVELS = ("high", "medium", "low")
-INLINE_LIMIT = 1000
 BOOKING_REASON = "date+origin+dest+airline match"
 
 
@@ -92,69 +92,47 @@ def codes_kept_last(register: DataFrame) -> DataFrame:
     return keep_last(keyed, ["_code"], ["ord", "flight_id"])
 
 
-def _reason(rule: Column, members: Column) -> Column:
-    """Reason text for the matched register rows, from the keys of the candidate."""
+def _reason(rule: Column, n: Column) -> Column:
+    """Reason text of a candidate, from its keys and the size of its group."""
     date, origin, dest, line = (F.col(c) for c in ("_date", "_origin", "_dest", "_airline"))
     missing = " [candidate missing origin/dest"
-    each = lambda text: F.array_join(F.transform(members["date"], text), "; ")
-    route = each(lambda d: say("same route {}-{} +/-1 day (candidate: {}, existing: {})", origin, dest, date, d))
-    same_day = say("date+airline match ({}, {})" + missing + "]", date, line)
-    near_day = each(lambda d: say("date+airline near match ({} vs {}, {})" + missing + ", +/-1 day]", date, d, line))
     return (
         F.when(rule == SAME_BOOKING, BOOKING_REASON)
-        .when(rule == SAME_ROUTE_NEAR_DAY, route)
-        .when(rule == SAME_AIRLINE_DAY, F.array_join(F.array_repeat(same_day, F.size(members)), "; "))
-        .when(rule == SAME_AIRLINE_NEAR_DAY, near_day)
+        .when(rule == SAME_ROUTE_NEAR_DAY, say("same route {}-{} +/-1 day (candidate: {}, existing: {} rows)", origin, dest, date, n))
+        .when(rule == SAME_AIRLINE_DAY, say("date+airline match ({}, {})" + missing + "]", date, line))
+        .when(rule == SAME_AIRLINE_NEAR_DAY, say("date+airline near match ({}, {})" + missing + ", +/-1 day]", date, line))
     )
 
 
-def _group_ref() -> Column:
-    return F.concat(F.lit("group:"), F.to_json(F.array(F.col("rule").cast("string"), *[F.col(k) for k in KEY[2:]])))
-
-
-def large_groups(rows: DataFrame, inline_limit: int = INLINE_LIMIT) -> DataFrame:
-    """Keys with more register rows than the inline limit, with their row count."""
-    return rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > inline_limit)
-
-
-def _salted(rows: DataFrame, large: DataFrame, how: str, salts: int = 32) -> DataFrame:
-    """Semi or anti join with the large keys, a hot key spread over many tasks.
+def _member_reason() -> Column:
+    """Reason text of one register row of a group, from the key of the group."""
+    k1, k2, k3, existing = (F.col(c) for c in ("k1", "k2", "k3", "date"))
+    missing = " [candidate missing origin/dest"
+    rule = F.col("rule")
+    return (
+        F.when(rule == SAME_BOOKING, BOOKING_REASON)
+        .when(rule == SAME_ROUTE_NEAR_DAY, say("same route {}-{} +/-1 day (candidate: {}, existing: {})", k1, k2, k3, existing))
+        .when(rule == SAME_AIRLINE_DAY, say("date+airline match ({}, {})" + missing + "]", k2, k1))
+        .when(rule == SAME_AIRLINE_NEAR_DAY, say("date+airline near match ({} vs {}, {})" + missing + ", +/-1 day]", k2, existing, k1))
+        .when(rule == CODE, say("confirmation_code match ({})", k1))
+    )
 
-    There is at most one large key per ``inline_limit`` rows, so repeating those keys per
-    salt stays a small fraction of the rows.
-    """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("ord", "flight_id"), F.lit(salts)).cast("int"))
-    keys = large.select(*KEY, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("_salt"))
-    return salted.join(keys, [*KEY, "_salt"], how).drop("_salt")
 
+def _group_name(rule: Column, parts: Sequence[Column]) -> Column:
+    return F.to_json(F.array(rule.cast("string"), *parts))
 
-def lookup_groups(register: DataFrame, rules: Sequence[int] = ALL_RULES, inline_limit: int = INLINE_LIMIT) -> DataFrame:
-    """One row per (rule, key): the matched register rows in register order.
 
-    ``members`` holds them for groups up to the limit; larger ones have a reference and a
-    reason in its place.
-    """
-    rows = lookup_rows(register, rules)
-    large = large_groups(rows, inline_limit)
-    # Large groups leave before anything is collected, so an array holds inline_limit rows.
-    bounded = _salted(rows, large, "left_anti")
-    members = F.sort_array(F.collect_list(F.struct("ord", "flight_id", "date")))
-    small = bounded.groupBy(*KEY).agg(members.alias("members"))
-    referred = large.select(
-        *KEY,
-        _group_ref().alias("ref"),
-        F.when(F.col("rule") == SAME_BOOKING, BOOKING_REASON)
-        .otherwise(say("{} register rows match, see the group", F.col("n")))
-        .alias("reason"),
-    )
-    return small.unionByName(referred, allowMissingColumns=True)
-
-
-def group_members(register: DataFrame, rules: Sequence[int] = ALL_RULES, inline_limit: int = INLINE_LIMIT) -> DataFrame:
-    """Rows (group_ref, ord, flight_id, date) of every group too large to be inlined."""
-    rows = lookup_rows(register, rules)
-    large = large_groups(rows, inline_limit)
-    return _salted(rows, large, "left_semi").select(_group_ref().alias("group_ref"), "ord", "flight_id", "date")
+def _tuple_key(rule: Column) -> list[Column]:
+    """The four key parts under which a rule looks a tuple up."""
+    date, origin, dest, line, code = (F.col(c) for c in ("_date", "_origin", "_dest", "_airline", "_code"))
+    by_rule = {CODE: (code,), SAME_BOOKING: (date, origin, dest, line), SAME_ROUTE_NEAR_DAY: (origin, dest, date)}
+    parts = []
+    for i in range(4):
+        part = F.when(rule >= SAME_AIRLINE_DAY, (line, date, F.lit(""), F.lit(""))[i])
+        for number, key in by_rule.items():
+            part = part.when(rule == number, key[i] if i < len(key) else F.lit(""))
+        parts.append(part)
+    return parts
 
 
 def _probes(tuples: DataFrame, rules: Sequence[int]) -> DataFrame:
@@ -171,9 +149,9 @@ def _probes(tuples: DataFrame, rules: Sequence[int]) -> DataFrame:
 
 
 def _code_hits(tuples: DataFrame, register: DataFrame) -> DataFrame:
+    """Tuples whose code the register knows: the differing fields of its last row, blank if none."""
     kept = codes_kept_last(register).select(
-        "_code", F.col("flight_id").cast("string").alias("ref"),
-        F.col("_date").alias("r_date"), F.col("_origin").alias("r_origin"), F.col("_dest").alias("r_dest"),
+        "_code", F.col("_date").alias("r_date"), F.col("_origin").alias("r_origin"), F.col("_dest").alias("r_dest"),
     )
     joined = join_once(tuples.where(_filled("_code")), kept, ["_code"])
 
@@ -185,60 +163,53 @@ def _code_hits(tuples: DataFrame, register: DataFrame) -> DataFrame:
         "; ", differs("origin", "_origin", "r_origin"), differs("dest", "_dest", "r_dest"),
         differs("date", "_date", "r_date"),
     )
-    same = differences == ""
-    return joined.select(
-        *TUPLE,
-        F.lit(CODE).alias("rule"),
-        "ref",
-        F.when(same, say("confirmation_code exact match ({})", F.col("_code")))
-        .otherwise(say("confirmation_code match ({}) but fields differ: {}", F.col("_code"), differences))
-        .alias("reason"),
-        (~same).alias("conflict"),
-    )
+    return joined.select(*TUPLE, differences.alias("differences"))
+
 
+def match_hits(candidates: DataFrame, register: DataFrame, rules: Sequence[int] = ALL_RULES) -> DataFrame:
+    """The first rule that hits, per distinct key tuple: rule, n (register rows), differences (of a code).
 
-def match_hits(
-    candidates: DataFrame, register: DataFrame, rules: Sequence[int] = ALL_RULES, inline_limit: int = INLINE_LIMIT
-) -> DataFrame:
-    """The first rule that hits, per distinct key tuple: rule, members or ref, reason, conflict."""
+    Columns that a caller does not read are pruned, so that a count of statuses needs the
+    existence of keys only.
+    """
     tuples = with_keys(candidates).select(*TUPLE).distinct()
     hits = None
-    if set(rules) - {CODE}:
-        groups = lookup_groups(register, rules, inline_limit)
-        hits = join_once(_probes(tuples, rules), groups, KEY).select(
-            *TUPLE, "rule", "members", "ref", "reason", F.lit(False).alias("conflict")
-        )
+    looked_up = [r for r in rules if r != CODE]
+    if looked_up:
+        counts = lookup_rows(register, rules).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
+        found = join_once(_probes(tuples, rules), counts, KEY)
+        sizes = [F.max(F.when(F.col("rule") == r, F.col("n"))).alias(f"n{r}") for r in looked_up]
+        hits = found.groupBy(*TUPLE).agg(F.min("rule").alias("first"), *sizes)
     if CODE in rules:
         by_code = _code_hits(tuples, register)
-        hits = by_code if hits is None else hits.unionByName(by_code, allowMissingColumns=True)
-    # One aggregate per column, so that those a caller does not read are pruned.
-    carried = [c for c in ("members", "ref", "reason", "conflict") if c in hits.columns]
-    return hits.groupBy(*TUPLE).agg(F.min("rule").alias("rule"), *[F.min_by(c, "rule").alias(c) for c in carried])
+        hits = by_code if hits is None else hits.join(by_code, [*TUPLE], "full")
+    first = F.col("first") if looked_up else F.lit(None).cast("int")
+    by_code = F.col("differences") if CODE in rules else F.lit(None).cast("string")
+    rule = F.when(by_code.isNotNull(), F.lit(CODE)).otherwise(first)
+    n = F.when(rule == CODE, F.lit(1).cast("long"))
+    for r in looked_up:
+        n = n.when(rule == r, F.col(f"n{r}"))
+    return hits.select(*TUPLE, rule.alias("rule"), n.alias("n"), by_code.alias("differences"))
 
 
-def classify(
-    candidates: DataFrame,
-    register: DataFrame,
-    rules: Sequence[int] = ALL_RULES,
-    inline_limit: int = INLINE_LIMIT,
-) -> DataFrame:
-    """All candidate columns plus dedup_status, matched_existing_ids, match_reason, confidence.
+def classify(candidates: DataFrame, register: DataFrame, rules: Sequence[int] = ALL_RULES) -> DataFrame:
+    """All candidate columns plus dedup_status, match_group, match_count, match_reason, confidence.
 
     ``register`` needs flight_id, date_iso, origin, dest, airline, confirmation_code and
-    ``ord``, its row order. The candidate row count never changes.
+    ``ord``, its row order. The candidate row count never changes. ``match_group`` is blank
+    for a new candidate; ``match_members`` lists the register rows of every group.
     """
     keyed = with_keys(candidates)
-    hits = match_hits(candidates, register, rules, inline_limit)
+    hits = match_hits(candidates, register, rules)
     hit = {c: f"_hit_{c}" for c in hits.columns if c not in TUPLE}
     joined = join_once(keyed, hits.withColumnsRenamed(hit), TUPLE, "left")
-    rule, ids, reason = F.col("_hit_rule"), F.col("_hit_ref"), F.col("_hit_reason")
-    if "members" in hit:
-        members = F.col("_hit_members")
-        ids = F.coalesce(ids, F.array_join(members["flight_id"], ","))
-        reason = F.coalesce(reason, _reason(rule, members))
+    rule, n, differences = F.col("_hit_rule"), F.col("_hit_n"), F.col("_hit_differences")
+    code = F.col("_code")
+    by_code = F.when(differences == "", say("confirmation_code exact match ({})", code)).otherwise(
+        say("confirmation_code match ({}) but fields differ: {}", code, differences))
     status = (
         F.when(rule.isNull(), "net_new")
-        .when(F.col("_hit_conflict"), "conflict")
+        .when(differences != "", "conflict")
         .when(rule <= SAME_BOOKING, "exact_duplicate")
         .otherwise("near_match")
     )
@@ -254,17 +225,32 @@ def classify(
     return joined.select(
         *[F.col(c) for c in candidates.columns],
         status.alias("dedup_status"),
-        F.coalesce(ids, F.lit("")).alias("matched_existing_ids"),
-        F.coalesce(reason, F.lit("")).alias("match_reason"),
+        F.when(rule.isNull(), "").otherwise(_group_name(rule, _tuple_key(rule))).alias("match_group"),
+        F.coalesce(n, F.lit(0)).cast("long").alias("match_count"),
+        F.when(rule.isNull(), "").when(rule == CODE, by_code).otherwise(_reason(rule, n)).alias("match_reason"),
         level.alias("confidence"),
     )
 
 
-def matches(
-    candidates: DataFrame, register: DataFrame, rules: Sequence[int], inline_limit: int = INLINE_LIMIT
-) -> DataFrame:
+def matches(candidates: DataFrame, register: DataFrame, rules: Sequence[int]) -> DataFrame:
     """Only the candidates that the given rules match."""
-    return classify(candidates, register, rules, inline_limit).where("dedup_status <> 'net_new'")
+    return classify(candidates, register, rules).where("dedup_status <> 'net_new'")
+
+
+def match_members(candidates: DataFrame, register: DataFrame, rules: Sequence[int] = ALL_RULES) -> DataFrame:
+    """All register rows of every group that a candidate names: match_group, ord, flight_id, date, reason."""
+    rule = F.col("rule")
+    used = match_hits(candidates, register, rules).where("rule is not null")
+    key = ["rule", *[f"k{i + 1}" for i in range(4)]]
+    groups = used.select(rule, *[p.alias(f"k{i + 1}") for i, p in enumerate(_tuple_key(rule))]).distinct()
+    rows = lookup_rows(register, rules).select(*key, "ord", "flight_id", "date") if set(rules) - {CODE} else None
+    if CODE in rules:
+        kept = codes_kept_last(register).select(
+            F.lit(CODE).alias("rule"), F.col("_code").alias("k1"), *[F.lit("").alias(f"k{i}") for i in (2, 3, 4)],
+            "ord", F.col("flight_id").cast("string").alias("flight_id"), F.col("_date").alias("date"))
+        rows = kept if rows is None else rows.unionByName(kept)
+    return join_once(rows, groups, key).select(
+        _group_name(rule, [F.col(k) for k in key[1:]]).alias("match_group"), "ord", "flight_id", "date", _member_reason().alias("reason"))
 
 
 def key_coverage(register: DataFrame) -> DataFrame:
@@ -314,18 +300,18 @@ def net_new_breakdown(classified: DataFrame) -> DataFrame:
 
 
 _REVIEW = {
-    "exact_duplicate": ("flight_id", "date_iso", "origin", "dest", "airline", "matched_existing_ids", "match_reason"),
+    "exact_duplicate": ("flight_id", "date_iso", "origin", "dest", "airline", "match_group", "match_count", "match_reason"),
     "near_match": (
         "flight_id", "date_iso", "origin", "dest", "airline", "confirmation_code",
-        "matched_existing_ids", "match_reason", "confidence",
+        "match_group", "match_count", "match_reason", "confidence",
     ),
     "conflict": (
         "flight_id", "date_iso", "origin", "dest", "airline", "confirmation_code",
-        "matched_existing_ids", "match_reason",
+        "match_group", "match_count", "match_reason",
     ),
 }
 _REVIEW_NAMES = {
-    "flight_id": "candidate_flight_id", "date_iso": "date", "matched_existing_ids": "matched_ids", "match_reason": "reason",
+    "flight_id": "candidate_flight_id", "date_iso": "date", "match_reason": "reason",
 }
 
 
@@ -335,8 +321,3 @@ def review(classified: DataFrame, status: str) -> DataFrame:
     return classified.where(F.col("dedup_status") == status).select(
         *[safe_text(F.col(c), kinds[c]).alias(_REVIEW_NAMES.get(c, c)) for c in _REVIEW[status]]
     )
-
-
-def first_duplicates(classified: DataFrame, n: int = 20) -> DataFrame:
-    """The first duplicates by candidate id, as the report shows them."""
-    return review(classified, "exact_duplicate").orderBy("candidate_flight_id").limit(n)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from tripledger import vocabulary as V
 from tripledger.plans import fixtures as D
-from tripledger.plans.queries import CHAT_WORDS, KEY_EXTENSIONS, SMALL_INLINE
+from tripledger.plans.queries import CHAT_WORDS, KEY_EXTENSIONS
 
 
 def _q(text: str) -> str:
@@ -263,7 +263,7 @@ r AS (
     upper(trim(dest)) AS ek, lower(trim(airline)) AS ak, try_cast(left(trim(date_iso), 10) AS DATE) AS dd FROM register
 ),
 diffs AS (
-  SELECT c.flight_id, r.flight_id AS ids, c.cc, concat_ws('; ',
+  SELECT c.flight_id, r.ord, r.flight_id AS rid, r.dk AS rdk, c.cc, concat_ws('; ',
       CASE WHEN c.ok <> '' AND r.ok <> '' AND c.ok <> r.ok THEN 'origin: ' || c.ok || ' vs ' || r.ok END,
       CASE WHEN c.ek <> '' AND r.ek <> '' AND c.ek <> r.ek THEN 'dest: ' || c.ek || ' vs ' || r.ek END,
       CASE WHEN c.dk <> '' AND r.dk <> '' AND c.dk <> r.dk THEN 'date: ' || c.dk || ' vs ' || r.dk END) AS diff
@@ -271,42 +271,45 @@ diffs AS (
     ON c.cc = r.cc
 ),
 pairs AS (
-  SELECT 2 AS rule, c.flight_id, r.ord, r.flight_id AS rid, 'date+origin+dest+airline match' AS why,
+  SELECT 2 AS rule, c.flight_id, r.ord, r.flight_id AS rid, r.dk AS rdk, 'date+origin+dest+airline match' AS why,
     ['2', c.dk, c.ok, c.ek, c.ak] AS grp
   FROM c JOIN r ON c.dk = r.dk AND c.ok = r.ok AND c.ek = r.ek AND c.ak = r.ak
   WHERE c.dk <> '' AND c.ok <> '' AND c.ek <> '' AND c.ak <> ''
   UNION ALL
-  SELECT 3, c.flight_id, r.ord, r.flight_id, 'same route ' || c.ok || '-' || c.ek || ' +/-1 day (candidate: ' || c.dk
+  SELECT 3, c.flight_id, r.ord, r.flight_id, r.dk, 'same route ' || c.ok || '-' || c.ek || ' +/-1 day (candidate: ' || c.dk
     || ', existing: ' || r.dk || ')', ['3', c.ok, c.ek, c.dk, '']
   FROM c JOIN r ON c.ok = r.ok AND c.ek = r.ek AND abs(c.dd - r.dd) = 1 WHERE c.ok <> '' AND c.ek <> ''
   UNION ALL
-  SELECT 4, c.flight_id, r.ord, r.flight_id, 'date+airline match (' || c.dk || ', ' || c.ak || ') [candidate missing origin/dest]',
+  SELECT 4, c.flight_id, r.ord, r.flight_id, r.dk, 'date+airline match (' || c.dk || ', ' || c.ak || ') [candidate missing origin/dest]',
     ['4', c.ak, c.dk, '', '']
   FROM c JOIN r ON c.ak = r.ak AND c.dk = r.dk WHERE c.ak <> '' AND c.dk <> '' AND (c.ok = '' OR c.ek = '')
   UNION ALL
-  SELECT 5, c.flight_id, r.ord, r.flight_id, 'date+airline near match (' || c.dk || ' vs ' || r.dk || ', ' || c.ak
+  SELECT 5, c.flight_id, r.ord, r.flight_id, r.dk, 'date+airline near match (' || c.dk || ' vs ' || r.dk || ', ' || c.ak
     || ') [candidate missing origin/dest, +/-1 day]', ['5', c.ak, c.dk, '', '']
   FROM c JOIN r ON c.ak = r.ak AND abs(c.dd - r.dd) = 1 WHERE c.ak <> '' AND (c.ok = '' OR c.ek = '')
 ),
 hits AS (
-  SELECT 1 AS rule, flight_id, ids,
+  SELECT 1 AS rule, flight_id,
     CASE WHEN diff = '' THEN 'confirmation_code exact match (' || cc || ')'
       ELSE 'confirmation_code match (' || cc || ') but fields differ: ' || diff END AS why,
-    CASE WHEN diff = '' THEN 'exact_duplicate' ELSE 'conflict' END AS status, 1 AS n, '' AS grp
+    CASE WHEN diff = '' THEN 'exact_duplicate' ELSE 'conflict' END AS status, 1 AS n, CAST(to_json(['1', cc, '', '', '']) AS VARCHAR) AS grp
   FROM diffs
   UNION ALL
-  SELECT rule, flight_id, string_agg(rid, ',' ORDER BY ord),
-    CASE WHEN rule = 2 THEN any_value(why) ELSE string_agg(why, '; ' ORDER BY ord) END,
+  SELECT rule, flight_id,
+    CASE rule WHEN 2 THEN any_value(why)
+      WHEN 3 THEN 'same route ' || any_value(grp)[2] || '-' || any_value(grp)[3] || ' +/-1 day (candidate: ' || any_value(grp)[4] || ', existing: ' || count(*) || ' rows)'
+      WHEN 4 THEN any_value(why)
+      ELSE 'date+airline near match (' || any_value(grp)[3] || ', ' || any_value(grp)[2] || ') [candidate missing origin/dest, +/-1 day]' END,
     CASE WHEN rule = 2 THEN 'exact_duplicate' ELSE 'near_match' END, count(*), CAST(to_json(any_value(grp)) AS VARCHAR)
   FROM pairs GROUP BY rule, flight_id
 ),
 best AS (SELECT * FROM hits QUALIFY row_number() OVER (PARTITION BY flight_id ORDER BY rule) = 1),
 classified AS (
   SELECT c.* EXCLUDE (cc, dk, ok, ek, ak, dd), coalesce(best.status, 'net_new') AS dedup_status,
-    coalesce(ids, '') AS matched_existing_ids, coalesce(why, '') AS match_reason,
+    coalesce(grp, '') AS match_group, CAST(coalesce(n, 0) AS BIGINT) AS match_count, coalesce(why, '') AS match_reason,
     CASE WHEN rule <= 2 THEN 'high' WHEN rule = 3 THEN 'medium' WHEN rule >= 4 THEN 'low'
       WHEN ok <> '' AND ek <> '' AND dk <> '' THEN 'high' WHEN dk <> '' THEN 'medium' ELSE 'low' END AS confidence,
-    n, grp, rule
+    rule
   FROM c LEFT JOIN best USING (flight_id)
 )"""
 
@@ -474,34 +477,20 @@ def _chat() -> str:
 def _review(status: str, extra: str = "") -> str:
     return _sides(
         f"SELECT flight_id AS candidate_flight_id, date_iso AS date, origin, dest, airline, {extra} "
-        f"matched_existing_ids AS matched_ids, match_reason AS reason FROM classified WHERE dedup_status = '{status}'"
+        f"match_group, CAST(match_count AS VARCHAR) AS match_count, match_reason AS reason FROM classified WHERE dedup_status = '{status}'"
     )
 
 
-_REFERRED = f"CASE WHEN rule > 1 AND gn > {SMALL_INLINE} THEN 'group:' || grp ELSE matched_existing_ids END"
-# A group is as large as the register rows under its key, whoever the candidate is.
-_LOOKUP = """
-lookups AS (
-  SELECT ['2', dk, ok, ek, ak] AS grp, ord, flight_id, dk FROM r WHERE dk <> '' AND ok <> '' AND ek <> '' AND ak <> ''
-  UNION ALL SELECT ['3', ok, ek, strftime(dd + x, '%Y-%m-%d'), ''], ord, flight_id, dk FROM r, (VALUES (-1), (1)) v(x)
-  WHERE ok <> '' AND ek <> '' AND dd IS NOT NULL
-  UNION ALL SELECT ['4', ak, dk, '', ''], ord, flight_id, dk FROM r WHERE ak <> '' AND dk <> ''
-  UNION ALL SELECT ['5', ak, strftime(dd + x, '%Y-%m-%d'), '', ''], ord, flight_id, dk FROM r, (VALUES (-1), (1)) v(x)
-  WHERE ak <> '' AND dd IS NOT NULL
-),
-named AS (SELECT *, CAST(to_json(grp) AS VARCHAR) AS g, count(*) OVER (PARTITION BY grp) AS gn FROM lookups)"""
-
-
 def _matched(rule: int) -> str:
     level = "'high'" if rule <= 2 else "'medium'" if rule == 3 else "'low'"
     return _sides(
-        f"SELECT flight_id, status AS dedup_status, ids AS matched_existing_ids, why AS match_reason, {level} AS confidence "
+        f"SELECT flight_id, status AS dedup_status, grp AS match_group, CAST(n AS BIGINT) AS match_count, why AS match_reason, {level} AS confidence "
         f"FROM hits WHERE rule = {rule}"
     )
 
 
 def all_oracles() -> dict[str, str]:
-    cls = "SELECT * EXCLUDE (n, grp, rule) FROM classified"
+    cls = "SELECT * EXCLUDE (rule) FROM classified"
     counts = " UNION ALL ".join(
         f"SELECT '{s}' AS dedup_status, count(*) FILTER (dedup_status = '{s}') AS n, "
         f"count(*) FILTER (dedup_status = '{s}') * 100.0::DOUBLE / count(*) AS percent FROM classified"
@@ -585,7 +574,7 @@ def all_oracles() -> dict[str, str]:
             "UNION ALL SELECT 'airline', coalesce(nullif(trim(airline), ''), 'unknown'), 1 FROM classified WHERE dedup_status = 'net_new' "
             "UNION ALL SELECT 'confidence', confidence, 1 FROM classified WHERE dedup_status = 'net_new' "
             "UNION ALL SELECT 'confidence', unnest(['high', 'medium', 'low']), 0) GROUP BY kind, value"),
-        "review_duplicates": _review("exact_duplicate") + " ORDER BY flight_id LIMIT 20",
+        "review_duplicates": _review("exact_duplicate"),
         "review_near_matches": _review("near_match", "confirmation_code, confidence,"),
         "review_conflicts": _review("conflict", "confirmation_code,"),
         "key_coverage": _sides(
@@ -594,13 +583,10 @@ def all_oracles() -> dict[str, str]:
             "UNION ALL SELECT 'route', count(DISTINCT (ok, ek)) FROM r WHERE ok <> '' AND ek <> '' "
             "UNION ALL SELECT 'date', count(DISTINCT dk) FROM r WHERE dk <> '' "
             "UNION ALL SELECT 'airline', count(DISTINCT ak) FROM r WHERE ak <> ''"),
-        "large_group_members": _with(
-            BOOKED, REGISTER, CANDIDATE, SIDES, _LOOKUP,
-            select=f"SELECT 'group:' || g AS group_ref, ord, flight_id, dk AS date FROM named WHERE gn > {SMALL_INLINE}"),
-        "large_group_classification": _with(
-            BOOKED, REGISTER, CANDIDATE, SIDES, _LOOKUP,
-            select=f"SELECT flight_id, dedup_status, {_REFERRED} AS matched_existing_ids, confidence FROM classified "
-            "LEFT JOIN (SELECT DISTINCT g, gn FROM named) s ON grp = g"),
+        "match_members": _sides(
+            "SELECT DISTINCT CAST(to_json(p.grp) AS VARCHAR) AS match_group, p.ord, p.rid AS flight_id, p.rdk AS date, p.why AS reason "
+            "FROM pairs p JOIN best b ON p.flight_id = b.flight_id AND p.rule = b.rule "
+            "UNION ALL SELECT DISTINCT CAST(to_json(['1', cc, '', '', '']) AS VARCHAR), ord, rid, rdk, 'confirmation_code match (' || cc || ')' FROM diffs"),
         "register_seed": _with(BOOKED, SEEDED, select="SELECT * FROM seeded"),
         "load_check": _with(
             BOOKED, SEEDED, select="SELECT (SELECT count(*) FROM booked) AS expected, count(DISTINCT flight_id) AS actual, "

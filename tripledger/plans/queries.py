@@ -29,7 +29,6 @@ Query = Callable[[SparkSession, str], DataFrame]
 _ALL: dict[str, Query] = {}
 CHAT_WORDS = ("flight", "gate", "plane", "que", "nicht", "the", "landed")
 KEY_EXTENSIONS = (".mbox", ".CSV", ".json", ".tar.gz", ".txt", ".Mbox")
-SMALL_INLINE = 2
 
 
 def query(fn: Query) -> Query:
@@ -232,7 +231,7 @@ def _sides(spark, sf_dir):
 
 def _matched(rule):
     def run(spark, sf_dir):
-        columns = ("flight_id", "dedup_status", "matched_existing_ids", "match_reason", "confidence")
+        columns = ("flight_id", "dedup_status", "match_group", "match_count", "match_reason", "confidence")
         return R.matches(*_sides(spark, sf_dir), rules=(rule,)).select(*columns)
 
     return run
@@ -267,7 +266,7 @@ def net_new_breakdown(spark, sf_dir):
 
 @query
 def review_duplicates(spark, sf_dir):
-    return R.first_duplicates(R.classify(*_sides(spark, sf_dir)))
+    return R.review(R.classify(*_sides(spark, sf_dir)), "exact_duplicate")
 
 
 @query
@@ -286,16 +285,8 @@ def key_coverage(spark, sf_dir):
 
 
 @query
-def large_group_members(spark, sf_dir):
-    return R.group_members(D.register(spark, sf_dir), inline_limit=SMALL_INLINE)
-
-
-@query
-def large_group_classification(spark, sf_dir):
-    """Classification with a tiny inline limit, so that most groups are referred to."""
-    return R.classify(*_sides(spark, sf_dir), inline_limit=SMALL_INLINE).select(
-        "flight_id", "dedup_status", "matched_existing_ids", "confidence"
-    )
+def match_members(spark, sf_dir):
+    return R.match_members(*_sides(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- register

@@ -101,10 +101,10 @@ def reconciliation(candidates: DataFrame, register: DataFrame, out: str, report:
             "classification": R.status_counts(stored),
             "existing_records": register.agg(F.count(F.lit(1)).alias("existing_records")),
             "net_new": R.net_new_breakdown(stored),
-            "duplicate_details": R.first_duplicates(stored),
+            "duplicate_details": R.review(stored, "exact_duplicate"),
             "near_match_details": R.review(stored, "near_match"),
             "conflict_details": R.review(stored, "conflict"),
-            "large_groups": R.group_members(register),
+            "match_members": R.match_members(candidates, register),
             "key_coverage": R.key_coverage(register),
         },
         report,

@@ -22,7 +22,7 @@ from tripledger.llm.quality import distinct
 from tripledger.llm.words import LOWER, pieces, words_of
 
 #: Hashed features, lengths in bytes of the beginnings of words that are features, and features that get a weight.
-SLOTS = 1 << 22
+SLOTS = 1 << 20
 HEADS = (3, 4, 5, 6)
 CHOSEN = 512
 #: The training sample: at most so many rows of each label, chosen by the checksum of the id.
@@ -104,27 +104,33 @@ def fit(texts: list[bytes], toxic: list[int]) -> Model:
     none = Model(np.zeros(SLOTS, np.float32), np.zeros(0))
     if not (y == 1).any() or not (y == 0).any():
         return none
-    slots, row, _ = features(texts)
-    keys = np.unique((np.repeat(row, slots.shape[1]) * SLOTS + slots.ravel())[slots.ravel() > 0])
-    owner, slot = keys // SLOTS, keys % SLOTS
-    with_, without = (np.bincount(slot, (y[owner] == c).astype(float), SLOTS) for c in (1, 0))
-    n1, n0 = (y == 1).sum(), (y == 0).sum()
-    a, b = with_ / n1, without / n0
+    with_, without = np.zeros(SLOTS, np.float32), np.zeros(SLOTS, np.float32)
+    for lo, hi in pieces(texts):  # piece by piece, as the driver holds little
+        slots, row, _ = features(texts[lo:hi])
+        keys = np.unique((np.repeat(row, slots.shape[1]) * SLOTS + slots.ravel())[slots.ravel() > 0])
+        toxic_row = y[lo + keys // SLOTS] == 1
+        np.add.at(with_, keys[toxic_row] % SLOTS, 1)
+        np.add.at(without, keys[~toxic_row] % SLOTS, 1)
+    a, b = with_ / np.float32((y == 1).sum()), without / np.float32((y == 0).sum())
     strength = np.where(with_ + without >= 3, (a - b) ** 2 / np.maximum(a + b, 1e-12), 0)
     chosen = np.argsort(-strength, kind="stable")[:CHOSEN]
     chosen = chosen[strength[chosen] > 0]
     if not len(chosen):
         return none
-    marked = np.zeros(SLOTS, bool)
-    marked[(with_ >= 3) & (a > 20 * b)] = True
-    marks = np.bincount(row, marked[slots].any(1).astype(float), len(y))
+    marked = (with_ >= 3) & (a > 20 * b)
+    column = np.full(SLOTS, -1, np.int32)
+    column[chosen] = np.arange(len(chosen))
+    marks, flats, owners = np.zeros(len(y)), [], []
+    for lo, hi in pieces(texts):
+        slots, row, _ = features(texts[lo:hi])
+        marks[lo:hi] = np.bincount(row, marked[slots].any(1).astype(float), hi - lo)
+        flat, of = column[slots].ravel(), lo + np.repeat(row, slots.shape[1])
+        flats.append(flat[flat >= 0])
+        owners.append(of[flat >= 0])
     grade = np.zeros(len(y), np.int64)
     steps = np.quantile(marks[y == 1], np.arange(1, GRADES) / GRADES)
     grade[y == 1] = 1 + np.searchsorted(steps, marks[y == 1], side="left")
-    column = np.full(SLOTS, -1)
-    column[chosen] = np.arange(len(chosen))
-    flat, of = column[slots].ravel(), np.repeat(row, slots.shape[1])
-    w, thresholds = regress(flat[flat >= 0], of[flat >= 0], grade, len(chosen), GRADES)
+    w, thresholds = regress(np.concatenate(flats), np.concatenate(owners), grade, len(chosen), GRADES)
     weights = np.zeros(SLOTS, np.float32)
     weights[chosen] = w
     return Model(weights, thresholds)

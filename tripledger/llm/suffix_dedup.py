@@ -34,7 +34,7 @@ from tripledger.llm.words import _BACK, _BASE, _powers
 STRING = 50
 GRAM = 16
 #: Bytes of text that are cut and packed together, and bytes of text per bucket.
-PIECE_BYTES = 3_000_000
+PIECE_BYTES = 2_000_000
 BUCKET_BYTES = 1_000_000
 #: Different marks of a bucket, and open pieces of a bucket of suffixes.
 MARKS = 1 << 24
@@ -165,17 +165,28 @@ def _pieces(ids: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, ...] | Non
     if not count.sum():
         return None
     sums = np.zeros(len(body) + 1, np.uint64)
-    np.cumsum((body.astype(np.uint64) + np.uint64(1)) * _powers("up", _BASE, len(body)), out=sums[1:])
+    value = body.astype(np.uint64)
+    value += np.uint64(1)
+    value *= _powers("up", _BASE, len(body))
+    np.cumsum(value, out=sums[1:])
+    del value
     back = _powers("down", _BACK, len(body))
-    least = _window_min(mixed((sums[GRAM:] - sums[:-GRAM]) * back[:len(sums) - GRAM]), STRING - GRAM + 1)
-    owner = np.repeat(np.arange(len(texts)), count)
-    start = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + begin[owner]
-    gram = least[start]
-    new = np.ones(len(start), bool)
-    new[1:] = (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])
-    cut = np.flatnonzero(new)
-    n = np.diff(np.append(cut, len(start)))
-    first, owner, gram = start[cut], owner[cut], gram[cut]
+    grams = sums[GRAM:] - sums[:-GRAM]
+    grams *= back[:len(grams)]
+    least = _window_min(mixed(grams), STRING - GRAM + 1)
+    del grams
+    # places where a string fits in its text, and of these the ones at which a piece begins
+    fits = np.zeros(len(least) + 1, np.int8)
+    np.add.at(fits, begin[count > 0], 1)
+    np.add.at(fits, (begin + count)[count > 0], -1)
+    fits = np.cumsum(fits[:-1], dtype=np.int8) > 0
+    new = np.ones(len(least), bool)
+    new[1:] = least[1:] != least[:-1]
+    new[begin[count > 0]] = True
+    first = np.flatnonzero(new & fits)
+    owner = np.searchsorted(begin, first, side="right") - 1
+    n = np.minimum(np.append(first[1:], len(body)), (begin + count)[owner]) - first
+    gram = least[first]
     content = mixed((sums[first + n + STRING - 1] - sums[first]) * back[first] + n.astype(np.uint64))
     return owner, first, n, gram, content, begin
 

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripledger.llm.common import mixed
+from tripledger.llm.common import id_filter, mixed, stored
 from tripledger.llm.words import Words, pieces, runs_of, words_of
 
 WINDOW = 13
@@ -202,7 +202,8 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = lost_windows(packed_runs(rows, max(4 * parts, total // BUCKET_BYTES)))
+    runs = stored(lost_windows(packed_runs(rows, max(4 * parts, total // BUCKET_BYTES))), "lost")
+    listed = id_filter(runs.select("doc_id").distinct())
     lost = runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("lost"))
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", *(["kept"] if with_text else [])]
 
@@ -248,4 +249,8 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo), *(pa.array(out[c], k) for c, k in zip(names[1:], kinds, strict=False))], names=names)
 
     fields = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else "")
-    return rows.join(lost, "doc_id", "left").mapInArrow(apply, fields)
+    # only documents that may lose something are shuffled
+    hit = rows.withColumn("hit", F.coalesce(listed(F.col("doc_id")), F.lit(False)))
+    none = F.lit(None).cast(lost.schema["lost"].dataType).alias("lost")
+    whole = hit.where("not hit").select("doc_id", "text", none)
+    return whole.unionByName(hit.where("hit").drop("hit").join(lost, "doc_id", "left")).mapInArrow(apply, fields)

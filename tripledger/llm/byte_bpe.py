@@ -27,11 +27,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 #: Characters of a block of documents that share one list of distinct words.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 8_000_000
 #: Words and documents per Arrow batch, and tokens of a batch that carries them.
 BATCH = 8192
 DOCUMENT_BATCH = 512
-MOST_TOKENS = 500_000
+MOST_TOKENS = 200_000
 #: The character of token k is FIRST_CHAR + k: every rank below 54,016 stays under the surrogates.
 FIRST_CHAR = 0x100
 MOST_RANKS = 0xD800 - FIRST_CHAR
@@ -51,7 +51,7 @@ class Ranks:
 
     @cached_property
     def by_word(self) -> dict[str, int]:
-        """Tokens that are whole characters; kept with the broadcast value, so once per worker."""
+        """Tokens that are whole characters."""
         found = {}
         for token, rank in self.by_bytes.items():
             try:
@@ -107,7 +107,7 @@ class Inside:
     pair the fold then does not meet, so no check is needed; no token is ever missed.
     """
 
-    SLOTS = 1 << 22
+    SLOTS = 1 << 21
     STEPS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93))
 
     def __init__(self, ranks: Ranks) -> None:
@@ -139,7 +139,7 @@ class Inside:
     def _slots(self, hashes) -> np.ndarray:
         x = np.asarray(hashes, np.uint64)
         x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-        return (x >> np.uint64(42)).astype(np.int64)
+        return (x >> np.uint64(43)).astype(np.int64)
 
     def find(self, flat: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Word numbers and ranks, ascending and distinct, of words laid end to end."""
@@ -167,17 +167,17 @@ def _characters(ids: list[int]) -> str:
     return "".join([chr(FIRST_CHAR + k) for k in ids])
 
 
-def words_and_documents(rows: DataFrame, ranks: Ranks, pattern: str) -> DataFrame:
+def words_and_documents(rows: DataFrame, ranks: Ranks, text_pattern: str) -> DataFrame:
     """Rows (doc_id, text) as rows of words (chars, merges) followed by rows of documents (doc_id, stream)."""
-    shared = rows.sparkSession.sparkContext.broadcast((Ranks(ranks.tokens, ranks.pairs), pattern))  # the tokenizer, whatever the input
+    # the tokenizer, whatever the input; its tables are made once, here
+    shared = rows.sparkSession.sparkContext.broadcast(([ranks.by_bytes[bytes([i])] for i in range(256)], ranks.by_word, ranks.inside, text_pattern))
     kind = dict(rows.dtypes)["doc_id"]
     schema = pa.schema([("doc_id", to_arrow_type(rows.schema["doc_id"].dataType)), ("stream", pa.binary()), ("chars", pa.string()), ("merges", pa.list_(pa.int32()))])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, pieces = shared.value[0], regex.compile(shared.value[1])
-        by = table.by_bytes
-        byte = {i: FIRST_CHAR + by[bytes([i])] for i in range(256)}
-        inside, known = table.inside, table.by_word
+        single, known, inside, pattern = shared.value
+        pieces = regex.compile(pattern)
+        byte = {i: FIRST_CHAR + rank for i, rank in enumerate(single)}
 
         def block(ids: list, texts: list[str | None]) -> Iterator[pa.RecordBatch]:
             codes = _Codes(known)

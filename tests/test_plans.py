@@ -89,7 +89,7 @@ def test_hot_candidates_are_split(spark, conf):
     register = spark.createDataFrame([("R1", "2024-03-01", "SEA", "SFO", "delta", "", 0)], side + ", ord long")
     df = R.classify(new, register)
     assert "skew=true" in _final(df)
-    assert df.where("matched_existing_ids = 'R1'").count() == 3000
+    assert df.where("match_count = 1").count() == 3000
 
 
 def test_hot_register_key_is_split_and_combined(spark, conf):

@@ -23,7 +23,7 @@ def _norm(row):
 
 
 def brute(candidate, register):
-    """(status, ids, reason, confidence) of one candidate; register rows in order."""
+    """(status, ids, reason, confidence) of one candidate."""
     _, date, day, o, d, line, code = _norm(candidate)
     rows = [_norm(r) for r in register]
     same_code = [r for r in rows if code and r[6] == code]
@@ -32,28 +32,26 @@ def brute(candidate, register):
         pairs = (("origin", o, ro), ("dest", d, rd), ("date", date, rdate))
         diffs = "; ".join(f"{n}: {a} vs {b}" for n, a, b in pairs if a and b and a != b)
         if diffs:
-            return "conflict", fid, f"confirmation_code match ({code}) but fields differ: {diffs}", "high"
-        return "exact_duplicate", fid, f"confirmation_code exact match ({code})", "high"
+            return "conflict", [fid], f"confirmation_code match ({code}) but fields differ: {diffs}", "high"
+        return "exact_duplicate", [fid], f"confirmation_code exact match ({code})", "high"
     full = date and o and d and line
     hits = [r[0] for r in rows if full and (r[1], r[3], r[4], r[5]) == (date, o, d, line)]
     if hits:
-        return "exact_duplicate", ",".join(hits), "date+origin+dest+airline match", "high"
+        return "exact_duplicate", hits, "date+origin+dest+airline match", "high"
     near = lambda r: day and r[2] and abs((day - r[2]).days) == 1
     hits = [r for r in rows if o and d and (r[3], r[4]) == (o, d) and near(r)]
     if hits:
-        why = [f"same route {o}-{d} +/-1 day (candidate: {date}, existing: {r[1]})" for r in hits]
-        return "near_match", ",".join(r[0] for r in hits), "; ".join(why), "medium"
+        why = f"same route {o}-{d} +/-1 day (candidate: {date}, existing: {len(hits)} rows)"
+        return "near_match", [r[0] for r in hits], why, "medium"
     if not (o and d) and line:
         note = " [candidate missing origin/dest"
         hits = [r for r in rows if date and r[5] == line and r[1] == date]
         if hits:
-            why = [f"date+airline match ({date}, {line}){note}]"] * len(hits)
-            return "near_match", ",".join(r[0] for r in hits), "; ".join(why), "low"
+            return "near_match", [r[0] for r in hits], f"date+airline match ({date}, {line}){note}]", "low"
         hits = [r for r in rows if r[5] == line and near(r)]
         if hits:
-            why = [f"date+airline near match ({date} vs {r[1]}, {line}){note}, +/-1 day]" for r in hits]
-            return "near_match", ",".join(r[0] for r in hits), "; ".join(why), "low"
-    return "net_new", "", "", "high" if o and d and date else "medium" if date else "low"
+            return "near_match", [r[0] for r in hits], f"date+airline near match ({date}, {line}){note}, +/-1 day]", "low"
+    return "net_new", [], "", "high" if o and d and date else "medium" if date else "low"
 
 
 def _rows(rng, prefix, n):
@@ -75,10 +73,18 @@ def test_equals_row_by_row(spark, seed):
     register = spark.createDataFrame(
         [(*existing[i], i) for i in order], SIDE + ", ord long"
     )
-    got = R.classify(spark.createDataFrame(new, SIDE), register).collect()
-    found = {r["flight_id"]: tuple(r)[6:] for r in got}
-    assert len(got) == len(new)
-    assert found == {c[0]: brute(c, existing) for c in new}
+    candidates = spark.createDataFrame(new, SIDE)
+    got = R.classify(candidates, register).collect()
+    members = {}
+    for m in R.match_members(candidates, register).collect():
+        members.setdefault(m["match_group"], []).append(m["flight_id"])
+    found = {}
+    for r in got:
+        ids = sorted(members[r["match_group"]]) if r["match_group"] else []
+        assert r["match_count"] == len(ids)
+        found[r["flight_id"]] = (r["dedup_status"], ids, r["match_reason"], r["confidence"])
+    assert len(got) == len(new) and set(members) == {r["match_group"] for r in got} - {""}
+    assert found == {c[0]: (s, sorted(ids), why, level) for c in new for s, ids, why, level in [brute(c, existing)]}
     assert {s[0] for s in found.values()} == set(R.STATUSES)
 
 
@@ -86,27 +92,25 @@ def test_repeated_candidates_keep_their_rows(spark):
     row = ("C1", "2024-03-01", "SEA", "SFO", "Delta", "")
     register = spark.createDataFrame([("R1", "2024-03-01", "SEA", "SFO", "delta", "", 0)], SIDE + ", ord long")
     got = R.classify(spark.createDataFrame([row] * 50, SIDE), register).collect()
-    assert len(got) == 50 and {r["matched_existing_ids"] for r in got} == {"R1"}
-
-
-def test_hot_group_is_referred_to_and_complete(spark):
-    """A third of the register shares one airline and day; nothing of it is lost."""
-    hot = [(f"H{i}", "2024-03-01", "SEA", "SFO", "Delta", "", i) for i in range(500)]
-    rest = [(f"R{i}", f"20{10 + i % 10}-05-{1 + i % 28:02d}", "SEA", "LHR", f"line {i}", "", 500 + i) for i in range(1000)]
-    register = spark.createDataFrame(hot + rest, SIDE + ", ord long").repartition(8)
-    new = spark.createDataFrame(
-        [("A", "2024-03-01", "", "SFO", "delta", ""), ("B", "2024-03-02", "", "SFO", "delta", ""),
-         ("C", rest[7][1], "", "LHR", "LINE 7", "")], SIDE)
-    found = {r["flight_id"]: r for r in R.classify(new, register, inline_limit=100).collect()}
-    members = R.group_members(register, inline_limit=100)
-    for name, n in (("A", 500), ("B", 500)):
-        row = found[name]
-        assert (row["dedup_status"], row["confidence"]) == ("near_match", "low")
-        ids = members.where(F.col("group_ref") == row["matched_existing_ids"]).collect()
-        assert {m["flight_id"] for m in ids} == {h[0] for h in hot} and len(ids) == n
-    assert found["C"]["matched_existing_ids"] == "R7"
-    inline = {r["flight_id"]: r["matched_existing_ids"] for r in R.classify(new, register).collect()}
-    assert inline["A"] == ",".join(h[0] for h in hot)
+    assert len(got) == 50 and {(r["match_group"], r["match_count"]) for r in got} == {('["2","2024-03-01","SEA","SFO","delta"]', 1)}
+
+
+def test_hot_group_is_complete(spark):
+    """100,000 register rows share one airline and day; nothing of it is lost or collected."""
+    n = 100_000
+    blank = F.lit("")
+    hot = spark.range(n).select(
+        F.concat(F.lit("H"), "id").alias("flight_id"), F.lit("2024-03-01").alias("date_iso"), F.lit("SEA").alias("origin"), F.lit("SFO").alias("dest"),
+        F.lit("Delta").alias("airline"), blank.alias("confirmation_code"), F.col("id").alias("ord"))
+    new = spark.createDataFrame([("A", "2024-03-01", "", "SFO", "delta", ""), ("B", "2024-03-02", "", "SFO", "delta", "")], SIDE)
+    found = {r["flight_id"]: r for r in R.classify(new, hot).collect()}
+    members = R.match_members(new, hot)
+    for name in ("A", "B"):
+        assert (found[name]["dedup_status"], found[name]["confidence"], found[name]["match_count"]) == ("near_match", "low", n)
+        own = members.where(F.col("match_group") == found[name]["match_group"])
+        assert own.select("flight_id").distinct().count() == n
+    plan = R.classify(new, hot)._jdf.queryExecution().executedPlan().toString() + members._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan
 
 
 def test_empty_sides(spark):

@@ -10,7 +10,7 @@ from tripledger.operators.extraction import CANDIDATE_SCHEMA
 from tripledger.plans import fixtures as D
 from tripledger.plans import runs
 from tripledger.sources.files import existing, list_files
-from tripledger.sources.tables import csv_profile, decimals_to_double, read_csv_text, spread
+from tripledger.sources.tables import csv_profile, decimals_to_double, read_csv_text
 from tripledger.sources.writers import register_table, to_schema, write_candidates
 
 CHAT = 'who,text\n"me","flight to\nthe ""gate"" now"\n\n"you","nothing"\n'
@@ -53,7 +53,7 @@ def test_csv(spark, tmp_path):
 
 def test_inventory_run(spark, tmp_path):
     root, report = _corpus(tmp_path / "c"), str(tmp_path / "report")
-    runs.inventory(spark, root, report)
+    runs.inventory(spark, root, report, "now", "imessage.csv", "contacts.csv")
     files = {r["path"].rsplit("/", 1)[1]: r for r in _lines(f"{report}/file_inventory")}
     assert files["gmail-sent.mbox"]["total_messages"] == 6 and files["work-sent.mbox"]["relevant_count"] == 2
     assert files["imessage.csv"]["total_messages"] == 3 and files["contacts.csv"]["total_messages"] == 2
@@ -65,7 +65,7 @@ def test_inventory_run(spark, tmp_path):
 
 def test_extraction_run(spark, tmp_path):
     root, out, report = _corpus(tmp_path / "c"), str(tmp_path / "out"), str(tmp_path / "report")
-    assert runs.extraction(spark, root, out, report, "now")
+    assert runs.extraction(spark, root, out, report, "now", ["gmail-sent.mbox", "work-sent.mbox", "absent.mbox"])
     rows = spark.read.parquet(out)
     assert [(f.name, f.dataType) for f in rows.schema] == [(f.name, f.dataType) for f in CANDIDATE_SCHEMA]
     legs = rows.where("source_file = 'work-sent.mbox'").collect()
@@ -75,6 +75,8 @@ def test_extraction_run(spark, tmp_path):
     stats = {r["source_file"]: r for r in _lines(f"{report}/files")}
     assert stats["work-sent.mbox"]["records_extracted"] == 4 and stats["work-sent.mbox"]["signal_emails"] == 2
     assert stats["work-sent.mbox"]["header_filtered"] == 1 and stats["gmail-sent.mbox"]["errors"] == 0
+    (totals,) = _lines(f"{report}/totals")
+    assert totals["total_emails"] == 9 and totals["records_extracted"] == sum(r["records_extracted"] for r in stats.values())
     (ids,) = _lines(f"{report}/ids")
     assert ids["duplicate_ids"] == ids["records"] - ids["unique_ids"] >= 2
     assert not runs.extraction(spark, root, str(tmp_path / "o2"), str(tmp_path / "r2"), "now", names=["none.mbox"])
@@ -93,11 +95,11 @@ def test_nothing_written_without_rows(spark, tmp_path):
 def test_reconciliation_run_and_table(spark, sf_dir, tmp_path):
     register = D.register(spark, sf_dir)
     out, report = str(tmp_path / "out"), str(tmp_path / "report")
-    stored = runs.reconciliation(D.booking_candidates(spark, sf_dir), register, out, report)
+    stored = runs.reconciliation(D.booking_candidates(spark, sf_dir), register, out, report, "now")
     counts = {r["dedup_status"]: r["n"] for r in _lines(f"{report}/classification")}
     assert sum(counts.values()) == stored.count() == register.count()
     assert len(_lines(f"{report}/near_match_details")) == counts["near_match"]
-    assert len(_lines(f"{report}/duplicate_details")) == 20
+    assert len(_lines(f"{report}/duplicate_details")) == counts["exact_duplicate"] > 20
     register_table(spark, "run_rows", out)
     try:
         assert spark.table("run_rows").count() == stored.count()
@@ -113,8 +115,15 @@ def test_seeding_run(spark, sf_dir, tmp_path):
     assert stored.select("flight_id").distinct().count() == stored.count()
 
 
-def test_spread_only_small_inputs(spark):
-    few = spark.range(100).coalesce(1)
-    assert spread(few).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
-    many = spark.range(0, 100, 1, 64).select(F.col("id"))
-    assert spread(many) is many
+def test_files_of_one_name_stay_apart(spark, tmp_path):
+    root = tmp_path / "c"
+    for folder, mails in (("a b+c", 1), ("d", 3)):
+        (root / folder).mkdir(parents=True)
+        (root / folder / "All mail.mbox").write_text(TRIP * mails)
+        (root / folder / "chat.csv").write_text("who,text\n" + "me,flight\n" * mails)
+    report = str(tmp_path / "report")
+    runs.inventory(spark, str(root), report, "now", "chat.csv", "none.csv")
+    counts = {tuple(r["path"].rsplit("/", 2)[1:]): r["total_messages"] for r in _lines(f"{report}/file_inventory")}
+    assert counts == {("a b+c", "All mail.mbox"): 1, ("d", "All mail.mbox"): 3, ("a b+c", "chat.csv"): 1, ("d", "chat.csv"): 3}
+    words = _lines(f"{report}/chat_analysis")
+    assert sorted(r["n"] for r in words if r["keyword"] == "flight") == [1, 3]

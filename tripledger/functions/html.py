@@ -16,7 +16,7 @@ ENTITIES = {
 def html_to_text(html: Column) -> Column:
     """Comments, scripts and styles dropped, breaking end tags to spaces, entities resolved.
 
-    Knows the entities above only; ``functions.mime`` covers pages with others.
+    Knows the entities above only; ``functions.mime.settled`` turns the others into characters first.
     """
     tags = "|".join(BREAKING_TAGS)
     steps = (

@@ -100,8 +100,8 @@ def mail_date(date: Column) -> Column:
 
 def month_number(name: Column) -> Column:
     """1..12 from an English month name or its three-letter form, else NULL."""
-    place = F.position(F.lower(name.substr(1, 3)), F.lit(V.MONTH_STEMS))
-    return bind(place, lambda at: F.when((F.length(name) >= 3) & (at % 3 == 1), ((at + 2) / 3).cast("int")))
+    months = F.create_map(*[F.lit(x) for pair in V.MONTHS.items() for x in pair])
+    return F.try_element_at(months, F.lower(name.substr(1, 3)))
 
 
 def relevant(

@@ -1,93 +1,75 @@
-"""Body text of a mail: natively when it is plain UTF-8, else one Arrow-batched stage."""
+"""Body text of a mail: natively when it is plain UTF-8, else from the parts that one Arrow-batched stage decodes.
+
+Python only undoes the MIME encoding and returns the text parts of a mail as they are. Which parts count, how they
+are joined and how HTML becomes text are native columns.
+"""
 
 from __future__ import annotations
 
-from email import message_from_bytes, policy
-from html.parser import HTMLParser
+import html
+import re
+from email import message_from_bytes
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tripledger.functions.html import BREAKING_TAGS
+from tripledger.functions.html import html_to_text
 from tripledger.functions.mail import header
 
-_RESULT = T.StructType([T.StructField("body", T.StringType()), T.StructField("error", T.StringType())])
-
-
-class _Visible(HTMLParser):
-    """Collects the text outside script and style, with a break after block ends."""
+_ENTITY = re.compile(r"&(?:#\d+|#[xX][0-9a-fA-F]+|\w+);?")
+#: Characters that the native chain still has to tell from markup.
+_MARKUP = {"<": "&lt;", ">": "&gt;", "&": "&amp;"}
+_KINDS = {"text/plain": "plain", "text/html": "html"}
 
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.hidden = False
-        self.out: list[str] = []
 
-    def handle_starttag(self, tag, attrs):
-        self.hidden = self.hidden or tag in ("script", "style")
+def settled(page: str) -> str:
+    """A page whose entities are characters, but for the three that would look like markup."""
+    return _ENTITY.sub(lambda m: (c := html.unescape(m[0])) and _MARKUP.get(c, c), page)
 
-    def handle_endtag(self, tag):
-        if tag in ("script", "style"):
-            self.hidden = False
-        elif tag in BREAKING_TAGS:
-            self.out.append("\n")
 
-    def handle_data(self, data):
-        if not self.hidden:
-            self.out.append(data)
+def text_parts(raw: bytes) -> list[tuple[str, str]]:
+    """(kind, text) of the decoded text parts that are no attachments; kind ``bare`` is an undecodable single payload."""
+    mail = message_from_bytes(raw)
+    leaves = [p for p in mail.walk() if not p.is_multipart()]
+    if mail.is_multipart():
+        leaves = [p for p in leaves if "attachment" not in str(p["Content-Disposition"]).lower()]
+    found = []
+    for leaf in (p for p in leaves if p.get_content_type() in _KINDS):
+        text = (leaf.get_payload(decode=True) or b"").decode(leaf.get_content_charset("utf-8"), "replace")
+        kind = _KINDS[leaf.get_content_type()]
+        found += [(kind, settled(text) if kind == "html" else text)] if text else []
+    bare = mail.get_payload()
+    return found or ([("bare", bare)] if isinstance(bare, str) else [])
 
 
-def page_text(html: str) -> str:
-    reader = _Visible()
-    reader.feed(html)
-    return " ".join("".join(reader.out).split())
+_PART = T.StructType([T.StructField("kind", T.StringType()), T.StructField("text", T.StringType())])
+_READ = T.StructType([T.StructField("parts", T.ArrayType(_PART)), T.StructField("error", T.StringType())])
 
 
-def _part_text(part) -> str:
-    raw = part.get_payload(decode=True) or b""
-    return raw.decode(part.get_content_charset() or "utf-8", errors="replace")
+@F.pandas_udf(_READ)
+def _decoded(raw: pd.Series) -> pd.DataFrame:
+    def one(item: bytes | None) -> tuple[list[dict[str, str]], str | None]:
+        try:
+            return [{"kind": k, "text": t} for k, t in text_parts(bytes(item))] if item is not None else [], None
+        except Exception as problem:  # one bad mail must not end the job
+            return [], f"{type(problem).__name__}: {problem}"
 
+    return pd.DataFrame([one(item) for item in raw], columns=["parts", "error"])
 
-def mail_text(raw: bytes) -> str:
-    """Text parts joined by newlines, else the HTML parts as text, else the bare payload."""
-    mail = message_from_bytes(raw, policy=policy.compat32)
-    many = mail.is_multipart()
-    texts: dict[str, list[str]] = {"text/plain": [], "text/html": []}
-    for part in mail.walk() if many else [mail]:
-        kind = part.get_content_type()
-        attached = many and "attachment" in str(part.get("Content-Disposition", "")).lower()
-        if kind in texts and not attached:
-            text = _part_text(part)
-            if text:
-                texts[kind].append(text)
-    if texts["text/plain"]:
-        return "\n".join(texts["text/plain"])
-    if texts["text/html"]:
-        return "\n".join(map(page_text, texts["text/html"]))
-    payload = mail.get_payload()
-    return payload if isinstance(payload, str) else ""
 
+def body_from(parts: Column) -> Column:
+    """Plain parts joined by newlines, else the HTML parts as text, else the bare payload, else blank."""
+    def texts(kind: str) -> Column:
+        return F.transform(F.filter(parts, lambda p: p["kind"] == kind), lambda p: p["text"])
 
-@F.pandas_udf(_RESULT)
-def _decode(raw: pd.Series) -> pd.DataFrame:
-    bodies, errors = [], []
-    for item in raw:
-        body = error = None
-        if item is not None:
-            try:
-                body = mail_text(bytes(item))
-            except Exception as problem:  # one bad mail must not end the job
-                error = f"{type(problem).__name__}: {problem}"
-        bodies.append(body)
-        errors.append(error)
-    return pd.DataFrame({"body": bodies, "error": errors})
-
-
-@F.pandas_udf(T.StringType())
-def any_html_to_text(html: pd.Series) -> pd.Series:
-    """``html_to_text`` for pages with entities outside its native list."""
-    return html.map(lambda page: None if page is None else page_text(page))
+    pages = F.transform(texts("html"), html_to_text)
+    return (
+        F.when(F.size(texts("plain")) > 0, F.array_join(texts("plain"), "\n"))
+        .when(F.size(pages) > 0, F.array_join(pages, "\n"))
+        .otherwise(F.coalesce(F.get(texts("bare"), F.lit(0)), F.lit("")))
+    )
 
 
 def body_of(headers: Column, raw_body: Column, message: Column) -> Column:
@@ -104,6 +86,8 @@ def body_of(headers: Column, raw_body: Column, message: Column) -> Column:
         & transfer.isin("", "7bit", "8bit", "binary")
         & charset.isin("", "utf-8", "utf8")
     )
-    decoded = _decode(F.when(~plain, message))
+    read = _decoded(F.when(~plain, message))
+    decoded = F.struct(
+        F.when(read["error"].isNull() & message.isNotNull(), body_from(read["parts"])).alias("body"), read["error"].alias("error"))
     native = F.struct(F.make_valid_utf8(raw_body).alias("body"), F.lit(None).cast("string").alias("error"))
     return F.when(plain, native).otherwise(decoded)

@@ -26,9 +26,9 @@ def relevant_mails(
 
 
 def catalog_entries(relevant_df: DataFrame) -> DataFrame:
-    """One row per relevant mail, subject cut for the catalog."""
+    """One row per relevant mail, with its whole subject."""
     return relevant_df.select(
-        "sender_domain", F.col("subject").substr(1, V.CATALOG_SUBJECT).alias("subject"), "date", "source_file"
+        "sender_domain", "subject", "date", "source_file"
     )
 
 
@@ -68,18 +68,18 @@ def file_stats(
     messages: DataFrame,
     sender_words: Iterable[str] = V.SENDER_WORDS,
     subject_words: Iterable[str] = V.SUBJECT_WORDS,
+    by: str = "source_file",
 ) -> DataFrame:
-    """Messages and relevant messages per source file."""
+    """Messages and relevant messages per source file; ``by`` names the column that tells files apart."""
     hit = relevant(F.col("from_hdr"), F.col("subject"), sender_words, subject_words)
-    return messages.groupBy("source_file").agg(
+    return messages.groupBy(by).agg(
         F.count(F.lit(1)).alias("total_messages"), F.count_if(hit).alias("relevant_count")
     )
 
 
 def file_inventory(listing: DataFrame, stats: DataFrame) -> DataFrame:
-    """Listed files with the counts of those that were scanned, joined on the file name."""
-    named = listing.withColumn("source_file", F.substring_index("path", "/", -1))
-    return join_once(named, stats, ["source_file"], "left").drop("source_file")
+    """Listed files with the counts of those that were scanned, joined on the whole path (``source_path``)."""
+    return join_once(listing, stats.withColumnRenamed("source_path", "path"), ["path"], "left")
 
 
 def corpus_totals(listing: DataFrame) -> DataFrame:

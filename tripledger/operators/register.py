@@ -151,17 +151,17 @@ def search(
         page = page.where(F.col("international") == F.lit(bool(international)))
     if cursor:
         page = page.where(F.col("flight_id") > json.loads(base64.b64decode(cursor))["flight_id"])
-    return page.select(*SUMMARY).orderBy("flight_id").limit(min(int(limit), V.PAGE_LIMIT))
+    return page.select(*SUMMARY).orderBy("flight_id").limit(int(limit))
 
 
-def page_info(page: DataFrame, limit: int = V.PAGE_LIMIT) -> DataFrame:
-    """One row (count, next_token) of a page; no token when the page is not full."""
+def page_info(page: DataFrame, limit: int) -> DataFrame:
+    """One row (count, next_token) of a page; no token when it holds fewer rows than the ``limit`` of its search."""
     token = F.base64(F.to_json(F.struct(F.max("flight_id").alias("flight_id"))).cast("binary"))
     size = F.count(F.lit(1))
-    return page.agg(size.alias("count"), F.when(size >= min(limit, V.PAGE_LIMIT), token).alias("next_token"))
+    return page.agg(size.alias("count"), F.when(size >= limit, token).alias("next_token"))
 
 
-def next_cursor(page: DataFrame, limit: int = V.PAGE_LIMIT) -> str | None:
+def next_cursor(page: DataFrame, limit: int) -> str | None:
     """The cursor for the page after this one (one row to the driver)."""
     return page_info(page, limit).first()["next_token"]
 
@@ -381,10 +381,11 @@ def apply_changes(register: DataFrame, log: DataFrame) -> Outcome:
 
 
 def merge(register: DataFrame, changed: DataFrame) -> DataFrame:
-    """The register with the new images in place of the old rows."""
+    """The register with the new images in place of the old rows, by one join that computes both sides once."""
     columns = REGISTER_SCHEMA.names
-    kept = register.select(*columns).join(changed.select("flight_id"), "flight_id", "left_anti")
-    return kept.unionByName(changed.select(*columns))
+    images = changed.select(F.col("flight_id").alias("_key"), F.struct(*columns).alias("_image"))
+    both = register.select(*columns).join(images, F.col("flight_id") == F.col("_key"), "full")
+    return both.select(*[F.when(F.col("_key").isNotNull(), F.col(f"_image.{c}")).otherwise(F.col(c)).alias(c) for c in columns])
 
 
 def create(register: DataFrame, log: DataFrame) -> Outcome:

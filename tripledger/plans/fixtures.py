@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from tripledger.functions.fields import clock_text, day_text
 from tripledger.functions.text import word_array
-from tripledger.sources.tables import spread
 
 AS_OF = "2024-06-01T00:00:00Z"
 PLACES = ("SEA", "SFO", "JFK", "LHR", "ANC", "DEN", "NRT", "BOS", "YVR", "MIA", "CDG", "ORD")
@@ -32,6 +31,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """The rows dealt out to all cores: what follows is costly per row, whatever the splits of the input."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 def _div(key: Column, by: int) -> Column:
     """Whole-number division."""
     return F.call_function("div", key, F.lit(by).cast("long"))
@@ -47,7 +51,7 @@ def _places(user: Column, key: Column) -> tuple[Column, Column]:
 
 
 def _hex_code(key: Column) -> Column:
-    return F.concat(F.lit("Q"), F.lpad(F.hex(key), 5, "0"))
+    return F.format_string("Q%05X", key)
 
 
 def _plus(day: Column, days: Column) -> Column:
@@ -56,7 +60,7 @@ def _plus(day: Column, days: Column) -> Column:
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One mail per order."""
-    orders = spread(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"))
+    orders = _dealt(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate"))
     k, u, d = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderdate").cast("date")
     third, half = _div(k, 3), _div(k, 2)
     later = (half % 2) * 1826
@@ -117,7 +121,7 @@ def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _booked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders with the segment of their customer; the join is left to the optimiser."""
-    orders = spread(table(spark, sf_dir, "orders"))
+    orders = _dealt(table(spark, sf_dir, "orders"))
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment")
     return orders.join(customers, orders.o_custkey == customers.c_custkey, "left")
 

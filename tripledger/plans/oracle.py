@@ -37,7 +37,7 @@ def _places(user: str, key: str) -> tuple[str, str]:
 
 
 _O, _E = _places("u", "k")
-_HEX = "'Q' || lpad(printf('%X', {0}), 5, '0')"
+_HEX = "'Q' || printf('%05X', {0})"
 
 # ---------------------------------------------------------------- inputs
 
@@ -213,7 +213,7 @@ extracted AS (
     international, CAST(NULL AS DOUBLE) AS eqm_miles, 'candidate' AS status, left(date_iso, 4) AS source_year,
     replace(source_file, '.mbox', '') AS source_sheet, domain AS website, '' AS funding_source, '' AS funding_date,
     '' AS sequence, {_q(D.AS_OF)} AS created_at, {_q(D.AS_OF)} AS updated_at, extraction_confidence, extraction_tier,
-    source_file, left(subject, 300) AS source_email_subject,
+    source_file, subject AS source_email_subject,
     CASE WHEN wall IS NULL THEN '' ELSE date END AS source_email_date
   FROM scored
 ),
@@ -489,6 +489,15 @@ def _matched(rule: int) -> str:
     )
 
 
+_STATS = (
+    "SELECT t.*, coalesce(signal_emails, 0) AS signal_emails, coalesce(records_extracted, 0) AS records_extracted FROM "
+    "(SELECT source_file, count(*) AS total_emails, count(*) FILTER (extraction_tier IS NULL) AS header_filtered, "
+    "CAST(0 AS BIGINT) AS errors FROM tiered GROUP BY source_file) t LEFT JOIN (SELECT source_file, "
+    "count(*) FILTER (leg = 0) AS signal_emails, count(*) AS records_extracted FROM extracted GROUP BY source_file) e "
+    "USING (source_file)"
+)
+
+
 def all_oracles() -> dict[str, str]:
     cls = "SELECT * EXCLUDE (rule) FROM classified"
     counts = " UNION ALL ".join(
@@ -514,7 +523,7 @@ def all_oracles() -> dict[str, str]:
             "SELECT count(*) AS relevant_mails, min(date) AS earliest, max(date) AS latest, "
             "count(DISTINCT left(date, 10)) AS estimated_unique FROM relevant", RELEVANT),
         "catalog_entries": _mail(
-            "SELECT domain AS sender_domain, left(subject, 200) AS subject, date, source_file FROM relevant", RELEVANT),
+            "SELECT domain AS sender_domain, subject, date, source_file FROM relevant", RELEVANT),
         "file_stats": _mail(
             f"SELECT source_file, count(*) AS total_messages, count(*) FILTER ({_holds('from_hdr', V.SENDER_WORDS)} OR "
             f"{_holds('subject', V.SUBJECT_WORDS)}) AS relevant_count FROM headed GROUP BY source_file"),
@@ -526,7 +535,7 @@ def all_oracles() -> dict[str, str]:
         "file_inventory": _with(
             _KEYS, select="SELECT path, size_bytes, format, count(*) OVER w AS total_messages, "
             "count(*) FILTER (format = 'mbox') OVER w AS relevant_count FROM listing "
-            "WINDOW w AS (PARTITION BY regexp_extract(path, '[^/]*$'))"),
+            "WINDOW w AS (PARTITION BY path)"),
         "corpus_totals": _with(
             _KEYS, select="SELECT count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS total_bytes FROM keys"),
         "page_text": f"SELECT page_id, {_html('html')} AS text FROM pages",
@@ -553,12 +562,11 @@ def all_oracles() -> dict[str, str]:
             "SELECT 'airline', coalesce(nullif(airline, ''), '(unknown)'), count(*) FROM candidates GROUP BY 2 UNION ALL "
             "SELECT 'year', source_year, count(*) FROM candidates WHERE source_year <> '' GROUP BY 2 UNION ALL "
             "SELECT 'international', 'true', count(*) FROM candidates WHERE international HAVING count(*) > 0"),
-        "extraction_stats": _run(
-            "SELECT t.*, coalesce(signal_emails, 0) AS signal_emails, coalesce(records_extracted, 0) AS records_extracted FROM "
-            "(SELECT source_file, count(*) AS total_emails, count(*) FILTER (extraction_tier IS NULL) AS header_filtered, "
-            "CAST(0 AS BIGINT) AS errors FROM tiered GROUP BY source_file) t LEFT JOIN (SELECT source_file, "
-            "count(*) FILTER (leg = 0) AS signal_emails, count(*) AS records_extracted FROM extracted GROUP BY source_file) e "
-            "USING (source_file)"),
+        "extraction_stats": _run(_STATS),
+        "run_totals": _run(
+            "SELECT count(*) AS files, CAST(sum(total_emails) AS BIGINT) AS total_emails, CAST(sum(header_filtered) AS BIGINT) AS header_filtered, "
+            "CAST(sum(errors) AS BIGINT) AS errors, CAST(sum(signal_emails) AS BIGINT) AS signal_emails, "
+            f"CAST(sum(records_extracted) AS BIGINT) AS records_extracted FROM ({_STATS})"),
         "id_counts": _run(
             "SELECT count(*) AS records, count(DISTINCT flight_id) AS unique_ids, count(*) - count(DISTINCT flight_id) AS duplicate_ids FROM extracted"),
         "match_confirmation": _matched(1),
@@ -628,5 +636,8 @@ def all_oracles() -> dict[str, str]:
         "mailbox_scan": _mail("SELECT msg_id, from_hdr, subject, date_hdr FROM messages"),
         "mail_bodies": _mail(
             "SELECT msg_id, extraction_tier, body, CAST(NULL AS VARCHAR) AS error FROM tiered WHERE extraction_tier IS NOT NULL", TIERED),
+        "reconciled_rows": _sides(cls),
+        "report_section": _sides(counts),
+        "scan_skips_missing": _mail("SELECT msg_id, subject FROM headed"),
         "register_decimals": _with(BOOKED, REGISTER, select="SELECT flight_id, total_paid FROM register"),
     }

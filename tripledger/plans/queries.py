@@ -19,11 +19,12 @@ from tripledger.operators import reconcile as R
 from tripledger.operators import register as G
 from tripledger.plans import fixtures as D
 from tripledger.session import scratch_dir
-from tripledger.sources.files import list_files
-from tripledger.sources.mailbox import scan_headers, scan_messages, with_bodies
+from tripledger.sources.files import base_name, list_files
+from tripledger.sources.mailbox import named, scan_headers, scan_messages, with_bodies
 from tripledger.sources.tables import csv_profile, decimals_to_double, read_csv_text, read_register
-from tripledger.sources.writers import register_table, write_candidates
+from tripledger.sources.writers import register_table, write_candidates, write_report, write_rows
 from tripledger.streaming.changes import apply_change_stream, current_register, start_store
+from tripledger.vocabulary import PAGE_LIMIT
 
 Query = Callable[[SparkSession, str], DataFrame]
 _ALL: dict[str, Query] = {}
@@ -76,11 +77,6 @@ def file_stats(spark, sf_dir):
     return C.file_stats(D.messages(spark, sf_dir))
 
 
-@query
-def corpus_files(spark, sf_dir):
-    return C.format_counts(list_files(spark, sf_dir, "*.parquet"))
-
-
 @query
 def keyword_frequency(spark, sf_dir):
     return C.keyword_frequency(D.table(spark, sf_dir, "conversations"), CHAT_WORDS)
@@ -103,7 +99,7 @@ def format_inventory(spark, sf_dir):
 @query
 def file_inventory(spark, sf_dir):
     listing = _keys(spark, sf_dir).withColumn("format", infer_format(F.col("path")))
-    counted = listing.groupBy(F.substring_index("path", "/", -1).alias("source_file")).agg(
+    counted = listing.groupBy(F.col("path").alias("source_path")).agg(
         F.count(F.lit(1)).alias("total_messages"), F.count_if(F.col("format") == "mbox").alias("relevant_count")
     )
     return C.file_inventory(listing, counted)
@@ -218,6 +214,11 @@ def extraction_stats(spark, sf_dir):
     return E.extraction_stats(D.messages(spark, sf_dir), D.AS_OF)
 
 
+@query
+def run_totals(spark, sf_dir):
+    return E.run_totals(E.extraction_stats(D.messages(spark, sf_dir), D.AS_OF))
+
+
 @query
 def id_counts(spark, sf_dir):
     return E.id_counts(_extracted(spark, sf_dir))
@@ -310,12 +311,12 @@ def search_register(spark, sf_dir):
 
 @query
 def search_page2(spark, sf_dir):
-    return decimals_to_double(_page(spark, sf_dir, G.next_cursor(_page(spark, sf_dir))))
+    return decimals_to_double(_page(spark, sf_dir, G.next_cursor(_page(spark, sf_dir), PAGE_LIMIT)))
 
 
 @query
 def search_cursor(spark, sf_dir):
-    return G.page_info(_page(spark, sf_dir))
+    return G.page_info(_page(spark, sf_dir), PAGE_LIMIT)
 
 
 def _log_ids(spark, sf_dir):
@@ -378,7 +379,13 @@ def stream_changes(spark, sf_dir):
     store = scratch_dir(spark, "register")
     start_store(D.register(spark, sf_dir), store)
     schema = D.table(spark, sf_dir, "events").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    # the events in three files, one after the other, so that several batches run
+    source, all_events = f"{store}/events", D.table(spark, sf_dir, "events")
+    last = all_events.agg(F.max("event_id")).first()[0] or 0
+    for third in range(3):
+        part = F.floor(F.col("event_id") * 3 / (last + 1))
+        all_events.where(part == third).coalesce(1).write.mode("append").parquet(source)
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
     apply_change_stream(D.change_rows(events), store, f"{store}/checkpoint").awaitTermination()
     return decimals_to_double(current_register(spark, store))
 
@@ -450,7 +457,7 @@ def mailbox_scan(spark, sf_dir):
 @query
 def mail_bodies(spark, sf_dir):
     found = with_bodies(E.booking_mails(scan_messages(spark, _mailbox(spark, sf_dir))))
-    return found.select(_number(found), "extraction_tier", F.rtrim(F.btrim("body", F.lit("\n"))).alias("body"), "error")
+    return found.select(_number(found), "extraction_tier", F.regexp_replace("body", r"\n+\z", "").alias("body"), "error")
 
 
 def _chat_csv(spark, sf_dir):
@@ -488,6 +495,32 @@ def write_candidate_rows(spark, sf_dir):
     return spark.read.parquet(_written(spark, sf_dir))
 
 
+@query
+def reconciled_rows(spark, sf_dir):
+    """Reconciled rows as written and read again."""
+    path = scratch_dir(spark, "reconciled")
+    write_rows(R.classify(*_sides(spark, sf_dir)), path)
+    return spark.read.parquet(path)
+
+
+@query
+def report_section(spark, sf_dir):
+    """A section of the report as written and read again."""
+    path = scratch_dir(spark, "report")
+    write_report({"classification": R.status_counts(R.classify(*_sides(spark, sf_dir)))}, path)
+    return spark.read.schema("dedup_status string, n long, percent double").json(f"{path}/classification")
+
+
+@query
+def scan_skips_missing(spark, sf_dir):
+    """Mailboxes picked by name, one of which does not exist."""
+    path = scratch_dir(spark, "boxes")
+    _mail_records(spark, sf_dir).write.text(f"{path}/box 0.mbox")
+    names = [r["name"] for r in list_files(spark, path, "part-*").select(base_name(F.col("path")).alias("name")).collect()]
+    found = scan_headers(spark, path, named([*names, "absent.mbox"]))
+    return found.select(_number(found), "subject")
+
+
 @query
 def candidate_table(spark, sf_dir):
     path = _written(spark, sf_dir)

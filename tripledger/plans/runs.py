@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,53 +27,80 @@ def inventory(
     spark: SparkSession,
     root: str,
     report: str,
-    chats: str = "imessage.csv",
-    contacts: str = "contacts.csv",
+    as_of: str,
+    chats: str,
+    contacts: str,
     chat_words: Iterable[str] = V.CHAT_WORDS,
 ) -> dict[str, DataFrame]:
-    """Lists a corpus folder, scans its mailboxes and CSV files and writes the report."""
-    listing = list_files(spark, root)
+    """Lists a corpus folder, scans its mailboxes and CSV files and writes the report.
+
+    ``chats`` and ``contacts`` are file names; every file of such a name takes part, told apart by
+    its path. Listing, file counts and relevant mails are stored once and everything else
+    is derived from them.
+    """
+    store = f"{report}/_stored"
+    listing = _kept(list_files(spark, root), f"{store}/listing")
     boxes = scan_headers(spark, root, ANY_MAILBOX)
-    relevant = C.relevant_mails(boxes)
-    stats = C.file_stats(boxes)
+    relevant = _kept(C.relevant_mails(boxes).select("sender_domain", "subject", "date", "source_file"), f"{store}/relevant")
+    stats = C.file_stats(boxes, by="source_path")
     sections = {
+        "head": _head(spark, as_of, root),
         "flight_email_catalog": C.catalog_entries(relevant),
         "sender_pattern_catalog": C.sender_catalog(relevant),
         "subject_pattern_catalog": C.subject_patterns(relevant),
         "date_range": C.date_summary(relevant),
         "corpus": C.corpus_totals(listing),
     }
-    for path in existing(spark, root, [chats]):
-        chat = C.keyword_frequency(read_csv_text(spark, path), chat_words)
-        sections["chat_analysis"] = chat
-        stats = stats.unionByName(_counted(chats, chat.select("total_rows").limit(1)))
-    for path in existing(spark, root, [contacts]):
-        profile = csv_profile(read_csv_text(spark, path))
-        sections["contacts_analysis"] = profile
-        stats = stats.unionByName(_counted(contacts, profile.select("row_count")))
+    words = list(chat_words)
+    for section, name in (("chat_analysis", chats), ("contacts_analysis", contacts)):
+        found = []
+        for path in existing(spark, root, [name]):
+            table = read_csv_text(spark, path)
+            rows = C.keyword_frequency(table, words) if section == "chat_analysis" else csv_profile(table)
+            count = "total_rows" if section == "chat_analysis" else "row_count"
+            found.append(rows.withColumn("path", F.lit(path)))
+            stats = stats.unionByName(_counted(path, rows.select(count).limit(1)))
+        if found:
+            sections[section] = reduce(DataFrame.unionByName, found)
     sections["file_inventory"] = C.file_inventory(listing, stats)
     write_report(sections, report)
     return sections
 
 
-def _counted(name: str, rows: DataFrame) -> DataFrame:
+def _kept(rows: DataFrame, path: str) -> DataFrame:
+    write_rows(rows, path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
+def _head(spark: SparkSession, as_of: str, corpus: str, **totals: int) -> DataFrame:
+    """The head of a report: when and over what it was made."""
+    return spark.range(1).select(
+        F.lit(as_of).alias("generated_at"), F.lit(corpus).alias("corpus_path"), *[F.lit(n).alias(c) for c, n in totals.items()])
+
+
+def _counted(path: str, rows: DataFrame) -> DataFrame:
     return rows.toDF("total_messages").select(
-        F.lit(name).alias("source_file"), "total_messages", F.lit(None).cast("long").alias("relevant_count")
+        F.lit(path).alias("source_path"), "total_messages", F.lit(None).cast("long").alias("relevant_count")
     )
 
 
-def extraction(
-    spark: SparkSession, root: str, out: str, report: str, as_of: str, names: Iterable[str] = V.MAILBOXES
-) -> bool:
-    """Reads the wanted mailboxes that exist, writes candidates (if any) and the run summary."""
-    scanned = scan_messages(spark, root, named(names))
-    mails = with_bodies(E.booking_mails(scanned))
-    found = E.extract(mails, as_of)
+def extraction(spark: SparkSession, root: str, out: str, report: str, as_of: str, names: Iterable[str]) -> bool:
+    """Reads the wanted mailboxes that exist, writes candidates (if any) and the run summary.
+
+    Mails are decoded once: the scanned rows with the bodies of gated mails are stored beside the
+    report, and candidates and statistics are derived from them.
+    """
+    store = f"{report}/_stored"
+    mails = _kept(scanned_with_bodies(scan_messages(spark, root, named(names))), f"{store}/mails")
+    found = _kept(E.extract(E.booking_mails(mails), as_of), f"{store}/extracted")
     written = write_candidates(E.unique_candidates(found, TIES), out, probe=found)
     rows = spark.read.parquet(out) if written else E.unique_candidates(found, TIES)
+    stats = _kept(E.extraction_stats(mails, as_of), f"{store}/files")
     write_report(
         {
-            "files": E.extraction_stats(scanned_with_bodies(scanned), as_of),
+            "head": _head(spark, as_of, root),
+            "files": stats,
+            "totals": E.run_totals(stats),
             "ids": E.id_counts(found),
             "confidence_distribution": E.confidence_buckets(rows),
             "field_completeness": E.field_completeness(rows),
@@ -88,16 +116,17 @@ def scanned_with_bodies(scanned: DataFrame) -> DataFrame:
     gate = F.col("extraction_tier").isNotNull()
     tiered = E.classified(scanned)
     kept = {c: F.when(gate, F.col(c)) for c in ("body_raw", "message")}
-    return with_bodies(tiered.withColumns(kept)).drop("domain", "extraction_tier")
+    return with_bodies(tiered.withColumns(kept)).drop("domain", "extraction_tier", "headers")
 
 
-def reconciliation(candidates: DataFrame, register: DataFrame, out: str, report: str) -> DataFrame:
+def reconciliation(candidates: DataFrame, register: DataFrame, out: str, report: str, as_of: str) -> DataFrame:
     """Classifies candidates, writes the rows and the report, returns the stored rows."""
     spark = candidates.sparkSession
     write_rows(R.classify(candidates, register), out)
     stored = spark.read.parquet(out)
     write_report(
         {
+            "head": _head(spark, as_of, out, total_candidates=stored.count()),
             "classification": R.status_counts(stored),
             "existing_records": register.agg(F.count(F.lit(1)).alias("existing_records")),
             "net_new": R.net_new_breakdown(stored),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -25,9 +27,14 @@ def local_session(cores: str = "*", shuffle: str = "8") -> SparkSession:
 def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new folder path under the cluster's shared checkpoint folder.
 
-    Only a session without ``spark.checkpoint.dir`` (a local test) gets a temporary one.
+    Only a local session without ``spark.checkpoint.dir`` (a test) gets a temporary one, which
+    goes when the process ends; any other session must name the folder, as executors share it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="tripledger-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -15,10 +15,20 @@ def list_files(spark: SparkSession, root: str, glob: str | None = None) -> DataF
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    listed = reader.load(root).select("path", F.col("length").alias("size_bytes"))
+    listed = reader.load(root).select(one_slash(F.col("path")).alias("path"), F.col("length").alias("size_bytes"))
     return listed.withColumn("format", infer_format(F.col("path")))
 
 
+def one_slash(path: Column) -> Column:
+    """A path whose scheme is followed by a single slash, as some readers give it and others do not."""
+    return F.regexp_replace(path, r"^([A-Za-z][A-Za-z0-9+.-]*:)/+(?=[^/])", "$1/")
+
+
+def scanned_path() -> Column:
+    """The path of the file that a row was read from, as a listing gives it: decoded once."""
+    return one_slash(F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))))
+
+
 def base_name(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 
@@ -26,7 +36,7 @@ def base_name(path: Column) -> Column:
 def existing(spark: SparkSession, root: str, names: Iterable[str]) -> list[str]:
     """Paths below the folder of those wanted file names that exist; missing ones are skipped.
 
-    Only as many rows as names were asked for reach the driver.
+    A name may exist in several folders; one row per such file reaches the driver.
     """
     wanted = list_files(spark, root).where(base_name(F.col("path")).isin(*names))
     return sorted(row.path for row in wanted.select("path").collect())

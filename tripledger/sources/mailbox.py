@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tripledger.functions.mail import header
 from tripledger.functions.mime import body_of
-from tripledger.sources.files import base_name
+from tripledger.sources.files import base_name, scanned_path
 
 # Envelope line, header block, then (after the first blank line) the body.
 _HEADERS = r"(?s)\A[^\n]*(?:\n(.*?))??(?:\r?\n\r?\n|\z)"
@@ -21,7 +22,7 @@ ANY_MAILBOX = "*.[mM][bB][oO][xX]"
 
 def named(names: Iterable[str]) -> str:
     """A file pattern for exactly these names; names without a file are skipped by the scan."""
-    return "{" + ",".join(names) + "}"
+    return "{" + ",".join(re.sub(r"([\\{}\[\],*?])", r"\\\1", n) for n in names) + "}"
 
 
 def _records(spark: SparkSession, paths: str | list[str], pattern: str | None) -> DataFrame:
@@ -30,19 +31,20 @@ def _records(spark: SparkSession, paths: str | list[str], pattern: str | None) -
     if pattern:
         reader = reader.option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
     lines = reader.text(paths)
-    source = F.col("source_file") if "source_file" in lines.columns else base_name(F.col("_metadata.file_path"))
+    path = scanned_path()
+    source = F.col("source_file") if "source_file" in lines.columns else base_name(path)
     first = F.col("value").startswith("From ")
     record = F.when(first, F.expr("substr(value, 6)")).otherwise(F.col("value"))
-    return lines.select(source.alias("source_file"), record.alias("record")).where("record <> ''")
+    return lines.select(source.alias("source_file"), path.alias("source_path"), record.alias("record")).where("record <> ''")
 
 
 def scan_headers(spark: SparkSession, paths: str | list[str], pattern: str | None = None) -> DataFrame:
-    """source_file, headers, from_hdr, subject, date_hdr of every message; no body.
+    """source_file, source_path, headers, from_hdr, subject, date_hdr of every message; no body.
 
     ``pattern`` picks files by name anywhere below the paths, without listing them first.
     """
     found = _records(spark, paths, pattern).select(
-        "source_file", F.regexp_extract("record", _HEADERS, 1).alias("headers")
+        "source_file", "source_path", F.regexp_extract("record", _HEADERS, 1).alias("headers")
     )
     return _with_names(found)
 
@@ -55,6 +57,7 @@ def scan_messages(spark: SparkSession, paths: str | list[str], pattern: str | No
     raw = F.expr("substr(record, locate('\\n', record) + 1)").cast("binary")
     found = _records(spark, paths, pattern).select(
         "source_file",
+        "source_path",
         block.alias("headers"),
         body.alias("body_raw"),
         F.when(start > 0, raw).alias("message"),

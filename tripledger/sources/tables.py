@@ -36,13 +36,3 @@ def decimals_to_double(df: DataFrame) -> DataFrame:
 def read_register(spark: SparkSession, path: str) -> DataFrame:
     """A stored register with its money columns as double."""
     return decimals_to_double(spark.read.parquet(path))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """The rows over all cores when their input has fewer splits than the session has cores.
-
-    For costly work per row on a small or unsplittable input. Inputs with enough splits, as
-    large ones have, are returned as they are and do not shuffle.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -44,6 +44,6 @@ def write_report(sections: dict[str, DataFrame], path: str) -> None:
 
 
 def register_table(spark: SparkSession, name: str, path: str) -> None:
-    """An external catalog table over stored Parquet."""
+    """An external catalog table over stored Parquet. A table of that name must not exist yet."""
     place = path.replace("'", "\\'")
-    spark.sql(f"CREATE TABLE IF NOT EXISTS {name} USING PARQUET LOCATION '{place}'")
+    spark.sql(f"CREATE TABLE {name} USING PARQUET LOCATION '{place}'")

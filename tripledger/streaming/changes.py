@@ -2,13 +2,15 @@
 
 The store is a folder with the register at the start (``base``) and, per micro-batch, the
 new images of the rows it changed (``changes/batch=N``) and what it refused
-(``rejects/batch=N``). A batch that runs again overwrites its own folders and reads only
-earlier ones, so a lost executor or a restart gives the same result.
+(``rejects/batch=N``). Base and images lie in BUCKETS folders by a hash of the key, and a
+batch reads only the buckets that its keys fall into. A batch that runs again overwrites its
+own folders and reads only earlier ones, so a lost executor or a restart gives the same
+result. ``compact`` folds the batches into the base of a new store.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -16,24 +18,41 @@ from pyspark.sql.streaming import StreamingQuery
 from tripledger.operators.keep import keep_last
 from tripledger.operators.register import REGISTER_SCHEMA, apply_changes, checked
 
-_IMAGES = T.StructType([*REGISTER_SCHEMA.fields, T.StructField("batch", T.LongType())])
+BUCKETS = 64
+_BASE = T.StructType([*REGISTER_SCHEMA.fields, T.StructField("bucket", T.IntegerType())])
+_IMAGES = T.StructType([*REGISTER_SCHEMA.fields, T.StructField("batch", T.LongType()), T.StructField("bucket", T.IntegerType())])
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("flight_id"), F.lit(BUCKETS)).cast("int")
+
+
+def _write(rows: DataFrame, path: str, mode: str) -> None:
+    """Rows in bucket folders; a bucket's rows meet in one task, so a folder gets one file."""
+    rows.select(*REGISTER_SCHEMA.names, _bucket().alias("bucket")).repartition("bucket").write.partitionBy("bucket").mode(mode).parquet(path)
 
 
 def start_store(register: DataFrame, store: str) -> None:
     """Writes the register at the start and an empty change folder."""
-    register.select(*REGISTER_SCHEMA.names).write.mode("errorifexists").parquet(f"{store}/base")
-    empty = register.select(*REGISTER_SCHEMA.names).where("false")
-    empty.write.mode("errorifexists").parquet(f"{store}/changes/batch=-1")
+    _write(register, f"{store}/base", "errorifexists")
+    _write(register.where("false"), f"{store}/changes/batch=-1", "errorifexists")
 
 
-def _images(spark: SparkSession, store: str) -> DataFrame:
-    base = spark.read.schema(REGISTER_SCHEMA).parquet(f"{store}/base").withColumn("batch", F.lit(-1).cast("long"))
+def stored_images(spark: SparkSession, store: str) -> DataFrame:
+    """All images of all rows: the base (batch -1) and those of the batches."""
+    base = spark.read.schema(_BASE).parquet(f"{store}/base").withColumn("batch", F.lit(-1).cast("long"))
     return base.unionByName(spark.read.schema(_IMAGES).parquet(f"{store}/changes"))
 
 
 def current_register(spark: SparkSession, store: str) -> DataFrame:
     """The register after all applied batches."""
-    return keep_last(_images(spark, store), ["flight_id"], ["batch"]).drop("batch")
+    return keep_last(stored_images(spark, store), ["flight_id"], ["batch"]).drop("batch", "bucket")
+
+
+def compact(spark: SparkSession, store: str, into: str) -> str:
+    """Starts a new store from the current rows of one whose batches have piled up; the old one stays as it is."""
+    start_store(current_register(spark, store), into)
+    return into
 
 
 def rejected_changes(spark: SparkSession, store: str) -> DataFrame:
@@ -44,13 +63,15 @@ def apply_batch(batch: DataFrame, number: int, store: str) -> None:
     """Applies one batch of change rows to the store."""
     spark = batch.sparkSession
     log = batch.persist()
-    keys = checked(log).where("code IS NULL").select(F.col("key").alias("flight_id"))
-    # Only rows the batch names are read past the scan; changes touch nothing else.
-    named = _images(spark, store).where(F.col("batch") < number).join(keys.distinct(), "flight_id", "left_semi")
-    held = keep_last(named, ["flight_id"], ["batch"]).drop("batch").persist()
+    keys = checked(log).where("code IS NULL").select(F.col("key").alias("flight_id")).distinct()
+    buckets = [r["bucket"] for r in keys.select(_bucket().alias("bucket")).distinct().collect()]  # at most BUCKETS
+    # Only rows the batch names are read past the scan of their buckets; changes touch nothing else.
+    earlier = stored_images(spark, store).where(F.col("bucket").isin(buckets)).where(F.col("batch") < number)
+    named = earlier.join(keys, "flight_id", "left_semi")
+    held = keep_last(named, ["flight_id"], ["batch"]).drop("batch", "bucket").persist()
     try:
         outcome = apply_changes(held, log)
-        outcome.changed.write.mode("overwrite").parquet(f"{store}/changes/batch={number}")
+        _write(outcome.changed, f"{store}/changes/batch={number}", "overwrite")
         outcome.rejects.write.mode("overwrite").parquet(f"{store}/rejects/batch={number}")
     finally:
         held.unpersist()

@@ -96,6 +96,58 @@ SELECT doc_id, size, source_size, target, taken,
 FROM counted
 """
 
+OP2_SQL = """
+WITH docs AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+starts AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM docs, unnest(range(0, n - 49)) t(i)),
+firsts AS (SELECT s, min(doc_id) AS first FROM starts GROUP BY s),
+lost AS (SELECT doc_id, i FROM starts JOIN firsts USING (s) WHERE doc_id > first),
+edges AS (
+  SELECT doc_id, i AS pos, 1 AS d FROM lost UNION ALL SELECT doc_id, i + 50, -1 FROM lost
+  UNION ALL SELECT doc_id, 0, 0 FROM docs UNION ALL SELECT doc_id, n, 0 FROM docs),
+steps AS (SELECT doc_id, pos, sum(d) AS d FROM edges GROUP BY doc_id, pos),
+parts AS (
+  SELECT doc_id, pos, d, sum(d) OVER w AS deep, coalesce(lead(pos) OVER w, pos) AS upto FROM steps WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
+whole AS (
+  SELECT doc_id, sum(upto - pos) FILTER (deep > 0) AS gone, count(*) FILTER (deep > 0 AND deep = d) AS spans,
+    string_agg(substr(h, 2 * pos + 1, 2 * (upto - pos)), '' ORDER BY pos) FILTER (deep = 0) AS kept
+  FROM parts JOIN docs USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, spans AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256
+FROM docs JOIN whole USING (doc_id)
+"""
+
+OP6_SQL = r"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM docs, unnest(range(1, greatest(len(w) - 3, 2))) t(i) WHERE len(w) > 0),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+pairs AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (
+  SELECT a, b FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach(doc_id, r) AS (
+  SELECT doc_id, doc_id FROM docs UNION SELECT ways.b, reach.r FROM reach JOIN ways ON ways.a = reach.doc_id),
+least_of AS (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM least_of LEFT JOIN sizes USING (doc_id)
+"""
+
+OP7_SQL = r"""
+WITH docs AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+windows AS (SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS s FROM docs, unnest(range(1, len(w) - 11)) t(i)),
+firsts AS (SELECT s, min(doc_id) AS first FROM windows GROUP BY s),
+lost AS (SELECT doc_id, i FROM windows JOIN firsts USING (s) WHERE doc_id > first),
+hit AS (SELECT DISTINCT doc_id, i + k AS pos FROM lost, range(13) r(k)),
+words AS (SELECT doc_id, i AS pos, w[i] AS word FROM docs, unnest(range(1, len(w) + 1)) t(i)),
+stay AS (
+  SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY pos) AS kept FROM words ANTI JOIN hit USING (doc_id, pos) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, len(w) - coalesce(n, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM docs LEFT JOIN stay USING (doc_id)
+"""
+
 OP8_SQL = r"""
 WITH facts AS (
   SELECT doc_id, length(coalesce(text, '')) AS points,
@@ -125,4 +177,10 @@ def llm_queries() -> dict[str, Query]:
 
 
 def llm_oracles() -> dict[str, str]:
-    return {"op3_source_mixing": OP3_SQL, "op8_exact_dedup": OP8_SQL}
+    return {
+        "op2_suffix_dedup": OP2_SQL,
+        "op3_source_mixing": OP3_SQL,
+        "op6_minhash_join": OP6_SQL,
+        "op7_superkmer_dedup": OP7_SQL,
+        "op8_exact_dedup": OP8_SQL,
+    }

@@ -394,6 +394,9 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     fields = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     # only documents that may lose something are shuffled
     hit = rows.withColumn("hit", F.coalesce(listed(F.col("doc_id")), F.lit(False)))
-    none = F.lit(None).cast(lost.schema["lost"].dataType).alias("lost")
-    whole = hit.where("not hit").select("doc_id", "text", none)
-    return whole.unionByName(hit.where("hit").drop("hit").join(lost, "doc_id", "left")).mapInArrow(apply, fields + (", spans array<struct<from: long, to: long>>, kept binary" if with_spans else ""))
+    cut = hit.where("hit").drop("hit").join(lost, "doc_id", "left").mapInArrow(apply, fields + (", spans array<struct<from: long, to: long>>, kept binary" if with_spans else ""))
+    body, zero = F.coalesce("text", F.lit("")).cast("binary"), F.lit(0).cast("long")
+    whole = {"n_bytes": F.octet_length(body).cast("long"), "n_removed": zero, "n_spans": zero, "kept_sha256": F.sha2(body, 256)}
+    if with_spans:
+        whole |= {"spans": F.array().cast("array<struct<from: long, to: long>>"), "kept": body}
+    return cut.union(hit.where("not hit").select("doc_id", *[c.alias(n) for n, c in whole.items()]))

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripledger.llm.common import id_filter, mixed, stored
+from tripledger.llm.common import BLANKS, WORD, id_filter, mixed, stored
 from tripledger.llm.words import Words, pieces, runs_of, words_of
 
 WINDOW = 13
@@ -251,6 +251,10 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     fields = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else "")
     # only documents that may lose something are shuffled
     hit = rows.withColumn("hit", F.coalesce(listed(F.col("doc_id")), F.lit(False)))
-    none = F.lit(None).cast(lost.schema["lost"].dataType).alias("lost")
-    whole = hit.where("not hit").select("doc_id", "text", none)
-    return whole.unionByName(hit.where("hit").drop("hit").join(lost, "doc_id", "left")).mapInArrow(apply, fields)
+    cut = hit.where("hit").drop("hit").join(lost, "doc_id", "left").mapInArrow(apply, fields)
+    text_ = F.coalesce("text", F.lit(""))
+    kept = F.trim(F.regexp_replace(text_, BLANKS, " "))
+    whole = {"n_words": F.regexp_count(text_, F.lit(WORD)).cast("long"), "n_removed": F.lit(0).cast("long"), "kept_sha256": F.sha2(kept.cast("binary"), 256)}
+    if with_text:
+        whole["kept"] = kept
+    return cut.union(hit.where("not hit").select("doc_id", *[c.alias(n) for n, c in whole.items()]))

@@ -157,9 +157,12 @@ def graded(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     columns are not read; an empty table gives an empty table; without both labels all severities are 0.
     """
     known = labels.where(F.col(label).isin(0, 1) & ~held_out(F.col(doc_id))).select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("label"))
-    picked = None
+    picked, counts = None, {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     for value in (0, 1):
-        part = known.where(F.col("label") == value).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_ROWS)
+        # only about the wanted ids leave the tasks, whatever their number
+        share = min(1.0, 1.3 * SAMPLE_ROWS / max(1, counts.get(value, 0)))
+        near = F.pmod(F.xxhash64("_id"), F.lit(1 << 30)) <= int(share * (1 << 30))
+        part = known.where((F.col("label") == value) & near).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE_ROWS)
         picked = part if picked is None else picked.union(part)
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     # at most 2 * SAMPLE_ROWS ids are broadcast

@@ -26,6 +26,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from tripledger.llm.common import tidied
+
 #: Characters of a block of documents that share one list of distinct words.
 BLOCK_CHARS = 8_000_000
 #: Words and documents per Arrow batch, and tokens of a batch that carries them.
@@ -174,6 +176,7 @@ def words_and_documents(rows: DataFrame, ranks: Ranks, text_pattern: str) -> Dat
     kind = dict(rows.dtypes)["doc_id"]
     schema = pa.schema([("doc_id", to_arrow_type(rows.schema["doc_id"].dataType)), ("stream", pa.binary()), ("chars", pa.string()), ("merges", pa.list_(pa.int32()))])
 
+    @tidied
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         single, known, inside, pattern = shared.value
         pieces = regex.compile(pattern)
@@ -238,6 +241,7 @@ def encoded(docs: DataFrame, ranks: Ranks, pattern: str, doc_id: str = "doc_id",
     shared = docs.sparkSession.sparkContext.broadcast(ranks.tokens)
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids", "decoded"] if with_ids else [])]
 
+    @tidied
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = shared.value
         spare = [""] * (OWN - len(tokens))

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -121,3 +124,19 @@ def id_filter(ids: DataFrame) -> Callable[[Column], Column]:
         return pd.Series((shared.value[at >> 6] >> (at & 63) & 1).astype(bool))
 
     return lambda c: listed(F.pmod(F.xxhash64(c), F.lit(bits)))
+
+
+def tidied(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task over batches that gives its memory back when it ends, as idle Python workers stay for the next task."""
+
+    def run(batches: Iterator) -> Iterator:
+        try:
+            yield from task(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only where the C library has it
+            if trim is not None:
+                trim(0)
+
+    return run

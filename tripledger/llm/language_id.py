@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripledger.llm.common import held_out
+from tripledger.llm.common import held_out, tidied
 
 #: Bytes of a run, units per direction, and runs that are scored together.
 SPAN = 128
@@ -220,6 +220,7 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a few thousand weights, whatever the input
 
+    @tidied
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = shared.value
         for batch in batches:

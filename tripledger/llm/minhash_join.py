@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripledger.llm.common import held, mixed, numbered
+from tripledger.llm.common import held, mixed, numbered, tidied
 from tripledger.llm.words import LOWER, pieces, shingles_of, words_of
 
 SHINGLE = 5
@@ -40,6 +40,7 @@ _SEEDS = mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
 def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, set_id (16 bytes; null for a document without words), tokens."""
 
+    @tidied
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [(x.as_py() or "").encode("utf-8").translate(LOWER) for x in batch.column(1)]
@@ -67,6 +68,7 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 def full_sets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     """doc_id and the sorted shingle hashes as bytes."""
 
+    @tidied
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [(x.as_py() or "").encode("utf-8").translate(LOWER) for x in batch.column(1)]
@@ -166,6 +168,7 @@ def confirmed(packed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     rows = packed.select("block", "other", F.lit(None).cast("long").alias("pos"), "codes", F.lit(None).cast("binary").alias("own")).unionByName(
         needed.join(sets, "pos").select("block", "other", "pos", F.lit(None).cast("array<int>").alias("codes"), "own"))
 
+    @tidied
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in groups_of(batches, ["block", "other"]):
             block, other = int(group["block"].iloc[0]), int(group["other"].iloc[0])
@@ -245,6 +248,7 @@ def _second_round(posted: DataFrame, labels: DataFrame) -> DataFrame:
                 F.col("tokens.token").alias("tokens"))
     )
 
+    @tidied
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for group in groups_of(batches, ["token", "p", "q"]):
             if len(group) < 2:

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripledger.llm.common import held
+from tripledger.llm.common import held, tidied
 
 DIMS = 12
 SURE = 0.98
@@ -152,6 +152,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "v
     blocks = {int(b["cell"]): -(-b["n"] // BLOCK_ROWS) for b in boxes}
 
     def route(home: bool):
+        @tidied
         def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
                 if not len(batch) or not len(names):

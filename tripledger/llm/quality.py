@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripledger.llm.common import held, held_out
+from tripledger.llm.common import held, held_out, tidied
 from tripledger.llm.words import Words, pieces, runs_of, words_of
 
 #: Weights of the pooled covariance and of its diagonal in a class covariance, and the least variance of a statistic.
@@ -83,6 +83,7 @@ def statistics(texts: list[bytes]) -> np.ndarray:
 def document_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     kept = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
 
+    @tidied
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [(x.as_py() or "").encode("utf-8") for x in batch.column(1)]
@@ -110,6 +111,7 @@ class Discriminant:
 def fit(rows: DataFrame) -> Discriminant | None:
     """From rows (x, label): sums and products per class, added up by the tasks; null labels are left out."""
 
+    @tidied
     def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         found: dict[int, np.ndarray] = {}
         for batch in batches:

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripledger.llm.common import id_filter, mixed, stored
+from tripledger.llm.common import id_filter, mixed, stored, tidied
 from tripledger.llm.superkmer_dedup import _window_min, gathered
 from tripledger.llm.words import _BACK, _BASE, _powers
 
@@ -194,6 +194,7 @@ def _pieces(ids: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, ...] | Non
 def hashed_pieces(docs: DataFrame, buckets: int) -> DataFrame:
     """Hashes of pieces packed by bucket, and starts that equal bytes of a smaller document in the same part of the input lose."""
 
+    @tidied
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
         for id_list, texts in gathered(batches, PIECE_BYTES):
@@ -233,6 +234,7 @@ def hashed_pieces(docs: DataFrame, buckets: int) -> DataFrame:
 def _by_bucket(packed: DataFrame, solve: Callable[[int, list[bytes]], pa.RecordBatch | None], ddl: str) -> DataFrame:
     """``solve`` over the packed rows of each bucket; rows that are not packed pass."""
 
+    @tidied
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, blobs = None, []
         for batch in batches:
@@ -298,6 +300,7 @@ def sifted(packed: DataFrame) -> DataFrame:
 def cut_pieces(docs: DataFrame, buckets: int) -> DataFrame:
     """Bytes of the open pieces, packed by bucket, from rows (doc_id, text, open: start, n and mark of each)."""
 
+    @tidied
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
         for batch in batches:
@@ -364,6 +367,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     lost = runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("lost"))
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["spans", "kept"] if with_spans else [])]
 
+    @tidied
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = {n: [] for n in names[1:]}

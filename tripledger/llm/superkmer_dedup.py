@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripledger.llm.common import BLANKS, WORD, id_filter, mixed, stored
+from tripledger.llm.common import BLANKS, WORD, id_filter, mixed, stored, tidied
 from tripledger.llm.words import Words, pieces, runs_of, words_of
 
 WINDOW = 13
@@ -82,6 +82,7 @@ def _sent_runs(doc: np.ndarray, at: np.ndarray, buckets: int) -> pa.RecordBatch:
 def packed_runs(docs: DataFrame, buckets: int) -> DataFrame:
     """Super-k-mers packed per piece and bucket, and runs of windows that are already known to be lost."""
 
+    @tidied
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
 
@@ -171,6 +172,7 @@ def lost_windows(packed: DataFrame) -> DataFrame:
         d, s, n = _runs(doc[gone], at[gone])
         return pa.record_batch([pa.array(d), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32))], names=["doc_id", "start", "n"])
 
+    @tidied
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, blobs = None, []
         for batch in batches:
@@ -207,6 +209,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     lost = runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("lost"))
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", *(["kept"] if with_text else [])]
 
+    @tidied
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [(x.as_py() or "").encode("utf-8") for x in batch.column(1)]

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripledger.llm.common import held_out, mixed
+from tripledger.llm.common import held_out, mixed, tidied
 from tripledger.llm.quality import distinct
 from tripledger.llm.words import LOWER, pieces, words_of
 
@@ -170,6 +170,7 @@ def graded(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
     model = fit([_bytes(r["text"]) for r in sample], [r["label"] for r in sample])
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @tidied
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = [_bytes(x.as_py()) for x in batch.column(1)]

@@ -2,9 +2,9 @@
 
 1. Every document gets the set of its word shingles and a signature of COORDINATES minima. Documents with equal sets are
    one class, represented by the smallest id, so that groups of copies never meet as pairs.
-2. A (coordinate, value) pair is a token. Two sets above the threshold agree in at least LEAST_MATCHES tokens (see
-   there), so each class is posted only under its rarest tokens, as many as make a common one certain; a class with
-   fewer than LEAST_MATCHES shared tokens is posted nowhere.
+2. A (coordinate, value) pair is a token. Two sets above the threshold agree in at least ``least`` tokens (see
+   least_matches), so each class is posted only under its rarest tokens, as many as make a common one certain; a class with
+   fewer than ``least`` shared tokens is posted nowhere.
 3. The first round joins each posting list's most central class with the others of the list, confirms the links on
    the full sets and contracts the linked classes to components.
 4. The second round takes only lists that still hold several components. It is cut in blocks; collisions are counted
@@ -14,6 +14,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,16 +28,29 @@ from tripledger.llm.words import LOWER, pieces, shingles_of, words_of
 
 SHINGLE = 5
 PERCENT = 85
-#: Sets with a similarity of 0.85 agree in Binomial(48, 0.85) coordinates: fewer than 30 in 1 of 30,000 pairs, and the
-#: more similar the rarer. All other steps are exact.
+#: Sets with a similarity of s agree in Binomial(48, s) coordinates. As many matches are asked for as all but MISSED of
+#: the pairs at the threshold have (see least_matches), and the more similar the rarer a miss. All other steps are exact.
 COORDINATES = 48
-LEAST_MATCHES = 30
+MISSED = 1 / 30_000
 #: Classes of a block of neighbours in which pairs are confirmed, and members of a block of a posting list.
 BLOCK = 64
 LIST_BLOCK = 512
 _SEEDS = mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
 
 
+def least_matches(percent: int) -> int:
+    """Coordinates in which a pair at ``percent`` agrees but for MISSED of the cases: 30 of 48 at 85, 26 at 80."""
+    p, below, least = percent / 100, 0.0, 0
+    while least < COORDINATES:
+        below += math.comb(COORDINATES, least) * p**least * (1 - p) ** (COORDINATES - least)
+        if below > MISSED:
+            break
+        least += 1
+    if not (0 < percent <= 100 and least):
+        raise ValueError(f"{COORDINATES} coordinates do not tell pairs at {percent} percent")
+    return least
+
+
 def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, set_id (16 bytes; null for a document without words), tokens."""
 
@@ -106,7 +120,7 @@ def _parts(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def postings(reps: DataFrame) -> DataFrame:
+def postings(reps: DataFrame, least: int) -> DataFrame:
     """Classes that may have a partner: rep, tokens (those of several classes, rarest first), prefix, weight."""
     tokens = reps.select("rep", F.explode("tokens").alias("token"))
     often = tokens.groupBy("token").count().where("count > 1")
@@ -115,8 +129,8 @@ def postings(reps: DataFrame) -> DataFrame:
         often.withColumn("at", F.shiftright("token", 32)), ["token", "at"])
     return (
         shared.groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("tokens"))
-        .where(F.size("tokens") >= LEAST_MATCHES)
-        .select("rep", "tokens", F.slice("tokens", F.lit(1), F.size("tokens") - LEAST_MATCHES + 1).alias("prefix"),
+        .where(F.size("tokens") >= least)
+        .select("rep", "tokens", F.slice("tokens", F.lit(1), F.size("tokens") - least + 1).alias("prefix"),
                 F.aggregate("tokens", F.lit(0).cast("long"), lambda s, x: s + x["count"]).alias("weight"),
                 F.element_at("tokens", -1)["token"].alias("anchor"))
     )
@@ -215,7 +229,7 @@ def components(links: DataFrame, start: DataFrame | None = None) -> DataFrame:
             return labels
 
 
-def _first_round(posted: DataFrame) -> DataFrame:
+def _first_round(posted: DataFrame, least: int) -> DataFrame:
     """Pairs (a, b) of positions: the most central class of each posting list and each other one with enough tokens."""
     listed = posted.select("pos", "weight", F.explode("prefix.token").alias("token"))
     leaders = listed.groupBy("token").agg(F.max(F.struct("weight", (-F.col("pos")).alias("less"))).alias("best"))
@@ -227,12 +241,12 @@ def _first_round(posted: DataFrame) -> DataFrame:
     own, theirs = (posted.select(F.col("pos").alias(name), F.col("tokens.token").alias(f"{name}_tokens")) for name in ("pos", "leader"))
     return (
         pairs.join(own, "pos").join(theirs, "leader")
-        .where(F.size(F.array_intersect("pos_tokens", "leader_tokens")) >= LEAST_MATCHES)
+        .where(F.size(F.array_intersect("pos_tokens", "leader_tokens")) >= least)
         .select(F.col("pos").alias("a"), F.col("leader").alias("b"))
     )
 
 
-def _second_round(posted: DataFrame, labels: DataFrame) -> DataFrame:
+def _second_round(posted: DataFrame, labels: DataFrame, least: int) -> DataFrame:
     """Pairs between different components with enough common tokens, packed by blocks."""
     grouped = posted.join(labels.withColumnRenamed("node", "pos"), "pos", "left").withColumn("label", F.coalesce("label", "pos"))
     listed = grouped.select("pos", "label", "tokens", F.size("prefix").alias("posted"), F.explode("prefix").alias("x")).select("*", "x.token", F.shiftright("x.token", 32).alias("at"))
@@ -272,7 +286,7 @@ def _second_round(posted: DataFrame, labels: DataFrame) -> DataFrame:
                 hits += equal
                 if early[:, k].any():
                     seen |= equal & early[rows, k][:, None] & early[cols, k]
-            good = (hits >= LEAST_MATCHES) & ~seen & (label[rows][:, None] != label[cols])
+            good = (hits >= least) & ~seen & (label[rows][:, None] != label[cols])
             if same_block:
                 good &= pos[rows][:, None] < pos[cols]
             i, j = np.nonzero(good)
@@ -291,17 +305,18 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per
 
     Words are runs other than blanks and line ends, A-Z in lower case; a set holds distinct five-word shingles, or the
     whole sequence of a shorter text. Documents without words (null, empty or blank text) have no set and no link.
-    ``percent`` must be 85 or more, as the number of coordinates is chosen for it. Rows that repeat an id share its
+    The matches asked for follow from ``percent``; one for which the coordinates are too few is refused. Rows that repeat an id share its
     rows' smallest component; a null id is linked with nothing smaller than its class. Other columns are not read.
     """
+    least = least_matches(percent)
     facts = held(signatures(docs, doc_id, text))
     classes = facts.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"))
     reps = facts.join(classes.select(F.col("rep").alias("doc_id"), F.col("set_id").alias("_set")), "doc_id").where("set_id = _set").dropDuplicates(["doc_id"])
-    posted = held(numbered(postings(reps.select(F.col("doc_id").alias("rep"), "tokens")), ["anchor", "rep"], "pos"))
+    posted = held(numbered(postings(reps.select(F.col("doc_id").alias("rep"), "tokens"), least), ["anchor", "rep"], "pos"))
     wanted = docs.join(posted.select(F.col("rep").alias("_rep")), F.col(doc_id).cast("long") == F.col("_rep"), "left_semi")
     sets = held(full_sets(wanted, doc_id, text).dropDuplicates(["rep"]).join(posted.select("rep", "pos"), "rep").select("pos", "own"))
-    first = held(confirmed(_packed(_first_round(posted)), sets, percent))
-    second = held(confirmed(_second_round(posted, components(first)), sets, percent))
+    first = held(confirmed(_packed(_first_round(posted, least)), sets, percent))
+    second = held(confirmed(_second_round(posted, components(first), least), sets, percent))
     # positions back to ids, so that the smallest label is the smallest id
     ids = posted.select("pos", "rep")
     links = first.union(second).join(ids.toDF("a", "ra"), "a").join(ids.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
@@ -314,7 +329,7 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per
     )
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The documents without those that a near copy with a smaller id represents; all columns as they came."""
-    gone = near_groups(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
+    gone = near_groups(docs, percent=percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 from test_operators import WORD, plain_near
 
 import corpus_pipeline
-from tripledger.llm import minhash_join
+from tripledger.llm import language_id, minhash_join
 
 
 def _banded(pairs: int) -> list[tuple[int, str]]:
@@ -30,3 +31,15 @@ def test_near_stage_links_pairs_between_80_and_85_percent(spark):
     assert (minhash_join.least_matches(85), minhash_join.least_matches(80)) == (30, 26)
     with pytest.raises(ValueError):
         minhash_join.near_groups(docs, percent=10)
+
+
+def test_rare_language_and_whole_texts_are_learned(spark):
+    common = spark.range(20_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("the word is number "), "id").alias("text"), F.lit("en").alias("lang"))
+    rare = spark.createDataFrame([(-i, f"ein wort mehr {i}", "de") for i in (2, 4, 5)], "doc_id long, text string, lang string")
+    late = spark.createDataFrame([(-9, "a" * 5000 + "z" * 5000, "zz")], "doc_id long, text string, lang string")
+    model = language_id.train(common.union(rare).union(late))
+    assert model.langs == ["de", "en", "zz"]
+    spans, langs = language_id.training_spans(common.union(rare).union(late))
+    assert 0 < langs.count("en") <= language_id.LANG_ROWS * language_id.ROW_SPANS
+    assert any(b"z" in s for s, lang in zip(spans, langs, strict=True) if lang == "zz")
+    assert (spans, langs) == language_id.training_spans(common.union(rare).union(late).repartition(5))

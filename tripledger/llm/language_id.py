@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripledger.llm.common import held_out, tidied
@@ -21,9 +21,10 @@ from tripledger.llm.common import held_out, tidied
 SPAN = 128
 UNITS = 4
 BATCH = 2048
-#: The training sample: at most so many rows and bytes of each, chosen by the checksum of the id; and its schedule.
-SAMPLE_ROWS = 3000
-SAMPLE_BYTES = 4096
+#: The training sample: at most so many rows of each language, chosen by a checksum of id and text, so many runs of
+#: TRAIN_SPAN bytes from anywhere in each text; and its schedule.
+LANG_ROWS = 750
+ROW_SPANS = 16
 STEPS, TRAIN_BATCH, TRAIN_SPAN, RATE = 160, 384, 48, 0.02
 UNKNOWN = "und"
 
@@ -123,8 +124,11 @@ def fit(texts: list[bytes], langs: list[str], seed: int = 7) -> Model:
     w = {k: (rng.normal(0, 0.3, s) if k != "c" else np.zeros(s)).astype(np.float32) for k, s in shape.items()}
     for k in ("tf", "tb"):
         w[k][:n] += 1.0  # starts with a long memory
-    by = [[t for t, x in zip(texts, langs, strict=True) if x == lang and t] for lang in known]
-    by = [(i, pool) for i, pool in enumerate(by) if pool]
+    pools: dict[str, list[bytes]] = {lang: [] for lang in known}
+    for t, x in zip(texts, langs, strict=True):
+        if t:
+            pools[x].append(t)
+    by = [(i, pools[lang]) for i, lang in enumerate(known) if pools[lang]]
     if len(by) < 2:
         return Model(known, w)
     m, v2 = ({k: np.zeros_like(x) for k, x in w.items()} for _ in range(2))
@@ -145,19 +149,38 @@ def fit(texts: list[bytes], langs: list[str], seed: int = 7) -> Model:
     return Model(known, w)
 
 
-def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """Fits on at most SAMPLE_ROWS rows with a language and a text, none of them held out, chosen by checksum of the id."""
+def training_spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[list[bytes], list[str]]:
+    """Runs of bytes and their languages: of every language of any row that is not held out and has a text, LANG_ROWS
+    rows at most and ROW_SPANS runs of each, drawn in the tasks from the whole text. Same rows, same runs."""
     known = docs.where(F.col(lang).isNotNull() & (F.length(text) > 0) & ~held_out(F.col(doc_id))).select(
-        F.col(doc_id).alias("id"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    mark = F.pmod(F.xxhash64("id"), F.lit(1 << 30))
-    # only about the rows that are wanted leave the tasks, whatever their number
-    share = min(1.0, 1.3 * SAMPLE_ROWS / max(1, docs.where(F.col(lang).isNotNull()).count()))
-    rows = (
-        known.where(mark <= int(share * (1 << 30)))
-        .select("id", "lang", F.substring(F.col("text").cast("binary"), 1, SAMPLE_BYTES).alias("bytes"))
-        .orderBy(F.xxhash64("id"), "id", "lang", "bytes").limit(SAMPLE_ROWS).collect()
-    )
-    return fit([bytes(r["bytes"]) for r in rows], [r["lang"] for r in rows])
+        F.xxhash64(F.col(doc_id), F.col(text)).alias("mark"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}  # one row per language
+    if not counts:
+        return [], []
+    # only about the rows that are wanted leave the tasks, whatever their number; of a rare language all do
+    share = F.create_map(*[F.lit(x) for name, n in counts.items() for x in (name, int(min(1.0, 1.3 * LANG_ROWS / n) * (1 << 30)))])
+
+    @tidied
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spans = []
+            for mark, text_ in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                body = text_.as_py().encode("utf-8")
+                last = max(0, len(body) - TRAIN_SPAN)
+                at = np.random.default_rng(mark & (2**64 - 1)).integers(last + 1, size=ROW_SPANS) if last else [0]
+                spans.append([body[a:a + TRAIN_SPAN] for a in at])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(spans, pa.list_(pa.binary()))], names=["mark", "lang", "spans"])
+
+    drawn = known.where(F.pmod("mark", F.lit(1 << 30)) <= F.element_at(share, F.col("lang"))).mapInArrow(
+        draw, "mark long, lang string, spans array<binary>")
+    first = Window.partitionBy("lang").orderBy("mark", "spans")
+    rows = drawn.withColumn("n", F.row_number().over(first)).where(F.col("n") <= LANG_ROWS).orderBy("lang", "n").collect()
+    return [bytes(x) for r in rows for x in r["spans"]], [r["lang"] for r in rows for _ in r["spans"]]
+
+
+def train(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
+    """Fits on runs of LANG_ROWS rows of each language at most, none of them held out; see training_spans."""
+    return fit(*training_spans(docs, doc_id, text, lang))
 
 
 def pooled(texts: list[bytes], model: Model) -> np.ndarray:

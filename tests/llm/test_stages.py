@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 from test_operators import WORD, plain_near
 
 import corpus_pipeline
-from tripledger.llm import language_id, minhash_join
+from tripledger.llm import exact_dedup, language_id, minhash_join, mixing
 
 
 def _banded(pairs: int) -> list[tuple[int, str]]:
@@ -43,3 +46,44 @@ def test_rare_language_and_whole_texts_are_learned(spark):
     assert 0 < langs.count("en") <= language_id.LANG_ROWS * language_id.ROW_SPANS
     assert any(b"z" in s for s, lang in zip(spans, langs, strict=True) if lang == "zz")
     assert (spans, langs) == language_id.training_spans(common.union(rare).union(late).repartition(5))
+
+
+#: Rows (doc_id, text) with several null ids and repeated ids: bad and clean, copies and near copies, some under null ids alone.
+NEAR = [" ".join(f"{c}{i}" for i in range(104)) for c in "abc"]
+MANY = [(None, None), (None, "123"), (None, "clean words of one row"), (None, "other clean words"), (7, ""), (7, "seven has words"), (7, "seven has more words"),
+        (8, "same  text"), (8, "same text"), (8, "same  text"), (None, "copy of nulls"), (None, "copy of nulls"), (9, "copy of one"), (None, "copy of one"),
+        (None, NEAR[0]), (None, NEAR[0] + " end"), (20, NEAR[1] + " end"), (None, NEAR[1]), (3, NEAR[2]), (3, NEAR[2] + " end"), (3, "three apart")]
+
+
+def _many(spark, rows):
+    return spark.createDataFrame([(d, x, ["en", "de"][k % 2], "s") for k, (d, x) in enumerate(rows)], "doc_id long, text string, lang string, source string").repartition(3)
+
+
+def _rows(df):
+    return Counter((r["doc_id"], r["text"]) for r in df.collect())
+
+
+def test_stages_decide_by_row_with_null_and_repeated_ids(spark):
+    docs = _many(spark, MANY)
+    read = Counter((d, x) for d, x in MANY if x and re.search("[a-z]", x))
+    assert _rows(language_id.keep_readable(docs, least=0.0)) == read
+    copies = {}
+    for d, x in MANY:
+        copies.setdefault(re.sub(r"[\x20\x09-\x0D]", "", x or ""), []).append((-len(x or ""), d is None, d or 0, x))
+    best = Counter()
+    for group in copies.values():
+        _, none, d, x = min(group, key=lambda r: r[:3])
+        best[None if none else d, x] += 1
+    got = _rows(exact_dedup.drop_copies(docs))
+    assert {(d, x or "") for d, x in got} == {(d, x or "") for d, x in best} and got.total() == best.total()
+    wordy = [r for r in MANY if r[1]]
+    numbers = {i: r for i, r in enumerate(sorted(wordy, key=lambda r: (r[0] is None, r[0] or 0)))}
+    near = plain_near([(i, x) for i, (_, x) in numbers.items()], 80)
+    ids = _rows(minhash_join.keep_one(_many(spark, wordy), percent=80))
+    assert Counter(d for d, _ in ids.elements()) == Counter(numbers[i][0] for i, (_, top) in near.items() if i == top)
+    taken = mixing.mixture(docs.withColumn("row", F.monotonically_increasing_id()), row="row").collect()
+    laps = Counter({(r["doc_id"], r["size"]): 0 for r in taken})
+    for r in taken:
+        laps[r["doc_id"], r["size"]] += -(-r["taken"] // r["size"]) if r["taken"] else 0
+    order = Counter((d, len(WORD.findall(x or ""))) for d, x in _rows(mixing.training_order(docs)).elements())
+    assert order == +laps

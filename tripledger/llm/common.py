@@ -97,6 +97,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def with_rows(docs: DataFrame) -> DataFrame:
+    """The rows, stored once, with ``_row``: a number of each row, so that a decision holds for a row and not for an id."""
+    return stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
 #: Bits of a filter of ids: at least, per id, and at most (2**27 bits are 16 MB). Beyond that it lets more rows pass.
 FILTER_BITS = (1 << 16, 8, 1 << 27)
 

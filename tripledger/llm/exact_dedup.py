@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripledger.llm.common import BLANKS, held
+from tripledger.llm.common import BLANKS, held, with_rows
 
 #: Filter slots per row, and the largest filter: 2**27 bits are 16 MB. Beyond it more rows shuffle; results stay exact.
 SLOTS_PER_ROW = 16
@@ -63,10 +63,27 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     empty texts are one group. Rows that repeat an id share its decision and each count in the group. A null id loses
     every tie. Other columns are not read, so their names cannot clash; an empty table gives an empty table.
     """
+    alone, shared = _split(docs, doc_id, text)
+    alone = alone.select(
+        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
+        F.lit(True).alias("kept"), "text_sha256")
+    # summed before the shuffle, so that a hot text sends one row per task
+    groups = shared.groupBy("text_sha256").agg(
+        F.count("*").alias("group_size"), F.max(F.struct("points", (-F.col("doc_id")).alias("less"))).alias("best"),
+        F.max("dense").alias("dense"))
+    # the second key makes both sides shuffle for the join alone, so that adaptive execution can split a hot text
+    joined = shared.join(groups.select("text_sha256", "dense", "group_size", (-F.col("best.less")).alias("keep_id")),
+                         ["text_sha256", "dense"])
+    return alone.unionByName(joined.select(
+        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"))
+
+
+def _split(docs: DataFrame, doc_id: str, text: str, *more: str) -> tuple[DataFrame, DataFrame]:
+    """The facts of rows whose text is certainly alone, and of all others; columns ``more`` come along."""
     spark = docs.sparkSession
     body = normalised(F.col(text))
     facts = held(docs.select(
-        F.col(doc_id).alias("doc_id"), F.sha2(body.cast("binary"), 256).alias("text_sha256"),
+        *more, F.col(doc_id).alias("doc_id"), F.sha2(body.cast("binary"), 256).alias("text_sha256"),
         F.length(F.coalesce(F.col(text), F.lit(""))).alias("points"), F.length(body).alias("dense"),
     ))
     slots = 1 << PAGE_BITS
@@ -84,22 +101,18 @@ def exact_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
         return pd.Series(found)
 
     marked = facts.withColumn("maybe", maybe_repeated(*slot_columns(F.col("text_sha256"), slots)))
-    alone = marked.where("not maybe").select(
-        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"),
-        F.lit(True).alias("kept"), "text_sha256")
-    shared = marked.where("maybe").drop("maybe")
-    # summed before the shuffle, so that a hot text sends one row per task
-    groups = shared.groupBy("text_sha256").agg(
-        F.count("*").alias("group_size"), F.max(F.struct("points", (-F.col("doc_id")).alias("less"))).alias("best"),
-        F.max("dense").alias("dense"))
-    # the second key makes both sides shuffle for the join alone, so that adaptive execution can split a hot text
-    joined = shared.join(groups.select("text_sha256", "dense", "group_size", (-F.col("best.less")).alias("keep_id")),
-                         ["text_sha256", "dense"])
-    return alone.unionByName(joined.select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256"))
+    return marked.where("not maybe").drop("maybe"), marked.where("maybe").drop("maybe")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The documents without the rows that an equal text replaces; all columns as they came."""
-    gone = exact_groups(docs).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """One row of each equal text; all columns as they came.
+
+    Rows are judged one by one: of equal texts the row with the most code points stays, then the smallest id, null last,
+    then the first row, so that of rows that repeat an id and a text one stays too.
+    """
+    rows = with_rows(docs)
+    _, shared = _split(rows, "doc_id", "text", "_row")
+    best = F.max(F.struct("points", (-F.col("doc_id")).alias("less"), (-F.col("_row")).alias("first")))
+    stay = shared.groupBy("text_sha256").agg(best.alias("best")).select((-F.col("best.first")).alias("_row"))
+    gone = shared.select("_row").join(stay, "_row", "left_anti")
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripledger.llm.common import held_out, tidied
+from tripledger.llm.common import held_out, tidied, with_rows
 
 #: Bytes of a run, units per direction, and runs that are scored together.
 SPAN = 128
@@ -270,7 +270,10 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
 
 
 def keep_readable(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """The documents whose language the network names with a score of ``least`` or more; all columns as they came."""
-    decided = predict(docs, train(docs)).where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least))
-    gone = decided.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """The documents whose language the network names with a score of ``least`` or more; all columns as they came.
+
+    Each row is judged by its own text, whatever its id: rows with a null or a repeated id stay or go one by one.
+    """
+    model, rows = train(docs), with_rows(docs)
+    decided = predict(rows, model, "_row").where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least))
+    return rows.join(decided.select(F.col("doc_id").alias("_row")), "_row", "left_anti").select(*docs.columns)

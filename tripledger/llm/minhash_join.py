@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripledger.llm.common import held, mixed, numbered, tidied
+from tripledger.llm.common import held, mixed, numbered, tidied, with_rows
 from tripledger.llm.words import LOWER, pieces, shingles_of, words_of
 
 SHINGLE = 5
@@ -330,6 +330,15 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per
 
 
 def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The documents without those that a near copy with a smaller id represents; all columns as they came."""
-    gone = near_groups(docs, percent=percent).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
+    """One document of each group of near copies, that with the smallest id; all columns as they came.
+
+    Rows are judged one by one: a row with a null id is a document too and stands behind all others, rows that repeat an
+    id are documents of their own, and rows without words stay.
+    """
+    rows = with_rows(docs)
+    groups = near_groups(rows, "_row", percent=percent).select(F.col("doc_id").alias("_row"), "component_id")
+    groups = held(groups)
+    ids = rows.select("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row").alias("rank"))
+    stay = groups.join(ids, "_row").groupBy("component_id").agg(F.min("rank").alias("rank")).select("rank._row")
+    gone = groups.select("_row").join(stay, "_row", "left_anti")
+    return rows.join(gone, "_row", "left_anti").select(*docs.columns)

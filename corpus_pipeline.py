@@ -15,7 +15,7 @@ NEAR_PERCENT = 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a known language; those without one go."""
+    """Documents with a language; texts without a letter (null ones too) go, and no other, whatever the score."""
     return language_id.keep_readable(docs)
 
 

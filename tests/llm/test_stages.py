@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_operators import WORD, plain_near
@@ -66,7 +69,7 @@ def _rows(df):
 def test_stages_decide_by_row_with_null_and_repeated_ids(spark):
     docs = _many(spark, MANY)
     read = Counter((d, x) for d, x in MANY if x and re.search("[a-z]", x))
-    assert _rows(language_id.keep_readable(docs, least=0.0)) == read
+    assert _rows(language_id.keep_readable(docs)) == read
     copies = {}
     for d, x in MANY:
         copies.setdefault(re.sub(r"[\x20\x09-\x0D]", "", x or ""), []).append((-len(x or ""), d is None, d or 0, x))
@@ -87,3 +90,42 @@ def test_stages_decide_by_row_with_null_and_repeated_ids(spark):
         laps[r["doc_id"], r["size"]] += -(-r["taken"] // r["size"]) if r["taken"] else 0
     order = Counter((d, len(WORD.findall(x or ""))) for d, x in _rows(mixing.training_order(docs)).elements())
     assert order == +laps
+
+
+def test_no_readable_text_goes_for_its_score(spark, monkeypatch):
+    rows = [(i, w) for i, w in enumerate(["a", "zq", "word", "ein wort the word", "漢字", "12", None])]
+    monkeypatch.setattr(language_id, "train", lambda docs: language_id.Model([f"l{i:02}" for i in range(20)], language_id.fit([], []).w | {
+        "v": np.zeros((20, 2 * language_id.UNITS), np.float32), "c": np.zeros(20, np.float32)}))  # every score is 1 / 20
+    assert {r["doc_id"] for r in language_id.keep_readable(_many(spark, rows)).collect()} == {0, 1, 2, 3, 4}
+
+
+def test_pipeline_gives_the_plain_rows_and_repetitions(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    named = {r["doc_id"] for r in language_id.predict(docs, language_id.train(docs)).where("lang_pred <> 'und'").collect()}
+    groups = {}
+    for d in named:
+        groups.setdefault(re.sub(r"[\x20\x09-\x0D]", "", rows[d]["text"]), []).append((-len(rows[d]["text"]), d))
+    near = plain_near([(d, rows[d]["text"]) for d in (min(g)[1] for g in groups.values())], corpus_pipeline.NEAR_PERCENT)
+    left = sorted((rows[d]["source"] is None, rows[d]["source"] or "", hashlib.md5(str(d).encode()).hexdigest(), d) for d, (_, top) in near.items() if d == top)
+    size = {d: len(WORD.findall(rows[d]["text"])) for *_, d in left}
+    sources = list(dict.fromkeys(x[:2] for x in left))
+    total = {s: sum(size[x[3]] for x in left if x[:2] == s) for s in sources}
+    weight = {s: mixing.WEIGHTS[i % len(mixing.WEIGHTS)] for i, s in enumerate(sources)}
+    full: set = set()
+    while True:  # shares that pass the most a source may give are shared again
+        level = (mixing.SHARE * sum(total.values()) - sum(mixing.PASSES * total[s] for s in full)) / (sum(w for s, w in weight.items() if s not in full) or 1)
+        more = {s for s in sources if weight[s] * level >= mixing.PASSES * total[s]}
+        if more <= full:
+            break
+        full |= more
+    expected: Counter = Counter()
+    for s in sources:
+        words, at = math.floor(min(mixing.PASSES * total[s], weight[s] * level) if s not in full else mixing.PASSES * total[s]), 0
+        own = [x[3] for x in left if x[:2] == s]
+        for _ in range(mixing.PASSES):
+            for d in own:
+                if at < words and size[d]:
+                    expected[d] += 1
+                at += size[d]
+    assert Counter(r["doc_id"] for r in corpus_pipeline.run(spark, sf_dir).collect()) == expected

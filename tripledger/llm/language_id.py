@@ -269,11 +269,12 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
     return rows.mapInArrow(score, f"doc_id {kind}, lang_pred string, score double")
 
 
-def keep_readable(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """The documents whose language the network names with a score of ``least`` or more; all columns as they came.
+def keep_readable(docs: DataFrame) -> DataFrame:
+    """The documents for which the network names a language, with any score; all columns as they came.
 
+    Only ``und`` goes: null texts, texts without a letter, and all texts if nothing could be learned.
     Each row is judged by its own text, whatever its id: rows with a null or a repeated id stay or go one by one.
     """
     model, rows = train(docs), with_rows(docs)
-    decided = predict(rows, model, "_row").where((F.col("lang_pred") == UNKNOWN) | (F.col("score") < least))
+    decided = predict(rows, model, "_row").where(F.col("lang_pred") == UNKNOWN)
     return rows.join(decided.select(F.col("doc_id").alias("_row")), "_row", "left_anti").select(*docs.columns)

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from test_operators import WORD, plain_near
 
 import corpus_pipeline
-from tripledger.llm import exact_dedup, language_id, minhash_join, mixing
+from tripledger.llm import exact_dedup, language_id, minhash_join, mixing, suffix_dedup, superkmer_dedup
 
 
 def _banded(pairs: int) -> list[tuple[int, str]]:
@@ -129,3 +129,35 @@ def test_pipeline_gives_the_plain_rows_and_repetitions(spark, sf_dir):
                     expected[d] += 1
                 at += size[d]
     assert Counter(r["doc_id"] for r in corpus_pipeline.run(spark, sf_dir).collect()) == expected
+
+
+def plain_cuts(rows, width, units, glue):
+    """(id, units, units removed, digest) of each row: a row loses what starts in a row of a smaller id; null ids take no part."""
+    first = {}
+    for d, x in rows:
+        parts = units(x)
+        for i in range(len(parts) - width + 1 if d is not None else 0):
+            first[glue(parts[i:i + width])] = min(d, first.get(glue(parts[i:i + width]), d))
+    out = Counter()
+    for d, x in rows:
+        parts = units(x)
+        gone = set()
+        for i in range(len(parts) - width + 1 if d is not None else 0):
+            if first[glue(parts[i:i + width])] < d:
+                gone.update(range(i, i + width))
+        out[d, len(parts), len(gone), hashlib.sha256(glue([p for i, p in enumerate(parts) if i not in gone])).hexdigest()] += 1
+    return out
+
+
+def _same_cuts(spark, rows):
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = Counter((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in superkmer_dedup.without_repeats(docs).collect())
+    assert found == plain_cuts(rows, 13, lambda x: [w.encode() for w in WORD.findall(x or "")], b" ".join)
+    found = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["kept_sha256"]) for r in suffix_dedup.without_repeats(docs).collect())
+    assert found == plain_cuts(rows, 50, lambda x: [bytes([b]) for b in (x or "").encode()], b"".join)
+
+
+def test_cuts_with_null_and_repeated_ids(spark):
+    one, two = NEAR[0], NEAR[1]
+    _same_cuts(spark, [(1, one), (None, one), (None, one + " more"), (5, "head " + one), (5, "another start of it " + one), (5, "no repeats " + NEAR[2]),
+                       (5, two), (6, two), (7, two + " " + one), (7, two + " " + one), (None, None), (7, None), (5, "head " + one)])

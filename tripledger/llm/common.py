@@ -145,3 +145,15 @@ def tidied(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterato
                 trim(0)
 
     return run
+
+
+def tagged(rows: DataFrame) -> DataFrame:
+    """Rows (doc_id, text) with ``tag``: 0, or a hash of the text if the id may be repeated.
+
+    With the id it tells texts apart that share an id; equal texts of one id have the same places anyway.
+    """
+    repeated = held(rows.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    if repeated.isEmpty():
+        return rows.withColumn("tag", F.lit(0).cast("long"))
+    listed = id_filter(repeated)
+    return rows.withColumn("tag", F.when(F.col("doc_id").isNotNull() & listed(F.col("doc_id")), F.xxhash64("text")).otherwise(F.lit(0).cast("long")))

@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripledger.llm.common import id_filter, mixed, stored, tidied
+from tripledger.llm.common import id_filter, mixed, stored, tagged, tidied
 from tripledger.llm.superkmer_dedup import _window_min, gathered
 from tripledger.llm.words import _BACK, _BASE, _powers
 
@@ -142,18 +142,22 @@ def repeated_starts(strings: list[bytes], docs: np.ndarray) -> tuple[np.ndarray,
     return owner[lost], lost - (ends[owner[lost]] - sizes[owner[lost]])
 
 
-_ROW = pa.schema([("bucket", pa.int64()), ("packed", pa.binary()), ("doc_id", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
-_ROW_DDL = "bucket long, packed binary, doc_id long, start long, n long"
+_ROW = pa.schema([("bucket", pa.int64()), ("packed", pa.binary()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("start", pa.int64()), ("n", pa.int64())])
+_ROW_DDL = "bucket long, packed binary, doc_id long, tag long, start long, n long"
 
 
-def _merged(doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of starts with those that continue each other joined."""
-    order = np.lexsort((start, doc))
-    doc, start, n = doc[order], start[order], n[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (start[1:] != start[:-1] + n[:-1])
+def _merged(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Runs of starts (document, tag, start, number), each once, with those that continue each other joined."""
+    order = np.lexsort((n, start, tag, doc))
+    doc, tag, start, n = doc[order], tag[order], start[order], n[order]
+    other = np.ones(len(doc), bool)
+    other[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])
+    once = other.copy()
+    once[1:] |= (start[1:] != start[:-1]) | (n[1:] != n[:-1])
+    doc, tag, start, n, new = doc[once], tag[once], start[once], n[once], other[once]
+    new[1:] |= start[1:] != start[:-1] + n[:-1]
     cut = np.flatnonzero(new)
-    return doc[cut], start[cut], np.add.reduceat(n, cut) if len(cut) else n
+    return doc[cut], tag[cut], start[cut], np.add.reduceat(n, cut) if len(cut) else n
 
 
 def _pieces(ids: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, ...] | None:
@@ -197,8 +201,8 @@ def hashed_pieces(docs: DataFrame, buckets: int) -> DataFrame:
     @tidied
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
-        for id_list, texts in gathered(batches, PIECE_BYTES):
-            ids = np.array(id_list, np.int64)
+        for id_list, tag_list, texts in gathered(batches, PIECE_BYTES):
+            ids, tags = np.array(id_list, np.int64), np.array(tag_list, np.int64)
             found = _pieces(ids, texts)
             if found is None:
                 continue
@@ -211,22 +215,22 @@ def hashed_pieces(docs: DataFrame, buckets: int) -> DataFrame:
             lost = np.zeros(len(order), bool)
             lost[order] = doc[order] != np.repeat(doc[order[cut]], np.diff(np.append(cut, len(order))))
             if lost.any():
-                d, s, k = _merged(doc[lost], first[lost] - begin[owner[lost]], n[lost])
+                d, t, s, k = _merged(doc[lost], tags[owner[lost]], first[lost] - begin[owner[lost]], n[lost])
                 home = (mixed(d.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-                yield pa.record_batch([pa.array(home), pa.nulls(len(d), pa.binary()), pa.array(d), pa.array(s), pa.array(k)], schema=_ROW)
+                yield pa.record_batch([pa.array(home), pa.nulls(len(d), pa.binary()), pa.array(d), pa.array(t), pa.array(s), pa.array(k)], schema=_ROW)
             sent = np.flatnonzero(~lost)
             bucket = (gram[sent] % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             sent, bucket = sent[by], bucket[by]
             turns = np.flatnonzero(np.diff(bucket, prepend=-1))
             mark = ((gram[sent] // np.uint64(buckets)) & np.uint64(MARKS - 1)).astype(np.uint32)
-            columns = doc[sent], first[sent] - begin[owner[sent]], n[sent].astype(np.int32), mark, content[sent]
+            columns = doc[sent], tags[owner[sent]], first[sent] - begin[owner[sent]], n[sent].astype(np.int32), mark, content[sent]
             blobs = []
             for a, b in zip(turns.tolist(), [*turns[1:].tolist(), len(sent)], strict=True):
-                of, at, k, m, c = (x[a:b] for x in columns)
-                blobs.append(squeeze.compress(np.array([b - a], np.int64).tobytes() + np.diff(of, prepend=0).tobytes() + at.tobytes() + c.tobytes() + k.tobytes() + m.tobytes()))
+                of, t, at, k, m, c = (x[a:b] for x in columns)
+                blobs.append(squeeze.compress(np.array([b - a], np.int64).tobytes() + np.diff(of, prepend=0).tobytes() + t.tobytes() + at.tobytes() + c.tobytes() + k.tobytes() + m.tobytes()))
             m = len(blobs)
-            yield pa.record_batch([pa.array(bucket[turns]), pa.array(blobs, pa.binary()), *(pa.nulls(m, pa.int64()) for _ in range(3))], schema=_ROW)
+            yield pa.record_batch([pa.array(bucket[turns]), pa.array(blobs, pa.binary()), *(pa.nulls(m, pa.int64()) for _ in range(4))], schema=_ROW)
 
     return docs.mapInArrow(pack, _ROW_DDL)
 
@@ -240,8 +244,8 @@ def _by_bucket(packed: DataFrame, solve: Callable[[int, list[bytes]], pa.RecordB
         for batch in batches:
             known = batch.filter(pc.is_valid(batch.column(2)))
             if known.num_rows:
-                rest = [pa.nulls(known.num_rows, pa.int64())] * (ddl.count(",") - 2)
-                yield pa.record_batch([*known.select([2, 3, 4]).columns, *rest], names=[x.split()[0] for x in ddl.split(", ")])
+                rest = [pa.nulls(known.num_rows, pa.int64())] * (ddl.count(",") - 3)
+                yield pa.record_batch([*known.select([2, 3, 4, 5]).columns, *rest], names=[x.split()[0] for x in ddl.split(", ")])
             for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if not blob.is_valid:
                     continue
@@ -268,9 +272,10 @@ def sifted(packed: DataFrame) -> DataFrame:
         for blob in blobs:
             raw = grow.decompress(blob)
             m = int(np.frombuffer(raw, np.int64, 1)[0])
-            parts.append((np.cumsum(np.frombuffer(raw, np.int64, m, 8)), np.frombuffer(raw, np.int64, m, 8 + 8 * m), np.frombuffer(raw, np.uint64, m, 8 + 16 * m),
-                          np.frombuffer(raw, np.int32, m, 8 + 24 * m).astype(np.int64), np.frombuffer(raw, np.uint32, m, 8 + 28 * m).astype(np.int64)))
-        doc, at, content, n, mark = (np.concatenate(x) for x in zip(*parts, strict=True))
+            parts.append((np.cumsum(np.frombuffer(raw, np.int64, m, 8)), np.frombuffer(raw, np.int64, m, 8 + 8 * m), np.frombuffer(raw, np.int64, m, 8 + 16 * m),
+                          np.frombuffer(raw, np.uint64, m, 8 + 24 * m), np.frombuffer(raw, np.int32, m, 8 + 32 * m).astype(np.int64),
+                          np.frombuffer(raw, np.uint32, m, 8 + 36 * m).astype(np.int64)))
+        doc, tag, at, content, n, mark = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(mark, kind="stable")
         cut = np.flatnonzero(np.diff(mark[order], prepend=-1))
         several = np.minimum.reduceat(doc[order], cut) != np.maximum.reduceat(doc[order], cut)
@@ -288,17 +293,17 @@ def sifted(packed: DataFrame) -> DataFrame:
         contents = np.add.reduceat(new.astype(np.int64), heads)
         open_ = ~lost & np.repeat(contents > 1, np.diff(np.append(heads, len(d))))
         a, b = rows[lost], rows[open_]
-        gone, sort = _merged(doc[a], at[a], n[a]), (doc[b], at[b], n[b])
+        gone, sort = _merged(doc[a], tag[a], at[a], n[a]), (doc[b], tag[b], at[b], n[b])
         if not len(gone[0]) + len(b):
             return None
         marks = pa.concat_arrays([pa.nulls(len(gone[0]), pa.int64()), pa.array(bucket * MARKS + mark[b])])
-        return pa.record_batch([*(pa.array(np.concatenate(x)) for x in zip(gone, sort, strict=True)), marks], names=["doc_id", "start", "n", "mark"])
+        return pa.record_batch([*(pa.array(np.concatenate(x)) for x in zip(gone, sort, strict=True)), marks], names=["doc_id", "tag", "start", "n", "mark"])
 
-    return _by_bucket(packed, solve, "doc_id long, start long, n long, mark long")
+    return _by_bucket(packed, solve, "doc_id long, tag long, start long, n long, mark long")
 
 
 def cut_pieces(docs: DataFrame, buckets: int) -> DataFrame:
-    """Bytes of the open pieces, packed by bucket, from rows (doc_id, text, open: start, n and mark of each)."""
+    """Bytes of the open pieces, packed by bucket, from rows (doc_id, text, open: start, n and mark of each, tag)."""
 
     @tidied
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -308,7 +313,7 @@ def cut_pieces(docs: DataFrame, buckets: int) -> DataFrame:
             start, n, mark = (pairs.field(c).to_numpy(zero_copy_only=False) for c in ("start", "n", "mark"))
             row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
             texts = [(x.as_py() or "").encode("utf-8") for x in batch.column(1)]
-            doc = batch.column(0).to_numpy()[row]
+            doc, tag = batch.column(0).to_numpy()[row], batch.column(3).to_numpy()[row]
             bucket = (mixed(mark.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
             by = np.argsort(bucket, kind="stable")
             cut = [texts[r][s:s + k + STRING - 1] for r, s, k in zip(row[by].tolist(), start[by].tolist(), n[by].tolist(), strict=True)]
@@ -316,33 +321,34 @@ def cut_pieces(docs: DataFrame, buckets: int) -> DataFrame:
             blobs = []
             for a, b in zip(turns.tolist(), [*turns[1:].tolist(), len(by)], strict=True):
                 at = by[a:b]
-                blobs.append(squeeze.compress(np.array([b - a], np.int64).tobytes() + doc[at].tobytes() + start[at].tobytes() + n[at].tobytes() + b"".join(cut[a:b])))
+                blobs.append(squeeze.compress(np.array([b - a], np.int64).tobytes() + doc[at].tobytes() + tag[at].tobytes() + start[at].tobytes() + n[at].tobytes() + b"".join(cut[a:b])))
             m = len(blobs)
-            yield pa.record_batch([pa.array(bucket[by][turns]), pa.array(blobs, pa.binary()), *(pa.nulls(m, pa.int64()) for _ in range(3))], schema=_ROW)
+            yield pa.record_batch([pa.array(bucket[by][turns]), pa.array(blobs, pa.binary()), *(pa.nulls(m, pa.int64()) for _ in range(4))], schema=_ROW)
 
     return docs.mapInArrow(pack, _ROW_DDL)
 
 
 def sorted_pieces(packed: DataFrame) -> DataFrame:
-    """Runs of starts (doc_id, start, n) that neighbours in the suffix order of their bucket lose to smaller documents."""
+    """Runs of starts (doc_id, tag, start, n) that neighbours in the suffix order of their bucket lose to smaller documents."""
 
     def solve(bucket: int, blobs: list[bytes]) -> pa.RecordBatch | None:
-        grow, strings, docs, starts = zstandard.ZstdDecompressor(), [], [], []
+        grow, strings, docs, tags, starts = zstandard.ZstdDecompressor(), [], [], [], []
         for blob in blobs:
             raw = grow.decompress(blob)
             m = int(np.frombuffer(raw, np.int64, 1)[0])
             docs.append(np.frombuffer(raw, np.int64, m, 8))
-            starts.append(np.frombuffer(raw, np.int64, m, 8 + 8 * m))
-            ends = 8 + 24 * m + np.cumsum(np.frombuffer(raw, np.int64, m, 8 + 16 * m) + STRING - 1)
-            strings += [raw[a:b] for a, b in zip([8 + 24 * m, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+            tags.append(np.frombuffer(raw, np.int64, m, 8 + 8 * m))
+            starts.append(np.frombuffer(raw, np.int64, m, 8 + 16 * m))
+            ends = 8 + 32 * m + np.cumsum(np.frombuffer(raw, np.int64, m, 8 + 24 * m) + STRING - 1)
+            strings += [raw[a:b] for a, b in zip([8 + 32 * m, *ends[:-1].tolist()], ends.tolist(), strict=True)]
         doc, start = np.concatenate(docs), np.concatenate(starts)
         which, at = repeated_starts(strings, doc)
         if not len(which):
             return None
-        d, s, n = _merged(doc[which], start[which] + at, np.ones(len(which), np.int64))
-        return pa.record_batch([pa.array(d), pa.array(s), pa.array(n)], names=["doc_id", "start", "n"])
+        d, t, s, n = _merged(doc[which], np.concatenate(tags)[which], start[which] + at, np.ones(len(which), np.int64))
+        return pa.record_batch([pa.array(d), pa.array(t), pa.array(s), pa.array(n)], names=["doc_id", "tag", "start", "n"])
 
-    return _by_bucket(packed, solve, "doc_id long, start long, n long")
+    return _by_bucket(packed, solve, "doc_id long, tag long, start long, n long")
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_spans: bool = False) -> DataFrame:
@@ -350,21 +356,21 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Texts are their UTF-8 bytes; null is empty. Every byte inside a STRING that also starts in a document with a smaller
     id goes, judged on the input; strings never cross documents and repeats inside one document stay. Texts shorter
-    than STRING lose nothing. Rows that repeat an id are one document for this rule; ids are whole numbers and not
-    null. ``spans`` are the maximal removed runs (from, to). Other columns are not read; an empty table gives none.
+    than STRING lose nothing. Rows that repeat an id lose nothing to each other, and each its own bytes to smaller ids; a
+    null id is neither smaller nor larger than another, so its row is returned whole. Ids are whole numbers. ``spans`` are the maximal removed runs (from, to). Other columns are not read; an empty table gives none.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = tagged(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sifts = stored(sifted(hashed_pieces(rows, max(4 * parts, total // BUCKET_BYTES))), "sifted")
+    sifts = stored(sifted(hashed_pieces(rows.where("doc_id is not null"), max(4 * parts, total // BUCKET_BYTES))), "sifted")
     open_ = sifts.where("mark is not null")
-    asked = open_.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "mark")).alias("open"))
+    asked = open_.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "n", "mark")).alias("open"))
     listed = id_filter(open_.select("doc_id").distinct())
-    strings = cut_pieces(rows.where(listed(F.col("doc_id"))).join(asked, "doc_id"), max(4 * parts, open_.count() // BUCKET_PIECES))
+    strings = cut_pieces(rows.where(F.col("doc_id").isNotNull() & listed(F.col("doc_id"))).join(asked, ["doc_id", "tag"]).select("doc_id", "text", "open", "tag"), max(4 * parts, open_.count() // BUCKET_PIECES))
     late = stored(sorted_pieces(strings), "sorted")
-    runs = sifts.where("mark is null").select("doc_id", "start", "n").union(late)
+    runs = sifts.where("mark is null").select("doc_id", "tag", "start", "n").union(late)
     listed = id_filter(runs.select("doc_id").distinct())
-    lost = runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("lost"))
+    lost = runs.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "n")).alias("lost"))
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", *(["spans", "kept"] if with_spans else [])]
 
     @tidied
@@ -397,8 +403,8 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     fields = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
     # only documents that may lose something are shuffled
-    hit = rows.withColumn("hit", F.coalesce(listed(F.col("doc_id")), F.lit(False)))
-    cut = hit.where("hit").drop("hit").join(lost, "doc_id", "left").mapInArrow(apply, fields + (", spans array<struct<from: long, to: long>>, kept binary" if with_spans else ""))
+    hit = rows.withColumn("hit", F.col("doc_id").isNotNull() & F.coalesce(listed(F.col("doc_id")), F.lit(False)))
+    cut = hit.where("hit").join(lost, ["doc_id", "tag"], "left").select("doc_id", "text", "lost").mapInArrow(apply, fields + (", spans array<struct<from: long, to: long>>, kept binary" if with_spans else ""))
     body, zero = F.coalesce("text", F.lit("")).cast("binary"), F.lit(0).cast("long")
     whole = {"n_bytes": F.octet_length(body).cast("long"), "n_removed": zero, "n_spans": zero, "kept_sha256": F.sha2(body, 256)}
     if with_spans:

@@ -22,7 +22,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripledger.llm.common import BLANKS, WORD, id_filter, mixed, stored, tidied
+from tripledger.llm.common import BLANKS, WORD, id_filter, mixed, stored, tagged, tidied
 from tripledger.llm.words import Words, pieces, runs_of, words_of
 
 WINDOW = 13
@@ -60,23 +60,27 @@ def _groups(one: np.ndarray, two: np.ndarray, doc: np.ndarray, at: np.ndarray) -
     return order, np.flatnonzero(new)
 
 
-def _runs(doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Places of documents as runs (document, first place, number of places)."""
-    order = np.lexsort((at, doc))
-    doc, at = doc[order], at[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (at[1:] != at[:-1] + 1)
+def _runs(doc: np.ndarray, tag: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Places of documents as runs (document, tag, first place, number of places), each place once."""
+    order = np.lexsort((at, tag, doc))
+    doc, tag, at = doc[order], tag[order], at[order]
+    other = np.ones(len(doc), bool)
+    other[1:] = (doc[1:] != doc[:-1]) | (tag[1:] != tag[:-1])
+    once = other.copy()
+    once[1:] |= at[1:] != at[:-1]
+    doc, tag, at, new = doc[once], tag[once], at[once], other[once]
+    new[1:] |= at[1:] != at[:-1] + 1
     cut = np.flatnonzero(new)
-    return doc[cut], at[cut], np.diff(np.append(cut, len(doc)))
+    return doc[cut], tag[cut], at[cut], np.diff(np.append(cut, len(doc)))
 
 
-_SENT = pa.schema([("bucket", pa.int64()), ("packed", pa.binary()), ("doc_id", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
+_SENT = pa.schema([("bucket", pa.int64()), ("packed", pa.binary()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("start", pa.int32()), ("n", pa.int32())])
 
 
-def _sent_runs(doc: np.ndarray, at: np.ndarray, buckets: int) -> pa.RecordBatch:
-    doc, at, n = _runs(doc, at)
+def _sent_runs(doc: np.ndarray, tag: np.ndarray, at: np.ndarray, buckets: int) -> pa.RecordBatch:
+    doc, tag, at, n = _runs(doc, tag, at)
     home = (mixed(doc.view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-    return pa.record_batch([pa.array(home), pa.nulls(len(doc), pa.binary()), pa.array(doc), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], schema=_SENT)
+    return pa.record_batch([pa.array(home), pa.nulls(len(doc), pa.binary()), pa.array(doc), pa.array(tag), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], schema=_SENT)
 
 
 def packed_runs(docs: DataFrame, buckets: int) -> DataFrame:
@@ -86,7 +90,7 @@ def packed_runs(docs: DataFrame, buckets: int) -> DataFrame:
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=3)
 
-        def piece(ids: np.ndarray, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+        def piece(ids: np.ndarray, tags: np.ndarray, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
             words = words_of(texts)
             first, owner, one, two = _windows(words)
             if not len(first):
@@ -98,7 +102,7 @@ def packed_runs(docs: DataFrame, buckets: int) -> DataFrame:
             lost = doc[order] != np.repeat(doc[lead], sizes)
             if lost.any():
                 gone = order[lost]
-                yield _sent_runs(doc[gone], first[gone] - words.first[owner[gone]], buckets)
+                yield _sent_runs(doc[gone], tags[owner[gone]], first[gone] - words.first[owner[gone]], buckets)
             sent = np.sort(lead)
             least = _window_min(runs_of(words.value, MINIMISER), WINDOW - MINIMISER + 1)[first[sent]]
             new = np.ones(len(sent), bool)
@@ -118,48 +122,51 @@ def packed_runs(docs: DataFrame, buckets: int) -> DataFrame:
             body = slim.tobytes()
             lo, hi = place[w0[by]].tolist(), (place[w1[by] + 1] - 1).tolist()
             strings = [body[a:b] for a, b in zip(lo, hi, strict=True)]
-            of, at = ids[owner[sent][begin[by]]], (w0[by] - words.first[owner[sent][begin[by]]]).astype(np.int32)
+            text_no = owner[sent][begin[by]]
+            of, tag, at = ids[text_no], tags[text_no], (w0[by] - words.first[text_no]).astype(np.int32)
             turns = np.flatnonzero(np.diff(bucket[by], prepend=-1))
             names, blobs = bucket[by][turns], []
             for a, b in zip(turns, np.append(turns[1:], len(by)), strict=True):
-                head = np.array([b - a], np.int64).tobytes() + np.diff(of[a:b], prepend=0).tobytes() + at[a:b].tobytes()
+                head = np.array([b - a], np.int64).tobytes() + np.diff(of[a:b], prepend=0).tobytes() + tag[a:b].tobytes() + at[a:b].tobytes()
                 blobs.append(squeeze.compress(head + b"\n".join(strings[a:b])))
             n = len(blobs)
-            yield pa.record_batch([pa.array(names), pa.array(blobs, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32())], schema=_SENT)
+            yield pa.record_batch([pa.array(names), pa.array(blobs, pa.binary()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32())], schema=_SENT)
 
-        for ids, texts in gathered(batches, PIECE_BYTES):
-            yield from piece(np.array(ids, np.int64), texts)
+        for ids, tags, texts in gathered(batches, PIECE_BYTES):
+            yield from piece(np.array(ids, np.int64), np.array(tags, np.int64), texts)
 
-    return docs.mapInArrow(pack, "bucket long, packed binary, doc_id long, start int, n int")
+    return docs.mapInArrow(pack, "bucket long, packed binary, doc_id long, tag long, start int, n int")
 
 
-def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list[int], list[bytes]]]:
-    """Documents (id, UTF-8 text) in pieces of about ``size`` bytes."""
-    ids, texts, filled = [], [], 0
+def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
+    """Documents (id, tag, UTF-8 text) in pieces of about ``size`` bytes."""
+    ids, tags, texts, filled = [], [], [], 0
     for batch in batches:
-        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+        for doc_id, text, tag in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
             body = (text.as_py() or "").encode("utf-8")
             ids.append(doc_id)
+            tags.append(tag)
             texts.append(body)
             filled += len(body)
             if filled >= size:
-                yield ids, texts
-                ids, texts, filled = [], [], 0
+                yield ids, tags, texts
+                ids, tags, texts, filled = [], [], [], 0
     if ids:
-        yield ids, texts
+        yield ids, tags, texts
 
 
 def lost_windows(packed: DataFrame) -> DataFrame:
-    """Runs of windows (doc_id, start, n) that also start in a document with a smaller id."""
+    """Runs of windows (doc_id, tag, start, n) that also start in a document with a smaller id."""
 
     def bucket_runs(blobs: list[bytes]) -> pa.RecordBatch | None:
-        grow, docs, starts, texts = zstandard.ZstdDecompressor(), [], [], []
+        grow, docs, tags, starts, texts = zstandard.ZstdDecompressor(), [], [], [], []
         for blob in blobs:
             raw = grow.decompress(blob)
             n = int(np.frombuffer(raw, np.int64, 1)[0])
             docs.append(np.cumsum(np.frombuffer(raw, np.int64, n, 8)))
-            starts.append(np.frombuffer(raw, np.int32, n, 8 + 8 * n))
-            texts.append(raw[8 + 12 * n:])
+            tags.append(np.frombuffer(raw, np.int64, n, 8 + 8 * n))
+            starts.append(np.frombuffer(raw, np.int32, n, 8 + 16 * n))
+            texts.append(raw[8 + 20 * n:])
         words = words_of(b"\n".join(texts).split(b"\n"))
         first, owner, one, two = _windows(words)
         doc = np.concatenate(docs)[owner]
@@ -169,8 +176,8 @@ def lost_windows(packed: DataFrame) -> DataFrame:
         gone = order[doc[order] != np.repeat(doc[order[cut]], sizes)]
         if not len(gone):
             return None
-        d, s, n = _runs(doc[gone], at[gone])
-        return pa.record_batch([pa.array(d), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32))], names=["doc_id", "start", "n"])
+        d, t, s, n = _runs(doc[gone], np.concatenate(tags)[owner[gone]], at[gone])
+        return pa.record_batch([pa.array(d), pa.array(t), pa.array(s.astype(np.int32)), pa.array(n.astype(np.int32))], names=["doc_id", "tag", "start", "n"])
 
     @tidied
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,7 +185,7 @@ def lost_windows(packed: DataFrame) -> DataFrame:
         for batch in batches:
             known = batch.filter(pc.is_valid(batch.column(2)))
             if known.num_rows:
-                yield known.select(["doc_id", "start", "n"])
+                yield known.select(["doc_id", "tag", "start", "n"])
             for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 if not blob.is_valid:
                     continue
@@ -190,7 +197,7 @@ def lost_windows(packed: DataFrame) -> DataFrame:
         if blobs and (out := bucket_runs(blobs)) is not None:
             yield out
 
-    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(unpack, "doc_id long, start int, n int")
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(unpack, "doc_id long, tag long, start int, n int")
 
 
 def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", with_text: bool = False) -> DataFrame:
@@ -198,15 +205,16 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Words are runs other than blanks and line ends, unchanged. Every word inside a window that also starts in a document
     with a smaller id goes; windows are judged on the input. Texts of fewer than WINDOW words, null and empty texts
-    lose nothing. Rows that repeat an id are one document for this rule; ids are whole numbers and not null. Other
-    columns are not read; an empty table gives an empty table.
+    lose nothing. Rows that repeat an id lose nothing to each other, and each its own words to smaller ids; a null id is
+    neither smaller nor larger than another, so its row is returned whole. Ids are whole numbers. Other columns are not
+    read; an empty table gives an empty table.
     """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    rows = tagged(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = stored(lost_windows(packed_runs(rows, max(4 * parts, total // BUCKET_BYTES))), "lost")
+    runs = stored(lost_windows(packed_runs(rows.where("doc_id is not null"), max(4 * parts, total // BUCKET_BYTES))), "lost")
     listed = id_filter(runs.select("doc_id").distinct())
-    lost = runs.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n")).alias("lost"))
+    lost = runs.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "n")).alias("lost"))
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", *(["kept"] if with_text else [])]
 
     @tidied
@@ -253,8 +261,8 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     fields = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else "")
     # only documents that may lose something are shuffled
-    hit = rows.withColumn("hit", F.coalesce(listed(F.col("doc_id")), F.lit(False)))
-    cut = hit.where("hit").drop("hit").join(lost, "doc_id", "left").mapInArrow(apply, fields)
+    hit = rows.withColumn("hit", F.col("doc_id").isNotNull() & F.coalesce(listed(F.col("doc_id")), F.lit(False)))
+    cut = hit.where("hit").join(lost, ["doc_id", "tag"], "left").select("doc_id", "text", "lost").mapInArrow(apply, fields)
     text_ = F.coalesce("text", F.lit(""))
     kept = F.trim(F.regexp_replace(text_, BLANKS, " "))
     whole = {"n_words": F.regexp_count(text_, F.lit(WORD)).cast("long"), "n_removed": F.lit(0).cast("long"), "kept_sha256": F.sha2(kept.cast("binary"), 256)}

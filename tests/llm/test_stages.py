@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from test_operators import WORD, plain_near
 
 import corpus_pipeline
-from tripledger.llm import exact_dedup, language_id, minhash_join, mixing, suffix_dedup, superkmer_dedup
+from tripledger.llm import common, exact_dedup, language_id, minhash_join, mixing, suffix_dedup, superkmer_dedup
 
 
 def _banded(pairs: int) -> list[tuple[int, str]]:
@@ -161,3 +161,24 @@ def test_cuts_with_null_and_repeated_ids(spark):
     one, two = NEAR[0], NEAR[1]
     _same_cuts(spark, [(1, one), (None, one), (None, one + " more"), (5, "head " + one), (5, "another start of it " + one), (5, "no repeats " + NEAR[2]),
                        (5, two), (6, two), (7, two + " " + one), (7, two + " " + one), (None, None), (7, None), (5, "head " + one)])
+
+
+def test_hot_minimiser_is_split(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_ROWS", 20)
+    ruler = "-" * 16
+    rows = [(d, " ".join(f"{c}{d}" for c in "abcdefghijkl") + f" as it was {ruler} " + " ".join(f"{c}{d}" for c in "mnopqrstuvwxyz")) for d in range(60)]
+    rows += [(100 + d, x + " end") for d, x in rows[:10]] + [(200 + d, "-" * (60 + d)) for d in range(30)]
+    _same_cuts(spark, rows)
+    docs = common.tagged(spark.createDataFrame(rows[:60], "doc_id long, text string").repartition(12))
+    total = sum(len(x) for _, x in rows[:60])
+    most = []
+    for hot in (np.zeros(0, np.uint64), superkmer_dedup.hot_minimisers(docs, total)):
+        home = superkmer_dedup.packed_runs(docs, 1 << 40, hot).where("packed is not null").groupBy("bucket").count()
+        most.append(home.agg(F.max("count")).first()[0])
+    for hot in (np.zeros(0, np.uint64), suffix_dedup.hot_marks(docs, total)):
+        home = suffix_dedup.hashed_pieces(docs, 1 << 40, hot).where("packed is not null").select(F.length("packed").alias("n"), "bucket").groupBy("bucket")
+        most.append(home.agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0])
+    print("HOT", most)
+    assert most[1] < most[0]
+    assert len(superkmer_dedup.hot_minimisers(docs, total)) and len(suffix_dedup.hot_marks(docs, total))
+    assert most[3] < most[2]

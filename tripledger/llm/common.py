@@ -157,3 +157,32 @@ def tagged(rows: DataFrame) -> DataFrame:
         return rows.withColumn("tag", F.lit(0).cast("long"))
     listed = id_filter(repeated)
     return rows.withColumn("tag", F.when(F.col("doc_id").isNotNull() & listed(F.col("doc_id")), F.xxhash64("text")).otherwise(F.lit(0).cast("long")))
+
+
+#: Sent rows of one key from which it is split, and the bytes and least share of the text in which they are counted.
+HOT_ROWS = 50_000
+COUNTED_BYTES, COUNTED_SHARE = 16_000_000, 1 / 1000
+
+
+def hot_keys(rows: DataFrame, total: int, counted: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> np.ndarray:
+    """Sorted keys (unsigned) of which about HOT_ROWS or more rows would be sent, by the counts (key, n) that ``counted``
+    gives for a sample of the rows. It only decides how rows are dealt: results do not depend on it. As a key counts
+    from a fixed number of rows on, at most so many come back as the total holds of it."""
+    share = max(COUNTED_SHARE, min(1.0, COUNTED_BYTES / max(1, total)))
+    found = (
+        (rows if share == 1 else rows.sample(fraction=share, seed=1)).mapInArrow(tidied(counted), "key long, n long")
+        .groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= max(2.0, HOT_ROWS * share)).select("key").toArrow()
+    )
+    return np.sort(found.column(0).to_numpy().view(np.uint64))
+
+
+def among(keys: np.ndarray, listed: np.ndarray) -> np.ndarray:
+    """Which ``keys`` are in the sorted ``listed``."""
+    if not len(listed):
+        return np.zeros(len(keys), bool)
+    return listed[np.minimum(np.searchsorted(listed, keys), len(listed) - 1)] == keys
+
+
+def key_counts(keys: np.ndarray) -> pa.RecordBatch:
+    keys, n = np.unique(keys, return_counts=True)
+    return pa.record_batch([pa.array(keys.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])

@@ -2,7 +2,7 @@
 
 1. The starts of STRING bytes in a document are cut in pieces: neighbouring starts whose strings share their smallest
    hash of GRAM bytes, the mark. Equal strings share their mark. Documents, places and hashes of the pieces go to the
-   bucket of the mark, no text.
+   bucket of the mark, no text. The starts of a mark that very many pieces have go by the hash of their whole string.
 2. A mark that only one document has is let go: no string there can repeat elsewhere. Of equal pieces the smallest
    document keeps its own, the others lose all starts. Pieces of a mark with several contents stay open.
 3. The bytes of open pieces are cut from their documents and sent to buckets by mark. There they are laid end to end,
@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripledger.llm.common import id_filter, mixed, stored, tagged, tidied
+from tripledger.llm.common import among, hot_keys, id_filter, key_counts, mixed, stored, tagged, tidied
 from tripledger.llm.superkmer_dedup import _window_min, gathered
 from tripledger.llm.words import _BACK, _BASE, _powers
 
@@ -160,8 +160,11 @@ def _merged(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, n: np.ndarray)
     return doc[cut], tag[cut], start[cut], np.add.reduceat(n, cut) if len(cut) else n
 
 
-def _pieces(ids: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, ...] | None:
-    """Text number, first start, number of starts, gram hash and content hash of each piece, and where each text begins."""
+def _pieces(texts: list[bytes], hot: np.ndarray) -> tuple[np.ndarray, ...] | None:
+    """Text number, first start, number of starts, gram hash and content hash of each piece, and where each text begins.
+
+    The mark of the starts of a ``hot`` mark is the hash of their whole string.
+    """
     size = np.array([len(t) for t in texts], np.int64)
     body = np.frombuffer(b"\0".join(texts) + b"\0" * (STRING + 14), np.uint8)
     begin = np.cumsum(size + 1) - size - 1
@@ -188,6 +191,15 @@ def _pieces(ids: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, ...] | Non
     new[1:] = least[1:] != least[:-1]
     new[begin[count > 0]] = True
     first = np.flatnonzero(new & fits)
+    at = np.flatnonzero(among(least[first], hot))
+    if len(at):
+        stop = np.minimum(np.append(first[1:], len(least))[at], len(least))
+        spots = np.repeat(first[at] - (np.cumsum(stop - first[at]) - (stop - first[at])), stop - first[at]) + np.arange((stop - first[at]).sum())
+        spots = spots[fits[spots]]
+        least[spots] = mixed((sums[spots + STRING] - sums[spots]) * back[spots])
+        new[1:] = least[1:] != least[:-1]  # neighbouring starts of one string stay a piece
+        new[begin[count > 0]] = True
+        first = np.flatnonzero(new & fits)
     owner = np.searchsorted(begin, first, side="right") - 1
     n = np.minimum(np.append(first[1:], len(body)), (begin + count)[owner]) - first
     gram = least[first]
@@ -195,15 +207,28 @@ def _pieces(ids: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, ...] | Non
     return owner, first, n, gram, content, begin
 
 
-def hashed_pieces(docs: DataFrame, buckets: int) -> DataFrame:
+def hot_marks(docs: DataFrame, total: int) -> np.ndarray:
+    """Marks of very many pieces, counted in a sample."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, texts in gathered(batches, PIECE_BYTES):
+            found = _pieces(texts, np.zeros(0, np.uint64))
+            if found is not None:
+                yield key_counts(found[3])
+
+    return hot_keys(docs, total, counted)
+
+
+def hashed_pieces(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
     """Hashes of pieces packed by bucket, and starts that equal bytes of a smaller document in the same part of the input lose."""
+    listed = docs.sparkSession.sparkContext.broadcast(hot)
 
     @tidied
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
         for id_list, tag_list, texts in gathered(batches, PIECE_BYTES):
             ids, tags = np.array(id_list, np.int64), np.array(tag_list, np.int64)
-            found = _pieces(ids, texts)
+            found = _pieces(texts, listed.value)
             if found is None:
                 continue
             owner, first, n, gram, content, begin = found
@@ -362,7 +387,8 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = tagged(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    sifts = stored(sifted(hashed_pieces(rows.where("doc_id is not null"), max(4 * parts, total // BUCKET_BYTES))), "sifted")
+    some = rows.where("doc_id is not null")
+    sifts = stored(sifted(hashed_pieces(some, max(4 * parts, total // BUCKET_BYTES), hot_marks(some, total))), "sifted")
     open_ = sifts.where("mark is not null")
     asked = open_.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "n", "mark")).alias("open"))
     listed = id_filter(open_.select("doc_id").distinct())

@@ -7,7 +7,8 @@ later document loses the words of the window.
 
 Before they travel, windows are combined where they are: of equal windows in one piece of the input only the first one
 of the smallest document is sent, and later documents of the piece already know that they lose it. A passage that very
-many documents share is thus sent once per piece, not once per document.
+many documents share is thus sent once per piece, not once per document. A minimiser that very many super-k-mers have is
+split: its windows go to the buckets of their own hashes.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripledger.llm.common import BLANKS, WORD, id_filter, mixed, stored, tagged, tidied
+from tripledger.llm.common import BLANKS, WORD, among, hot_keys, id_filter, key_counts, mixed, stored, tagged, tidied
 from tripledger.llm.words import Words, pieces, runs_of, words_of
 
 WINDOW = 13
@@ -83,8 +84,26 @@ def _sent_runs(doc: np.ndarray, tag: np.ndarray, at: np.ndarray, buckets: int) -
     return pa.record_batch([pa.array(home), pa.nulls(len(doc), pa.binary()), pa.array(doc), pa.array(tag), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], schema=_SENT)
 
 
-def packed_runs(docs: DataFrame, buckets: int) -> DataFrame:
-    """Super-k-mers packed per piece and bucket, and runs of windows that are already known to be lost."""
+def hot_minimisers(docs: DataFrame, total: int) -> np.ndarray:
+    """Minimisers of very many super-k-mers, counted in a sample."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, texts in gathered(batches, PIECE_BYTES):
+            words = words_of(texts)
+            first, owner, _, _ = _windows(words)
+            if len(first):
+                least = _window_min(runs_of(words.value, MINIMISER), WINDOW - MINIMISER + 1)[first]
+                yield key_counts(least[np.concatenate([[True], (least[1:] != least[:-1]) | (owner[1:] != owner[:-1])])])
+
+    return hot_keys(docs, total, counted)
+
+
+def packed_runs(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
+    """Super-k-mers packed per piece and bucket, and runs of windows that are already known to be lost.
+
+    Windows of a ``hot`` minimiser go one by one to the bucket of their own hash, which equal windows share.
+    """
+    listed = docs.sparkSession.sparkContext.broadcast(hot)
 
     @tidied
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -105,8 +124,11 @@ def packed_runs(docs: DataFrame, buckets: int) -> DataFrame:
                 yield _sent_runs(doc[gone], tags[owner[gone]], first[gone] - words.first[owner[gone]], buckets)
             sent = np.sort(lead)
             least = _window_min(runs_of(words.value, MINIMISER), WINDOW - MINIMISER + 1)[first[sent]]
+            split = among(least, listed.value)
+            least[split] = one[sent][split]
             new = np.ones(len(sent), bool)
             new[1:] = (first[sent][1:] != first[sent][:-1] + 1) | (owner[sent][1:] != owner[sent][:-1]) | (least[1:] != least[:-1])
+            new |= split
             begin = np.flatnonzero(new)
             length = np.diff(np.append(begin, len(sent)))
             w0 = first[sent][begin]
@@ -212,7 +234,9 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     rows = tagged(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")))
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = stored(lost_windows(packed_runs(rows.where("doc_id is not null"), max(4 * parts, total // BUCKET_BYTES))), "lost")
+    some = rows.where("doc_id is not null")
+    hot = hot_minimisers(some, total)
+    runs = stored(lost_windows(packed_runs(some, max(4 * parts, total // BUCKET_BYTES), hot)), "lost")
     listed = id_filter(runs.select("doc_id").distinct())
     lost = runs.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "n")).alias("lost"))
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", *(["kept"] if with_text else [])]

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripledger.llm import byte_bpe, exact_dedup, language_id, minhash_join, mixing, projection_search, quality, suffix_dedup, superkmer_dedup, toxicity
+from tripledger.llm import byte_bpe, exact_dedup, language_id, line_dedup, minhash_join, mixing, projection_search, quality, suffix_dedup, superkmer_dedup, toxicity
 from tripledger.llm.common import documents, held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,6 +61,10 @@ def op10_projection_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection_search.nearest(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.without_shared_lines(documents(spark, sf_dir))
+
+
 OP3_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
@@ -160,6 +164,19 @@ ranked AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256 FROM ranked
 """
 
+OP12_SQL = r"""
+WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS w FROM documents),
+lines AS (
+  SELECT doc_id, i, w[i] AS line,
+    translate(trim(w[i], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM docs, unnest(range(1, len(w) + 1)) t(i)),
+shared AS (SELECT key, max(doc_id) AS last FROM lines WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+judged AS (SELECT doc_id, i, line, coalesce(doc_id <> last, false) AS lost FROM lines LEFT JOIN shared USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT lost), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
+
 
 def llm_queries() -> dict[str, Query]:
     return {
@@ -173,6 +190,7 @@ def llm_queries() -> dict[str, Query]:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_language_id": op9_language_id,
         "op10_projection_search": op10_projection_search,
+        "op12_line_dedup": op12_line_dedup,
     }
 
 
@@ -183,4 +201,5 @@ def llm_oracles() -> dict[str, str]:
         "op6_minhash_join": OP6_SQL,
         "op7_superkmer_dedup": OP7_SQL,
         "op8_exact_dedup": OP8_SQL,
+        "op12_line_dedup": OP12_SQL,
     }

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tripledger.llm import byte_bpe, exact_dedup, language_id, line_dedup, minhash_join, mixing, projection_search, quality, suffix_dedup, superkmer_dedup, toxicity
+from tripledger.llm import byte_bpe, exact_dedup, filter_audit, language_id, lexical_search, line_dedup, minhash_join, mixing, projection_search, quality, suffix_dedup, superkmer_dedup, toxicity
 from tripledger.llm.common import documents, held_out
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -61,10 +61,18 @@ def op10_projection_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection_search.nearest(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.without_shared_lines(documents(spark, sf_dir))
 
 
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.ranked(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 OP3_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
@@ -164,6 +172,34 @@ ranked AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(body) AS text_sha256 FROM ranked
 """
 
+OP11_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+flags AS (
+  SELECT doc_id, part, [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t),
+    regexp_matches(t, '[#$%&*|]'), doc_id > min(doc_id) OVER (PARTITION BY t)] AS fails
+  FROM docs),
+marked AS (
+  SELECT part, list_transform(fails, lambda f: f::INT) AS f, coalesce(quality = 1, false) AS good, coalesce(toxic = 1, false) AS toxic
+  FROM flags LEFT JOIN labels USING (doc_id)),
+masks AS (
+  SELECT part, f, list_sum(f)::INT AS many, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM marked GROUP BY ALL),
+five AS (SELECT unnest([1, 2, 3, 4, 5]) AS k),
+orders AS (
+  SELECT [a.k, b.k, c.k, d.k, e.k] AS o FROM five a, five b, five c, five d, five e
+  WHERE len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+steps AS (SELECT o, array_to_string(list_transform(o, lambda k: 'ABCDE'[k]), '') AS filter_order, s AS step, o[s] AS own FROM orders, range(1, 6) r(s)),
+judged AS (
+  SELECT part, filter_order, step::INT AS step, f[own] = 1 AS fails, many, n, good, toxic,
+    coalesce(list_sum(list_transform(o[1:step - 1], lambda k: f[k])), 0) = 0 AS passed
+  FROM masks, steps)
+SELECT part, filter_order, step, coalesce(sum(n) FILTER (passed AND NOT fails), 0)::BIGINT AS kept, coalesce(sum(n) FILTER (passed AND fails), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER (fails AND NOT passed), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (fails AND many = 1), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER (passed AND fails), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER (passed AND fails), 0)::BIGINT AS toxic_lost,
+  coalesce(sum(n * (120 // greatest(many, 1))) FILTER (fails), 0)::BIGINT AS shapley
+FROM judged GROUP BY part, filter_order, step
+"""
+
 OP12_SQL = r"""
 WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS w FROM documents),
 lines AS (
@@ -177,6 +213,29 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (lost) AS n_dropped,
 FROM judged GROUP BY doc_id
 """
 
+OP13_SQL = r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents WHERE text IS NOT NULL),
+sizes AS (SELECT doc_id, len(w) AS n FROM docs WHERE len(w) > 0),
+total AS (SELECT count(*) AS docs, sum(n)::BIGINT AS words FROM sizes),
+wanted AS (
+  SELECT item_id, term, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark) GROUP BY ALL),
+held AS (
+  SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM docs) WHERE term IN (SELECT term FROM wanted) GROUP BY ALL),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * any_value(docs) + 2) / (2 * count(*) + 1)))::BIGINT AS weight FROM held, total GROUP BY term),
+scores AS (
+  SELECT item_id, doc_id, sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // words))))::BIGINT AS score
+  FROM wanted JOIN held USING (term) JOIN weights USING (term) JOIN sizes USING (doc_id), total GROUP BY item_id, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 10
+"""
+
 
 def llm_queries() -> dict[str, Query]:
     return {
@@ -190,7 +249,9 @@ def llm_queries() -> dict[str, Query]:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_language_id": op9_language_id,
         "op10_projection_search": op10_projection_search,
+        "op11_filter_audit": op11_filter_audit,
         "op12_line_dedup": op12_line_dedup,
+        "op13_lexical_search": op13_lexical_search,
     }
 
 
@@ -201,5 +262,7 @@ def llm_oracles() -> dict[str, str]:
         "op6_minhash_join": OP6_SQL,
         "op7_superkmer_dedup": OP7_SQL,
         "op8_exact_dedup": OP8_SQL,
+        "op11_filter_audit": OP11_SQL,
         "op12_line_dedup": OP12_SQL,
+        "op13_lexical_search": OP13_SQL,
     }

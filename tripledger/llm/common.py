@@ -89,11 +89,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def stored(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
+def stored(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
     """The rows written to the shared folder as Parquet and read again: for results with many rows."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path, compression=codec)
+    df.write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -11,8 +11,6 @@
    weight, until the terms that are left cannot lift an unseen document over the worst of the best; it skips a block only
    if the summary proves the same for all its documents, and scores the others exactly from the forward rows. The
    best of all tasks are ranked by Spark. All sums are whole numbers, so no bound is ever rounded below a score.
-   A first pass opens the few most promising blocks of every shard; the worst of the best documents that it finds anywhere
-   is a floor which all shards of the second, full pass may skip below.
 """
 
 from __future__ import annotations
@@ -24,22 +22,21 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tripledger.llm.common import stored, tidied
 
 TOP = 10
-#: A shard ends at so many documents or postings.
-SHARD_DOCS, SHARD_POSTINGS = 8192, 400_000
+#: A shard ends at so many documents or postings. One is a row of some megabytes, read and written one at a time.
+SHARD_DOCS, SHARD_POSTINGS = 8192, 200_000
 #: Documents of a block at most, of a list without summaries, and the step to which summaries are rounded up.
 BLOCK, SHORT, UNIT = 128, 64, 4096
 #: Terms of searches (each search's own ones counted) that are broadcast at a time: one pass over the documents per block.
 PAIRS = 1 << 20
 #: Bytes of a text that are cut into terms at a time.
 PIECE = 4_000_000
-#: Blocks of a shard that the first pass opens for a search.
-TRIES = 3
 PROJECTIONS = 32
 _TERM_BYTES = bytes(b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else b + 32 if 65 <= b <= 90 else 32 for b in range(256))
 _FORWARD = "doc_id long, n long, terms array<int>, times array<int>"
@@ -163,12 +160,12 @@ class Shard:
         return cls.TYPES.get(name, np.int32)
 
     @classmethod
-    def read(cls, row: dict[str, pa.Buffer]) -> Shard:
-        terms = memoryview(row["most"]).nbytes // 4
-        return cls({n: np.frombuffer(row[n], cls._type(n, terms)) for n in cls.NAMES})
+    def read(cls, row: dict[str, bytes]) -> Shard:
+        arrays = {n: zstandard.decompress(row[n]) for n in cls.NAMES}
+        return cls({n: np.frombuffer(a, cls._type(n, len(arrays["most"]) // 4)) for n, a in arrays.items()})
 
     def written(self) -> pa.RecordBatch:
-        blobs = [getattr(self, n).astype(self._type(n, len(self.most)), copy=False).tobytes() for n in self.NAMES]
+        blobs = [zstandard.compress(getattr(self, n).astype(self._type(n, len(self.most)), copy=False).tobytes(), 1) for n in self.NAMES]
         return pa.record_batch([pa.array([len(self.ids)], pa.int32()), *[pa.array([b], pa.binary()) for b in blobs]], names=["docs", *self.NAMES])
 
     @classmethod
@@ -248,7 +245,7 @@ def _summary(docs: np.ndarray, first: np.ndarray, term: np.ndarray, impact: np.n
 
 
 def index_rows(forward: DataFrame, stats: Statistics) -> DataFrame:
-    """The index: one row per shard, its arrays as bytes."""
+    """The index: one row per shard, its arrays as compressed bytes."""
     shared = forward.sparkSession.sparkContext.broadcast(stats)  # one weight per term
 
     @tidied
@@ -280,15 +277,15 @@ def index_rows(forward: DataFrame, stats: Statistics) -> DataFrame:
 
 
 class Best:
-    """The best documents of one search so far, none with a score below ``floor``."""
+    """The best documents of one search so far."""
 
-    def __init__(self, top: int, floor: int = 1):
-        self.top, self.floor, self.score, self.absent, self.ids = top, floor, *(np.zeros(0, np.int64) for _ in range(3))
+    def __init__(self, top: int):
+        self.top, self.score, self.absent, self.ids = top, *(np.zeros(0, np.int64) for _ in range(3))
 
     @property
     def needed(self) -> int:
         """The least score that can still change the list."""
-        return max(self.floor, int(self.score[-1])) if len(self.score) == self.top else self.floor
+        return int(self.score[-1]) if len(self.score) == self.top else 1
 
     def add(self, score: np.ndarray, absent: np.ndarray, ids: np.ndarray) -> None:
         good = score >= self.needed
@@ -298,11 +295,8 @@ class Best:
             self.score, self.absent, self.ids = score[order], absent[order], ids[order]
 
 
-def search_shard(shard: Shard, terms: np.ndarray, value: np.ndarray, best: Best, tries: int | None = None) -> tuple[int, int]:
-    """Adds the shard's best documents for one search: its terms, and the value of every term.
-
-    Returns the blocks opened and met. With ``tries``, it stops after so many.
-    """
+def search_shard(shard: Shard, terms: np.ndarray, value: np.ndarray, best: Best) -> tuple[int, int]:
+    """Adds the shard's best documents for one search: its terms, and the value of every term. Returns blocks opened and met."""
     reach = value[terms] * shard.most[terms]
     order = np.argsort(-reach, kind="stable")
     left = np.cumsum(reach[order][::-1])[::-1]
@@ -322,8 +316,6 @@ def search_shard(shard: Shard, terms: np.ndarray, value: np.ndarray, best: Best,
         for k in np.argsort(-bound, kind="stable").tolist():
             if bound[k] < best.needed:
                 break
-            if opened == tries:
-                return opened, met
             opened += 1
             docs = shard.member[shard.block_first[lo + k]:shard.block_first[lo + k + 1]]
             docs = docs[~seen[docs]]
@@ -332,24 +324,21 @@ def search_shard(shard: Shard, terms: np.ndarray, value: np.ndarray, best: Best,
     return opened, met
 
 
-def search_index(
-    index: DataFrame, searches: Searches, stats: Statistics, top: int = TOP, floors: np.ndarray | None = None, tries: int | None = None,
-) -> DataFrame:
-    """The best documents of each search (item: its number) among those of each task, none below the floors."""
-    floors = np.ones(len(searches.own), np.int64) if floors is None else floors
-    shared = index.sparkSession.sparkContext.broadcast((searches.own, stats.weight, floors))  # at most PAIRS terms
+def search_index(index: DataFrame, searches: Searches, stats: Statistics, top: int = TOP) -> DataFrame:
+    """The best documents of each search (item: its number) among those of each task."""
+    shared = index.sparkSession.sparkContext.broadcast((searches.own, stats.weight))  # at most PAIRS terms
 
     @tidied
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, weight, floors = shared.value
-        best = [Best(top, int(floor)) for floor in floors]
+        own, weight = shared.value
+        best = [Best(top) for _ in own]
         value = np.zeros(len(weight), np.int64)
         for batch in batches:
             for i in range(batch.num_rows):
-                shard = Shard.read({n: batch.column(n)[i].as_buffer() for n in Shard.NAMES})
+                shard = Shard.read({n: batch.column(n)[i].as_py() for n in Shard.NAMES})
                 for (terms, times), found in zip(own, best, strict=True):
                     value[terms] = weight[terms] * times
-                    search_shard(shard, terms, value, found, tries)
+                    search_shard(shard, terms, value, found)
                     value[terms] = 0
         out = [(k, None if a else int(d), int(s)) for k, f in enumerate(best) for s, a, d in zip(f.score, f.absent, f.ids, strict=True)]
         if out:
@@ -359,20 +348,6 @@ def search_index(
     return index.mapInArrow(rows, "item int, doc_id long, score long")
 
 
-def best_of(found: DataFrame, top: int) -> DataFrame:
-    """The first ``top`` rows of each item with their rank; each task sends no more than that."""
-    window = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
-    return found.withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= top)
-
-
-def floors_of(index: DataFrame, searches: Searches, stats: Statistics, top: int) -> np.ndarray:
-    """For each search a score that ``top`` documents reach, from the most promising blocks of every shard; 1 if unknown."""
-    worst = best_of(search_index(index, searches, stats, top, tries=TRIES), top).where(F.col("rank") == top).select("item", "score").toArrow()
-    floors = np.ones(len(searches.own), np.int64)  # one row per search came back
-    floors[worst.column(0).to_numpy()] = worst.column(1).to_numpy()
-    return floors
-
-
 def ranked(
     docs: DataFrame, items: DataFrame, top: int = TOP, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text",
 ) -> DataFrame:
@@ -388,8 +363,9 @@ def ranked(
     for block in search_blocks(items, item_id, item_text, PAIRS):
         forward = stored(forward_rows(docs, block.terms, doc_id, text), "forward")
         stats = statistics(forward, len(block.terms))
-        index = stored(index_rows(forward, stats), "index", "zstd")
-        best = best_of(search_index(index, block, stats, top, floors_of(index, block, stats, top)), top)
+        index = stored(index_rows(forward, stats), "index", {"compression": "uncompressed", "parquet.block.size": str(4 << 20)})
+        window = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
+        best = search_index(index, block, stats, top).withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= top)
         names = spark.createDataFrame(list(enumerate(block.items)), "item int, item_id long")
         out.append(best.join(names, "item").select("item_id", "rank", "doc_id", "score"))
     if not out:

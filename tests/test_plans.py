@@ -15,7 +15,7 @@ from tripledger.sources.files import list_files
 
 PYTHON = {"mail_bodies"}
 WRITES = {"stream_changes", "mailbox_scan", "mail_bodies", "csv_chat", "csv_profile_rows", "register_decimals",
-          "write_candidate_rows", "candidate_table", "search_page2"}
+          "write_candidate_rows", "candidate_table", "search_page2", "stream_redelivered", "match_members"}
 
 
 def plan(df):
@@ -106,3 +106,34 @@ def test_hot_register_key_is_split_and_combined(spark, conf):
     df = G.apply_changes(base, log).changed
     assert "skew=true" in _final(df)
     assert df.where("flight_id = 'R0'").first()["website"] == hashlib.sha256(b"5997").hexdigest()
+
+
+def test_lookup_rows_are_dropped_before_their_shuffle(spark):
+    side = "flight_id string, date_iso string, origin string, dest string, airline string, confirmation_code string"
+    register = spark.range(5000).select(
+        F.col("id").alias("ord"), F.concat(F.lit("R"), F.col("id").cast("string")).alias("flight_id"),
+        F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") % 1000).cast("int")).cast("string").alias("date_iso"),
+        F.concat(F.lit("O"), (F.col("id") % 70).cast("string")).alias("origin"), F.lit("SFO").alias("dest"),
+        F.concat(F.lit("line "), (F.col("id") % 9).cast("string")).alias("airline"), F.concat(F.lit("c"), F.col("id").cast("string")).alias("confirmation_code"))
+    new = spark.createDataFrame([(f"C{i}", f"2020-01-0{1 + i}", f"o{i}", "sfo", f"Line {i}", "c7") for i in range(8)], side)
+    probes = R._probes(R.with_keys(new).select(*R.TUPLE).distinct(), R.ALL_RULES)
+    rows, asked = R.lookup_rows(register), R.asked_rows(register, probes)
+    assert rows.count() > 30_000
+    wanted = rows.join(probes.select("hash").distinct(), "hash", "left_semi").count()
+    assert wanted <= asked.count() <= wanted + 20  # all that match, and hardly any other
+    assert asked.where("rule >= 4").count() <= 5  # every candidate names its airports
+    for few in (True, False):
+        found = R.classify(new, register, hits=R.match_hits(new, register, few=few)).groupBy("dedup_status").count().collect()
+        assert sorted(map(tuple, found)) == sorted(map(tuple, R.classify(new, register).groupBy("dedup_status").count().collect()))
+
+
+def test_exchanges_of_counts_and_scans_of_changes(spark, sf_dir, conf, tmp_path):
+    conf(autoBroadcastJoinThreshold="-1")
+    counts = plan(contract.queries()["status_counts"](spark, sf_dir))
+    assert len(re.findall(r"Exchange (?:hashpartitioning|SinglePartition)", counts)) <= 11
+    D.register(spark, sf_dir).drop("ord").write.parquet(str(tmp_path / "register"))
+    register = spark.read.parquet(str(tmp_path / "register"))
+    outcome = G.apply_changes(register, D.change_log(spark, sf_dir))
+    for part, scans in ((outcome.whole, 2), (outcome.changed, 2), (outcome.rejects, 1)):
+        assert len(re.findall(r"FileScan parquet \[flight_id", plan(part))) == scans
+    assert plan(outcome.whole).count("Join ") == 2

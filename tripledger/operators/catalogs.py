@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from tripledger import vocabulary as V
@@ -101,13 +101,22 @@ def keyword_frequency(rows: DataFrame, words: Iterable[str] = V.CHAT_WORDS) -> D
 
     Each result row also carries the number of rows and of rows with any keyword.
     """
-    words = list(words)
-    text = F.lower(F.concat_ws(" ", *[F.col(c).cast("string") for c in rows.columns]))
-    tested = rows.select(text.alias("_text"))
-    counts = tested.agg(
-        F.count(F.lit(1)).alias("total_rows"),
-        F.count_if(contains_any(F.col("_text"), words)).alias("matched_rows"),
-        *[F.count_if(F.col("_text").contains(w)).alias(f"_k{i}") for i, w in enumerate(words)],
+    tested = rows.select(F.concat_ws(" ", *[F.col(c).cast("string") for c in rows.columns]).alias("_text"))
+    return _keyword_counts(tested.groupBy(), F.lit(True), list(words))
+
+
+def keyword_frequency_by(rows: DataFrame, by: str, text: str, counted: str, words: Iterable[str] = V.CHAT_WORDS) -> DataFrame:
+    """As ``keyword_frequency`` for every value of ``by`` in one pass; only rows that ``counted`` marks count."""
+    tested = rows.select(by, F.col(counted).alias("_counted"), F.col(text).alias("_text"))
+    return _keyword_counts(tested.groupBy(by), F.col("_counted"), list(words), by)
+
+
+def _keyword_counts(groups: GroupedData, counted: Column, words: list[str], *by: str) -> DataFrame:
+    text = F.lower("_text")
+    counts = groups.agg(
+        F.count_if(counted).alias("total_rows"),
+        F.count_if(counted & contains_any(text, words)).alias("matched_rows"),
+        *[F.count_if(counted & text.contains(w)).alias(f"_k{i}") for i, w in enumerate(words)],
     )
     pairs = tagged(("keyword", "n"), *[(F.lit(w), F.col(f"_k{i}")) for i, w in enumerate(words)])
-    return counts.select("total_rows", "matched_rows", F.inline(pairs))
+    return counts.select(*by, "total_rows", "matched_rows", F.inline(pairs))

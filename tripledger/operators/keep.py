@@ -31,6 +31,23 @@ def join_once(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str =
     return joined.drop("_h")
 
 
+#: Bits of the filter of ``possible``: 2**24 bits are 2**18 words, a table of 4 MB whatever the input.
+FILTER_BITS = 1 << 24
+
+
+def possible(rows: DataFrame, keys: Sequence[str], listed: DataFrame) -> DataFrame:
+    """The rows whose keys are among those of ``listed``, and a few others: a Bloom filter of one hash.
+
+    It spares rows that a later join would drop their shuffle. The filter is a table of 64-bit words of bounded size, so
+    it may be broadcast; with very many listed keys it lets more rows pass. Rows and ``listed`` share the key names.
+    """
+    spot = F.pmod(F.xxhash64(*keys), F.lit(FILTER_BITS)).alias("_spot")
+    word = F.expr("_spot div 64").alias("_word")
+    words = listed.select(spot).groupBy(word).agg(F.expr("bit_or(shiftleft(1L, cast(_spot % 64 as int)))").alias("_bits"))
+    seen = rows.select("*", spot).select("*", word).join(F.broadcast(words), "_word")
+    return seen.where("shiftright(_bits, cast(_spot % 64 as int)) & 1 = 1").select(*rows.columns)
+
+
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of every key in the given order.
 

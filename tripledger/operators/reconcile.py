@@ -4,14 +4,18 @@ The result for a candidate depends only on its five normalised keys. So the work
 once per distinct key tuple, on narrow rows:
 
     candidates -> distinct key tuples -> probes (one per rule that can apply)
-    register   -> lookup rows per rule -> counted per (rule, key)
+    register   -> lookup rows per rule -> those that a probe may ask for -> counted per (rule, key)
     probes x counts -> first rule per tuple -> joined back to the candidates
 
-Rules are numbered 1 to 5; ``match_rules`` selects a subset. A day band is two lookup rows
-per register row (the day before and the day after), which makes it an equi join.
+Rules are numbered 1 to 5; ``match_rules`` selects a subset. All rules share one equi join: a
+code is a key like the others, whose count carries its last register row, and a day band is two
+lookup rows per register row (the day before and the day after). Where candidates are few, a Bloom
+filter of the probes' hashes drops lookup rows before their shuffle that no candidate asks for, such
+as the airline days of a register whose candidates all name their airports.
 
 A candidate names the group of register rows that it matches and their number, whatever the
 number is; ``match_members`` gives all rows of all groups in use. Nothing collects a group.
+Counts of statuses need no candidate rows: ``status_totals`` weighs the tuples by their copies.
 
 Skew: tuples and counts are aggregated before their shuffles, blank keys send no probe at
 all, and the remaining joins have one row per key on one side, so adaptive execution can
@@ -27,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tripledger.functions import normalize as N
 from tripledger.functions.text import present, safe_text, say, tagged
-from tripledger.operators.keep import computed, join_once, keep_last
+from tripledger.operators.keep import computed, join_once, possible
 
 CODE, SAME_BOOKING, SAME_ROUTE_NEAR_DAY, SAME_AIRLINE_DAY, SAME_AIRLINE_NEAR_DAY = ALL_RULES = (1, 2, 3, 4, 5)
 PARTS = ("_code", "_date", "_origin", "_dest", "_airline")
@@ -69,27 +73,29 @@ def _slot(rule: int, parts: Sequence[Column], test: Column, **extra: Column) ->
 
 
 def lookup_rows(register: DataFrame, rules: Sequence[int] = ALL_RULES) -> DataFrame:
-    """Register rows under every key a rule may look them up by (rules 2 to 5)."""
+    """Register rows under every key a rule may look them up by."""
     keyed = with_keys(register)
-    date, origin, dest, line = (F.col(c) for c in ("_date", "_origin", "_dest", "_airline"))
+    date, origin, dest, line, code = (F.col(c) for c in ("_date", "_origin", "_dest", "_airline", "_code"))
     day = N.day_of(date)
     near = lambda shift: F.date_add(day, shift).cast("string")
     dated, routed, flown = day.isNotNull(), _filled("_origin", "_dest"), _filled("_airline")
     slots = {
+        CODE: [((code,), _filled("_code"))],
         SAME_BOOKING: [((date, origin, dest, line), routed & flown & _filled("_date"))],
         SAME_ROUTE_NEAR_DAY: [((origin, dest, near(s)), routed & dated) for s in (-1, 1)],
         SAME_AIRLINE_DAY: [((line, date), flown & _filled("_date"))],
         SAME_AIRLINE_NEAR_DAY: [((line, near(s)), flown & dated) for s in (-1, 1)],
     }
-    rows = [_slot(r, key, test) for r in rules if r != CODE for key, test in slots[r]]
-    opened = keyed.select("ord", "flight_id", "_date", F.explode(F.array_compact(F.array(*rows))).alias("_slot"))
-    return opened.select("_slot.*", "ord", F.col("flight_id").cast("string").alias("flight_id"), F.col("_date").alias("date"))
+    rows = [_slot(r, key, test) for r in rules for key, test in slots[r]]
+    opened = keyed.select("ord", "flight_id", "_date", "_origin", "_dest", F.explode(F.array_compact(F.array(*rows))).alias("_slot"))
+    return opened.select(
+        "_slot.*", "ord", F.col("flight_id").cast("string").alias("flight_id"), F.col("_date").alias("date"), F.col("_origin").alias("origin"),
+        F.col("_dest").alias("dest"))
 
 
-def codes_kept_last(register: DataFrame) -> DataFrame:
-    """The last register row of every confirmation code."""
-    keyed = with_keys(register).where(_filled("_code")).select("_code", "ord", "flight_id", "_date", "_origin", "_dest")
-    return keep_last(keyed, ["_code"], ["ord", "flight_id"])
+def _last_of_code() -> Column:
+    """Of the lookup rows of a code, the last register row."""
+    return F.max(F.when(F.col("rule") == CODE, F.struct("ord", "flight_id", "date", "origin", "dest")))
 
 
 def _reason(rule: Column, n: Column) -> Column:
@@ -135,84 +141,102 @@ def _tuple_key(rule: Column) -> list[Column]:
     return parts
 
 
-def _probes(tuples: DataFrame, rules: Sequence[int]) -> DataFrame:
-    date, origin, dest, line = (F.col(c) for c in ("_date", "_origin", "_dest", "_airline"))
+def _probes(tuples: DataFrame, rules: Sequence[int], blank: bool = False) -> DataFrame:
+    """One row per tuple and rule that can apply; with ``blank`` also one that finds nothing for every other tuple."""
+    date, origin, dest, line, code = (F.col(c) for c in ("_date", "_origin", "_dest", "_airline", "_code"))
     dated, routed, flown = N.day_of(date).isNotNull(), _filled("_origin", "_dest"), _filled("_airline")
     slots = {
+        CODE: ((code,), _filled("_code")),
         SAME_BOOKING: ((date, origin, dest, line), routed & flown & _filled("_date")),
         SAME_ROUTE_NEAR_DAY: ((origin, dest, date), routed & dated),
         SAME_AIRLINE_DAY: ((line, date), ~routed & flown & _filled("_date")),
         SAME_AIRLINE_NEAR_DAY: ((line, date), ~routed & flown & dated),
     }
-    made = F.array_compact(F.array(*[_slot(r, *slots[r]) for r in rules if r != CODE]))
-    return tuples.select(*TUPLE, F.explode(made).alias("_slot")).select(*TUPLE, "_slot.*")
+    made = F.array_compact(F.array(*[_slot(r, *slots[r]) for r in rules]))
+    if blank:  # rule 0 has no lookup row; its hash is that of the tuple, which spreads these rows
+        none = F.struct(F.col("_hash").alias("hash"), F.lit(0).alias("rule"), *[F.lit("").alias(f"k{i}") for i in (1, 2, 3, 4)])
+        made = F.when(F.size(made) == 0, F.array(none)).otherwise(made)
+    return tuples.select(*tuples.columns, F.explode(made).alias("_slot")).select(*tuples.columns, "_slot.*")
 
 
-def _code_hits(tuples: DataFrame, register: DataFrame) -> DataFrame:
-    """Tuples whose code the register knows: the differing fields of its last row, blank if none."""
-    kept = codes_kept_last(register).select(
-        "_code", F.col("_date").alias("r_date"), F.col("_origin").alias("r_origin"), F.col("_dest").alias("r_dest"),
-    )
-    joined = join_once(tuples.where(_filled("_code")), kept, ["_code"])
+def asked_rows(register: DataFrame, probes: DataFrame, rules: Sequence[int] = ALL_RULES) -> DataFrame:
+    """The lookup rows that some probe may ask for: the others are dropped before any shuffle."""
+    return possible(lookup_rows(register, rules), ["hash"], probes)
+
+
+def _differences() -> Column:
+    """The fields in which a tuple differs from the last row of its code, blank if in none."""
 
     def differs(label: str, mine: str, other: str) -> Column:
-        a, b = F.col(mine), F.col(other)
+        a, b = F.col(mine), F.col(f"last.{other}")
         return F.when((a != "") & (b != "") & (a != b), say(label + ": {} vs {}", a, b))
 
-    differences = F.concat_ws(
-        "; ", differs("origin", "_origin", "r_origin"), differs("dest", "_dest", "r_dest"),
-        differs("date", "_date", "r_date"),
-    )
-    return joined.select(*TUPLE, differences.alias("differences"))
+    return F.concat_ws("; ", differs("origin", "_origin", "origin"), differs("dest", "_dest", "dest"), differs("date", "_date", "date"))
 
 
-def match_hits(candidates: DataFrame, register: DataFrame, rules: Sequence[int] = ALL_RULES) -> DataFrame:
-    """The first rule that hits, per distinct key tuple: rule, n (register rows), differences (of a code).
+def _hits(tuples: DataFrame, register: DataFrame, rules: Sequence[int], every: bool = False, few: bool = False) -> DataFrame:
+    """The first rule that hits, per distinct key tuple: rule, n (register rows); of a code conflict, differences and the last row.
 
-    Columns that a caller does not read are pruned, so that a count of statuses needs the
-    existence of keys only.
+    With ``every``, tuples without a hit too. Columns that a caller does not read are pruned.
     """
-    tuples = with_keys(candidates).select(*TUPLE).distinct()
-    hits = None
-    looked_up = [r for r in rules if r != CODE]
-    if looked_up:
-        counts = lookup_rows(register, rules).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"))
-        found = join_once(_probes(tuples, rules), counts, KEY)
-        sizes = [F.max(F.when(F.col("rule") == r, F.col("n"))).alias(f"n{r}") for r in looked_up]
-        hits = found.groupBy(*TUPLE).agg(F.min("rule").alias("first"), *sizes)
-    if CODE in rules:
-        by_code = _code_hits(tuples, register)
-        hits = by_code if hits is None else hits.join(by_code, [*TUPLE], "full")
-    first = F.col("first") if looked_up else F.lit(None).cast("int")
-    by_code = F.col("differences") if CODE in rules else F.lit(None).cast("string")
-    rule = F.when(by_code.isNotNull(), F.lit(CODE)).otherwise(first)
-    n = F.when(rule == CODE, F.lit(1).cast("long"))
-    for r in looked_up:
-        n = n.when(rule == r, F.col(f"n{r}"))
-    return hits.select(*TUPLE, rule.alias("rule"), n.alias("n"), by_code.alias("differences"))
-
-
-def classify(candidates: DataFrame, register: DataFrame, rules: Sequence[int] = ALL_RULES) -> DataFrame:
+    probes = _probes(tuples, rules, blank=every)
+    rows = asked_rows(register, probes, rules) if few else lookup_rows(register, rules)
+    counts = rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), _last_of_code().alias("last"))
+    found = join_once(probes, counts, KEY, "left" if every else "inner")
+    by_code = F.when((F.col("rule") == CODE) & F.col("n").isNotNull(), _differences())
+    sizes = [F.max(F.when(F.col("rule") == r, F.col("n"))).alias(f"n{r}") for r in rules if r != CODE]
+    hits = found.groupBy(*tuples.columns).agg(
+        F.min(F.when(F.col("n").isNotNull(), F.col("rule"))).alias("rule"), *sizes, F.max(by_code).alias("differences"),
+        F.max((by_code != "").cast("int")).alias("conflict"), F.max(F.when(F.col("rule") == CODE, F.struct("last.ord", "last.flight_id"))).alias("last"))
+    n = F.when(F.col("rule") == CODE, F.lit(1).cast("long"))
+    for r in rules:
+        n = n if r == CODE else n.when(F.col("rule") == r, F.col(f"n{r}"))
+    return hits.select(*tuples.columns, "rule", n.alias("n"), "conflict", "differences", "last")
+
+
+def match_hits(candidates: DataFrame, register: DataFrame, rules: Sequence[int] = ALL_RULES, few: bool = False) -> DataFrame:
+    """The hits of the distinct key tuples of the candidates, see ``_hits``.
+
+    ``few`` says that the candidates are few against the register: then its lookup rows pass the filter first, for which
+    the candidates are read once more.
+    """
+    return _hits(with_keys(candidates).select(*TUPLE).distinct(), register, rules, few=few)
+
+
+def _status(rule: Column, conflict: Column) -> Column:
+    return (
+        F.when(rule.isNull(), "net_new")
+        .when((rule == CODE) & (conflict == 1), "conflict")
+        .when(rule <= SAME_BOOKING, "exact_duplicate")
+        .otherwise("near_match")
+    )
+
+
+def status_totals(candidates: DataFrame, register: DataFrame, rules: Sequence[int] = ALL_RULES) -> DataFrame:
+    """As ``status_counts`` of the classified candidates, from the tuples alone: no candidate row is joined."""
+    tuples = with_keys(candidates).groupBy(*TUPLE).agg(F.count(F.lit(1)).alias("copies"))
+    hits = _hits(tuples, register, rules, every=True)
+    return _totals(hits.select(_status(F.col("rule"), F.col("conflict")).alias("dedup_status"), "copies"), F.col("copies"))
+
+
+def classify(
+    candidates: DataFrame, register: DataFrame, rules: Sequence[int] = ALL_RULES, hits: DataFrame | None = None,
+) -> DataFrame:
     """All candidate columns plus dedup_status, match_group, match_count, match_reason, confidence.
 
     ``register`` needs flight_id, date_iso, origin, dest, airline, confirmation_code and
     ``ord``, its row order. The candidate row count never changes. ``match_group`` is blank
-    for a new candidate; ``match_members`` lists the register rows of every group.
+    for a new candidate; ``match_members`` lists the register rows of every group. ``hits`` may
+    give the result of ``match_hits``, if it was stored.
     """
     keyed = with_keys(candidates)
-    hits = match_hits(candidates, register, rules)
+    hits = match_hits(candidates, register, rules) if hits is None else hits
     hit = {c: f"_hit_{c}" for c in hits.columns if c not in TUPLE}
     joined = join_once(keyed, hits.withColumnsRenamed(hit), TUPLE, "left")
-    rule, n, differences = F.col("_hit_rule"), F.col("_hit_n"), F.col("_hit_differences")
+    rule, n, differences, conflict = (F.col(f"_hit_{c}") for c in ("rule", "n", "differences", "conflict"))
     code = F.col("_code")
     by_code = F.when(differences == "", say("confirmation_code exact match ({})", code)).otherwise(
         say("confirmation_code match ({}) but fields differ: {}", code, differences))
-    status = (
-        F.when(rule.isNull(), "net_new")
-        .when(differences != "", "conflict")
-        .when(rule <= SAME_BOOKING, "exact_duplicate")
-        .otherwise("near_match")
-    )
     unmatched = (
         F.when(_filled("_origin", "_dest", "_date"), "high").when(_filled("_date"), "medium").otherwise("low")
     )
@@ -224,7 +248,7 @@ def classify(candidates: DataFrame, register: DataFrame, rules: Sequence[int] =
     )
     return joined.select(
         *[F.col(c) for c in candidates.columns],
-        status.alias("dedup_status"),
+        _status(rule, conflict).alias("dedup_status"),
         F.when(rule.isNull(), "").otherwise(_group_name(rule, _tuple_key(rule))).alias("match_group"),
         F.coalesce(n, F.lit(0)).cast("long").alias("match_count"),
         F.when(rule.isNull(), "").when(rule == CODE, by_code).otherwise(_reason(rule, n)).alias("match_reason"),
@@ -239,18 +263,20 @@ def matches(candidates: DataFrame, register: DataFrame, rules: Sequence[int]) ->
 
 def match_members(candidates: DataFrame, register: DataFrame, rules: Sequence[int] = ALL_RULES) -> DataFrame:
     """All register rows of every group that a candidate names: match_group, ord, flight_id, date, reason."""
+    return members_of(match_hits(candidates, register, rules), register, rules)
+
+
+def members_of(hits: DataFrame, register: DataFrame, rules: Sequence[int] = ALL_RULES, stored: bool = False) -> DataFrame:
+    """As ``match_members``, from hits; of ``stored`` ones the groups filter the lookup rows first."""
     rule = F.col("rule")
-    used = match_hits(candidates, register, rules).where("rule is not null")
-    key = ["rule", *[f"k{i + 1}" for i in range(4)]]
-    groups = used.select(rule, *[p.alias(f"k{i + 1}") for i, p in enumerate(_tuple_key(rule))]).distinct()
-    rows = lookup_rows(register, rules).select(*key, "ord", "flight_id", "date") if set(rules) - {CODE} else None
-    if CODE in rules:
-        kept = codes_kept_last(register).select(
-            F.lit(CODE).alias("rule"), F.col("_code").alias("k1"), *[F.lit("").alias(f"k{i}") for i in (2, 3, 4)],
-            "ord", F.col("flight_id").cast("string").alias("flight_id"), F.col("_date").alias("date"))
-        rows = kept if rows is None else rows.unionByName(kept)
-    return join_once(rows, groups, key).select(
-        _group_name(rule, [F.col(k) for k in key[1:]]).alias("match_group"), "ord", "flight_id", "date", _member_reason().alias("reason"))
+    parts = _tuple_key(rule)
+    groups = hits.where("rule is not null").select(
+        F.xxhash64(rule, *parts).alias("hash"), rule, *[p.alias(f"k{i + 1}") for i, p in enumerate(parts)],
+        F.when(rule == CODE, F.col("last")).alias("only")).distinct()
+    met = join_once(asked_rows(register, groups, rules) if stored else lookup_rows(register, rules), groups, KEY)
+    # of the rows of a code only the last one is a member
+    return met.where("only is null or (ord <=> only.ord and flight_id <=> only.flight_id)").select(
+        _group_name(rule, [F.col(k) for k in KEY[2:]]).alias("match_group"), "ord", "flight_id", "date", _member_reason().alias("reason"))
 
 
 def key_coverage(register: DataFrame) -> DataFrame:
@@ -269,10 +295,13 @@ def key_coverage(register: DataFrame) -> DataFrame:
 
 def status_counts(classified: DataFrame) -> DataFrame:
     """Candidates and their share per status, all four statuses present."""
-    counted = classified.agg(
-        F.count(F.lit(1)).alias("_all"),
-        *[F.count_if(F.col("dedup_status") == s).alias(s) for s in STATUSES],
-    )
+    return _totals(classified, F.lit(1).cast("long"))
+
+
+def _totals(rows: DataFrame, copies: Column) -> DataFrame:
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    counted = rows.agg(
+        total(copies).alias("_all"), *[total(F.when(F.col("dedup_status") == s, copies)).alias(s) for s in STATUSES])
     share = lambda s: F.when(F.col("_all") == 0, F.lit(0.0)).otherwise(F.col(s) * 100.0 / F.col("_all"))
     pairs = tagged(("dedup_status", "n", "percent"), *[(F.lit(s), F.col(s), share(s)) for s in STATUSES])
     return counted.select(F.inline(pairs))

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 from tripledger import vocabulary as V
 from tripledger.functions import fields as X
 from tripledger.functions.text import bind, or_blank, present, say, word_array
-from tripledger.operators.keep import computed, join_once, keep_last, row_index
+from tripledger.operators.keep import computed, join_once, keep_last, possible, row_index
 
 MONEY = T.DecimalType(12, 2)
 _TEXT = (
@@ -99,11 +99,16 @@ def _stored(value: Column, kind: T.DataType) -> Column:
 
 
 def upsert(stored: DataFrame, incoming: DataFrame, order: str) -> DataFrame:
-    """Stored and incoming rows with the last write per flight_id; incoming rows come later."""
+    """Stored and incoming rows with the last write per flight_id; incoming rows come later.
+
+    Writes of one key with the same ``order`` are told apart by their content, so that a rerun keeps the same one.
+    """
     both = stored.withColumns({"_late": F.lit(0), order: F.lit(None).cast("long")}).unionByName(
         incoming.withColumn("_late", F.lit(1)), allowMissingColumns=True
     )
-    return keep_last(both, ["flight_id"], ["_late", order]).drop("_late", order)
+    content = F.to_json(F.struct(*[F.col(c) for c in sorted(both.columns) if c not in ("_late", order)]))
+    tied = both.withColumn("_content", F.sha2(content, 256))
+    return keep_last(tied, ["flight_id"], ["_late", order, "_content"]).drop("_late", order, "_content")
 
 
 def load_check(stored: DataFrame, expected: DataFrame) -> DataFrame:
@@ -300,30 +305,56 @@ def _created_row() -> Column:
 
 
 class Outcome:
-    """What a change set does: ``changed`` rows (new images) and ``rejects``."""
+    """What a change set does: ``changed`` rows (new images), ``rejects`` and the ``whole`` register afterwards.
+
+    All are plans; ``decided`` is the change log that they share, with the verdict on each row, for a caller that runs
+    more than one of them and wants to store it once.
+    """
+
+    def __init__(self, register: DataFrame, decided: DataFrame, keys: DataFrame | None):
+        self._register = register
+        self._keys = keys
+        self.decided = decided
+
+    @property
+    def changed(self) -> DataFrame:
+        """Only register rows that may be named are shuffled."""
+        folded = _folded(self.decided)
+        named = self._register if self._keys is None else possible(self._register, ["flight_id"], self._keys)
+        met = folded.join(_old_rows(named), F.col("_id") == F.col("_key"), "left")
+        # Rows that only repeated cancels touched are left out.
+        moved = F.col("_new").isNotNull() | _last_edit().isNotNull()
+        return met.withColumn("_row", F.coalesce("_old", "_new")).where(moved).select(*_image())
 
-    def __init__(self, changed: DataFrame, rejects: DataFrame):
-        self.changed = changed
-        self.rejects = rejects
+    @property
+    def whole(self) -> DataFrame:
+        met = _folded(self.decided).join(_old_rows(self._register), F.col("_id") == F.col("_key"), "full")
+        return met.withColumn("_row", F.coalesce("_old", "_new")).select(*_image())
+
+    @property
+    def rejects(self) -> DataFrame:
+        return _rejects(self.decided)
 
 
 def apply_changes(register: DataFrame, log: DataFrame) -> Outcome:
-    """New images of all created or edited rows, and the rejected changes with their reason.
+    """What the changes do, see ``decide``."""
+    return decide(register, checked(log))
+
+
+def decide(register: DataFrame, rows: DataFrame, narrowed: bool = False) -> Outcome:
+    """What the changes do, as if made one by one in ``ord`` order.
 
-    One aggregate finds where each named key begins (in the register, or at its first valid
-    create), one join tells every change whether it comes after that, and one aggregate per
-    key folds what remains. All three combine the changes of a hot key before shuffling.
+    One aggregate over register keys and changes together finds where each named key begins (in the register, or at its
+    first valid create), one join tells every change whether it comes after that, and one aggregate per key folds what
+    remains. All three combine the changes of a hot key before shuffling. The register is read once for its keys and
+    once for its rows. ``rows`` are checked changes; ``narrowed`` says that the register holds little else than named rows.
     """
-    columns = REGISTER_SCHEMA.names
-    rows = checked(log)
     valid, create_op = F.col("code").isNull(), F.col("op") == "create"
-
-    named = rows.where(valid).groupBy("key").agg(F.min(F.when(create_op, F.col("ord"))).alias("first_create"))
-    stored = register.select(F.col("flight_id").alias("key"))
-    held = stored.join(named.select("key"), "key", "left_semi").withColumn("held", F.lit(True))
-    starts = named.join(held, "key", "left").select(
-        "key", F.coalesce("held", F.lit(False)).alias("held"), "first_create"
-    )
+    no, yes = F.lit(False), F.lit(True)
+    known = register.select(F.col("flight_id").alias("key"), yes.alias("held"), no.alias("named"), F.lit(None).cast("long").alias("made"))
+    asked = rows.where(valid).select("key", no.alias("held"), yes.alias("named"), F.when(create_op, F.col("ord")).alias("made"))
+    starts = known.unionByName(asked).groupBy("key").agg(
+        F.max("held").alias("held"), F.max("named").alias("named"), F.min("made").alias("first_create")).where("named").drop("named")
 
     # Refused rows find no start: they are told apart by their order, which also spreads them.
     starts = starts.withColumn("_refused", F.lit(-1).cast("long"))
@@ -333,8 +364,12 @@ def apply_changes(register: DataFrame, log: DataFrame) -> Outcome:
         F.col("held") | F.coalesce(F.col("ord") > F.col("first_create"), F.lit(False))
     )
     decided = placed.withColumn("_ok", valid & accepted)
+    return Outcome(register, decided.drop("held", "first_create", "_refused"), None if narrowed else asked.select(F.col("key").alias("flight_id")))
 
-    update, cancel = F.col("op") == "update", F.col("op") == "cancel"
+
+def _folded(decided: DataFrame) -> DataFrame:
+    """One row per key with accepted changes: ``_id``, the last value of each field, the created row, last update and first cancel."""
+    update, cancel, create_op = (F.col("op") == op for op in ("update", "cancel", "create"))
     given = [
         F.max_by(
             F.struct(_typed(n, _field(n)).alias("v")),
@@ -342,27 +377,39 @@ def apply_changes(register: DataFrame, log: DataFrame) -> Outcome:
         ).alias(f"_{n}")
         for n in V.MUTABLE_FIELDS
     ]
-    folded = decided.where("_ok").groupBy(F.col("key").alias("flight_id")).agg(
+    return decided.where("_ok").groupBy(F.col("key").alias("_id")).agg(
         *given,
         F.max_by(_created_row(), F.when(create_op, F.col("ord"))).alias("_new"),
         F.max(F.when(update, F.struct("ord", "at"))).alias("_updated"),
         F.min(F.when(cancel, F.struct("ord", "at"))).alias("_cancelled"),
     )
-    old = register.select("flight_id", F.struct(*columns).alias("_old")).join(
-        folded.select("flight_id"), "flight_id", "left_semi"
-    )
-    based = folded.join(old, "flight_id", "left").withColumn("_row", F.coalesce("_old", "_new"))
+
+
+def _old_rows(register: DataFrame) -> DataFrame:
+    return register.select(F.col("flight_id").alias("_key"), F.struct(*REGISTER_SCHEMA.names).alias("_old"))
+
+
+def _stop() -> Column:
+    """The cancel that counts: the first one of a row that was not cancelled before."""
+    return F.when(or_blank(F.col("_row.status")) != "cancelled", F.col("_cancelled"))
+
+
+def _last_edit() -> Column:
+    return F.greatest(F.col("_updated"), _stop())
+
+
+def _image() -> list[Column]:
+    """The columns of a row after its changes; a row without changes stays as it is."""
     was = lambda c: F.col(f"_row.{c}")
-    stop = F.when(or_blank(was("status")) != "cancelled", F.col("_cancelled"))
-    last = F.greatest(F.col("_updated"), stop)
     edited = {n: F.when(F.col(f"_{n}").isNotNull(), F.col(f"_{n}.v")).otherwise(was(n)) for n in V.MUTABLE_FIELDS}
-    edited["status"] = F.when(stop.isNotNull(), "cancelled").otherwise(was("status"))
-    edited["cancelled_at"] = F.coalesce(stop["at"], was("cancelled_at"))
-    edited["updated_at"] = F.coalesce(last["at"], was("updated_at"))
-    # Rows that only repeated cancels touched are left out.
-    moved = F.col("_new").isNotNull() | last.isNotNull()
-    changed = based.where(moved).select(*[edited.get(c, was(c)).alias(c) for c in columns])
+    edited["status"] = F.when(_stop().isNotNull(), "cancelled").otherwise(was("status"))
+    edited["cancelled_at"] = F.coalesce(_stop()["at"], was("cancelled_at"))
+    edited["updated_at"] = F.coalesce(_last_edit()["at"], was("updated_at"))
+    return [edited.get(c, was(c)).alias(c) for c in REGISTER_SCHEMA.names]
+
 
+def _rejects(decided: DataFrame) -> DataFrame:
+    valid, create_op = F.col("code").isNull(), F.col("op") == "create"
     code = (
         F.when(~valid, F.struct("code", "message"))
         .when(
@@ -376,8 +423,7 @@ def apply_changes(register: DataFrame, log: DataFrame) -> Outcome:
         .otherwise(F.struct(F.lit("not_found").alias("code"), say("Flight {} not found", F.col("key")).alias("message")))
     )
     refused = decided.where(~F.col("_ok")).withColumn("_why", code)
-    rejects = refused.select("ord", "op", or_blank(F.when(valid | ~create_op, F.col("key"))).alias("flight_id"), "_why.code", "_why.message")
-    return Outcome(changed, rejects)
+    return refused.select("ord", "op", or_blank(F.when(valid | ~create_op, F.col("key"))).alias("flight_id"), "_why.code", "_why.message")
 
 
 def merge(register: DataFrame, changed: DataFrame) -> DataFrame:

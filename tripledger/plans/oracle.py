@@ -626,6 +626,7 @@ def all_oracles() -> dict[str, str]:
             f"FROM register WHERE status <> 'cancelled' AND flight_id IN {ids}"),
         "apply_changes": _change("SELECT * EXCLUDE (since, moved) FROM merged"),
         "stream_changes": _change("SELECT * EXCLUDE (since, moved) FROM merged"),
+        "stream_redelivered": _change("SELECT * EXCLUDE (since, moved) FROM merged"),
         "change_rejects": _change("SELECT * FROM rejects"),
         "upsert_latest": _with(
             BOOKED, REGISTER, CHANGES,

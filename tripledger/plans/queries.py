@@ -23,7 +23,7 @@ from tripledger.sources.files import base_name, list_files
 from tripledger.sources.mailbox import named, scan_headers, scan_messages, with_bodies
 from tripledger.sources.tables import csv_profile, decimals_to_double, read_csv_text, read_register
 from tripledger.sources.writers import register_table, write_candidates, write_report, write_rows
-from tripledger.streaming.changes import apply_change_stream, current_register, start_store
+from tripledger.streaming.changes import apply_change_stream, current_register, delivered_once, start_store
 from tripledger.vocabulary import PAGE_LIMIT
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -257,7 +257,7 @@ def classify_candidates(spark, sf_dir):
 
 @query
 def status_counts(spark, sf_dir):
-    return R.status_counts(R.classify(*_sides(spark, sf_dir)))
+    return R.status_totals(*_sides(spark, sf_dir))
 
 
 @query
@@ -287,7 +287,10 @@ def key_coverage(spark, sf_dir):
 
 @query
 def match_members(spark, sf_dir):
-    return R.match_members(*_sides(spark, sf_dir))
+    candidates, register = _sides(spark, sf_dir)
+    path = scratch_dir(spark, "hits")
+    write_rows(R.match_hits(candidates, register), path)
+    return R.members_of(spark.read.parquet(path), register, stored=True)
 
 
 # ---------------------------------------------------------------- register
@@ -366,7 +369,7 @@ def cancel_rows(spark, sf_dir):
 @query
 def apply_changes(spark, sf_dir):
     base = D.register(spark, sf_dir)
-    return decimals_to_double(G.merge(base, G.apply_changes(base, D.change_log(spark, sf_dir)).changed))
+    return decimals_to_double(G.apply_changes(base, D.change_log(spark, sf_dir)).whole)
 
 
 @query
@@ -374,19 +377,37 @@ def change_rejects(spark, sf_dir):
     return _change(G.apply_changes, spark, sf_dir).rejects
 
 
+def _thirds(spark, sf_dir):
+    """The events in three parts, one after the other."""
+    events = D.table(spark, sf_dir, "events")
+    last = events.agg(F.max("event_id")).first()[0] or 0
+    return [events.where(F.floor(F.col("event_id") * 3 / (last + 1)) == third) for third in range(3)]
+
+
 @query
 def stream_changes(spark, sf_dir):
+    """The stream is stopped and started again from its checkpoint between three deliveries of events."""
+    store = scratch_dir(spark, "register")
+    start_store(D.register(spark, sf_dir), store)
+    for part in _thirds(spark, sf_dir):
+        part.write.mode("append").parquet(f"{store}/events")
+        events = spark.readStream.schema(part.schema).parquet(f"{store}/events")
+        apply_change_stream(D.change_rows(events), store, f"{store}/checkpoint").awaitTermination()
+    return decimals_to_double(current_register(spark, store))
+
+
+@query
+def stream_redelivered(spark, sf_dir):
+    """As ``stream_changes``, with a delivery that comes again beside the next: repeats are dropped under a watermark."""
     store = scratch_dir(spark, "register")
     start_store(D.register(spark, sf_dir), store)
-    schema = D.table(spark, sf_dir, "events").schema
-    # the events in three files, one after the other, so that several batches run
-    source, all_events = f"{store}/events", D.table(spark, sf_dir, "events")
-    last = all_events.agg(F.max("event_id")).first()[0] or 0
-    for third in range(3):
-        part = F.floor(F.col("event_id") * 3 / (last + 1))
-        all_events.where(part == third).coalesce(1).write.mode("append").parquet(source)
-    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
-    apply_change_stream(D.change_rows(events), store, f"{store}/checkpoint").awaitTermination()
+    first, second, third = _thirds(spark, sf_dir)
+    for parts in ((first,), (second,), (second, third)):
+        for part in parts:
+            part.write.mode("append").parquet(f"{store}/events")
+        events = spark.readStream.schema(first.schema).parquet(f"{store}/events")
+        once = delivered_once(events, "event_id", "ts", "11 days")  # a third of the events spans ten days
+        apply_change_stream(D.change_rows(once), store, f"{store}/checkpoint").awaitTermination()
     return decimals_to_double(current_register(spark, store))
 
 

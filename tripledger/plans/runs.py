@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,9 +12,10 @@ from tripledger.operators import catalogs as C
 from tripledger.operators import extraction as E
 from tripledger.operators import reconcile as R
 from tripledger.operators import register as G
-from tripledger.sources.files import existing, list_files
+from tripledger.sources.csv_records import csv_records
+from tripledger.sources.files import list_files
 from tripledger.sources.mailbox import ANY_MAILBOX, named, scan_headers, scan_messages, with_bodies
-from tripledger.sources.tables import csv_profile, read_csv_text
+from tripledger.sources.tables import csv_profiles, texts_of, widest
 from tripledger.sources.writers import write_candidates, write_report, write_rows
 
 # Ties between records with one id: content decides, as files have no row order.
@@ -35,8 +35,8 @@ def inventory(
     """Lists a corpus folder, scans its mailboxes and CSV files and writes the report.
 
     ``chats`` and ``contacts`` are file names; every file of such a name takes part, told apart by
-    its path. Listing, file counts and relevant mails are stored once and everything else
-    is derived from them.
+    its path, in one scan per name. Listing, records and relevant mails are stored once and
+    everything else is derived from them.
     """
     store = f"{report}/_stored"
     listing = _kept(list_files(spark, root), f"{store}/listing")
@@ -51,17 +51,16 @@ def inventory(
         "date_range": C.date_summary(relevant),
         "corpus": C.corpus_totals(listing),
     }
-    words = list(chat_words)
     for section, name in (("chat_analysis", chats), ("contacts_analysis", contacts)):
-        found = []
-        for path in existing(spark, root, [name]):
-            table = read_csv_text(spark, path)
-            rows = C.keyword_frequency(table, words) if section == "chat_analysis" else csv_profile(table)
-            count = "total_rows" if section == "chat_analysis" else "row_count"
-            found.append(rows.withColumn("path", F.lit(path)))
-            stats = stats.unionByName(_counted(path, rows.select(count).limit(1)))
-        if found:
-            sections[section] = reduce(DataFrame.unionByName, found)
+        records = _kept(csv_records(spark, root, named([name])), f"{store}/{section}")
+        columns = widest(records)
+        sections[section] = rows = (
+            C.keyword_frequency_by(texts_of(records, columns), "path", "text", "row", chat_words)
+            if section == "chat_analysis" else csv_profiles(records, columns)
+        )
+        count = "total_rows" if section == "chat_analysis" else "row_count"
+        stats = stats.unionByName(rows.select(
+            F.col("path").alias("source_path"), F.col(count).alias("total_messages"), F.lit(None).cast("long").alias("relevant_count")).distinct())
     sections["file_inventory"] = C.file_inventory(listing, stats)
     write_report(sections, report)
     return sections
@@ -78,12 +77,6 @@ def _head(spark: SparkSession, as_of: str, corpus: str, **totals: int) -> DataFr
         F.lit(as_of).alias("generated_at"), F.lit(corpus).alias("corpus_path"), *[F.lit(n).alias(c) for c, n in totals.items()])
 
 
-def _counted(path: str, rows: DataFrame) -> DataFrame:
-    return rows.toDF("total_messages").select(
-        F.lit(path).alias("source_path"), "total_messages", F.lit(None).cast("long").alias("relevant_count")
-    )
-
-
 def extraction(spark: SparkSession, root: str, out: str, report: str, as_of: str, names: Iterable[str]) -> bool:
     """Reads the wanted mailboxes that exist, writes candidates (if any) and the run summary.
 
@@ -120,9 +113,13 @@ def scanned_with_bodies(scanned: DataFrame) -> DataFrame:
 
 
 def reconciliation(candidates: DataFrame, register: DataFrame, out: str, report: str, as_of: str) -> DataFrame:
-    """Classifies candidates, writes the rows and the report, returns the stored rows."""
+    """Classifies candidates, writes the rows and the report, returns the stored rows.
+
+    The hits of the key tuples are stored once, for the rows and for the members of their groups.
+    """
     spark = candidates.sparkSession
-    write_rows(R.classify(candidates, register), out)
+    hits = _kept(R.match_hits(candidates, register), f"{report}/_stored/hits")
+    write_rows(R.classify(candidates, register, hits=hits), out)
     stored = spark.read.parquet(out)
     write_report(
         {
@@ -133,7 +130,7 @@ def reconciliation(candidates: DataFrame, register: DataFrame, out: str, report:
             "duplicate_details": R.review(stored, "exact_duplicate"),
             "near_match_details": R.review(stored, "near_match"),
             "conflict_details": R.review(stored, "conflict"),
-            "match_members": R.match_members(candidates, register),
+            "match_members": R.members_of(hits, register, stored=True),
             "key_coverage": R.key_coverage(register),
         },
         report,

@@ -15,7 +15,6 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-import corpus_pipeline
 from tripledger.llm import (
     byte_bpe, exact_dedup, language_id, minhash_join, mixing, projection_search, quality, suffix_dedup, superkmer_dedup, toxicity,
 )
@@ -295,18 +294,3 @@ def test_equals_oracle(name, spark, duck, sf_dir):
     found = llm_queries()[name](spark, sf_dir)
     assert sorted(found.columns) == names
     assert sorted(map(str, map(tuple, found.select(*names).collect()))) == sorted(map(str, expected.select(*names).fetchall()))
-
-
-def test_pipeline(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    rows = corpus_pipeline.run(spark, sf_dir).collect()
-    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
-    groups = defaultdict(list)
-    for doc, text in texts.items():
-        groups[re.sub(r"[\x20\x09-\x0D]", "", text)].append((-len(text), doc))
-    left = {min(g)[1] for body, g in groups.items() if any(c.isalpha() for c in body)}
-    near = plain_near([(d, texts[d]) for d in left])
-    assert {r["doc_id"] for r in rows} <= {d for d in left if near[d][1] == d}
-    times = Counter(r["doc_id"] for r in rows)
-    assert max(times.values()) <= 2
-    assert all(r["decoded_sha256"] == _sha(texts[r["doc_id"]].encode()) for r in rows)

@@ -178,7 +178,71 @@ def test_hot_minimiser_is_split(spark, monkeypatch):
     for hot in (np.zeros(0, np.uint64), suffix_dedup.hot_marks(docs, total)):
         home = suffix_dedup.hashed_pieces(docs, 1 << 40, hot).where("packed is not null").select(F.length("packed").alias("n"), "bucket").groupBy("bucket")
         most.append(home.agg(F.sum("n").alias("n")).agg(F.max("n")).first()[0])
-    print("HOT", most)
     assert most[1] < most[0]
     assert len(superkmer_dedup.hot_minimisers(docs, total)) and len(suffix_dedup.hot_marks(docs, total))
     assert most[3] < most[2]
+
+
+def _morse(letters, n):
+    return "".join(letters[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_texts_made_to_share_polynomial_hashes_stay_apart(spark):
+    """Thue-Morse words and their complements have equal polynomial hashes modulo 2**64, whatever the base."""
+    x, y = _morse("ab", 1024), _morse("ba", 1024)
+    head = " ".join(f"w{i}" for i in range(12))
+    _same_cuts(spark, [(1, f"{head} {x}"), (2, f"{head} {y}"), (3, f"{head} {y}")])
+    docs = spark.createDataFrame([(1, x), (2, y), (3, y + " ")], "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in minhash_join.near_groups(docs).collect()} == {1: 1, 2: 2, 3: 2}
+    rows = []
+    for d, letters in ((1, "ab"), (2, "ba")):  # a header every 32 bytes, and one letter of each block by the sequence
+        blocks = ["HEADER-OF-BLOCKS" + "m" * 7 + c + "n" * 8 for c in _morse(letters, 1024)]
+        rows.append((d, "".join(blocks)))
+    _same_cuts(spark, rows)
+
+
+def test_prime_hash_is_the_polynomial_of_its_bytes():
+    rng = np.random.default_rng(3)
+    value, base = rng.integers(1, 257, 150_000).astype(np.uint64), 1_234_567_890_123_456_789
+    first, stop = np.array([0, 7, 65_000, 70_000]), np.array([5, 140_000, 66_000, 70_001])
+    found = suffix_dedup.prime_hashes(suffix_dedup.prime_sums(value, base), first, stop, base)
+    for a, b, h in zip(first, stop, found, strict=True):
+        plain = 0
+        for v in value[a:b][::-1].tolist():
+            plain = (plain * base + v) % suffix_dedup.PRIME
+        assert int(h) == plain
+    a, b = (rng.integers(0, suffix_dedup.PRIME, 500).astype(np.uint64) for _ in range(2))
+    assert [int(z) for z in suffix_dedup.product(a, b)] == [int(x) * int(y) % suffix_dedup.PRIME for x, y in zip(a, b, strict=True)]
+    key = rng.integers(0, 1 << 60, 1000)
+    for k in (key, key >> 40, key % 5, key[:0]):
+        assert suffix_dedup._order(k).tolist() == np.argsort(k, kind="stable").tolist()
+
+
+def test_near_groups_with_repeated_and_null_ids(spark):
+    a, b, c = NEAR
+    near = lambda x: x + " end"
+    docs = [(1, a), (1, b), (2, near(a)), (3, near(b)), (None, c), (20, near(c)), (5, near(near(c))), (None, None), (6, ""), (None, "alone " * 9), (None, near("alone " * 9))]
+    found = minhash_join.near_groups(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect()
+    assert Counter((r["doc_id"], r["component_id"]) for r in found) == Counter(
+        [(1, 1), (1, 1), (2, 1), (3, 1), (None, 5), (20, 5), (5, 5), (None, None), (6, 6), (None, None), (None, None)])
+    apart = [(1, a), (1, b), (2, near(a)), (0, near(b))]  # rows of an id are in the components of their own texts
+    found = minhash_join.near_groups(spark.createDataFrame(apart, "doc_id long, text string")).collect()
+    assert Counter((r["doc_id"], r["component_id"]) for r in found) == Counter([(1, 1), (2, 1), (1, 0), (0, 0)])
+
+
+def test_rows_of_files_are_numbered_without_a_copy(spark, tmp_path):
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text")).repartition(7)
+    docs.write.parquet(str(tmp_path / "t"))
+    rows = common.with_rows(spark.read.parquet(str(tmp_path / "t")))
+    assert rows.select("_row").distinct().count() == 2000 and rows.inputFiles() == spark.read.parquet(str(tmp_path / "t")).inputFiles()
+    gone = rows.where("doc_id % 3 = 0").select("_row")
+    assert Counter(r["doc_id"] % 3 for r in common.without_rows(rows, gone).collect()) == Counter(i % 3 for i in range(2000) if i % 3)
+    assert common.with_rows(docs).select("_row").distinct().count() == 2000
+
+
+def test_missing_language_is_filled_in(spark):
+    known = [(i, f"the word is number {i}", "en") for i in range(40)] + [(100 + i, f"das Wort ist Nummer {i}", "de") for i in range(40)]
+    docs = spark.createDataFrame([(*r, "x") for r in known + [(200, "the word is", None), (201, "das Wort ist", None), (202, "12", None)]],
+                                 "doc_id long, text string, lang string, names string")
+    found = {r["doc_id"]: r["lang"] for r in language_id.keep_readable(docs).collect()}
+    assert found == {d: lang for d, _, lang in known} | {200: "en", 201: "de"}

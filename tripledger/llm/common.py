@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -97,11 +98,45 @@ def stored(df: DataFrame, name: str, options: dict[str, str] | None = None) -> D
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bits of a row key that tell rows of one file apart.
+ROW_BITS = 30
+
+
 def with_rows(docs: DataFrame) -> DataFrame:
-    """The rows, stored once, with ``_row``: a number of each row, so that a decision holds for a row and not for an id."""
+    """The rows with ``_row``: a number of each row, so that a decision holds for a row and not for an id.
+
+    Rows of a Parquet scan are numbered by their file and their place in it, which costs no copy: files get numbers by a
+    hash of their path under a seed that keeps them apart. Other rows are stored once.
+    """
+    path, place = F.col("_metadata.file_path"), F.col("_metadata.row_index")
+    try:
+        files = docs.select(path.alias("path")).distinct()  # one row per file
+        numbered_ = docs.select("*", path.alias("_path"), place.alias("_place"))
+    except AnalysisException:
+        return stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    paths = held(files)
+    count = paths.count()
+    bits = min(62 - ROW_BITS, max(1, 2 * count.bit_length() + 4))
+    number = lambda c, seed: F.xxhash64(c, F.lit(seed)).bitwiseAND((1 << bits) - 1)
+    for seed in range(64):
+        if paths.select(number(F.col("path"), seed)).distinct().count() == count:
+            key = F.shiftleft(number(F.col("_path"), seed), ROW_BITS) + F.col("_place")
+            return numbered_.withColumn("_row", key).drop("_path", "_place")
     return stored(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
 
 
+def without_rows(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows whose ``_row`` is not among those of ``gone``.
+
+    Rows that a filter of bounded size clears pass straight through; only those that may be gone are shuffled.
+    """
+    gone = held(gone.select("_row"))
+    listed = id_filter(gone)
+    marked = rows.withColumn("_maybe", listed(F.col("_row")))
+    checked = marked.where("_maybe").join(gone, "_row", "left_anti")
+    return marked.where("not _maybe").unionByName(checked).drop("_maybe")
+
+
 #: Bits of a filter of ids: at least, per id, and at most (2**27 bits are 16 MB). Beyond that it lets more rows pass.
 FILTER_BITS = (1 << 16, 8, 1 << 27)
 

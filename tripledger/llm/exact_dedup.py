@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tripledger.llm.common import BLANKS, held, with_rows
+from tripledger.llm.common import BLANKS, held, with_rows, without_rows
 
 #: Filter slots per row, and the largest filter: 2**27 bits are 16 MB. Beyond it more rows shuffle; results stay exact.
 SLOTS_PER_ROW = 16
@@ -114,5 +114,4 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     _, shared = _split(rows, "doc_id", "text", "_row")
     best = F.max(F.struct("points", (-F.col("doc_id")).alias("less"), (-F.col("_row")).alias("first")))
     stay = shared.groupBy("text_sha256").agg(best.alias("best")).select((-F.col("best.first")).alias("_row"))
-    gone = shared.select("_row").join(stay, "_row", "left_anti")
-    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+    return without_rows(rows, shared.select("_row").join(stay, "_row", "left_anti")).select(*docs.columns)

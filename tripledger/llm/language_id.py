@@ -12,10 +12,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tripledger.llm.common import held_out, tidied, with_rows
+from tripledger.llm.common import held_out, tidied
 
 #: Bytes of a run, units per direction, and runs that are scored together.
 SPAN = 128
@@ -235,6 +236,30 @@ def _backwards(part: np.ndarray, size: np.ndarray, table: np.ndarray, u: np.ndar
     return out
 
 
+def _answers(texts: list[bytes], net: Model) -> tuple[list[str], list[float]]:
+    """Language and pooled probability of each text, by pieces of about 4 MB; an empty text is UNKNOWN."""
+    best, top = np.zeros(len(texts), np.int64), np.zeros(len(texts))
+    lo, held_bytes = 0, 0
+    for i in range(len(texts) + 1):
+        if i == len(texts) or held_bytes >= 4_000_000:
+            p = pooled(texts[lo:i], net)
+            if i > lo:
+                best[lo:i], top[lo:i] = p.argmax(1), p.max(1)
+            lo, held_bytes = i, 0
+        if i < len(texts):
+            held_bytes += len(texts[i])
+    names = [net.langs[k] if t and net.langs else UNKNOWN for k, t in zip(best, texts, strict=True)]
+    return names, [float(min(1.0, s)) if t and net.langs else 0.0 for s, t in zip(top, texts, strict=True)]
+
+
+def _readable(text: str) -> Column:
+    return F.col(text).isNotNull() & F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
+
+
+def _bytes_of(texts: pa.Array, readable: pa.Array) -> list[bytes]:
+    return [x.as_py().encode("utf-8") if ok else b"" for x, ok in zip(texts, readable.to_pylist(), strict=True)]
+
+
 def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per input row: doc_id, lang_pred, score (the pooled probability of that language).
 
@@ -245,36 +270,35 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
 
     @tidied
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = shared.value
         for batch in batches:
-            texts = [x.as_py().encode("utf-8") if ok else b"" for x, ok in zip(batch.column(1), batch.column(2).to_pylist(), strict=True)]
-            best, top = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-            lo, held_bytes = 0, 0
-            for i in range(len(texts) + 1):  # by pieces of about 4 MB
-                if i == len(texts) or held_bytes >= 4_000_000:
-                    p = pooled(texts[lo:i], net)
-                    if i > lo:
-                        best[lo:i], top[lo:i] = p.argmax(1), p.max(1)
-                    lo, held_bytes = i, 0
-                if i < len(texts):
-                    held_bytes += len(texts[i])
-            names = [net.langs[k] if t and net.langs else UNKNOWN for k, t in zip(best, texts, strict=True)]
-            scores = [float(min(1.0, s)) if t and net.langs else 0.0 for s, t in zip(top, texts, strict=True)]
+            names, scores = _answers(_bytes_of(batch.column(1), batch.column(2)), shared.value)
             yield pa.record_batch([batch.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                                   names=["doc_id", "lang_pred", "score"])
 
-    readable = F.col(text).isNotNull() & F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False))
-    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), readable.alias("readable"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), _readable(text).alias("readable"))
     kind = dict(rows.dtypes)["doc_id"]
     return rows.mapInArrow(score, f"doc_id {kind}, lang_pred string, score double")
 
 
 def keep_readable(docs: DataFrame) -> DataFrame:
-    """The documents for which the network names a language, with any score; all columns as they came.
+    """The documents for which the network names a language, with any score; all columns as they came but for ``lang``.
 
-    Only ``und`` goes: null texts, texts without a letter, and all texts if nothing could be learned.
-    Each row is judged by its own text, whatever its id: rows with a null or a repeated id stay or go one by one.
+    Only ``und`` goes: null texts, texts without a letter, and all texts if nothing could be learned. A document
+    without a ``lang`` gets the one that the network names. Each row is judged by its own text in one pass, whatever its
+    id: rows with a null or a repeated id stay or go one by one.
     """
-    model, rows = train(docs), with_rows(docs)
-    decided = predict(rows, model, "_row").where(F.col("lang_pred") == UNKNOWN)
-    return rows.join(decided.select(F.col("doc_id").alias("_row")), "_row", "left_anti").select(*docs.columns)
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs))
+    text_at, lang_at = docs.columns.index("text"), docs.columns.index("lang")
+
+    @tidied
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            names = pa.array(_answers(_bytes_of(batch.column(text_at), batch.column(batch.num_columns - 1)), shared.value)[0], pa.string())
+            columns = batch.columns[:-1]
+            columns[lang_at] = pc.coalesce(columns[lang_at], names)
+            yield pa.RecordBatch.from_arrays(columns, names=[f"c{i}" for i in range(len(columns))]).filter(pc.not_equal(names, UNKNOWN))
+
+    # columns by place, as their names may clash
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    read = plain.withColumn("readable", _readable(f"c{text_at}")).mapInArrow(judge, plain.schema)
+    return read.toDF(*docs.columns)

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,8 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tripledger.llm.common import held, mixed, numbered, tidied, with_rows
+from tripledger.llm.common import held, mixed, numbered, tidied, with_rows, without_rows
 from tripledger.llm.words import LOWER, pieces, shingles_of, words_of
+from tripledger.operators.keep import join_once
 
 SHINGLE = 5
 PERCENT = 85
@@ -59,7 +61,8 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
         for batch in batches:
             texts = [(x.as_py() or "").encode("utf-8").translate(LOWER) for x in batch.column(1)]
             for lo, hi in pieces(texts):
-                shingles, first = shingles_of(words_of(texts[lo:hi]), SHINGLE)
+                words = words_of(texts[lo:hi])
+                (shingles, first), (others, _) = shingles_of(words, SHINGLE), shingles_of(words, SHINGLE, other=True)
                 counts, sets, tokens = np.zeros(hi - lo, np.int64), [None] * (hi - lo), [None] * (hi - lo)
                 some = np.flatnonzero(np.diff(first) > 0)
                 if len(some):
@@ -68,8 +71,7 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
                         low = np.minimum.reduceat((shingles * seed) >> np.uint64(32), first[some])
                         minima[:, k] = low.astype(np.int64) | (k << 32)
                     for row, i in enumerate(some):
-                        own = np.unique(shingles[first[i]:first[i + 1]])
-                        counts[i], sets[i] = len(own), hashlib.blake2b(own.tobytes(), digest_size=16).digest()
+                        counts[i], sets[i] = _named(shingles[first[i]:first[i + 1]], others[first[i]:first[i + 1]])
                         tokens[i] = minima[row]
                 yield pa.record_batch(
                     [batch.column(0).slice(lo, hi - lo), pa.array(counts), pa.array(sets, pa.binary()),
@@ -79,20 +81,37 @@ def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
     return kept.mapInArrow(rows, "doc_id long, n_shingles long, set_id binary, tokens array<bigint>")
 
 
-def full_sets(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id and the sorted shingle hashes as bytes."""
+def _named(one: np.ndarray, two: np.ndarray) -> tuple[int, bytes]:
+    """Size and name of a shingle set: a digest of its pairs of hashes in order."""
+    order = np.lexsort((two, one))
+    pairs = np.stack([one[order], two[order]], 1)
+    new = np.ones(len(pairs), bool)
+    new[1:] = (pairs[1:] != pairs[:-1]).any(1)
+    return int(new.sum()), hashlib.blake2b(pairs[new].tobytes(), digest_size=16).digest()
+
+
+def full_sets(docs: DataFrame, text: str) -> DataFrame:
+    """set_id, and the sorted shingle hashes as bytes, of documents with words.
+
+    A hash joins both values of a shingle by odd factors that are drawn for each run, so that no two shingles can be
+    made to share it; results do not depend on them.
+    """
+    first_factor, second_factor = (secrets.randbits(64) | 1 for _ in range(2))
 
     @tidied
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(x.as_py() or "").encode("utf-8").translate(LOWER) for x in batch.column(1)]
+            texts = [(x.as_py() or "").encode("utf-8").translate(LOWER) for x in batch.column(0)]
             for lo, hi in pieces(texts):
-                shingles, first = shingles_of(words_of(texts[lo:hi]), SHINGLE)
-                sets = [np.unique(shingles[a:b]).tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
-                yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(sets, pa.binary())], names=["rep", "own"])
+                words = words_of(texts[lo:hi])
+                (one, first), (two, _) = shingles_of(words, SHINGLE), shingles_of(words, SHINGLE, other=True)
+                both = mixed(one * np.uint64(first_factor) + two * np.uint64(second_factor))
+                spans = [(a, b) for a, b in zip(first[:-1], first[1:], strict=True) if b > a]
+                yield pa.record_batch([
+                    pa.array([_named(one[a:b], two[a:b])[1] for a, b in spans], pa.binary()),
+                    pa.array([np.unique(both[a:b]).tobytes() for a, b in spans], pa.binary())], names=["set_id", "own"])
 
-    kept = docs.select(F.col(doc_id).cast("long").alias("rep"), F.col(text).alias("text"))
-    return kept.mapInArrow(rows, "rep long, own binary")
+    return docs.select(F.col(text).alias("text")).mapInArrow(rows, "set_id binary, own binary")
 
 
 def groups_of(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
@@ -305,26 +324,30 @@ def near_groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", per
 
     Words are runs other than blanks and line ends, A-Z in lower case; a set holds distinct five-word shingles, or the
     whole sequence of a shorter text. Documents without words (null, empty or blank text) have no set and no link.
-    The matches asked for follow from ``percent``; one for which the coordinates are too few is refused. Rows that repeat an id share its
-    rows' smallest component; a null id is linked with nothing smaller than its class. Other columns are not read.
+    The matches asked for follow from ``percent``; one for which the coordinates are too few is refused. Each row is a
+    document, also one that repeats an id or has none; a component in which no row has an id has a null one. Other
+    columns are not read.
     """
     least = least_matches(percent)
-    facts = held(signatures(docs, doc_id, text))
-    classes = facts.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("rep"), F.max("n_shingles").alias("n_shingles"))
-    reps = facts.join(classes.select(F.col("rep").alias("doc_id"), F.col("set_id").alias("_set")), "doc_id").where("set_id = _set").dropDuplicates(["doc_id"])
-    posted = held(numbered(postings(reps.select(F.col("doc_id").alias("rep"), "tokens"), least), ["anchor", "rep"], "pos"))
-    wanted = docs.join(posted.select(F.col("rep").alias("_rep")), F.col(doc_id).cast("long") == F.col("_rep"), "left_semi")
-    sets = held(full_sets(wanted, doc_id, text).dropDuplicates(["rep"]).join(posted.select("rep", "pos"), "rep").select("pos", "own"))
+    facts = held(signatures(docs, doc_id, text).withColumn("row", F.monotonically_increasing_id()))
+    # a class is named by one of its rows; ids come in at the end, as rows may repeat or lack them
+    classes = held(facts.where("set_id is not null").groupBy("set_id").agg(
+        F.min("row").alias("rep"), F.min("doc_id").alias("top"), F.max("n_shingles").alias("n_shingles")))
+    reps = facts.select(F.col("row").alias("rep"), "doc_id", "tokens").join(classes.select("rep", "set_id"), "rep")
+    posted = held(numbered(postings(reps, least), ["anchor", "rep"], "pos"))
+    named = posted.select("rep", "pos").join(reps.select("rep", "doc_id", "set_id"), "rep")
+    wanted = docs.join(named.select(F.col("doc_id").alias("_rep")).distinct(), F.col(doc_id).cast("long").eqNullSafe(F.col("_rep")), "left_semi")
+    sets = held(full_sets(wanted, text).dropDuplicates(["set_id"]).join(named.select("set_id", "pos"), "set_id").select("pos", "own"))
     first = held(confirmed(_packed(_first_round(posted, least)), sets, percent))
     second = held(confirmed(_second_round(posted, components(first), least), sets, percent))
-    # positions back to ids, so that the smallest label is the smallest id
-    ids = posted.select("pos", "rep")
-    links = first.union(second).join(ids.toDF("a", "ra"), "a").join(ids.toDF("b", "rb"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-    labels = components(links)
-    member = facts.join(classes, ["set_id", "n_shingles"], "left").select("doc_id", "n_shingles", "rep")
+    labels = components(first.union(second)).withColumnRenamed("node", "pos")
+    linked = held(labels.join(named.select("pos", "set_id"), "pos").join(classes.select("set_id", "top"), "set_id").select("label", "set_id", "top"))
+    least_ids = linked.groupBy("label").agg(F.min("top").alias("least"))
+    linked = join_once(linked.select("label", "set_id"), least_ids, ["label"]).select("set_id", "least")
+    tops = classes.join(linked, "set_id", "left").select("set_id", "n_shingles", F.coalesce("least", "top").alias("component_id"))
     return (
-        member.join(labels.withColumnRenamed("node", "rep"), "rep", "left")
-        .select("doc_id", "n_shingles", F.coalesce("label", "rep", "doc_id").alias("component_id"))
+        facts.join(tops, ["set_id", "n_shingles"], "left")
+        .select("doc_id", "n_shingles", F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
 
@@ -336,9 +359,7 @@ def keep_one(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     id are documents of their own, and rows without words stay.
     """
     rows = with_rows(docs)
-    groups = near_groups(rows, "_row", percent=percent).select(F.col("doc_id").alias("_row"), "component_id")
-    groups = held(groups)
+    groups = held(near_groups(rows, "_row", percent=percent).select(F.col("doc_id").alias("_row"), "component_id"))
     ids = rows.select("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row").alias("rank"))
     stay = groups.join(ids, "_row").groupBy("component_id").agg(F.min("rank").alias("rank")).select("rank._row")
-    gone = groups.select("_row").join(stay, "_row", "left_anti")
-    return rows.join(gone, "_row", "left_anti").select(*docs.columns)
+    return without_rows(rows, groups.select("_row").join(stay, "_row", "left_anti")).select(*docs.columns)

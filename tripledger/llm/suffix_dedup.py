@@ -6,7 +6,7 @@
 2. A mark that only one document has is let go: no string there can repeat elsewhere. Of equal pieces the smallest
    document keeps its own, the others lose all starts. Pieces of a mark with several contents stay open.
 3. The bytes of open pieces are cut from their documents and sent to buckets by mark. There they are laid end to end,
-   each ended by a sign of its own, and their suffixes are sorted: triples at the positions 1 and 2 modulo 3 are sorted
+   each ended by a sign, and their suffixes are sorted: triples at the positions 1 and 2 modulo 3 are sorted
    and named, the names are sorted by recursion until they differ, the remaining suffixes follow from them, and both
    are merged.
 4. Neighbours in that order are compared over STRING bytes; the smallest document of equal neighbours keeps them.
@@ -18,6 +18,7 @@ is never sent, and the buckets hold every pair of equal strings.
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -29,7 +30,6 @@ from pyspark.sql import functions as F
 
 from tripledger.llm.common import among, hot_keys, id_filter, key_counts, mixed, stored, tagged, tidied
 from tripledger.llm.superkmer_dedup import _window_min, gathered
-from tripledger.llm.words import _BACK, _BASE, _powers
 
 STRING = 50
 GRAM = 16
@@ -41,6 +41,17 @@ MARKS = 1 << 24
 BUCKET_PIECES = 4000
 
 
+def _order(key: np.ndarray) -> np.ndarray:
+    """Stable order of whole numbers from 0 on: sorted together with their places, or, if both do not fit, by counting over digits."""
+    bits, places = int(key.max(initial=0)).bit_length(), len(key).bit_length()
+    if bits + places <= 63:
+        return np.sort(key.astype(np.int64) << places | np.arange(len(key))) & ((1 << places) - 1)
+    order = np.argsort(key.astype(np.uint16), kind="stable")
+    for shift in range(16, bits, 16):
+        order = order[np.argsort((key[order] >> shift).astype(np.uint16), kind="stable")]
+    return order
+
+
 def suffix_order(text: np.ndarray) -> np.ndarray:
     """Positions of ``text`` (whole numbers from 1 on) in the order of their suffixes, by difference cover modulo 3."""
     n = len(text)
@@ -58,7 +69,7 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
         rank = names
     of = np.zeros(n + 3, np.int64)
     of[sample] = rank
-    sampled = sample[np.argsort(rank, kind="stable")]
+    sampled = sample[_order(rank)]
     sampled = sampled[sampled < n]
     rest = np.arange(0, n, 3)
     rest = rest[_argsort(s[rest], of[rest + 1])]
@@ -88,7 +99,7 @@ def _pairs(high: np.ndarray, low: np.ndarray, top: int) -> np.ndarray:
 
 
 def _argsort(high: np.ndarray, low: np.ndarray) -> np.ndarray:
-    return np.argsort(high * (int(low.max(initial=0)) + 1) + low, kind="stable")
+    return _order(high * (int(low.max(initial=0)) + 1) + low)
 
 
 def _named(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, int]:
@@ -98,9 +109,10 @@ def _named(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, int
         key = (a * wide + b) * wide + c
     else:
         key = _named_pairs(_named_pairs(a, b), c)
-    order = np.argsort(key, kind="stable")
+    order = _order(key)
+    in_order = key[order]
     new = np.ones(len(key), np.int64)
-    new[1:] = key[order][1:] != key[order][:-1]
+    new[1:] = in_order[1:] != in_order[:-1]
     names = np.empty(len(key), np.int64)
     names[order] = np.cumsum(new)
     return names, int(new.sum())
@@ -121,8 +133,9 @@ def repeated_starts(strings: list[bytes], docs: np.ndarray) -> tuple[np.ndarray,
     m = len(strings)
     ends = np.cumsum(sizes + 1) - 1
     body = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8)
-    signs = body.astype(np.int64) + m + 1
-    signs[ends] = np.arange(1, m + 1)  # every end differs, so no suffix reaches over it
+    # one sign ends every string: a suffix that reaches over an end is sorted with what follows, but has too few bytes to count
+    signs = body.astype(np.int64) + 2
+    signs[ends] = 1
     owner = np.repeat(np.arange(m), sizes + 1)
     order = suffix_order(signs)
     order = order[ends[owner[order]] - order >= STRING]  # suffixes that hold a whole string
@@ -160,10 +173,11 @@ def _merged(doc: np.ndarray, tag: np.ndarray, start: np.ndarray, n: np.ndarray)
     return doc[cut], tag[cut], start[cut], np.add.reduceat(n, cut) if len(cut) else n
 
 
-def _pieces(texts: list[bytes], hot: np.ndarray) -> tuple[np.ndarray, ...] | None:
+def _pieces(texts: list[bytes], hot: np.ndarray, base: int | None = None) -> tuple[np.ndarray, ...] | None:
     """Text number, first start, number of starts, gram hash and content hash of each piece, and where each text begins.
 
-    The mark of the starts of a ``hot`` mark is the hash of their whole string.
+    The mark of the starts of a ``hot`` mark is the hash of their whole string. Without a ``base`` modulo PRIME the content
+    hash is not safe.
     """
     size = np.array([len(t) for t in texts], np.int64)
     body = np.frombuffer(b"\0".join(texts) + b"\0" * (STRING + 14), np.uint8)
@@ -203,10 +217,82 @@ def _pieces(texts: list[bytes], hot: np.ndarray) -> tuple[np.ndarray, ...] | Non
     owner = np.searchsorted(begin, first, side="right") - 1
     n = np.minimum(np.append(first[1:], len(body)), (begin + count)[owner]) - first
     gram = least[first]
-    content = mixed((sums[first + n + STRING - 1] - sums[first]) * back[first] + n.astype(np.uint64))
+    content = (sums[first + n + STRING - 1] - sums[first]) * back[first] + n.astype(np.uint64)
+    if base is not None:
+        content = mixed(content) + prime_hashes(prime_sums(body.astype(np.uint64) + np.uint64(1), base), first, first + n + STRING - 1, base) * _BASE
+    content = mixed(content)
     return owner, first, n, gram, content, begin
 
 
+#: Marks are a polynomial of odd base modulo 2**64, cheap at every byte; they only say which pieces meet.
+_BASE, _BACK = np.uint64(0x9E3779B97F4A7C15), np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Contents are told apart by a polynomial modulo this prime as well, with a base drawn for each run: two different pieces of n
+#: bytes agree for at most n of the 2**61 bases, whatever they are.
+PRIME = (1 << 61) - 1
+_P, _LOW, _HALF = np.uint64(PRIME), np.uint64((1 << 30) - 1), np.uint64((1 << 31) - 1)
+_POWERS: dict[tuple, np.ndarray] = {}
+
+
+def _powers(kind: str, base: np.uint64, n: int) -> np.ndarray:
+    if (kind,) not in _POWERS or len(_POWERS[kind,]) < n:
+        steps = np.full(max(n, PIECE_BYTES + 8192), base, np.uint64)
+        steps[0] = 1
+        _POWERS[kind,] = np.cumprod(steps)
+    return _POWERS[kind,][:n]
+
+
+def reduced(x: np.ndarray) -> np.ndarray:
+    """Values below 2**64 modulo PRIME."""
+    x = (x & _P) + (x >> np.uint64(61))
+    return np.where(x >= _P, x - _P, x)
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo PRIME of values below it, by halves of 31 bits."""
+    a1, a0, b1, b0 = a >> np.uint64(31), a & _HALF, b >> np.uint64(31), b & _HALF
+    middle = a1 * b0 + a0 * b1
+    return reduced(reduced((a1 * b1 << np.uint64(1)) + (middle >> np.uint64(30)) + ((middle & _LOW) << np.uint64(31))) + reduced(a0 * b0))
+
+
+def prime_powers(base: int, n: int) -> np.ndarray:
+    """base**0, base**1, ... modulo PRIME, by doubling; the last tables are kept."""
+    have = _POWERS.get(("prime", base))
+    if have is None or len(have) < n:
+        have = np.ones(1, np.uint64)
+        while len(have) < max(n, PIECE_BYTES + 8192):
+            step = np.uint64(pow(base, len(have), PRIME))
+            have = np.concatenate([have, product(have, np.full(len(have), step))])
+        for key in [k for k in _POWERS if k[0] == "prime" and k[1:] not in ((base,), (pow(base, -1, PRIME),))]:
+            del _POWERS[key]
+        _POWERS["prime", base] = have
+    return have[:n]
+
+
+def prime_sums(value: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of value * base**place before each place (one more at the end), for the high and the low 32 bits of the powers.
+
+    Values are at most 256. The sums are below 2**62 and stand for their remainders.
+    """
+    power, out = prime_powers(base, len(value)), []
+    for part in (power >> np.uint64(32), power & np.uint64((1 << 32) - 1)):
+        sums, carry = np.zeros(len(value) + 1, np.uint64), 0
+        part *= value
+        for lo in range(0, len(value), 1 << 16):  # a block adds less than 2**57
+            block = sums[lo + 1:lo + 1 + (1 << 16)]
+            np.cumsum(part[lo:lo + (1 << 16)], out=block)
+            block += np.uint64(carry)
+            carry = int(block[-1]) % PRIME
+        out.append(sums)
+    return out[0], out[1]
+
+
+def prime_hashes(sums: tuple[np.ndarray, np.ndarray], first: np.ndarray, stop: np.ndarray, base: int) -> np.ndarray:
+    """The polynomial of the values from ``first`` to ``stop`` of each piece, whatever its place."""
+    high, low = (reduced(reduced(s[stop]) + _P - reduced(s[first])) for s in sums)
+    back = prime_powers(pow(base, -1, PRIME), len(sums[0]))
+    return product(reduced(product(high, np.full(len(high), 1 << 32, np.uint64)) + low), back[first])
+
+
 def hot_marks(docs: DataFrame, total: int) -> np.ndarray:
     """Marks of very many pieces, counted in a sample."""
 
@@ -222,13 +308,14 @@ def hot_marks(docs: DataFrame, total: int) -> np.ndarray:
 def hashed_pieces(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
     """Hashes of pieces packed by bucket, and starts that equal bytes of a smaller document in the same part of the input lose."""
     listed = docs.sparkSession.sparkContext.broadcast(hot)
+    base = 2 + secrets.randbelow(PRIME - 2)  # one for all tasks of a run; results do not depend on it
 
     @tidied
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         squeeze = zstandard.ZstdCompressor(level=1)
         for id_list, tag_list, texts in gathered(batches, PIECE_BYTES):
             ids, tags = np.array(id_list, np.int64), np.array(tag_list, np.int64)
-            found = _pieces(texts, listed.value)
+            found = _pieces(texts, listed.value, base)
             if found is None:
                 continue
             owner, first, n, gram, content, begin = found

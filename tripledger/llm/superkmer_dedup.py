@@ -1,11 +1,11 @@
 """Repeated word windows by super-k-mers.
 
 A window is WINDOW consecutive words; its minimiser is the smallest hash of its runs of MINIMISER words. Consecutive
-windows that share a minimiser are one super-k-mer: they travel as one packed string to the bucket of the minimiser, so
-that equal windows meet in one bucket. There the windows are sorted and the smallest document of each is known; every
-later document loses the words of the window.
+windows that share a minimiser are one super-k-mer: they are sent as one packed string to the bucket of the minimiser, so
+that equal windows meet in one bucket. There the windows are sorted by two independent hashes, neighbours are compared word
+by word, and the smallest document of each window is known; every later document loses the words of the window.
 
-Before they travel, windows are combined where they are: of equal windows in one piece of the input only the first one
+Before that, windows are combined where they are: of equal windows in one piece of the input only the first one
 of the smallest document is sent, and later documents of the piece already know that they lose it. A passage that very
 many documents share is thus sent once per piece, not once per document. A minimiser that very many super-k-mers have is
 split: its windows go to the buckets of their own hashes.
@@ -31,7 +31,6 @@ MINIMISER = 3
 #: Bytes of text that are combined and packed together, and bytes of text per bucket.
 PIECE_BYTES = 4_000_000
 BUCKET_BYTES = 1_000_000
-_OTHER = np.uint64(0xA0761D6478BD642F)
 
 
 def _window_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -49,7 +48,7 @@ def _windows(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     counts = np.maximum(words.counts - WINDOW + 1, 0)
     owner = np.repeat(np.arange(len(counts)), counts)
     first = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + words.first[owner]
-    return first, owner, runs_of(words.value, WINDOW)[first], runs_of(mixed(words.value ^ _OTHER), WINDOW)[first]
+    return first, owner, runs_of(words.value, WINDOW)[first], runs_of(words.other, WINDOW)[first]
 
 
 def _groups(one: np.ndarray, two: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -61,6 +60,27 @@ def _groups(one: np.ndarray, two: np.ndarray, doc: np.ndarray, at: np.ndarray) -
     return order, np.flatnonzero(new)
 
 
+def _verified(words: Words, first: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    """The starts of groups of windows (by their first words, in order), with a cut wherever neighbours differ in a word's bytes."""
+    sizes = np.diff(np.append(cut, len(first)))
+    many = first[np.repeat(sizes > 1, sizes)]
+    if not len(many):
+        return cut
+    used = np.zeros(len(words.start), bool)
+    for k in range(WINDOW):
+        used[many + k] = True
+    used = np.flatnonzero(used)
+    body, number, exact = words.body.tobytes(), {}, np.zeros(len(words.start), np.int32)
+    strings = (body[a:b] for a, b in zip(words.start[used].tolist(), words.end[used].tolist(), strict=True))
+    exact[used] = np.fromiter((number.setdefault(w, len(number)) for w in strings), np.int32, len(used))
+    new = np.zeros(len(first), bool)
+    new[cut] = True
+    for k in range(WINDOW):
+        word = exact[first + k]
+        new[1:] |= word[1:] != word[:-1]
+    return np.flatnonzero(new)
+
+
 def _runs(doc: np.ndarray, tag: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Places of documents as runs (document, tag, first place, number of places), each place once."""
     order = np.lexsort((at, tag, doc))
@@ -116,6 +136,7 @@ def packed_runs(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
                 return
             doc = ids[owner]
             order, cut = _groups(one, two, doc, first)
+            cut = _verified(words, first[order], cut)
             sizes = np.diff(np.append(cut, len(order)))
             lead = order[cut]
             lost = doc[order] != np.repeat(doc[lead], sizes)
@@ -194,6 +215,7 @@ def lost_windows(packed: DataFrame) -> DataFrame:
         doc = np.concatenate(docs)[owner]
         at = np.concatenate(starts).astype(np.int64)[owner] + first - words.first[owner]
         order, cut = _groups(one, two, doc, at)
+        cut = _verified(words, first[order], cut)
         sizes = np.diff(np.append(cut, len(order)))
         gone = order[doc[order] != np.repeat(doc[order[cut]], sizes)]
         if not len(gone):

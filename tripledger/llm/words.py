@@ -1,7 +1,12 @@
-"""Words and word shingles of many texts at once, as 64-bit values in numpy arrays."""
+"""Words and word shingles of many texts at once, as pairs of 64-bit values in numpy arrays.
+
+The values of a word are the halves of a 128-bit BLAKE2b digest of its bytes, so no two words are known that share them.
+Runs of words chain their values with shifts between the steps, so that no sum of differences cancels.
+"""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -11,23 +16,28 @@ from tripledger.llm.common import BLANK_BYTES, mixed
 
 #: Bytes of text that are looked at together; a longer text is one piece by itself.
 PIECE = 3_000_000
-_BASE = np.uint64(0x9E3779B97F4A7C15)  # odd, so that it has an inverse modulo 2**64
-_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+#: Digests of words that a process remembers.
+REMEMBERED = 400_000
 _STEP = np.uint64(0xD6E8FEB86659FD93)
+_FOLD = np.uint64(29)
 _BLANK = np.zeros(256, bool)
 _BLANK[list(BLANK_BYTES)] = True
-_POWERS: dict[str, np.ndarray] = {}
 
 #: Lower-cases A-Z only.
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
-def _powers(kind: str, base: np.uint64, n: int) -> np.ndarray:
-    if kind not in _POWERS or len(_POWERS[kind]) < n:
-        steps = np.full(max(n, PIECE + 4096), base, np.uint64)
-        steps[0] = 1
-        _POWERS[kind] = np.cumprod(steps)
-    return _POWERS[kind][:n]
+class _Digests(dict):
+    """Digests of words, made when first asked for."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        if len(self) >= REMEMBERED:
+            self.clear()
+        found = self[word] = hashlib.blake2b(word, digest_size=16).digest()
+        return found
+
+
+_DIGESTS = _Digests()
 
 
 def pieces(texts: list[bytes], size: int = PIECE) -> Iterator[tuple[int, int]]:
@@ -44,12 +54,13 @@ def pieces(texts: list[bytes], size: int = PIECE) -> Iterator[tuple[int, int]]:
 
 @dataclass
 class Words:
-    """The words of texts: byte ranges in ``body``, the hash of each, and the first word of each text (one more at the end)."""
+    """The words of texts: byte ranges in ``body``, two values of each, and the first word of each text (one more at the end)."""
 
     body: np.ndarray
     start: np.ndarray
     end: np.ndarray
     value: np.ndarray
+    other: np.ndarray
     first: np.ndarray
 
     @property
@@ -58,16 +69,14 @@ class Words:
 
 
 def words_of(texts: list[bytes]) -> Words:
-    body = np.frombuffer(b" ".join(texts) + b" ", np.uint8)
+    whole = b" ".join(texts) + b" "
+    body = np.frombuffer(whole, np.uint8)
     ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
-    blank = _BLANK[body]
-    turn = np.flatnonzero(np.diff(blank, prepend=True))
+    turn = np.flatnonzero(np.diff(_BLANK[body], prepend=True))
     start, end = turn[0::2], turn[1::2]
     first = np.concatenate([[0], np.searchsorted(start, ends)]).astype(np.int64)
-    sums = np.zeros(len(body) + 1, np.uint64)
-    np.cumsum((body.astype(np.uint64) + np.uint64(1)) * _powers("up", _BASE, len(body)), out=sums[1:])
-    value = (sums[end] - sums[start]) * _powers("down", _BACK, len(body))[start]
-    return Words(body, start, end, mixed(value + (end - start).astype(np.uint64) * _STEP), first)
+    values = np.frombuffer(b"".join(map(_DIGESTS.__getitem__, whole.split())), np.uint64).reshape(-1, 2)  # splits at the same blanks
+    return Words(body, start, end, values[:, 0].copy(), values[:, 1].copy(), first)
 
 
 def runs_of(value: np.ndarray, n: int) -> np.ndarray:
@@ -76,18 +85,20 @@ def runs_of(value: np.ndarray, n: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     out = value[:len(value) - n + 1].copy()
     for j in range(1, n):
+        out ^= out >> _FOLD
         out *= _STEP
         out += value[j:len(value) - n + 1 + j]
     return mixed(out)
 
 
-def shingles_of(words: Words, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
+def shingles_of(words: Words, n: int = 5, other: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the word shingles of each text and the first of each text (one more at the end).
 
-    A text with fewer words has its whole sequence as one shingle; a text without words has none.
+    A text with fewer words has its whole sequence as one shingle; a text without words has none. With ``other``, hashes
+    of the words' other values, which are independent.
     """
-    counts = words.counts
-    whole = runs_of(words.value, n)
+    value, counts = words.other if other else words.value, words.counts
+    whole = runs_of(value, n)
     have = np.where(counts >= n, counts - n + 1, (counts > 0).astype(np.int64))
     first = np.concatenate([[0], np.cumsum(have)])
     out = np.zeros(first[-1], np.uint64)
@@ -96,8 +107,7 @@ def shingles_of(words: Words, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
     inside = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
     out[np.repeat(first[long], reps) + inside] = whole[np.repeat(words.first[long], reps) + inside]
     for i in np.flatnonzero((counts > 0) & (counts < n)):
-        acc = np.uint64(counts[i])
-        for v in words.value[words.first[i]:words.first[i + 1]]:
-            acc = np.uint64((int(acc) * int(_STEP) + int(v)) & (2**64 - 1))
-        out[first[i]] = mixed(np.array([acc]))[0]
+        # the number of words comes first, so that a short sequence is no part of a longer one
+        own = np.concatenate([counts[i:i + 1].astype(np.uint64), value[words.first[i]:words.first[i + 1]]])
+        out[first[i]] = runs_of(own, len(own))[0]
     return out, first

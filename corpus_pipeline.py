@@ -15,7 +15,7 @@ NEAR_PERCENT = 80
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language; texts without a letter (null ones too) go, and no other, whatever the score."""
+    """Documents with a language; texts without a letter (null ones too) go, and no other. A missing ``lang`` is filled in."""
     return language_id.keep_readable(docs)
 
 
@@ -54,9 +54,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies all stages to ``documents``. The rows between two stages are a table in the shared folder."""
-    docs, base = documents(spark, sf_dir), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    """Applies all stages to ``documents``.
+
+    The rows between two stages are a table in the shared folder, which is emptied when the next one is written.
+    """
+    docs, base, before = documents(spark, sf_dir), f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}", None
     for name, stage in STAGES[:-1]:
         stage(spark, docs, sf_dir).write.parquet(f"{base}/{name}")
         docs = spark.read.parquet(f"{base}/{name}")
+        if before is not None:
+            docs.where("false").write.mode("overwrite").parquet(before)
+        before = f"{base}/{name}"
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -11,11 +11,13 @@ from tripledger.operators import extraction as E
 from tripledger.operators import reconcile as R
 from tripledger.operators import register as G
 from tripledger.plans import fixtures as D
+from tripledger.plans.queries import all_queries
 from tripledger.sources.files import list_files
+from tripledger.sources.writers import register_bucketed, write_clustered
 
-PYTHON = {"mail_bodies"}
+#: Queries that write files or tables while they are built; ``mail_bodies`` is one of them, the only one with a Python stage.
 WRITES = {"stream_changes", "mailbox_scan", "mail_bodies", "csv_chat", "csv_profile_rows", "register_decimals",
-          "write_candidate_rows", "candidate_table", "search_page2", "stream_redelivered", "match_members"}
+          "write_candidate_rows", "candidate_table", "search_page2", "search_stored_page2", "stream_redelivered", "match_members", "classify_bucketed"}
 
 
 def plan(df):
@@ -37,11 +39,11 @@ def conf(spark):
         spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
-@pytest.mark.parametrize("name", sorted(set(contract.queries()) - WRITES))
+@pytest.mark.parametrize("name", sorted(set(all_queries()) - WRITES))
 def test_no_python_and_no_cartesian_nodes(name, spark, sf_dir, conf):
     conf(autoBroadcastJoinThreshold="-1")
-    text = plan(contract.queries()[name](spark, sf_dir))
-    for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "PythonEval", "InPandas", "PythonRDD", "BatchEvalPython"):
+    text = plan(all_queries()[name](spark, sf_dir))
+    for node in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "InPandas", "InArrow", "PythonRDD"):
         assert node not in text
 
 
@@ -137,3 +139,33 @@ def test_exchanges_of_counts_and_scans_of_changes(spark, sf_dir, conf, tmp_path)
     for part, scans in ((outcome.whole, 2), (outcome.changed, 2), (outcome.rejects, 1)):
         assert len(re.findall(r"FileScan parquet \[flight_id", plan(part))) == scans
     assert plan(outcome.whole).count("Join ") == 2
+
+
+def test_bucketed_lookups_are_joined_without_their_shuffle(spark, sf_dir, conf, tmp_path):
+    conf(autoBroadcastJoinThreshold="-1", adaptive__enabled="false", sources__bucketing__autoBucketedScan__enabled="false")
+    register_bucketed(R.counted_lookups(R.lookup_rows(D.register(spark, sf_dir))), "kept_lookups", str(tmp_path / "lookups"), R.KEY, 6)
+    try:
+        hits = R.match_hits(D.booking_candidates(spark, sf_dir), None, lookups=spark.table("kept_lookups"))
+        text = plan(hits)
+        # of the two sides of the join by key, only the probes are shuffled, into the buckets of the table
+        assert len(re.findall(r"Exchange hashpartitioning\(hash#", text)) == 1 and "kept_lookups" in text and "Bucketed: true" in text
+        assert len(re.findall(r"SortMergeJoin \[hash#", text)) == 1
+        assert hits.count() == R.match_hits(D.booking_candidates(spark, sf_dir), D.register(spark, sf_dir)).count()
+    finally:
+        spark.sql("DROP TABLE kept_lookups")
+
+
+def test_cursor_leaves_out_row_groups(spark, sf_dir, conf, tmp_path):
+    conf(adaptive__enabled="false")
+    write_clustered(D.register(spark, sf_dir), str(tmp_path / "r"), group_rows=100)
+    stored = spark.read.parquet(str(tmp_path / "r"))
+
+    def rows_read(page):
+        page.collect()
+        return page._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().apply("numOutputRows").value()
+
+    first = G.search(stored, limit=700)
+    cursor = G.next_cursor(first, 700)
+    everything = stored.count()
+    assert rows_read(first) == everything == D.register(spark, sf_dir).count()
+    assert rows_read(G.search(stored, limit=700, cursor=cursor)) <= everything - 600

@@ -174,15 +174,24 @@ def _differences() -> Column:
     return F.concat_ws("; ", differs("origin", "_origin", "origin"), differs("dest", "_dest", "dest"), differs("date", "_date", "date"))
 
 
-def _hits(tuples: DataFrame, register: DataFrame, rules: Sequence[int], every: bool = False, few: bool = False) -> DataFrame:
+def counted_lookups(rows: DataFrame) -> DataFrame:
+    """Lookup rows counted per key, with the last register row of a code: one row per key of the register."""
+    return rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), _last_of_code().alias("last"))
+
+
+def _hits(
+    tuples: DataFrame, register: DataFrame | None, rules: Sequence[int], every: bool = False, few: bool = False, lookups: DataFrame | None = None,
+) -> DataFrame:
     """The first rule that hits, per distinct key tuple: rule, n (register rows); of a code conflict, differences and the last row.
 
     With ``every``, tuples without a hit too. Columns that a caller does not read are pruned.
     """
     probes = _probes(tuples, rules, blank=every)
-    rows = asked_rows(register, probes, rules) if few else lookup_rows(register, rules)
-    counts = rows.groupBy(*KEY).agg(F.count(F.lit(1)).alias("n"), _last_of_code().alias("last"))
-    found = join_once(probes, counts, KEY, "left" if every else "inner")
+    if lookups is None:
+        counts = counted_lookups(asked_rows(register, probes, rules) if few else lookup_rows(register, rules))
+        found = join_once(probes, counts, KEY, "left" if every else "inner")
+    else:
+        found = probes.join(lookups, [*KEY], "left" if every else "inner")
     by_code = F.when((F.col("rule") == CODE) & F.col("n").isNotNull(), _differences())
     sizes = [F.max(F.when(F.col("rule") == r, F.col("n"))).alias(f"n{r}") for r in rules if r != CODE]
     hits = found.groupBy(*tuples.columns).agg(
@@ -194,13 +203,17 @@ def _hits(tuples: DataFrame, register: DataFrame, rules: Sequence[int], every: b
     return hits.select(*tuples.columns, "rule", n.alias("n"), "conflict", "differences", "last")
 
 
-def match_hits(candidates: DataFrame, register: DataFrame, rules: Sequence[int] = ALL_RULES, few: bool = False) -> DataFrame:
+def match_hits(
+    candidates: DataFrame, register: DataFrame | None, rules: Sequence[int] = ALL_RULES, few: bool = False, lookups: DataFrame | None = None,
+) -> DataFrame:
     """The hits of the distinct key tuples of the candidates, see ``_hits``.
 
     ``few`` says that the candidates are few against the register: then its lookup rows pass the filter first, for which
-    the candidates are read once more.
+    the candidates are read once more. ``lookups`` are ``counted_lookups`` that a caller stored, best in a table with
+    buckets by KEY: then repeated reconciliations need no register and shuffle the probes only. Such a join does not split
+    the probes of a hot key.
     """
-    return _hits(with_keys(candidates).select(*TUPLE).distinct(), register, rules, few=few)
+    return _hits(with_keys(candidates).select(*TUPLE).distinct(), register, rules, few=few, lookups=lookups)
 
 
 def _status(rule: Column, conflict: Column) -> Column:
@@ -220,7 +233,7 @@ def status_totals(candidates: DataFrame, register: DataFrame, rules: Sequence[in
 
 
 def classify(
-    candidates: DataFrame, register: DataFrame, rules: Sequence[int] = ALL_RULES, hits: DataFrame | None = None,
+    candidates: DataFrame, register: DataFrame | None, rules: Sequence[int] = ALL_RULES, hits: DataFrame | None = None,
 ) -> DataFrame:
     """All candidate columns plus dedup_status, match_group, match_count, match_reason, confidence.
 

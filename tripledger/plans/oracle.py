@@ -511,6 +511,10 @@ def all_oracles() -> dict[str, str]:
         for f in ("confirmation_code", "origin", "dest", "airline", "flight_number", "base_fare", "total_paid", "date_iso")
     )
     cols = "flight_id, status, cancelled_at, updated_at"
+    page2 = _with(
+        BOOKED, REGISTER, _PAGE,
+        select="SELECT * FROM page WHERE flight_id > (SELECT max(flight_id) FROM page1) AND (SELECT count(*) FROM page1) = 50 "
+        "ORDER BY flight_id LIMIT 50")
     ids = "(SELECT DISTINCT key FROM log WHERE op = 'cancel')"
     return {
         "sender_catalog": _mail(
@@ -575,6 +579,7 @@ def all_oracles() -> dict[str, str]:
         "match_airline_day": _matched(4),
         "match_airline_band": _matched(5),
         "classify_candidates": _sides(cls),
+        "classify_bucketed": _sides(cls),
         "status_counts": _sides(counts),
         "net_new_breakdown": _sides(
             "SELECT kind, value, CAST(sum(one) AS BIGINT) AS n FROM ("
@@ -602,10 +607,8 @@ def all_oracles() -> dict[str, str]:
         "preview": _with(
             BOOKED, SEEDED, select="SELECT flight_id, date_iso, origin, dest, airline FROM seeded ORDER BY flight_id LIMIT 5"),
         "search_register": _with(BOOKED, REGISTER, _PAGE, select="SELECT * FROM page1"),
-        "search_page2": _with(
-            BOOKED, REGISTER, _PAGE,
-            select="SELECT * FROM page WHERE flight_id > (SELECT max(flight_id) FROM page1) AND (SELECT count(*) FROM page1) = 50 "
-            "ORDER BY flight_id LIMIT 50"),
+        "search_page2": page2,
+        "search_stored_page2": page2,
         "search_cursor": _with(
             BOOKED, REGISTER, _PAGE,
             select="SELECT count(*) AS count, CASE WHEN count(*) >= 50 THEN base64(encode('{\"flight_id\":\"' || max(flight_id) || '\"}')) END "

@@ -22,7 +22,7 @@ from tripledger.session import scratch_dir
 from tripledger.sources.files import base_name, list_files
 from tripledger.sources.mailbox import named, scan_headers, scan_messages, with_bodies
 from tripledger.sources.tables import csv_profile, decimals_to_double, read_csv_text, read_register
-from tripledger.sources.writers import register_table, write_candidates, write_report, write_rows
+from tripledger.sources.writers import register_bucketed, register_table, write_candidates, write_clustered, write_report, write_rows
 from tripledger.streaming.changes import apply_change_stream, current_register, delivered_once, start_store
 from tripledger.vocabulary import PAGE_LIMIT
 
@@ -255,6 +255,19 @@ def classify_candidates(spark, sf_dir):
     return R.classify(*_sides(spark, sf_dir))
 
 
+@query
+def classify_bucketed(spark, sf_dir):
+    """As ``classify_candidates``, against counted lookups in a bucketed table in place of the register."""
+    candidates, register = _sides(spark, sf_dir)
+    path = scratch_dir(spark, "lookups")
+    name = "lookups_" + path.rsplit("-", 1)[1]
+    register_bucketed(R.counted_lookups(R.lookup_rows(register)), name, path, R.KEY, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    found = R.classify(candidates, None, hits=R.match_hits(candidates, None, lookups=spark.table(name)))
+    # The frame is resolved by now; the catalog entry goes, the external rows stay.
+    spark.sql(f"DROP TABLE {name}")
+    return found
+
+
 @query
 def status_counts(spark, sf_dir):
     return R.status_totals(*_sides(spark, sf_dir))
@@ -301,9 +314,13 @@ def register_seed(spark, sf_dir):
 
 
 def _page(spark, sf_dir, cursor=None):
+    return _search(D.register(spark, sf_dir), cursor)
+
+
+def _search(register, cursor=None):
     return G.search(
-        D.register(spark, sf_dir), date_from="1996-01-01", date_to="2000-12-31T23:59:59Z", airline="BUILDING",
-        status="active", international=True, cursor=cursor,
+        register, date_from="1996-01-01", date_to="2000-12-31T23:59:59Z", airline="BUILDING", status="active", international=True,
+        cursor=cursor,
     )
 
 
@@ -317,6 +334,15 @@ def search_page2(spark, sf_dir):
     return decimals_to_double(_page(spark, sf_dir, G.next_cursor(_page(spark, sf_dir), PAGE_LIMIT)))
 
 
+@query
+def search_stored_page2(spark, sf_dir):
+    """The second page of a register stored in the order of its ids, whose row groups the cursor prunes."""
+    path = scratch_dir(spark, "clustered")
+    write_clustered(D.register(spark, sf_dir), path)
+    stored = spark.read.parquet(path)
+    return decimals_to_double(_search(stored, G.next_cursor(_search(stored), PAGE_LIMIT)))
+
+
 @query
 def search_cursor(spark, sf_dir):
     return G.page_info(_page(spark, sf_dir), PAGE_LIMIT)

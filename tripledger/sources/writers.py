@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -47,3 +49,14 @@ def register_table(spark: SparkSession, name: str, path: str) -> None:
     """An external catalog table over stored Parquet. A table of that name must not exist yet."""
     place = path.replace("'", "\\'")
     spark.sql(f"CREATE TABLE {name} USING PARQUET LOCATION '{place}'")
+
+
+def register_bucketed(rows: DataFrame, name: str, path: str, keys: Sequence[str], buckets: int) -> None:
+    """An external catalog table in buckets by its keys: joins by all of them read it without a shuffle."""
+    rows.repartition(buckets, *keys).write.bucketBy(buckets, *keys).sortBy(*keys).option("path", path).saveAsTable(name)
+
+
+def write_clustered(rows: DataFrame, path: str, key: str = "flight_id", group_rows: int = 100_000) -> None:
+    """Rows in the order of a key, in row groups of bounded size: a bound on the key leaves out whole files and groups."""
+    ordered = rows.repartitionByRange(key).sortWithinPartitions(key)
+    ordered.write.mode("errorifexists").option("parquet.block.row.count.limit", group_rows).parquet(path)

@@ -363,7 +363,7 @@ def ranked(
     for block in search_blocks(items, item_id, item_text, PAIRS):
         forward = stored(forward_rows(docs, block.terms, doc_id, text), "forward")
         stats = statistics(forward, len(block.terms))
-        index = stored(index_rows(forward, stats), "index", {"compression": "uncompressed", "parquet.block.size": str(4 << 20)})
+        index = stored(index_rows(forward, stats), "index", {"compression": "uncompressed", "parquet.block.row.count.limit": "1"})
         window = Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_last("doc_id"))
         best = search_index(index, block, stats, top).withColumn("rank", F.row_number().over(window)).where(F.col("rank") <= top)
         names = spark.createDataFrame(list(enumerate(block.items)), "item int, item_id long")

@@ -166,6 +166,10 @@ def id_filter(ids: DataFrame) -> Callable[[Column], Column]:
     return lambda c: listed(F.pmod(F.xxhash64(c), F.lit(bits)))
 
 
+#: What workers drop when a task ends, as idle ones stay for the next task.
+AT_END: list[Callable[[], None]] = []
+
+
 def tidied(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """A task over batches that gives its memory back when it ends, as idle Python workers stay for the next task."""
 
@@ -173,6 +177,8 @@ def tidied(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterato
         try:
             yield from task(batches)
         finally:
+            for drop in AT_END:
+                drop()
             gc.collect()
             pa.default_memory_pool().release_unused()
             trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only where the C library has it

@@ -12,12 +12,12 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from tripledger.llm.common import BLANK_BYTES, mixed
+from tripledger.llm.common import AT_END, BLANK_BYTES, mixed
 
 #: Bytes of text that are looked at together; a longer text is one piece by itself.
 PIECE = 3_000_000
 #: Digests of words that a process remembers.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 _FOLD = np.uint64(29)
 _BLANK = np.zeros(256, bool)
@@ -38,6 +38,7 @@ class _Digests(dict):
 
 
 _DIGESTS = _Digests()
+AT_END.append(_DIGESTS.clear)
 
 
 def pieces(texts: list[bytes], size: int = PIECE) -> Iterator[tuple[int, int]]:

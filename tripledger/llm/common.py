@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import gc
+import importlib
 import shutil
 import tempfile
 import uuid
@@ -177,7 +178,7 @@ def tidied(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterato
         try:
             yield from task(batches)
         finally:
-            for drop in AT_END:
+            for drop in importlib.import_module(__name__).AT_END:  # those of the worker, not a copy sent with the task
                 drop()
             gc.collect()
             pa.default_memory_pool().release_unused()

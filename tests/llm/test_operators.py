@@ -180,6 +180,22 @@ def test_mixture_reaches_its_targets(odd, spark, sf_dir):
     assert order.columns == odd.columns and {r["doc_id"] for r in order.collect()} <= {r[0] for r in ROWS}
 
 
+def test_mixture_places_every_repetition(odd, spark, sf_dir, monkeypatch):
+    sorts = []
+    monkeypatch.setattr(mixing, "numbered", lambda df, order, name, real=mixing.numbered: sorts.append(order) or real(df, order, name))
+    for docs in (odd, spark.read.parquet(f"{sf_dir}/documents.parquet")):
+        sorts.clear()
+        rows = mixing.mixture(docs).collect()
+        assert ["position", "_row", "lap"] in sorts  # the placements pass through the range sort
+        assert any(r["taken"] > r["size"] for r in rows)
+        for r in rows:
+            assert len(r["positions"]) == (-(-r["taken"] // r["size"]) if r["size"] else 0)
+            assert r["position"] == (r["positions"][0] if r["positions"] else None)
+            for lap, t in enumerate(r["positions"]):
+                words = r["first"] + lap * r["source_size"]
+                assert abs(r["target"] * (t + r["tilt"] * (t * t - t)) - words) < 1e-6 * (1 + words)
+
+
 def test_demand_is_inverted(spark):
     rows = [(float(w), tilt) for w in range(0, 101, 5) for tilt in (-0.5, 0.0, 0.5)]
     at = spark.createDataFrame(rows, "w double, tilt double").select(

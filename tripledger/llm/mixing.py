@@ -51,19 +51,19 @@ def targets(sources: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE,
     return table.withColumn("target", F.least(most.cast("double"), F.col("weight") * F.lit(level)) if row["open"] else most.cast("double"))
 
 
-def mixture(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", row: str | None = None, **how) -> DataFrame:
-    """One row per input row: doc_id, size, source_size, target, taken, position (null if nothing is taken), first, tilt.
+def walked(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", row: str | None = None, **how) -> DataFrame:
+    """One row per input row: _row, doc_id, size, source_size, target, taken, first, tilt.
 
     Size counts words (null text: 0). A source's documents are walked in the order of a checksum of the id, as often as
     its target asks; in the last pass the document where the target is reached gives only the words that are left, so
-    ``taken`` is at most ``passes`` times the size and each source's sum is its target to a word. ``position`` is the
-    training time of the document's first word, ``first`` the words of its source before it in a pass. Empty sources have target 0; rows that repeat an id have equal rows
+    ``taken`` is at most ``passes`` times the size and each source's sum is its target to a word. ``first`` counts the words
+    of the source before the document in a pass. Empty sources have target 0; rows that repeat an id have equal rows
     where their order does not matter, and are walked one after the other otherwise. A column ``row`` that tells rows
-    apart comes along and orders what the checksum and the size do not. Other columns are not read.
+    apart comes along as ``_row`` and orders what the checksum and the size do not; without one, rows are numbered as they
+    are stored. Other columns are not read.
     """
-    more = [row] if row else []
     passes = how.get("passes", PASSES)
-    sized = docs.select(*more, F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"),
+    sized = docs.select((F.col(row) if row else F.monotonically_increasing_id()).alias("_row"), F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"),
                         F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"))
     rows = held(sized.withColumn("mark", F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))))
     blocks = max(1, -(-rows.count() // BLOCK_ROWS))
@@ -73,10 +73,10 @@ def mixture(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     plan = targets(parts.groupBy("source").agg(F.sum("words").alias("source_size")), **how)
     before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     starts = parts.select(F.col("source").alias("_source"), F.col("block").alias("_block"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("start"))
-    inside = Window.partitionBy("source", "block").orderBy("mark", "size", *more).rowsBetween(Window.unboundedPreceding, -1)
-    walked = rows.withColumn("ahead", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    inside = Window.partitionBy("source", "block").orderBy("mark", "size", "_row").rowsBetween(Window.unboundedPreceding, -1)
+    counted = rows.withColumn("ahead", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     placed = (
-        walked.join(starts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")))
+        counted.join(starts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("block") == F.col("_block")))
         .join(plan.select(F.col("source").alias("_own"), "source_size", "tilt", "target"), F.col("source").eqNullSafe(F.col("_own")))
         .withColumn("first", F.col("start") + F.col("ahead"))
     )
@@ -85,9 +85,35 @@ def mixture(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source:
     rest = words - laps * F.col("source_size")
     taken = laps * F.col("size") + F.least(F.greatest(rest - F.col("first"), F.lit(0)), F.col("size"))
     return placed.withColumn("taken", F.least(taken, F.col("size") * passes).cast("long")).select(
-        "doc_id", "size", "source_size", "target", "taken",
-        F.when(F.col("taken") > 0, when_demanded(F.col("first"), F.col("target"), F.col("tilt"))).alias("position"),
-        "first", "tilt", *more)
+        "_row", "doc_id", "size", "source_size", "target", "taken", "first", "tilt")
+
+
+def repetitions(walk: DataFrame) -> DataFrame:
+    """The rows of ``walked`` once per repetition that the mix takes: words (taken in this one), position (when demanded).
+
+    Only the last repetition of a document may have fewer words than the document. A document of which nothing is taken
+    has one row without words and position.
+    """
+    turns = F.greatest(F.ceil(F.col("taken") / F.greatest(F.col("size"), F.lit(1))).cast("int"), F.lit(1))
+    lapped = walk.withColumn("lap", F.explode(F.sequence(F.lit(0), turns - 1)))
+    at = when_demanded(F.col("first") + F.col("lap") * F.col("source_size"), F.col("target"), F.col("tilt"))
+    return lapped.withColumn("words", F.least("size", F.col("taken") - F.col("lap") * F.col("size"))).withColumn(
+        "position", F.when(F.col("words") > 0, at))
+
+
+def mixture(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", row: str | None = None, **how) -> DataFrame:
+    """One row per input row: doc_id, size, source_size, target, taken, position (null if nothing is taken), positions, first, tilt.
+
+    All repetitions of all documents are put in training order by a range sort and numbered. From that order follow the words
+    ``taken`` of a document, the training time ``position`` of its first word and the ``positions`` of all its repetitions.
+    The other columns, nulls and repeated ids are those of ``walked``; a column ``row`` comes along.
+    """
+    named = ["_row", "doc_id", "size", "source_size", "target", "first", "tilt"]
+    placed = numbered(repetitions(walked(docs, doc_id, text, source, row, **how)), ["position", "_row", "lap"], "place")
+    turns = F.transform(F.sort_array(F.collect_list(F.when(F.col("words") > 0, F.struct("place", "position")))), lambda t: t["position"])
+    return placed.groupBy(*named).agg(F.sum("words").alias("taken"), turns.alias("positions")).select(
+        "doc_id", "size", "source_size", "target", "taken", F.get("positions", F.lit(0)).alias("position"), "positions", "first", "tilt",
+        *([F.col("_row").alias(row)] if row else []))
 
 
 def when_demanded(words: Column, target: Column, tilt: Column) -> Column:
@@ -104,10 +130,7 @@ def training_order(docs: DataFrame) -> DataFrame:
     also one with a null or a repeated id, comes as often as the mix takes from that row.
     """
     rows = with_rows(docs)
-    took = mixture(rows, row="_row").where("taken > 0").select(
-        "_row", F.ceil(F.col("taken") / F.col("size")).cast("int").alias("_laps"),
-        F.col("first").alias("_first"), F.col("source_size").alias("_whole"), F.col("target").alias("_target"), F.col("tilt").alias("_tilt"))
-    copies = rows.join(took, "_row").withColumn("_lap", F.explode(F.sequence(F.lit(0), F.col("_laps") - 1))).withColumn(
-        "_at", when_demanded(F.col("_first") + F.col("_lap") * F.col("_whole"), F.col("_target"), F.col("_tilt")))
+    took = repetitions(walked(rows, row="_row").where("taken > 0")).select("_row", F.col("position").alias("_at"))
+    copies = rows.join(took, "_row")
     order = ["_at", "doc_id", "_row"]
     return copies.repartitionByRange(*order).sortWithinPartitions(*order).select(*docs.columns)

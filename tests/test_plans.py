@@ -94,6 +94,14 @@ def test_hot_candidates_are_split(spark, conf):
     assert df.where("match_count = 1").count() == 3000
 
 
+def test_dealt_parts_follow_the_rows(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(D, "DEALT_ROWS", 50)
+    orders = D.table(spark, sf_dir, "orders").count()
+    assert D.messages(spark, sf_dir).rdd.getNumPartitions() == -(-orders // 50) > spark.sparkContext.defaultParallelism
+    monkeypatch.undo()
+    assert D.messages(spark, sf_dir).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+
+
 def test_hot_register_key_is_split_and_combined(spark, conf):
     _skewed(conf)
     log = spark.range(6000).select(

@@ -31,9 +31,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of a task that are at most dealt together, so that what a task holds does not grow with the input.
+DEALT_ROWS = 200_000
+
+
 def _dealt(df: DataFrame) -> DataFrame:
-    """The rows dealt out to all cores: what follows is costly per row, whatever the splits of the input."""
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+    """The rows dealt out to all cores, in as many parts as their number asks for: what follows is costly per row,
+    whatever the splits of the input. They are counted from the file footers."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // DEALT_ROWS)))
 
 
 def _div(key: Column, by: int) -> Column:

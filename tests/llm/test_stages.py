@@ -92,6 +92,23 @@ def test_stages_decide_by_row_with_null_and_repeated_ids(spark):
     assert order == +laps
 
 
+def test_sliced_words_are_whole_words_and_windows_are_compared_exactly():
+    shared = [f"w{i}" for i in range(13)]
+    texts = [" ".join(x).encode() for x in (
+        [*shared, "a\0", "a", "sixteen-bytes-ab", "sixteen-bytes-abc"], [], ["\u00e9" * 9, *shared], [*shared[:-1], "x" * 40, "x" * 41, "x" * 40])]
+    words, plain = superkmer_dedup.sliced_words_of(texts, 7), superkmer_dedup.sliced_words_of([b"  ", *texts], 7)
+    assert [words.body[a:b].tobytes() for a, b in zip(words.start, words.end, strict=True)] == b" ".join(texts).split()
+    assert words.first.tolist() == [0, 17, 17, 31, 46] and plain.first.tolist() == [0, 0, 17, 17, 31, 46]
+    named = {}
+    for w, key in zip(b" ".join(texts).split(), zip(words.value.tolist(), words.other.tolist(), strict=True), strict=True):
+        assert named.setdefault(w, key) == key
+    assert len(set(named.values())) == len(named)
+    tell = set(zip(*(p.tolist() for p in words.exact), (words.end - words.start).tolist(), strict=True))
+    assert len(tell) == len(named)
+    # windows 0, 18 and 31 as one group of equal hashes: the last one differs in a word and is cut off
+    assert superkmer_dedup._verified(words, np.array([0, 18, 31]), np.array([0])).tolist() == [0, 2]
+
+
 def test_no_readable_text_goes_for_its_score(spark, monkeypatch):
     rows = [(i, w) for i, w in enumerate(["a", "zq", "word", "ein wort the word", "漢字", "12", None])]
     monkeypatch.setattr(language_id, "train", lambda docs: language_id.Model([f"l{i:02}" for i in range(20)], language_id.fit([], []).w | {

@@ -14,6 +14,7 @@ split: its windows go to the buckets of their own hashes.
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,13 +25,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripledger.llm.common import BLANKS, WORD, among, hot_keys, id_filter, key_counts, mixed, stored, tagged, tidied
-from tripledger.llm.words import Words, pieces, runs_of, words_of
+from tripledger.llm.words import Words, pieces, runs_of, sliced_words_of
 
 WINDOW = 13
 MINIMISER = 3
 #: Bytes of text that are combined and packed together, and bytes of text per bucket.
 PIECE_BYTES = 4_000_000
 BUCKET_BYTES = 1_000_000
+#: Of steps that are used alone; a run of ``without_repeats`` draws its own.
+SEED = 6
 
 
 def _window_min(values: np.ndarray, width: int) -> np.ndarray:
@@ -53,31 +56,30 @@ def _windows(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 
 def _groups(one: np.ndarray, two: np.ndarray, doc: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Rows sorted by window (both hashes), document and place, and the start of each window's rows."""
-    order = np.lexsort((at, doc, two, one)) if len(one) else np.zeros(0, np.int64)
-    a, b = one[order], two[order]
+    order = np.argsort(one)
+    equal = one[order[1:]] == one[order[:-1]]
+    tied = np.zeros(len(order), bool)
+    tied[1:] |= equal
+    tied[:-1] |= equal
+    tied = np.flatnonzero(tied)  # only these need the other keys
+    rows = order[tied]
+    order[tied] = rows[np.lexsort((at[rows], doc[rows], two[rows], one[rows]))]
     new = np.ones(len(order), bool)
-    new[1:] = (a[1:] != a[:-1]) | (b[1:] != b[:-1])
+    new[tied[1:]] = (one[order[tied[1:]]] != one[order[tied[1:] - 1]]) | (two[order[tied[1:]]] != two[order[tied[1:] - 1]])
     return order, np.flatnonzero(new)
 
 
 def _verified(words: Words, first: np.ndarray, cut: np.ndarray) -> np.ndarray:
     """The starts of groups of windows (by their first words, in order), with a cut wherever neighbours differ in a word's bytes."""
-    sizes = np.diff(np.append(cut, len(first)))
-    many = first[np.repeat(sizes > 1, sizes)]
-    if not len(many):
-        return cut
-    used = np.zeros(len(words.start), bool)
-    for k in range(WINDOW):
-        used[many + k] = True
-    used = np.flatnonzero(used)
-    body, number, exact = words.body.tobytes(), {}, np.zeros(len(words.start), np.int32)
-    strings = (body[a:b] for a, b in zip(words.start[used].tolist(), words.end[used].tolist(), strict=True))
-    exact[used] = np.fromiter((number.setdefault(w, len(number)) for w in strings), np.int32, len(used))
     new = np.zeros(len(first), bool)
     new[cut] = True
+    later = np.flatnonzero(~new)  # neighbours of one group
+    here, there, size = first[later], first[later - 1], words.end - words.start
+    differ = np.zeros(len(later), bool)
     for k in range(WINDOW):
-        word = exact[first + k]
-        new[1:] |= word[1:] != word[:-1]
+        for part in (*words.exact, size):
+            differ |= part[here + k] != part[there + k]
+    new[later[differ]] = True
     return np.flatnonzero(new)
 
 
@@ -104,12 +106,12 @@ def _sent_runs(doc: np.ndarray, tag: np.ndarray, at: np.ndarray, buckets: int) -
     return pa.record_batch([pa.array(home), pa.nulls(len(doc), pa.binary()), pa.array(doc), pa.array(tag), pa.array(at.astype(np.int32)), pa.array(n.astype(np.int32))], schema=_SENT)
 
 
-def hot_minimisers(docs: DataFrame, total: int) -> np.ndarray:
+def hot_minimisers(docs: DataFrame, total: int, seed: int = SEED) -> np.ndarray:
     """Minimisers of very many super-k-mers, counted in a sample."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, _, texts in gathered(batches, PIECE_BYTES):
-            words = words_of(texts)
+            words = sliced_words_of(texts, seed)
             first, owner, _, _ = _windows(words)
             if len(first):
                 least = _window_min(runs_of(words.value, MINIMISER), WINDOW - MINIMISER + 1)[first]
@@ -118,10 +120,10 @@ def hot_minimisers(docs: DataFrame, total: int) -> np.ndarray:
     return hot_keys(docs, total, counted)
 
 
-def packed_runs(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
+def packed_runs(docs: DataFrame, buckets: int, hot: np.ndarray, seed: int = SEED) -> DataFrame:
     """Super-k-mers packed per piece and bucket, and runs of windows that are already known to be lost.
 
-    Windows of a ``hot`` minimiser go one by one to the bucket of their own hash, which equal windows share.
+    The values of words follow from ``seed``, the same in all steps of a run. Windows of a ``hot`` minimiser go one by one to the bucket of their own hash, which equal windows share.
     """
     listed = docs.sparkSession.sparkContext.broadcast(hot)
 
@@ -130,7 +132,7 @@ def packed_runs(docs: DataFrame, buckets: int, hot: np.ndarray) -> DataFrame:
         squeeze = zstandard.ZstdCompressor(level=3)
 
         def piece(ids: np.ndarray, tags: np.ndarray, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
-            words = words_of(texts)
+            words = sliced_words_of(texts, seed)
             first, owner, one, two = _windows(words)
             if not len(first):
                 return
@@ -198,7 +200,7 @@ def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[lis
         yield ids, tags, texts
 
 
-def lost_windows(packed: DataFrame) -> DataFrame:
+def lost_windows(packed: DataFrame, seed: int = SEED) -> DataFrame:
     """Runs of windows (doc_id, tag, start, n) that also start in a document with a smaller id."""
 
     def bucket_runs(blobs: list[bytes]) -> pa.RecordBatch | None:
@@ -210,7 +212,7 @@ def lost_windows(packed: DataFrame) -> DataFrame:
             tags.append(np.frombuffer(raw, np.int64, n, 8 + 8 * n))
             starts.append(np.frombuffer(raw, np.int32, n, 8 + 16 * n))
             texts.append(raw[8 + 20 * n:])
-        words = words_of(b"\n".join(texts).split(b"\n"))
+        words = sliced_words_of(b"\n".join(texts).split(b"\n"), seed)
         first, owner, one, two = _windows(words)
         doc = np.concatenate(docs)[owner]
         at = np.concatenate(starts).astype(np.int64)[owner] + first - words.first[owner]
@@ -257,8 +259,9 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     some = rows.where("doc_id is not null")
-    hot = hot_minimisers(some, total)
-    runs = stored(lost_windows(packed_runs(some, max(4 * parts, total // BUCKET_BYTES), hot)), "lost")
+    seed = secrets.randbits(128)  # so that no texts can be made whose words share values
+    hot = hot_minimisers(some, total, seed)
+    runs = stored(lost_windows(packed_runs(some, max(4 * parts, total // BUCKET_BYTES), hot, seed), seed), "lost")
     listed = id_filter(runs.select("doc_id").distinct())
     lost = runs.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("start", "n")).alias("lost"))
     names = ["doc_id", "n_words", "n_removed", "kept_sha256", *(["kept"] if with_text else [])]
@@ -269,7 +272,7 @@ def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
             texts = [(x.as_py() or "").encode("utf-8") for x in batch.column(1)]
             flat = batch.column(2)
             for lo, hi in pieces(texts):
-                words = words_of(texts[lo:hi])
+                words = sliced_words_of(texts[lo:hi], seed)
                 runs = flat.slice(lo, hi - lo)
                 counts = pc.fill_null(pc.list_value_length(runs), 0).to_numpy(zero_copy_only=False)
                 pairs = runs.flatten()

@@ -1,6 +1,7 @@
 """Words and word shingles of many texts at once, as pairs of 64-bit values in numpy arrays.
 
-The values of a word are the halves of a 128-bit BLAKE2b digest of its bytes, so no two words are known that share them.
+The values of a word are the halves of a 128-bit BLAKE2b digest of its bytes, so no two words are known that share them;
+``sliced_words_of`` makes cheaper ones from a seed, for callers that draw one and compare the words themselves.
 Runs of words chain their values with shifts between the steps, so that no sum of differences cancels.
 """
 
@@ -63,6 +64,8 @@ class Words:
     value: np.ndarray
     other: np.ndarray
     first: np.ndarray
+    #: Of ``sliced_words_of``: two numbers a word, which with its length tell any two words apart.
+    exact: tuple[np.ndarray, np.ndarray] | None = None
 
     @property
     def counts(self) -> np.ndarray:
@@ -80,6 +83,42 @@ def words_of(texts: list[bytes]) -> Words:
     return Words(body, start, end, values[:, 0].copy(), values[:, 1].copy(), first)
 
 
+#: Masks that keep the first 0 to 8 bytes of a number, and the odd factors that join the parts of a word.
+_HEADS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_FACTORS = tuple(np.uint64(f) for f in (0x9FB21C651E98DF25, 0xA0761D6478BD642F, 0xC2B2AE3D27D4EB4F))
+
+
+def sliced_words_of(texts: list[bytes], seed: int) -> Words:
+    """As ``words_of``, by columns: the values of a word of up to 16 bytes are made of its bytes and ``seed`` in place of a digest.
+
+    Longer words have digests. ``exact`` holds the bytes of short words; long ones are numbered within the call.
+    """
+    whole = b" ".join(texts) + b" " * 17
+    body = np.frombuffer(whole, np.uint8)
+    ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+    blank = _BLANK[body]
+    turn = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    if not blank[0]:
+        turn = np.concatenate([[0], turn])
+    start, end = turn[0::2], turn[1::2]
+    first = np.concatenate([[0], np.searchsorted(start, ends)]).astype(np.int64)
+    size = end - start
+    eight = np.ndarray(len(whole) - 7, "<u8", whole, strides=(1,))  # the eight bytes from each place on
+    one = eight[start] & _HEADS[np.minimum(size, 8)]
+    two = eight[start + 8] & _HEADS[np.clip(size - 8, 0, 8)]
+    keys = (mixed(np.array([seed & (1 << 64) - 1, seed >> 64], np.uint64)) | np.uint64(1))
+    length = size.astype(np.uint64) * _FACTORS[0]
+    value = mixed(mixed(one ^ keys[0]) + two * _FACTORS[1] + length)
+    other = mixed(mixed(two ^ keys[1]) + one * _FACTORS[2] + length)
+    long = np.flatnonzero(size > 16)
+    if len(long):
+        words, number = [whole[a:b] for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)], {}
+        digests = np.frombuffer(b"".join(map(_DIGESTS.__getitem__, words)), np.uint64).reshape(-1, 2)
+        value[long], other[long] = digests[:, 0], digests[:, 1]
+        one[long], two[long] = np.fromiter((number.setdefault(w, len(number)) for w in words), np.uint64, len(long)), 0
+    return Words(body, start, end, value, other, first, (one, two))
+
+
 def runs_of(value: np.ndarray, n: int) -> np.ndarray:
     """A hash of every run of ``n`` neighbouring values, also of runs that cross texts."""
     if len(value) < n:

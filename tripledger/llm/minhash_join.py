@@ -268,7 +268,8 @@ def _first_round(posted: DataFrame, least: int) -> DataFrame:
 def _second_round(posted: DataFrame, labels: DataFrame, least: int) -> DataFrame:
     """Pairs between different components with enough common tokens, packed by blocks."""
     grouped = posted.join(labels.withColumnRenamed("node", "pos"), "pos", "left").withColumn("label", F.coalesce("label", "pos"))
-    listed = grouped.select("pos", "label", "tokens", F.size("prefix").alias("posted"), F.explode("prefix").alias("x")).select("*", "x.token", F.shiftright("x.token", 32).alias("at"))
+    # tokens are sent once per row that is compared, not along with every posting
+    listed = grouped.select("pos", "label", F.size("prefix").alias("posted"), F.explode("prefix.token").alias("token")).withColumn("at", F.shiftright("token", 32))
     mixed_lists = (
         listed.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("n")).where("lo <> hi")
         .select("token", F.shiftright("token", 32).alias("at"), F.ceil(F.col("n") / LIST_BLOCK).cast("int").alias("blocks"))
@@ -277,8 +278,8 @@ def _second_round(posted: DataFrame, labels: DataFrame, least: int) -> DataFrame
     cut = (
         listed.join(mixed_lists, ["token", "at"]).withColumn("spot", spot)
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("token", F.least("spot", "with").alias("p"), F.greatest("spot", "with").alias("q"), "spot", "pos", "label", "posted",
-                F.col("tokens.token").alias("tokens"))
+        .select("token", F.least("spot", "with").alias("p"), F.greatest("spot", "with").alias("q"), "spot", "pos", "label", "posted")
+        .join(posted.select("pos", F.col("tokens.token").alias("tokens")), "pos")
     )
 
     @tidied

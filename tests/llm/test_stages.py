@@ -8,12 +8,14 @@ import re
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_operators import WORD, plain_near
 
 import corpus_pipeline
-from tripledger.llm import common, exact_dedup, language_id, minhash_join, mixing, suffix_dedup, superkmer_dedup
+from tripledger.llm import byte_bpe, common, exact_dedup, language_id, minhash_join, mixing, suffix_dedup, superkmer_dedup
 
 
 def _banded(pairs: int) -> list[tuple[int, str]]:
@@ -263,3 +265,21 @@ def test_missing_language_is_filled_in(spark):
                                  "doc_id long, text string, lang string, names string")
     found = {r["doc_id"]: r["lang"] for r in language_id.keep_readable(docs).collect()}
     assert found == {d: lang for d, _, lang in known} | {200: "en", 201: "de"}
+
+
+def test_texts_are_held_in_parts_of_bounded_size(monkeypatch):
+    monkeypatch.setattr(minhash_join, "HELD_BYTES", 100)
+    texts = ["Ab" * 20, None, "c" * 300, "", "É" * 10, "D" * 70, "e" * 45]
+    parts = list(minhash_join.lowered_pieces(pa.array(texts)))
+    assert [t for _, _, part in parts for t in part] == [b"ab" * 20, b"", b"c" * 300, b"", "É".encode() * 10, b"d" * 70, b"e" * 45]
+    assert [(lo, hi) for lo, hi, _ in parts] == [(0, 3), (3, 7)]
+    assert all(sum(map(len, part[:-1])) < 100 for _, _, part in parts)
+
+
+def test_ranks_are_looked_up_in_two_bytes_a_slot():
+    ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    assert sum(t.nbytes for t in ranks.inside.tables) <= 4 * byte_bpe.Inside.SLOTS
+    last = max(ranks.pairs)
+    body = ranks.tokens[last]
+    _, found = ranks.inside.find(np.frombuffer(body, np.uint8), np.array([len(body)]))
+    assert last in found.tolist()

@@ -29,7 +29,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from tripledger.llm.common import tidied
 
 #: Characters of a block of documents that share one list of distinct words.
-BLOCK_CHARS = 8_000_000
+BLOCK_CHARS = 4_000_000
 #: Words and documents per Arrow batch, and tokens of a batch that carries them.
 BATCH = 8192
 DOCUMENT_BATCH = 512
@@ -116,7 +116,7 @@ class Inside:
         merged = {ranks.tokens[r]: r for r in ranks.pairs}
         heads = {t[:n] for t in merged for n in range(2, len(t))}
         self.longest = max(map(len, merged), default=0)
-        self.tables = [np.zeros(self.SLOTS, np.int32) for _ in self.STEPS]  # 0: nothing, 1: a beginning, rank + 2: a token
+        self.tables = [np.zeros(self.SLOTS, np.uint16) for _ in self.STEPS]  # 0: nothing, 1: a beginning, rank + 2: a token (below 2**16)
         left = sorted(merged) + sorted(heads - set(merged))
         for table, step in zip(self.tables, self.STEPS, strict=True):
             slots = self._slots([self._hash(t, step) for t in left])
@@ -182,11 +182,7 @@ def words_and_documents(rows: DataFrame, ranks: Ranks, text_pattern: str) -> Dat
         pieces = regex.compile(pattern)
         byte = {i: FIRST_CHAR + rank for i, rank in enumerate(single)}
 
-        def block(ids: list, texts: list[str | None]) -> Iterator[pa.RecordBatch]:
-            codes = _Codes(known)
-            number = codes.__getitem__
-            streams = [np.array(list(map(number, pieces.findall(text or ""))), np.int32).tobytes() for text in texts]
-            words = codes.words
+        def block(ids: list, streams: list[bytes], words: list[str]) -> Iterator[pa.RecordBatch]:
             for lo in range(0, len(words), BATCH):
                 bodies = [w.encode("utf-8") for w in words[lo:lo + BATCH]]
                 ends = np.cumsum([len(b) for b in bodies])
@@ -204,18 +200,19 @@ def words_and_documents(rows: DataFrame, ranks: Ranks, text_pattern: str) -> Dat
                 yield pa.record_batch([pa.array(ids[lo:hi], schema.field(0).type), pa.array(streams[lo:hi], pa.binary()),
                                        pa.nulls(n, pa.string()), pa.nulls(n, schema.field(3).type)], schema=schema)
 
-        ids, texts, filled = [], [], 0
+        # a text becomes numbers as it comes, so that no block holds its texts
+        ids, streams, codes, filled = [], [], _Codes(known), 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                text = text.as_py()
+                text = text.as_py() or ""
                 ids.append(doc_id)
-                texts.append(text)
-                filled += len(text or "")
+                streams.append(np.fromiter(map(codes.__getitem__, pieces.findall(text)), np.int32).tobytes())
+                filled += len(text)
                 if filled >= BLOCK_CHARS:
-                    yield from block(ids, texts)
-                    ids, texts, filled = [], [], 0
+                    yield from block(ids, streams, codes.words)
+                    ids, streams, codes, filled = [], [], _Codes(known), 0
         if ids:
-            yield from block(ids, texts)
+            yield from block(ids, streams, codes.words)
 
     return rows.mapInArrow(split, f"doc_id {kind}, stream binary, chars string, merges array<int>")
 

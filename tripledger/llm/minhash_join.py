@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tripledger.llm.common import held, mixed, numbered, tidied, with_rows, without_rows
-from tripledger.llm.words import LOWER, pieces, shingles_of, words_of
+from tripledger.llm.words import LOWER, shingles_of, words_of
 from tripledger.operators.keep import join_once
 
 SHINGLE = 5
@@ -37,6 +37,8 @@ MISSED = 1 / 30_000
 #: Classes of a block of neighbours in which pairs are confirmed, and members of a block of a posting list.
 BLOCK = 64
 LIST_BLOCK = 512
+#: Bytes of text whose shingles a task holds at once; a longer text is held by itself.
+HELD_BYTES = 1_000_000
 _SEEDS = mixed(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -53,15 +55,27 @@ def least_matches(percent: int) -> int:
     return least
 
 
+def lowered_pieces(column: pa.Array) -> Iterator[tuple[int, int, list[bytes]]]:
+    """Ranges of neighbouring texts of about HELD_BYTES together, with their bytes, A-Z in lower case; null is empty."""
+    lo, filled, texts = 0, 0, []
+    for i, text in enumerate(column):
+        texts.append((text.as_py() or "").encode("utf-8").translate(LOWER))
+        filled += len(texts[-1])
+        if filled >= HELD_BYTES:
+            yield lo, i + 1, texts
+            lo, filled, texts = i + 1, 0, []
+    if texts:
+        yield lo, len(column), texts
+
+
 def signatures(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, set_id (16 bytes; null for a document without words), tokens."""
 
     @tidied
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(x.as_py() or "").encode("utf-8").translate(LOWER) for x in batch.column(1)]
-            for lo, hi in pieces(texts):
-                words = words_of(texts[lo:hi])
+            for lo, hi, texts in lowered_pieces(batch.column(1)):
+                words = words_of(texts)
                 (shingles, first), (others, _) = shingles_of(words, SHINGLE), shingles_of(words, SHINGLE, other=True)
                 counts, sets, tokens = np.zeros(hi - lo, np.int64), [None] * (hi - lo), [None] * (hi - lo)
                 some = np.flatnonzero(np.diff(first) > 0)
@@ -101,9 +115,8 @@ def full_sets(docs: DataFrame, text: str) -> DataFrame:
     @tidied
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [(x.as_py() or "").encode("utf-8").translate(LOWER) for x in batch.column(0)]
-            for lo, hi in pieces(texts):
-                words = words_of(texts[lo:hi])
+            for _, _, texts in lowered_pieces(batch.column(0)):
+                words = words_of(texts)
                 (one, first), (two, _) = shingles_of(words, SHINGLE), shingles_of(words, SHINGLE, other=True)
                 both = mixed(one * np.uint64(first_factor) + two * np.uint64(second_factor))
                 spans = [(a, b) for a, b in zip(first[:-1], first[1:], strict=True) if b > a]

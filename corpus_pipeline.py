@@ -12,6 +12,8 @@ from tripledger.llm.common import documents, shared_folder
 
 #: Similarity of near copies between stages; the 85 of minhash_join belongs to the op6 query.
 NEAR_PERCENT = 80
+#: Characters of a block of the last stage: half of the usual, as the stages before leave executors fuller.
+TOKEN_BLOCK = 4_000_000
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +39,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and the digests of the ids and of the bytes they decode to; a row per repetition."""
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    coded = byte_bpe.encoded(docs, ranks, public_tokenizers.PATTERN, with_ids=True)
+    coded = byte_bpe.encoded(docs, ranks, public_tokenizers.PATTERN, with_ids=True, block_chars=TOKEN_BLOCK)
     return coded.select("doc_id", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
 

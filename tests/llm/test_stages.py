@@ -276,10 +276,10 @@ def test_texts_are_held_in_parts_of_bounded_size(monkeypatch):
     assert all(sum(map(len, part[:-1])) < 100 for _, _, part in parts)
 
 
-def test_ranks_are_looked_up_in_two_bytes_a_slot():
+def test_tokens_do_not_depend_on_the_blocks(spark):
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
-    assert sum(t.nbytes for t in ranks.inside.tables) <= 4 * byte_bpe.Inside.SLOTS
-    last = max(ranks.pairs)
-    body = ranks.tokens[last]
-    _, found = ranks.inside.find(np.frombuffer(body, np.uint8), np.array([len(body)]))
-    assert last in found.tolist()
+    rows = [(i, f"Zyxwv{i % 7} qqruzz Émile 12{i}") for i in range(60)] + [(60, None), (61, ""), (None, "qqruzz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    small, large = (
+        sorted(map(str, byte_bpe.encoded(docs, ranks, public_tokenizers.PATTERN, with_ids=True, block_chars=n).collect())) for n in (40, 8_000_000))
+    assert small == large and len(small) == len(rows)

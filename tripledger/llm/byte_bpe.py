@@ -29,7 +29,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from tripledger.llm.common import tidied
 
 #: Characters of a block of documents that share one list of distinct words.
-BLOCK_CHARS = 4_000_000
+BLOCK_CHARS = 8_000_000
 #: Words and documents per Arrow batch, and tokens of a batch that carries them.
 BATCH = 8192
 DOCUMENT_BATCH = 512
@@ -116,7 +116,7 @@ class Inside:
         merged = {ranks.tokens[r]: r for r in ranks.pairs}
         heads = {t[:n] for t in merged for n in range(2, len(t))}
         self.longest = max(map(len, merged), default=0)
-        self.tables = [np.zeros(self.SLOTS, np.uint16) for _ in self.STEPS]  # 0: nothing, 1: a beginning, rank + 2: a token (below 2**16)
+        self.tables = [np.zeros(self.SLOTS, np.int32) for _ in self.STEPS]  # 0: nothing, 1: a beginning, rank + 2: a token
         left = sorted(merged) + sorted(heads - set(merged))
         for table, step in zip(self.tables, self.STEPS, strict=True):
             slots = self._slots([self._hash(t, step) for t in left])
@@ -169,8 +169,8 @@ def _characters(ids: list[int]) -> str:
     return "".join([chr(FIRST_CHAR + k) for k in ids])
 
 
-def words_and_documents(rows: DataFrame, ranks: Ranks, text_pattern: str) -> DataFrame:
-    """Rows (doc_id, text) as rows of words (chars, merges) followed by rows of documents (doc_id, stream)."""
+def words_and_documents(rows: DataFrame, ranks: Ranks, text_pattern: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
+    """Rows (doc_id, text) as rows of words (chars, merges) followed by rows of documents (doc_id, stream), block by block."""
     # the tokenizer, whatever the input; its tables are made once, here
     shared = rows.sparkSession.sparkContext.broadcast(([ranks.by_bytes[bytes([i])] for i in range(256)], ranks.by_word, ranks.inside, text_pattern))
     kind = dict(rows.dtypes)["doc_id"]
@@ -208,7 +208,7 @@ def words_and_documents(rows: DataFrame, ranks: Ranks, text_pattern: str) -> Dat
                 ids.append(doc_id)
                 streams.append(np.fromiter(map(codes.__getitem__, pieces.findall(text)), np.int32).tobytes())
                 filled += len(text)
-                if filled >= BLOCK_CHARS:
+                if filled >= block_chars:
                     yield from block(ids, streams, codes.words)
                     ids, streams, codes, filled = [], [], _Codes(known), 0
         if ids:
@@ -226,13 +226,13 @@ def folded(chars: Column, merges: Column, ranks: Ranks) -> Column:
     return F.aggregate(merges, chars, lambda word, rank: F.replace(word, F.get(pair_map, rank), F.get(merged_map, rank)))
 
 
-def encoded(docs: DataFrame, ranks: Ranks, pattern: str, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
+def encoded(docs: DataFrame, ranks: Ranks, pattern: str, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """One row per input row: doc_id, n_tokens, ids_sha256, decoded_sha256; with ``with_ids`` also ids and decoded (bytes).
 
     Texts are split whole by ``pattern``; no special tokens; null text is empty text and has no tokens. Decoding joins
-    the bytes of the ids. Other columns are not read; repeated rows give equal rows; an empty table an empty table.
+    the bytes of the ids. Smaller blocks (``block_chars``) take less memory and more time. Other columns are not read; repeated rows give equal rows; an empty table an empty table.
     """
-    rows = words_and_documents(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), ranks, pattern)
+    rows = words_and_documents(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), ranks, pattern, block_chars)
     merged = rows.select("doc_id", "stream", folded(F.col("chars"), F.col("merges"), ranks).alias("word"))
     kind = dict(rows.dtypes)["doc_id"]
     shared = docs.sparkSession.sparkContext.broadcast(ranks.tokens)

@@ -169,8 +169,9 @@ def _characters(ids: list[int]) -> str:
     return "".join([chr(FIRST_CHAR + k) for k in ids])
 
 
-def words_and_documents(rows: DataFrame, ranks: Ranks, text_pattern: str, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def words_and_documents(rows: DataFrame, ranks: Ranks, text_pattern: str, block_chars: int | None = None) -> DataFrame:
     """Rows (doc_id, text) as rows of words (chars, merges) followed by rows of documents (doc_id, stream), block by block."""
+    most = block_chars or BLOCK_CHARS
     # the tokenizer, whatever the input; its tables are made once, here
     shared = rows.sparkSession.sparkContext.broadcast(([ranks.by_bytes[bytes([i])] for i in range(256)], ranks.by_word, ranks.inside, text_pattern))
     kind = dict(rows.dtypes)["doc_id"]
@@ -208,7 +209,7 @@ def words_and_documents(rows: DataFrame, ranks: Ranks, text_pattern: str, block_
                 ids.append(doc_id)
                 streams.append(np.fromiter(map(codes.__getitem__, pieces.findall(text)), np.int32).tobytes())
                 filled += len(text)
-                if filled >= block_chars:
+                if filled >= most:
                     yield from block(ids, streams, codes.words)
                     ids, streams, codes, filled = [], [], _Codes(known), 0
         if ids:
@@ -226,7 +227,7 @@ def folded(chars: Column, merges: Column, ranks: Ranks) -> Column:
     return F.aggregate(merges, chars, lambda word, rank: F.replace(word, F.get(pair_map, rank), F.get(merged_map, rank)))
 
 
-def encoded(docs: DataFrame, ranks: Ranks, pattern: str, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def encoded(docs: DataFrame, ranks: Ranks, pattern: str, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False, block_chars: int | None = None) -> DataFrame:
     """One row per input row: doc_id, n_tokens, ids_sha256, decoded_sha256; with ``with_ids`` also ids and decoded (bytes).
 
     Texts are split whole by ``pattern``; no special tokens; null text is empty text and has no tokens. Decoding joins
